@@ -49,7 +49,7 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     h = np.fromiter((digest(b" ".join(w), 42) for w in zip(*(words[i:] for i in range(shingle)))), np.uint64, len(words) - shingle + 1)
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[lo : lo + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        ones += np.unpackbits(h[lo : lo + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return sum(1 << i for i, n in enumerate(ones.tolist()) if 2 * n > len(h))
 
 
