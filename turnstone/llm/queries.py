@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, bpe, mixing, quality, simhash, substrings
+from . import blocks, bpe, extraction, licenses, mixing, neighbours, quality, sharding, simhash, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,23 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_read(spark, sf_dir, "embeddings"), 20, every=20)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "detections")
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.hilbert_shards(_read(spark, sf_dir, "documents"), 40)
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = blocks.saved(quality.with_counts(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text"))
     return quality.judged(counted, quality.thresholds(counted)).drop("lang", "source", "n_lines")
@@ -45,6 +62,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_license_scan": op4_license_scan,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_hilbert_sharding": op6_hilbert_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op9_bpe": op9_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
