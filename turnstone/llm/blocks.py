@@ -25,6 +25,12 @@ BLOCK_BYTES = 4 << 20
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or what ready() sets without it."""
+    ready(spark)
+    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
 def ready(spark: SparkSession) -> None:
     """Set batch bounds, and a checkpoint folder where the cluster names none."""
     for key, value in BATCH.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, bpe, extraction, licenses, mixing, neighbours, quality, sharding, simhash, substrings
+from . import blocks, bpe, extraction, hmm, licenses, mixing, neighbours, quality, sharding, simhash, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(counted, quality.thresholds(counted)).drop("lang", "source", "n_lines")
 
 
+def op8_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scored(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encoded(docs, vocabulary(), ids=False, decoded=False).drop("text")
@@ -67,6 +71,7 @@ QUERIES = {
     "op5_html_extraction": op5_html_extraction,
     "op6_hilbert_sharding": op6_hilbert_sharding,
     "op7_quality_rules": op7_quality_rules,
+    "op8_hmm_scoring": op8_hmm_scoring,
     "op9_bpe": op9_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }

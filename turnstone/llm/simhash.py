@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,10 +136,29 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
     return out
 
 
+def component_roots(frame: DataFrame) -> DataFrame:
+    """fp, root for each different fp of frame; fingerprints of a component share the root."""
+    groups = B.saved(frame.select("fp").distinct())
+    roots = components(links(groups))
+    return groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def component_ids(frame: DataFrame) -> DataFrame:
     """fp, component_id for each different fp of frame (doc_id, fp)."""
-    groups = B.saved(frame.groupBy("fp").agg(F.min("doc_id").alias("doc")))
-    roots = components(links(groups.select("fp")))
-    linked = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = linked.groupBy("root").agg(F.min("doc").alias("component_id"))
-    return linked.select("fp", "root").join(least, "root").select("fp", "component_id")
+    least = frame.groupBy("fp").agg(F.min("doc_id").alias("doc"))
+    linked = B.saved(component_roots(frame).join(least, "fp"))
+    ids = linked.groupBy("root").agg(F.min("doc").alias("component_id"))
+    return linked.select("fp", "root").join(ids, "root").select("fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
+    """The rows of docs that stay: of each component the one with the smallest doc_id (then fingerprint, then text)."""
+    keys = docs.select("doc_id", "text")
+    frame = B.saved(with_fingerprint(keys, shingle).select(F.col("doc_id").cast("long").alias("doc_id"), "fp"))
+    found = frame.distinct().join(component_roots(frame), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp"))
+    chosen = found.groupBy("root").agg(first.alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.fp").alias("__fp"))
+    rows = with_fingerprint(docs, shingle, "__own")
+    rows = rows.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("__own", "doc_id").orderBy(F.asc_nulls_first("text")))
+    return rows.withColumn("__place", place).where("__place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
