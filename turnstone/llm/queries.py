@@ -63,6 +63,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -74,5 +80,6 @@ QUERIES = {
     "op8_hmm_scoring": op8_hmm_scoring,
     "op9_bpe": op9_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE.format(docs="documents")}

@@ -138,7 +138,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
 
 def component_roots(frame: DataFrame) -> DataFrame:
     """fp, root for each different fp of frame; fingerprints of a component share the root."""
-    groups = B.saved(frame.select("fp").distinct())
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = B.saved(frame.select("fp").distinct().repartition(parts, "fp"))  # few bytes, but each row becomes 64
     roots = components(links(groups))
     return groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
