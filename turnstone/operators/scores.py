@@ -30,7 +30,7 @@ def weighted_ranking(df: DataFrame, weights: dict[str, float], eligible: Column,
     ranked = percent_rank_avg(use.where("eligible").withColumns({f"__{c}": (-F.col(c) if c in falling else F.col(c)) for c in weights}), [f"__{c}" for c in weights], "pct")
     total = float(sum(weights.values()))
     score = sum((F.col(f"pct__{c}") * w for c, w in weights.items()), F.lit(0.0)) / total
-    ranked = ranked.withColumn("score", score)
+    ranked = ranked.withColumn("score", F.round(score, 9))  # else the order of addition would break ties
     ranked = ranked.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), *tie)))
     rest = use.where("not eligible").withColumns({"score": F.lit(None).cast("double"), "place": F.lit(None).cast("int")})
     return ranked.select(*rest.columns).unionByName(rest)
@@ -202,13 +202,14 @@ def partition_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     m = confusion(df, a, b)
     row, col = m.groupBy("gold").agg(F.sum("n").alias("r")), m.groupBy("predicted").agg(F.sum("n").alias("c"))
     pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2.0)
-    n = m.agg(F.sum("n").cast("double").alias("N"), pairs("n").alias("ij"))
-    info = m.join(row, "gold").join(col, "predicted").crossJoin(F.broadcast(n.select("N"))).agg(F.sum(F.col("n") / F.col("N") * F.ln(F.col("n") * F.col("N") / (F.col("r") * F.col("c")))).alias("mi"))
-    ent = lambda df, c: df.crossJoin(F.broadcast(n.select("N"))).agg(pairs(c).alias(f"p{c}"), (-F.sum(F.col(c) / F.col("N") * F.ln(F.col(c) / F.col("N")))).alias(f"h{c}"))
+    n = m.agg(F.sum("n").cast("double").alias("total"), pairs("n").alias("ij"))
+    whole, every = F.broadcast(n.select("total")), F.col("total")  # one row
+    info = m.join(row, "gold").join(col, "predicted").crossJoin(whole).agg(F.sum(F.col("n") / every * F.ln(F.col("n") * every / (F.col("r") * F.col("c")))).alias("mi"))
+    ent = lambda df, c: df.crossJoin(whole).agg(pairs(c).alias(f"p{c}"), (-F.sum(F.col(c) / every * F.ln(F.col(c) / every))).alias(f"h{c}"))
     one = n.crossJoin(F.broadcast(info)).crossJoin(F.broadcast(ent(row, "r"))).crossJoin(F.broadcast(ent(col, "c")))  # one row each
-    expected = F.col("pr") * F.col("pc") / (F.col("N") * (F.col("N") - 1) / 2)
+    expected = F.col("pr") * F.col("pc") / (every * (every - 1) / 2)
     most = (F.col("pr") + F.col("pc")) / 2
-    return one.select(F.col("N").cast("long").alias("n"), F.when(most != expected, (F.col("ij") - expected) / (most - expected)).otherwise(1.0).alias("ari"), F.when(F.col("hr") + F.col("hc") > 0, 2 * F.col("mi") / (F.col("hr") + F.col("hc"))).otherwise(1.0).alias("nmi"))
+    return one.select(every.cast("long").alias("n"), F.when(most != expected, (F.col("ij") - expected) / (most - expected)).otherwise(1.0).alias("ari"), F.when(F.col("hr") + F.col("hc") > 0, 2 * F.col("mi") / (F.col("hr") + F.col("hc"))).otherwise(1.0).alias("nmi"))
 
 
 def bootstrap_interval(df: DataFrame, key: str, value: str, rounds: int = 1000, seed: int = 42) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from turnstone.plans import messages, scores
+
 FLAGSHIP = "j12_threads"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict = {**messages.QUERIES, **scores.QUERIES}
+ORACLES: dict = {**messages.ORACLES, **scores.ORACLES}
