@@ -193,8 +193,8 @@ def weighted_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: rank correlation with average ranks; null if a column is constant."""
     r = percent_rank_avg(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("ra"), F.col(b).alias("rb")), ["ra", "rb"])
-    rho = F.corr("pct_ra", "pct_rb")
-    return r.agg(F.count("*").alias("n"), F.when(~F.isnan(rho), rho).alias("rho"))
+    spread = F.stddev_pop("pct_ra") * F.stddev_pop("pct_rb")
+    return r.agg(F.count("*").alias("n"), F.when(spread > 1e-15, F.try_divide(F.covar_pop("pct_ra", "pct_rb"), spread)).alias("rho"))
 
 
 def partition_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
