@@ -1,6 +1,6 @@
 """Operator 9, BPE encoding and decoding: content-defined chunk reuse.
 
-A rolling hash over the last 16 bytes picks cut points at white space, about every 64 words,
+A rolling hash over the last 16 bytes picks cut points at white space, about every 128 words,
 so equal passages are cut into equal chunks wherever they stand. A worker encodes a chunk
 once and keeps its ids and decoded text; inside a new chunk, words it has met before are
 reused the same way, so the tokenizers library sees each different word about once. Where
@@ -22,6 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from array import array
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ from . import words as W
 
 KEEP_WORDS, KEEP_CHUNKS = 150_000, 8_000
 #: A cut is made at white space where the rolling hash has this many zero bits.
-CUT_BITS, ROLL = 6, 16
+CUT_BITS, ROLL = 7, 16
 _tables: dict = {}
 
 
@@ -66,23 +70,43 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        # without a decoder, decoding joins the tokens by spaces
+        self.tokens = [self.library.id_to_token(i) for i in range(size)] if self.library.decoder is None else None
         self.words, self.chunks, self.joins = _Reuse(KEEP_WORDS), _Reuse(KEEP_CHUNKS), _Reuse(KEEP_WORDS)
 
+        # reuse by words needs a vocabulary that lower-cases, drops white space and parts words from punctuation
+        probe = b"Aa bB, cc.\nThe end"
+        parts = [self.whole(w) for w in (b"aa", b"bb", b",", b"cc", b".", b"the", b"end")]
+        self.by_words = self.whole(probe) == (b"".join(p[0] for p in parts), " ".join(p[1] for p in parts))
+
+    def _pair(self, ids: list[int]) -> tuple[bytes, str]:
+        text = " ".join([self.tokens[i] for i in ids]) if self.tokens else self.library.decode(ids, skip_special_tokens=False)
+        return array("I", ids).tobytes(), text
+
     def whole(self, text: bytes) -> tuple[bytes, str]:
         """Ids (little-endian, 32 bits) and decoded text, by the library alone."""
-        ids = self.library.encode(text.decode(), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes(), self.library.decode(ids, skip_special_tokens=False)
+        return self._pair(self.library.encode(text.decode(), add_special_tokens=False).ids)
 
     def learn(self, words: set[bytes]) -> None:
+        """Encode new words, many in one call; offsets tell which word a token is of."""
         new = [w for w in words if self.words.get(w) is None]
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            for w, e in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                ids = e.ids
-                self.words.put(w, (np.array(ids, "<u4").tobytes(), self.library.decode(ids, skip_special_tokens=False)))
+        for lo in range(0, len(new), 128):
+            part = new[lo : lo + 128]
+            text = [w.decode() for w in part]
+            e = self.library.encode(" ".join(text), add_special_tokens=False)
+            ids, starts = e.ids, list(accumulate((len(t) + 1 for t in text), initial=0))
+            of = [bisect_right(starts, a) - 1 for a, _ in e.offsets]
+            i = 0
+            for n, w in enumerate(part):
+                j = i
+                while j < len(of) and of[j] == n:
+                    j += 1
+                self.words.put(w, self._pair(ids[i:j]))
+                i = j
 
     def chunk(self, chunk: bytes) -> tuple[bytes, str]:
-        words = chunk.split()
+        words = split(chunk)
         get = self.words.young.get
         found = [get(w) or self._word(w) for w in words]
         return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])
@@ -116,11 +140,13 @@ class Encoder:
         return self.whole(b" ".join(key)) == (a[0] + b[0], " ".join(x for x in (a[1], b[1]) if x))
 
     def texts(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
+        if not self.by_words:
+            return [self.whole(t) for t in texts]
         pieces = [cut(t) for t in texts]
         fresh = {c for p in pieces for c in p if self.chunks.get(c) is None}
         unseen: set[bytes] = set()
         for c in fresh:
-            unseen.update(c.split())
+            unseen.update(split(c))
             if len(unseen) >= KEEP_WORDS // 2:
                 break
         self.learn({w for w in unseen if len(w) < 200})
@@ -148,6 +174,19 @@ class Encoder:
         return b"".join([d[0] for d in done]), " ".join([d[1] for d in done if d[1]])
 
 
+_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\n]|$)")
+
+
+def split(chunk: bytes) -> list[bytes]:
+    """The words of a chunk, so that fewer differ: in lower case, and parted from a full stop or comma at their end.
+
+    Vocabularies that reuse by words lower-case what they are given and part letters from
+    punctuation (others are encoded whole), so the ids stay the same; a chunk that may hold a
+    special token is left as it is.
+    """
+    return chunk.split() if b"<|" in chunk else _STOP.sub(rb" \1", chunk.lower()).split()
+
+
 def cut(text: bytes) -> list[bytes]:
     """Content-defined chunks of a text; each starts with the white space it was cut at."""
     buf = np.frombuffer(text, np.uint8)
