@@ -331,3 +331,31 @@ def test_streams_agree_with_batch(spark, tmp_path):
     q.stop()
     got = sorted((r.owner, r.n) for r in spark.sql("select * from eps").collect() if r.owner != 9)
     assert got == [(1, 1), (1, 2), (2, 2)]
+
+
+def test_split_files_and_configuration(spark, tmp_path):
+    from turnstone.sources import splits as SP
+
+    rows = spark.createDataFrame([("a", "train"), ("b", "train"), ("c", "dev")], "case_id string, split string")
+    m = SP.write_splits(rows, str(tmp_path / "s"))
+    assert m == SP.read_manifest(spark, str(tmp_path / "s")) and {k: v["rows"] for k, v in m.items()} == {"train": 2, "dev": 1}
+    assert spark.read.parquet(str(tmp_path / "s" / "data")).where("split = 'dev'").count() == 1
+    (tmp_path / "c.json").write_text('{"policy": {"min": 3}}')
+    assert SP.read_config(spark, str(tmp_path / "c.json")) == {"policy": {"min": 3}}
+
+
+def test_hashed_vectors_are_unit_or_zero(spark):
+    from turnstone.operators import taxonomy as TX
+
+    got = spark.createDataFrame([(["a", "b", "a"],), ([],)], "t array<string>").select(TX.hashed_vector(F.col("t")).alias("v")).collect()
+    assert math.isclose(sum(x * x for x in got[0].v), 1.0) and set(got[1].v) == {0.0} and len(got[0].v) == 64
+
+
+def test_normalised_classification_and_status(spark):
+    c = spark.createDataFrame([(1, "Refunds", "80", "nope"), (2, "weather", "0.9", "refunds"), (3, "refunds", None, "refunds")], "i int, intent string, confidence string, alternative string")
+    got = {r.i: (r.intent, r.confidence, r.alternative) for r in RV.normalised_classification(c, spark.createDataFrame([("refunds",)], "intent string")).collect()}
+    assert got == {1: ("refunds", 0.8, None), 2: ("unclear_or_media_only", 0.0, "refunds"), 3: ("refunds", 0.0, None)}
+    s = spark.createDataFrame([(3, 0, 0, 3), (0, 2, 0, 3), (2, 1, 0, 3), (2, 0, 0, 3)], "p int, f int, u int, e int").select(RV.status(F.col("p"), F.col("f"), F.col("u"), F.col("e")).alias("s"))
+    assert [r.s for r in s.collect()] == ["PASS", "FAIL", "PARTIAL", "PARTIAL"]
+    bad = spark.range(1).select(L.label_errors(F.lit(" "), F.lit("x"), F.lit(None).cast("string"), ["a"], ["b"]).alias("e"), L.case_status(F.lit("a"), F.lit(None).cast("string")).alias("s")).first()
+    assert bad.e == ["intent_missing", "resolution_unknown", "escalate_not_yes_or_no"] and bad.s == "partial"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from turnstone.functions import text as X
 from turnstone.functions import values as V
+from turnstone.operators import agent as AG
 from turnstone.operators import episodes as E
 from turnstone.operators import graph
 from turnstone.operators import labels as L
@@ -13,8 +14,9 @@ from turnstone.operators import learning as ML
 from turnstone.operators import memory as M
 from turnstone.operators import policy as P
 from turnstone.operators import review as RV
+from turnstone.operators import taxonomy as TX
 from turnstone.plans.bindings import TURNS, read, threads, turns
-from turnstone.plans.messages import _SHOWN
+from turnstone.plans.messages import _NORM, _SHOWN
 from turnstone.plans.scores import _U12, _decided, _DECIDE, _labels, _LABELS
 
 QUERIES: dict = {}
@@ -183,3 +185,52 @@ def m7_tfidf_classifier(spark, d):
 @query(f"SELECT doc_id, round({_U12(chr(39) + '42:' + chr(39) + ' || doc_id')}, 12) AS score FROM documents")
 def f15_hash_scores(spark, d):
     return read(spark, d, "documents").select("doc_id", F.round(V.hash_fraction(V.seeded(42, F.col("doc_id"))), 12).alias("score"))
+
+
+@query(rf"""WITH {TURNS}, k AS (SELECT author_id, text, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace({_NORM.format(x='text')}, '\d+', '0', 'g'), '[^a-z0-9<>'' ]+', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda t: t <> '')[1:6], ' ') AS template FROM turns WHERE NOT inbound),
+w AS (SELECT author_id, template, text, count(*) AS k FROM k GROUP BY ALL), p AS (SELECT author_id, template, sum(k)::BIGINT AS n, min_by(text, (-k, text)) AS example FROM w GROUP BY ALL HAVING sum(k) >= 3) SELECT author_id, template, n, example FROM p QUALIFY row_number() OVER (PARTITION BY author_id ORDER BY n DESC, template) <= 5""")
+def a9_reply_patterns(spark, d):
+    return TX.reply_patterns(turns(spark, d).where(~F.col("inbound")), "author_id", "text").select("author_id", "template", "n", "example")
+
+
+@query("""SELECT label, count(*) AS n, round(avg(m), 4) AS mean_margin, round(quantile_cont(m, 0.25), 6) AS low_margin FROM (SELECT label, (vec_id * 37 % 100) / 100.0::DOUBLE AS m FROM embeddings) GROUP BY label""")
+def a8_cluster_report(spark, d):
+    e = read(spark, d, "embeddings").select("label", ((F.col("vec_id") * 37 % 100) / 100.0).alias("m"), (F.col("vec_id") % 4).alias("second"), (F.col("vec_id") % 3).alias("kind"))
+    return TX.cluster_report(e, "label", "m", "second", "kind").select("label", "n", "mean_margin", F.round("low_margin", 6).alias("low_margin"))
+
+
+@query("""WITH c AS (SELECT source AS cluster, lang AS intent, count(*) AS size FROM documents GROUP BY ALL), x AS (SELECT a.cluster, a.intent, b.intent AS other, b.size / sum(b.size) OVER (PARTITION BY a.cluster, a.intent) AS share, a.size FROM c a JOIN c b ON a.cluster = b.cluster AND a.intent <> b.intent)
+SELECT intent, other, round(sum(share * size) / (SELECT sum(size) FROM (SELECT DISTINCT intent, cluster, size FROM x) y WHERE y.intent = x.intent), 6) AS weight FROM x GROUP BY intent, other""")
+def a29_confusable(spark, d):
+    from pyspark.sql import Window
+
+    c = read(spark, d, "documents").groupBy(F.col("source").alias("cluster"), F.col("lang").alias("intent")).agg(F.count("*").alias("size"))
+    pairs = c.join(c.select("cluster", F.col("intent").alias("other"), F.col("size").alias("other_size")), "cluster").where("intent <> other")
+    n = pairs.withColumn("share", F.col("other_size") / F.sum("other_size").over(Window.partitionBy("cluster", "intent")))
+    return TX.known_confusable(n).select("intent", "other", "weight")
+
+
+@query("SELECT doc_id, round(cume_dist() OVER (PARTITION BY lang ORDER BY n_chars), 9) AS percentile FROM documents")
+def w17_margin_percentiles(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.round(TX.margin_percentile("n_chars", "lang"), 9).alias("percentile"))
+
+
+@query("SELECT lang, count(*) FILTER (l.doc_id IS NULL) AS to_score, count(l.quality) AS cached FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY lang")
+def j16_cached_predictions(spark, d):
+    docs = read(spark, d, "documents").select("lang", TX.request_key(F.col("doc_id"), F.lit("model")).alias("key"))
+    cache = read(spark, d, "labels").select(TX.request_key(F.col("doc_id"), F.lit("model")).alias("key"), "quality")
+    return TX.with_cached(docs, cache, ["key"]).groupBy("lang").agg(F.count_if("to_score").alias("to_score"), F.count("quality").alias("cached"))
+
+
+@query()
+def s17_hashed_vectors(spark, d):
+    return read(spark, d, "benchmark").select("item_id", F.posexplode(TX.hashed_vector(X.tokens(F.col("text")))).alias("i", "x"))
+
+
+@query()
+def m16_handled_messages(spark, d):
+    memory = graph.saved(_memory(spark, d).where("historical_response <> ''"))
+    t = turns(spark, d).where("turn = 0")
+    m = t.select(F.col("conv_id").cast("string").alias("case_id"), F.col("text").alias("message"), F.element_at(F.array(F.lit("refunds"), F.lit("access")), (F.col("conv_id") % 2 + 1).cast("int")).alias("intent"), F.lit(0.9).alias("confidence"), F.lit(False).alias("multi_intent"), F.when(F.col("conv_id") % 9 == 0, "timeout").alias("error"))
+    drafts = m.select("case_id", F.lit("Please see https://example.com/new for £9.99").alias("reply"))
+    return AG.handled(m, memory, drafts).select("case_id", "action", F.array_join("reasons", ",").alias("reasons"), "reply")
