@@ -146,3 +146,38 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """docs with COUNTS, base_failed and kept. Texts are measured twice rather than shuffled."""
     counted = with_counts(docs)
     return judged(counted, thresholds(with_counts(docs.select("doc_id", "text", "lang", "source")).drop("text")))
+
+
+def _sql() -> str:
+    """The query's result in SQL, for documents with distinct ids."""
+    gamma = float((1 + ERROR) / (1 - ERROR))
+    share = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END"
+    made = {"symbol_share": share("n_symbols", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words"), "word_length": share("word_chars", "n_words")}
+    long = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS measure, {c} AS value FROM b WHERE NOT base_failed" for m, c in made.items())
+    levels = {"own": "lang, source, ", "wide": "lang, ", "whole": ""}
+    parts = []
+    for tag, keys in levels.items():
+        parts.append(
+            f"{tag} AS (SELECT {keys}measure, max(total) AS total, min(CASE WHEN upto >= total * 0.25 THEN v END) AS q1, min(CASE WHEN upto >= total * 0.75 THEN v END) AS q3 FROM "
+            f"(SELECT *, sum(n) OVER (PARTITION BY {keys}measure) AS total, sum(n) OVER (PARTITION BY {keys}measure ORDER BY bucket NULLS FIRST) AS upto, CASE WHEN bucket IS NULL THEN 0.0 ELSE 2 * pow({gamma!r}, bucket) / ({gamma!r} + 1) END AS v FROM "
+            f"(SELECT {keys}measure, bucket, sum(n) AS n FROM cells GROUP BY {keys}measure, bucket)) GROUP BY {keys}measure)"
+        )
+    pick = lambda c: f"CASE WHEN o.total >= {LEAST} THEN o.{c} WHEN w.total >= {LEAST} THEN w.{c} ELSE a.{c} END"
+    wrong = [f"(measure = '{m}' AND value > q3 + greatest({s}, {k} * (q3 - q1)))" for m, (k, s) in UPPER.items()] + [f"(measure = '{m}' AND value < q1 - greatest({s}, {k} * (q3 - q1)))" for m, (k, s) in LOWER.items()]
+    return (
+        r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1) GROUP BY doc_id),
+m AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines FROM d LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+"""
+        + f"l AS ({long}), cells AS (SELECT lang, source, measure, CASE WHEN value > 1e-9 THEN ceil(ln(value) / {float(np.log(gamma))!r})::INTEGER END AS bucket, count(*) AS n FROM l GROUP BY ALL), "
+        + ", ".join(parts)
+        + f""", q AS (SELECT o.lang, o.source, o.measure, {pick('q1')} AS q1, {pick('q3')} AS q3 FROM own o JOIN wide w USING (lang, measure) JOIN whole a USING (measure)),
+bad AS (SELECT DISTINCT doc_id FROM l JOIN q USING (lang, source, measure) WHERE {' OR '.join(wrong)})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b"""
+    )
+
+
+ORACLE = _sql()

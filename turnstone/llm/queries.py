@@ -82,4 +82,8 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE.format(docs="documents")}
+ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE.format(docs="documents"),
+    "op2_substring_dedup": substrings.ORACLE,
+    "op7_quality_rules": quality.ORACLE,
+}
