@@ -30,7 +30,8 @@ from . import blocks as B
 BLOCK = 2_048
 #: Query blocks whose best lists a task holds before it hands them on.
 HELD = 64
-_PACK = "block int, ids binary, vectors binary, codes binary, scales binary, errors binary, queries binary"
+_FIELDS = ("ids", "vectors", "codes", "scales", "errors")
+_PACK = "block int, " + ", ".join(f"{f} binary, q_{f} binary" for f in _FIELDS) + ", asked binary"
 
 
 def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,16 +57,20 @@ def gathered(rows: DataFrame, blocks: int, every: int) -> DataFrame:
         ids, v = ids[order], v[order]
         codes, scale, error = quantise(v)
         asked = np.flatnonzero(ids % every == 0).astype(np.int64)
-        body = [table.column("block")[0].as_py(), *(x.tobytes() for x in (ids, v, codes, scale, error, asked))]
-        return pa.table({f: pa.array([x], pa.int32() if f == "block" else pa.binary()) for f, x in zip(("block", "ids", "vectors", "codes", "scales", "errors", "queries"), body)})
+        out = {"block": pa.array([table.column("block")[0].as_py()], pa.int32())}
+        for f, x in zip(_FIELDS, (ids, v, codes, scale, error)):
+            out |= {f: pa.array([x.tobytes()], pa.binary()), f"q_{f}": pa.array([x[asked].tobytes()], pa.binary())}
+        return pa.table({**out, "asked": pa.array([asked.tobytes()], pa.binary())})
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     return B.saved(dealt.groupBy("block").applyInArrow(pack, _PACK))
 
 
 class _Side:
-    def __init__(self, row: dict, prefix: str) -> None:
-        self.block = row[f"{prefix}block"]
+    """The candidates of a block, or its queries."""
+
+    def __init__(self, row: dict, block: str, prefix: str) -> None:
+        self.block = row[block]
         self.ids = np.frombuffer(row[f"{prefix}ids"], np.int64)
         n = len(self.ids)
         self.v = np.frombuffer(row[f"{prefix}vectors"], np.float64).reshape(n, -1)
@@ -75,25 +80,27 @@ class _Side:
         self.norm = np.linalg.norm(self.v, axis=1)
 
 
-def tile(a: _Side, asked: np.ndarray, b: _Side, k: int, best: list[list[tuple[float, int]]]) -> None:
-    """Merge into best (per query a list of (-score, vec_id), nearest first) what block b holds."""
-    approx = (a.codes[asked].astype(np.float32) @ b.codes.astype(np.float32).T).astype(np.float64) * a.scale[asked][:, None] * b.scale
-    bound = (a.norm[asked][:, None] * b.error + a.error[asked][:, None] * (b.norm + b.error)) * (1 + 1e-9) + 1e-12 * a.norm[asked][:, None] * b.norm
-    lower = approx - bound
-    if a.block == b.block:
-        lower[np.arange(len(asked)), asked] = -np.inf
-    full = lower.shape[1] - (a.block == b.block) >= k
+def tile(q: _Side, asked: np.ndarray, b: _Side, k: int, best: list[list[tuple[float, int]]]) -> None:
+    """Merge into best (per query a list of (-score, vec_id), nearest first) what block b holds.
+
+    asked: the places of the queries in their own block; a query is no neighbour of itself.
+    """
+    approx = (q.codes.astype(np.float32) @ b.codes.astype(np.float32).T).astype(np.float64) * q.scale[:, None] * b.scale
+    bound = (q.norm[:, None] * b.error + q.error[:, None] * (b.norm + b.error)) * (1 + 1e-9) + 1e-12 * q.norm[:, None] * b.norm
+    own = (np.arange(len(asked)), asked) if q.block == b.block else None
+    lower, upper = approx - bound, approx + bound
+    if own:
+        lower[own] = upper[own] = -np.inf
+    full = lower.shape[1] - (own is not None) >= k
     floor = np.partition(lower, -k, axis=1)[:, -k] if full else np.full(len(asked), -np.inf)
     floor = np.maximum(floor, [-h[k - 1][0] if len(h) >= k else -np.inf for h in best])
-    alive = approx + bound >= floor[:, None]
-    if a.block == b.block:
-        alive[np.arange(len(asked)), asked] = False
-    for i, q in enumerate(asked):
+    alive = (upper >= floor[:, None]) & (upper > -np.inf)
+    for i in range(len(asked)):
         at = np.flatnonzero(alive[i])
         if len(at):
-            score = (b.v[at] * a.v[q]).sum(axis=1)
-            near = at[np.lexsort((b.ids[at], -score))[:k]]
-            new = sorted(zip((-(b.v[near] * a.v[q]).sum(axis=1)).tolist(), b.ids[near].tolist()))
+            score = (b.v[at] * q.v[i]).sum(axis=1)
+            near = np.lexsort((b.ids[at], -score))[:k]
+            new = zip((-score[near]).tolist(), b.ids[at][near].tolist())
             best[i] = [x for x, _ in zip(heapq.merge(best[i], new), range(k))]
 
 
@@ -103,15 +110,15 @@ def nearest(vectors: DataFrame, k: int = 20, *, every: int = 20, block: int = BL
     rows = B.saved(usable(vectors))
     blocks = max(1, -(-rows.count() // block))
     packs = gathered(rows, blocks, every)
-    side = lambda p: [F.col(c).alias(f"{p}{c}") for c in ("block", "ids", "vectors", "codes", "scales", "errors", "queries")]
-    asking = packs.where(F.length("queries") > 0).select(*side("a_")).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    tiles = asking.join(packs.select(*side("b_")), F.col("to") == F.col("b_block"))
+    # Only the queries of a block travel to every block; candidates stay one row a block.
+    asking = packs.where(F.length("asked") > 0).select(F.col("block").alias("from"), "asked", *[f"q_{f}" for f in _FIELDS], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    tiles = asking.join(packs.select("block", *_FIELDS), "block")
 
     def run(batches):
         held: dict = {}
 
         def out():
-            flat = [(q, n, v, -s) for ids, asked, best in held.values() for n, (q, h) in enumerate(zip(ids[asked].tolist(), best)) for s, v in h]
+            flat = [(q, n, v, -s) for ids, best in held.values() for n, (q, h) in enumerate(zip(ids.tolist(), best)) for s, v in h]
             held.clear()
             q, n, v, s = zip(*flat) if flat else ((),) * 4
             return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(n, pa.int32()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "place", "vec_id", "score"])
@@ -119,10 +126,9 @@ def nearest(vectors: DataFrame, k: int = 20, *, every: int = 20, block: int = BL
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                a, b = _Side(row, "a_"), _Side(row, "b_")
-                asked = np.frombuffer(row["a_queries"], np.int64)
-                _, _, best = held.setdefault(a.block, (a.ids, asked, [[] for _ in asked]))
-                tile(a, asked, b, k, best)
+                q, b = _Side(row, "from", "q_"), _Side(row, "block", "")
+                _, best = held.setdefault(q.block, (q.ids, [[] for _ in q.ids]))
+                tile(q, np.frombuffer(row["asked"], np.int64), b, k, best)
                 if len(held) >= HELD:
                     yield out()
         yield out()
