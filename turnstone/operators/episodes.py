@@ -75,7 +75,8 @@ def context_ids(rows: DataFrame, max_up: int = 10_000) -> DataFrame:
     rows come from segmented(). Each round moves all cases one ancestor up and ends when no
     case has an unowned parent left; a message already listed ends a walk, so cycles stop.
     """
-    first = rows.where("case_id is not null").groupBy("case_id").agg(F.coalesce(F.min_by("tweet_id", F.when(F.col("role") == "customer", F.struct(F.col("created_at").isNull(), "created_at", "reply_depth", "tweet_id"))), F.min("tweet_id")).alias("at"))
+    place = F.struct(F.col("created_at").isNull(), "created_at", "reply_depth", "tweet_id")
+    first = rows.where("case_id is not null").groupBy("case_id").agg(F.coalesce(F.min_by("tweet_id", F.when(F.col("role") == "customer", place)), F.min_by("tweet_id", place)).alias("at"))
     up = graph.saved(rows.select(F.col("tweet_id").alias("at"), F.col("parent_tweet_id").alias("up"), F.col("conversation_id").alias("c")))
     free = up.join(rows.where("owner_id is null").select(F.col("tweet_id").alias("at")), "at", "left_semi").select(F.col("at").alias("up"), F.col("c").alias("uc"))
     walk = graph.saved(first.withColumn("ids", F.array().cast("array<bigint>")))

@@ -345,7 +345,9 @@ def t17_evidence(spark, d):
     return c.select("conv_id", "resolution_type", F.posexplode("resolution_evidence").alias("place", "e")).select("conv_id", "resolution_type", "place", "e.*")
 
 
-@query()
+@query(f"""WITH {_EPISODES}, z AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY ts IS NULL, ts, depth, tweet_id) AS k FROM mem), f AS (SELECT head, any_value(conv_id) AS conv_id, coalesce(min(k) FILTER (role = 'customer'), 1) AS k FROM z GROUP BY head),
+s AS (SELECT f.head, f.conv_id, z.turn AS t0 FROM f JOIN z ON z.head = f.head AND z.k = f.k), b AS (SELECT s.head, s.conv_id, s.t0, coalesce(max(o.turn), -1) AS stop FROM s LEFT JOIN owned o ON o.conv_id = s.conv_id AND o.turn < s.t0 AND o.owner_id IS NOT NULL GROUP BY ALL)
+SELECT 'case_' || b.head AS case_id, coalesce(string_agg(o.tweet_id::VARCHAR, ',' ORDER BY o.turn), '') AS context FROM b LEFT JOIN owned o ON o.conv_id = b.conv_id AND o.turn > b.stop AND o.turn < b.t0 GROUP BY b.head""")
 def w5_context_ids(spark, d):
     rows = graph.saved(E.segmented(threads(spark, d)))
     return E.context_ids(rows).select("case_id", F.array_join(F.transform("context_tweet_ids", lambda x: x.cast("string")), ",").alias("context"))

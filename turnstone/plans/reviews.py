@@ -101,10 +101,11 @@ def a18_swapped_labels(spark, d):
     return m.groupBy(V.pair_key(F.col("candidate"), F.col("gold")).alias("pair")).agg(F.count("*").alias("ways"), F.sum("n").alias("n"), F.round(F.max("share"), 9).alias("rate"))
 
 
-@query()
+@query("""WITH l AS (SELECT event_type AS c, CASE WHEN event_id % 3 <> 0 THEN event_type WHEN event_type = 'click' THEN 'view' ELSE 'click' END AS h FROM events), m AS (SELECT c, h, count(*) AS n FROM l GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY c) AS share FROM m)
+SELECT least(c, h) || '|' || greatest(c, h) AS pair, sum(n)::BIGINT AS n, round(max(share), 9) AS rate FROM s WHERE c <> h GROUP BY 1 HAVING count(*) = 2 AND max(share) >= 0.3""")
 def a18_merge_candidates(spark, d):
     e = read(spark, d, "events").select(F.col("event_type").alias("candidate"), F.when(F.col("event_id") % 3 == 0, F.when(F.col("event_type") == "click", "view").otherwise("click")).otherwise(F.col("event_type")).alias("human"))
-    return RV.merge_candidates(e, "candidate", "human")
+    return RV.merge_candidates(e, "candidate", "human").withColumn("rate", F.round("rate", 9))
 
 
 @query("""WITH l AS (SELECT event_type AS candidate, CASE WHEN event_id % 10 < 6 AND event_type = 'view' THEN 'NEW:browse' WHEN event_type = 'error' THEN 'click' ELSE event_type END AS gold FROM events), m AS (SELECT candidate, gold, count(*) AS n FROM l GROUP BY ALL),
