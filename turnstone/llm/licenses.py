@@ -1,7 +1,7 @@
 """Operator 4, license scans: ordered signature rules, in DataFrame functions only.
 
 Texts become words; a text whose words pass one cheap keyword test is scanned further. There
-each rule runs only if its own keyword is in the text. A rule's regex works on words joined
+each rule runs only if its own keywords are in the text. A rule's regex works on words joined
 by single spaces, so a match is an interval of words. Detections that lie within another
 one are suppressed; of equal intervals the rule with the better priority stays. All of this
 happens within a row: nothing is shuffled, broadcast or collected.
@@ -86,47 +86,66 @@ _CC_VERSIONS = {"1": "1 0", "2": "2 0", "2.5": "2 5", "3": "3 0", "4": "4 0"}
 _LICENCE = "licen[cs]e"
 
 
+#: Words of which a grant or a license name has one: a gate for families whose own name is an ordinary word somewhere.
+_CUES = ["license", "licence", "licensed", "licenced", "released", "distributed", "available", "published", "covered", "provided", "spdx"]
+
+
 def rules() -> list[tuple[str, str, str, float]]:
     """(label, gate word, regex over single-spaced words, strength), best priority first."""
-    out: list[tuple[str, str, str, float]] = []
+    return [r[:4] for r in _rules()]
+
+
+def _rules() -> list[tuple[str, str, str, float, str]]:
+    """rules() with a second text that must be there too, or an empty one."""
+    out: list[tuple[str, str, str, float, str]] = []
     for label, gate, name, versions in _FAMILIES:
         grant = f"(licen[cs]ed|released|distributed|available|published|covered|provided) under (the terms of )?(the terms and conditions of )?{name}( {_LICENCE})?"
         for v, number in versions.items():
-            out.append((f"{label}-{v}-or-later", gate, f"(under )?{name}( {_LICENCE})? (version |v ?)?{number} or( \\(?at your option\\)?)?( any)? later( version)?", 1.0))
-            out.append((f"{label}-{v}", gate, f"{grant} (version |v ?)?{number}", 1.0))
-            out.append((f"{label}-{v}", gate, f"{name}( {_LICENCE})? (version |v ?)?{number}", 0.9))
-        out.append((label, gate, grant, 0.9 if versions else 1.0))
-        out.append((label, gate, f"spdx {_LICENCE} identifier {name}( [0-9]+)*( only| or later)?", 1.0))
-        out.append((label, gate, f"(under )?{name} {_LICENCE}", 0.8))
+            out.append((f"{label}-{v}-or-later", gate, f"(under )?{name}( {_LICENCE})? (version |v ?)?{number} or( \\(?at your option\\)?)?( any)? later( version)?", 1.0, ""))
+            out.append((f"{label}-{v}", gate, f"{grant} (version |v ?)?{number}", 1.0, ""))
+            out.append((f"{label}-{v}", gate, f"{name}( {_LICENCE})? (version |v ?)?{number}", 0.9, ""))
+        out.append((label, gate, grant, 0.9 if versions else 1.0, " under "))
+        out.append((label, gate, f"spdx {_LICENCE} identifier {name}( [0-9]+)*( only| or later)?", 1.0, " spdx "))
+        out.append((label, gate, f"(under )?{name} {_LICENCE}", 0.8, " licen"))
     for kind, words in _CC.items():
         short = "cc " + kind.replace("-", " ")
         for v, number in _CC_VERSIONS.items():
-            out.append((f"cc-{kind}-{v}", "cc", f"{short} {number}", 1.0))
-            out.append((f"cc-{kind}-{v}", "creative", f"creative commons {words} {number}( (international|unported|generic))?", 1.0))
-        out.append((f"cc-{kind}", "cc", short, 0.8))
-        out.append((f"cc-{kind}", "creative", f"creative commons {words}", 0.8))
+            out.append((f"cc-{kind}-{v}", "cc", f"{short} {number}", 1.0, ""))
+            out.append((f"cc-{kind}-{v}", "creative", f"creative commons {words} {number}( (international|unported|generic))?", 1.0, ""))
+        out.append((f"cc-{kind}", "cc", short, 0.8, ""))
+        out.append((f"cc-{kind}", "creative", f"creative commons {words}", 0.8, ""))
     out += [
-        ("cc0", "cc0", "cc0( 1 0)?( universal)?", 1.0),
-        ("cc0", "zero", "creative commons zero( 1 0)?( universal)?", 1.0),
-        ("public-domain", "domain", "(dedicated to|released into|placed in|in) the public domain", 0.9),
-        ("all-rights-reserved", "rights", "all rights reserved", 0.6),
-        ("copyright-notice", "copyright", "copyright (c )?(19|20)[0-9]{2}", 0.5),
-        ("redistribution-terms", "redistribution", "redistribution and use in source and binary forms", 0.9),
-        ("permission-notice", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 0.9),
-        ("warranty-disclaimer", "warranty", "without warranty of any kind", 0.5),
+        ("cc0", "cc0", "cc0( 1 0)?( universal)?", 1.0, ""),
+        ("cc0", "zero", "creative commons zero( 1 0)?( universal)?", 1.0, ""),
+        ("public-domain", "domain", "(dedicated to|released into|placed in|in) the public domain", 0.9, ""),
+        ("all-rights-reserved", "rights", "all rights reserved", 0.6, ""),
+        ("copyright-notice", "copyright", "copyright (c )?(19|20)[0-9]{2}", 0.5, ""),
+        ("redistribution-terms", "redistribution", "redistribution and use in source and binary forms", 0.9, ""),
+        ("permission-notice", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 0.9, ""),
+        ("warranty-disclaimer", "warranty", "without warranty of any kind", 0.5, ""),
     ]
     return out
 
 
+def _any_of(words: list[str]) -> str:
+    """A regex for any of words that tries each first letter once: few steps at the start of an ordinary word."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], []).append(w[1:])
+    parts = [head + (_any_of(tails) if len(tails) > 1 else tails[0]) for head, tails in by.items() if head]
+    return "(?:" + "|".join(parts) + ")" + ("?" if "" in by else "")
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels, score and detections."""
     made = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
     others = [c for c in docs.columns if c not in made]
-    gates = sorted({r[1] for r in rules()} | {"licence", "license"})
-    table = rules()
-    regexes = [f" {regex}(?= |$)" for _, _, regex, _ in table]
+    table = _rules()
+    plain = {gate for _, gate, _, versions in _FAMILIES if not versions}  # these rules also need a cue
+    gates = sorted(({r[1] for r in table} - plain) | {gate for _, gate, _, versions in _FAMILIES if versions} | {*_CUES})
+    regexes = [f" {regex}(?= |$)" for _, _, regex, _, _ in table]
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    signature = "array(" + ", ".join(f"named_struct('gate', {quote(f' {g} ')}, 'label', {quote(label)}, 'rank', {i}, 'strength', {s}D, 'regex', {quote(r)})" for i, ((label, g, _, s), r) in enumerate(zip(table, regexes))) + ")"
+    signature = "array(" + ", ".join(f"named_struct('gate', {quote(f' {g} ')}, 'also', {quote(also)}, 'label', {quote(label)}, 'rank', {i}, 'strength', {s}D, 'regex', {quote(r)})" for i, ((label, g, _, s, also), r) in enumerate(zip(table, regexes))) + ")"
     base = "array(" + ", ".join(f"named_struct('label', {quote(label)}, 'regex', {quote(f' {p}(?= |$)')})" for p, label in PHRASES.items()) + ")"
 
     def intervals(rule: str, extra: str) -> str:
@@ -142,7 +161,7 @@ def scanned(docs: DataFrame) -> DataFrame:
             acc -> acc.out)"""
 
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    gate = "(?i)(?<![0-9A-Za-z])(" + "|".join(gates) + ")(?![0-9A-Za-z])"
+    gate = f"(?i)(?<![0-9A-Za-z]){_any_of(gates)}(?![0-9A-Za-z])"
     words = docs.select(*[F.col(f"`{c}`") for c in others], F.regexp_count(body, F.lit(WORD)).cast("long").alias("n_words"), F.when(F.rlike(body, F.lit(gate)), F.regexp_extract_all(F.translate(body, _UPPER, _LOWER), F.lit(WORD), F.lit(0))).alias("__words"))
     norm = words.withColumn("__norm", F.when(F.col("__words").isNotNull(), F.concat(F.lit(" "), F.array_join("__words", " "))))
     bases = intervals("r", ",label:string").format(", 'label', r.label")
@@ -151,7 +170,7 @@ def scanned(docs: DataFrame) -> DataFrame:
         *[F.col(f"`{c}`") for c in others], "n_words",
         F.expr(f"if(__norm is null, null, flatten(transform({base}, r -> {bases})))").alias("__base"),
         # sorted so that what contains an interval comes before it
-        F.expr(f"if(__norm is null, null, array_sort(transform(flatten(transform(filter({signature}, r -> contains(concat(__norm, ' '), r.gate)), r -> {hits})), d -> named_struct('start', d.start, 'back', -d.end, 'rank', d.rank, 'label', d.label, 'strength', d.strength))))").alias("__hits"),
+        F.expr(f"if(__norm is null, null, array_sort(transform(flatten(transform(filter({signature}, r -> contains(concat(__norm, ' '), r.gate) and contains(concat(__norm, ' '), r.also)), r -> {hits})), d -> named_struct('start', d.start, 'back', -d.end, 'rank', d.rank, 'label', d.label, 'strength', d.strength))))").alias("__hits"),
     )
     kept = F.expr("""aggregate(__hits,
         named_struct('reach', 0, 'out', cast(array() as array<struct<start:int,end:int,label:string,strength:double>>)),
