@@ -156,9 +156,9 @@ def one_of_each(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest doc_id (then fingerprint, then text)."""
     keys = docs.select("doc_id", "text")
     frame = B.saved(with_fingerprint(keys, shingle).select(F.col("doc_id").cast("long").alias("doc_id"), "fp"))
-    found = frame.distinct().join(component_roots(frame), "fp")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp"))
-    chosen = found.groupBy("root").agg(first.alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.fp").alias("__fp"))
+    first = frame.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("s"))  # one row a fingerprint before the join
+    found = first.join(component_roots(frame), "fp")
+    chosen = found.groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.fp").alias("__fp"))
     rows = with_fingerprint(docs, shingle, "__own")
     rows = rows.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp")), "left_semi")
     place = F.row_number().over(Window.partitionBy("__own", "doc_id").orderBy(F.asc_nulls_first("text")))
