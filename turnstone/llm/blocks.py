@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 #: Text bytes of a block. A task holds one block and a few arrays of its size.
 BLOCK_BYTES = 4 << 20
 #: Arrow batch bounds for Python operators, so that a batch of long texts fits in a worker.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def shared_folder(spark: SparkSession) -> str:
