@@ -223,6 +223,13 @@ def j12_bipartite_groups(spark, d):
     return graph.components(e)
 
 
+# Over all rows; without a twin, as a recursive one makes each pair of a component's nodes.
+@query()
+def j12_lineitem_groups(spark, d):
+    e = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), (-F.col("l_suppkey") - 1).alias("b"))
+    return graph.components(e)
+
+
 @query(f"""WITH {TURNS} SELECT tweet_id, turn::BIGINT AS depth, (SELECT max(b.tweet_id) FROM turns b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND b.role = 'customer') AS owner_turn FROM turns a""")
 def j11_reply_depth(spark, d):
     t = turns(spark, d).select(F.col("tweet_id").alias("node"), "parent", (F.col("role") == "customer").alias("c"))
