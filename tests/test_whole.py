@@ -33,3 +33,32 @@ def test_lineitem_groups_of_the_driver_table(spark):
     rows = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_suppkey").collect()
     got = registry.QUERIES["j12_lineitem_groups"](spark, folder).collect()
     assert {r.node: r.root for r in got} == union_find((o, -s - 1) for o, s in rows)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def lengths(tmp_path, spark):
+    """Short and long documents; the words of long ones are in no short one."""
+    said = {"en": "train station late refund", "fr": "gare billet retard merci"}
+    rows = []
+    for i in range(24):
+        lang = "en" if i % 2 else "fr"
+        text = " ".join(f"{said[lang]} {lang}word{i % 5}" for _ in range(2)) if i < 12 else " ".join(f"long{lang} {said[lang]} x{k % 30}" for k in range(200))
+        rows.append((i, text, lang, "s", len(text)))
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sum(r[4] >= 2000 for r in rows) == 12
+    return rows
+
+
+def test_classifier_predicts_long_documents(spark, tmp_path):
+    rows = lengths(tmp_path, spark)
+    got = registry.QUERIES["m7_tfidf_classifier"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.lang) for r in got) == [(r[0], r[2]) for r in rows if r[0] % 4 == 0]
+    assert all(r.predicted in ("en", "fr") for r in got)
+
+
+def test_cluster_terms_of_long_documents(spark, tmp_path):
+    lengths(tmp_path, spark)
+    got = {(r.lang, r.term) for r in registry.QUERIES["m2_all_cluster_terms"](spark, str(tmp_path)).collect()}
+    assert {("en", "longen"), ("fr", "longfr")} <= got

@@ -177,7 +177,7 @@ def m4_kmeans(spark, d):
 
 @query()
 def m7_tfidf_classifier(spark, d):
-    docs = read(spark, d, "documents").where("n_chars < 2000").select("doc_id", "text", "lang")
+    docs = read(spark, d, "documents").select("doc_id", "text", "lang")
     train, test = docs.where("doc_id % 4 <> 0"), docs.where("doc_id % 4 = 0")
     terms = X.tokens(F.col("text"))
     return ML.predicted(ML.text_classifier(train, terms, "lang", 3.0), test, terms, "lang").select("doc_id", "lang", "predicted")
