@@ -3,11 +3,12 @@
 The standard library's streaming parser turns a page into lines, one for each block of text,
 each with its text-to-tag ratio (characters over tags). Lines in menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comment lists are left out by their
-element, role, or class and id words. The ratios of what is left are smoothed with a
-Gaussian and split in two clusters (2-means in one dimension). Content regions are the
-article or main elements that hold a line of the upper cluster, or, on pages without such
-elements, the stretch from the first to the last line of the upper cluster; all lines of a
-region belong to the text, short ones too.
+element, role, or class and id words. The logarithms of the ratios of what is left are
+smoothed with a Gaussian and split in two clusters (2-means in one dimension). Content
+regions are the article or main elements that hold a line of the upper cluster or are not
+mostly links, or, on pages without such elements, the stretch from the first to the last
+line of the upper cluster and the lines next to it in the same element, up to a list of
+links; all lines of a region belong to the text, short ones too.
 
 Cases: null html: empty text; pages without text: empty text; unclosed and misnested tags:
 a block tag closes an open paragraph, an end tag closes up to its start tag or nothing;
@@ -17,8 +18,10 @@ empty results; columns named text or n_chars are replaced, others pass through.
 
 from __future__ import annotations
 
+import math
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,27 +42,39 @@ HINTS = frozenset(
     "cookie cookies consent gdpr notice notices notification banner alert popup modal overlay newsletter subscribe subscription signup login comment comments respond reply replies disqus discussion "
     "share sharing social related recommended recommendations widget toolbar pagination pager search skip copyright legal disclaimer".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int
+    region: int  # number of the enclosing article or main element, or 0
+    linked: int  # characters inside of links
+    tag: str  # the innermost block element
+    path: tuple[int, ...]  # the enclosing block elements, outermost first
+
+
 class _Lines(HTMLParser):
-    """Collects (text, tags, region): region is the number of the enclosing article or main element, or 0."""
+    """Collects the lines that no element leaves out."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, left out, region
-        self.lines: list[tuple[str, int, int]] = []
+        self.open: list[tuple[str, bool, int, bool, int]] = []  # tag, left out, region, in a link, number
+        self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = self.regions = 0
+        self.tags = self.regions = self.elements = self.linked = 0
 
     def _flush(self) -> None:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append((text, self.tags, self.open[-1][2] if self.open else 0))
+                around = [x for x in self.open if x[0] in BLOCK]
+                self.lines.append(Line(text, self.tags, self.open[-1][2] if self.open else 0, self.linked, around[-1][0] if around else "", tuple(x[4] for x in around)))
                 self.tags = 0
             self.parts.clear()
+            self.linked = 0
 
     def _left_out(self, tag: str, attrs: list, region: int) -> bool:
         if tag in NOT_TEXT or tag == "header" and not region:
@@ -93,12 +108,13 @@ class _Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, out, region = self.open[-1] if self.open else ("", False, 0)
+        _, out, region, linked, _ = self.open[-1] if self.open else ("", False, 0, False, 0)
         if tag in ("article", "main") or ("role", "main") in attrs:
             if not region:
                 self.regions += 1
                 region = self.regions
-        self.open.append((tag, out or self._left_out(tag, attrs, region), region))
+        self.elements += 1
+        self.open.append((tag, out or self._left_out(tag, attrs, region), region, linked or tag == "a", self.elements))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -119,8 +135,10 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.open or not self.open[-1][1]:
             self.parts.append(data)
+            if self.open and self.open[-1][3]:
+                self.linked += len(data.strip())
 
-    def done(self) -> list[tuple[str, int, int]]:
+    def done(self) -> list[Line]:
         self.close()
         self._flush()
         return self.lines
@@ -134,9 +152,9 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 
 
 def upper_cluster(values: np.ndarray) -> np.ndarray:
-    """Which values 2-means puts in the upper of two clusters; all, if they hardly differ."""
+    """Which logarithms 2-means puts in the upper of two clusters; all, if they hardly differ."""
     low, high = float(values.min()), float(values.max())
-    if high <= 2 * low or len(values) < 3:
+    if high - low <= math.log(2) or len(values) < 3:
         return np.ones(len(values), bool)
     for _ in range(50):
         up = values >= (low + high) / 2
@@ -147,6 +165,29 @@ def upper_cluster(values: np.ndarray) -> np.ndarray:
     return values >= (low + high) / 2
 
 
+def _upper(lines: list[Line]) -> np.ndarray:
+    return upper_cluster(smoothed(np.log1p([len(x.text) / max(1, x.tags) for x in lines])))
+
+
+def _links(lines: list[Line]) -> bool:
+    """Whether over half of the characters are inside of links."""
+    return 2 * sum(x.linked for x in lines) > sum(len(x.text) for x in lines)
+
+
+def _stretch(lines: list[Line], content: np.ndarray) -> tuple[int, int]:
+    """First and last line of the content and of what stands next to it in the same element."""
+    own = content & np.array([not _links([x]) for x in lines])  # smoothing lifts links beside a long block
+    first, last = np.flatnonzero(own if own.any() else content)[[0, -1]].tolist()
+    around = {x.path[-2] for x, c in zip(lines, content) if c and len(x.path) > 1}
+    text = lambda x: x.tag == "p" or x.tag in HEADINGS
+    near = lambda x: (text(x) or not _links([x])) and (x.tag in HEADINGS or not around.isdisjoint(x.path))
+    while first > 0 and near(lines[first - 1]):
+        first -= 1
+    while last + 1 < len(lines) and near(lines[last + 1]):
+        last += 1
+    return first, last
+
+
 def main_text(html: str) -> str:
     parser = _Lines()
     for i in range(0, len(html), 1 << 16):
@@ -154,20 +195,18 @@ def main_text(html: str) -> str:
     lines = parser.done()
     if not lines:
         return ""
-    ratios = smoothed(np.array([len(t) / max(1, n) for t, n, _ in lines], float))
-    content = upper_cluster(ratios)
-    region = np.array([r for _, _, r in lines])
-    if region.any():
-        chosen = set(region[content & (region > 0)].tolist())
+    content = _upper(lines)
+    regions: dict[int, list[Line]] = {}
+    for x in lines:
+        if x.region:
+            regions.setdefault(x.region, []).append(x)
+    if regions:
+        chosen = {x.region for x, c in zip(lines, content) if c and x.region} | {r for r, own in regions.items() if not _links(own)}
         if not chosen:
-            size = np.bincount(region, weights=[len(t) for t, _, _ in lines])
-            size[0] = -1
-            chosen = {int(size.argmax())}
-        keep = [r in chosen for r in region.tolist()]
-    else:
-        first, last = np.flatnonzero(content)[[0, -1]]
-        keep = [first <= i <= last for i in range(len(lines))]
-    return "\n".join(t for (t, _, _), k in zip(lines, keep) if k)
+            chosen = {max(regions, key=lambda r: sum(len(x.text) for x in regions[r]))}
+        return "\n".join(x.text for x in lines if x.region in chosen)
+    first, last = _stretch(lines, content)
+    return "\n".join(x.text for x in lines[first : last + 1])
 
 
 def extracted(pages: DataFrame) -> DataFrame:
