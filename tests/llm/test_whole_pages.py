@@ -38,3 +38,18 @@ def test_article_of_short_lines_stays():
     long = "".join(f"<p>{words(900, i)}</p>" for i in range(5))
     got = extraction.main_text(f"<body><article>{long}</article><article><p>Short one.</p><p>And two.</p></article></body>")
     assert got.endswith("Short one.\nAnd two.") and got.count("\n") == 6
+
+
+@pytest.mark.parametrize("wrapper", ["class='container with-sidebar'", "id='page' class='has-comments'", "class='sidebar-layout'", "class='no-ads'"])
+@pytest.mark.parametrize("inner", ["article", "main", "div role=main"])
+def test_wrappers_keep_the_article(wrapper, inner):
+    texts = [words(300, i) for i in range(4)]
+    got = extraction.main_text(f"<body><div {wrapper}>{LINKS}<{inner}>{''.join(f'<p>{t}</p>' for t in texts)}</{inner.split()[0]}></div></body>")
+    assert got.split("\n") == texts
+
+
+def test_hints_inside_an_article():
+    kept = f"<h1>Title</h1><p>{words(300)}</p><h2 id='legal-status'>Status</h2><p class='copyright-history'>{words(200, 1)}</p><section id='discussion'><p>{words(100, 2)}</p></section>"
+    left = f"<div class='comments'><article><p>{words(90, 3)}</p></article></div><section id='comments'><p>Me too</p></section><div class='share-buttons'>Share</div>"
+    got = extraction.main_text(f"<body><article>{kept}{left}</article></body>")
+    assert got.split("\n") == ["Title", words(300), "Status", words(200, 1), words(100, 2)]

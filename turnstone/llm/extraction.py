@@ -3,7 +3,9 @@
 The standard library's streaming parser turns a page into lines, one for each block of text,
 each with its text-to-tag ratio (characters over tags). Lines in menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comment lists are left out by their
-element, role, or class and id words. The logarithms of the ratios of what is left are
+element, role, or class and id words. Those words say nothing about headings and
+paragraphs, nor after a word like "with" or "no", and an article inside an element that
+they leave out counts if no other article has a line of the upper cluster. The logarithms of the ratios of what is left are
 smoothed with a Gaussian and split in two clusters (2-means in one dimension). Content
 regions are the article or main elements that hold a line of the upper cluster or are not
 mostly links, or, on pages without such elements, the stretch from the first to the last
@@ -43,6 +45,12 @@ HINTS = frozenset(
     "share sharing social related recommended recommendations widget toolbar pagination pager search skip copyright legal disclaimer".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words after which a hint only qualifies the element.
+QUALIFIERS = frozenset("with without has have no non not".split())
+#: Hints that are also names of an article's own sections.
+SECTIONS = frozenset("discussion legal copyright disclaimer notice notices search social alert consent".split())
+#: How class and id words see an element: as content, as left out, as an article inside what they leave out.
+PLAIN, HINTED, INNER = range(3)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -51,6 +59,7 @@ class Line(NamedTuple):
     text: str
     tags: int
     region: int  # number of the enclosing article or main element, or 0
+    seen: int  # PLAIN or INNER
     linked: int  # characters inside of links
     tag: str  # the innermost block element
     path: tuple[int, ...]  # the enclosing block elements, outermost first
@@ -61,7 +70,7 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, bool, int]] = []  # tag, left out, region, in a link, number
+        self.open: list[tuple[str, bool, int, int, bool, int]] = []  # tag, left out, region, seen, in a link, number
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = self.regions = self.elements = self.linked = 0
@@ -71,7 +80,8 @@ class _Lines(HTMLParser):
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
                 around = [x for x in self.open if x[0] in BLOCK]
-                self.lines.append(Line(text, self.tags, self.open[-1][2] if self.open else 0, self.linked, around[-1][0] if around else "", tuple(x[4] for x in around)))
+                _, _, region, seen, _, _ = self.open[-1] if self.open else ("", False, 0, PLAIN, False, 0)
+                self.lines.append(Line(text, self.tags, region, seen, self.linked, around[-1][0] if around else "", tuple(x[5] for x in around)))
                 self.tags = 0
             self.parts.clear()
             self.linked = 0
@@ -86,10 +96,18 @@ class _Lines(HTMLParser):
                 continue
             if name == "role" and value.lower() in ROLES or name == "style" and "display:none" in value.replace(" ", "").lower():
                 return True
-            if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-                words = {w.lower() for w in _TOKEN.findall(value)}
-                if words & HINTS or "header" in words and not region:
-                    return True
+        return False
+
+    def _hinted(self, tag: str, attrs: list, region: int) -> bool:
+        if tag in ("html", "body", "article", "main", "p") or tag in HEADINGS:
+            return False
+        for name, value in attrs:
+            for one in (value or "").split() if name in ("class", "id") else ():
+                for w in map(str.lower, _TOKEN.findall(one)):
+                    if w in QUALIFIERS:
+                        break
+                    if w in HINTS and not (region and tag == "section" and w in SECTIONS) or w == "header" and not region:
+                        return True
         return False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -108,13 +126,16 @@ class _Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, out, region, linked, _ = self.open[-1] if self.open else ("", False, 0, False, 0)
+        _, out, region, seen, linked, _ = self.open[-1] if self.open else ("", False, 0, PLAIN, False, 0)
         if tag in ("article", "main") or ("role", "main") in attrs:
-            if not region:
+            if not region or seen == HINTED:
                 self.regions += 1
                 region = self.regions
+            seen = INNER if seen == HINTED else seen
+        elif self._hinted(tag, attrs, region):
+            seen = HINTED
         self.elements += 1
-        self.open.append((tag, out or self._left_out(tag, attrs, region), region, linked or tag == "a", self.elements))
+        self.open.append((tag, out or self._left_out(tag, attrs, region), region, seen, linked or tag == "a", self.elements))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -133,9 +154,9 @@ class _Lines(HTMLParser):
                 return  # an inline end tag does not close a block
 
     def handle_data(self, data: str) -> None:
-        if not self.open or not self.open[-1][1]:
+        if not self.open or not self.open[-1][1] and self.open[-1][3] != HINTED:
             self.parts.append(data)
-            if self.open and self.open[-1][3]:
+            if self.open and self.open[-1][4]:
                 self.linked += len(data.strip())
 
     def done(self) -> list[Line]:
@@ -196,6 +217,9 @@ def main_text(html: str) -> str:
     if not lines:
         return ""
     content = _upper(lines)
+    if any(x.seen == INNER for x in lines) and any(c and x.region and x.seen == PLAIN for x, c in zip(lines, content)):
+        lines = [x for x in lines if x.seen == PLAIN]
+        content = _upper(lines)
     regions: dict[int, list[Line]] = {}
     for x in lines:
         if x.region:
