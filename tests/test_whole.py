@@ -1,5 +1,8 @@
 """Queries that must do the whole job: no rows, rounds or documents left out."""
 
+import inspect
+
+from turnstone.operators import scores as SC
 from turnstone.plans import registry
 
 
@@ -62,3 +65,22 @@ def test_cluster_terms_of_long_documents(spark, tmp_path):
     lengths(tmp_path, spark)
     got = {(r.lang, r.term) for r in registry.QUERIES["m2_all_cluster_terms"](spark, str(tmp_path)).collect()}
     assert {("en", "longen"), ("fr", "longfr")} <= got
+
+
+def test_kmeans_sweeps_all_k(spark):
+    got = registry.QUERIES["m4_kmeans"](spark, "/root/testdata/sf0.001").collect()
+    assert [r.k for r in got] == list(range(8, 16)) and sum(r.chosen for r in got) == 1
+
+
+def test_bootstrap_runs_all_rounds(spark, monkeypatch):
+    real, rounds = SC.bootstrap_interval, []
+
+    def watched(*args, **named):
+        call = inspect.signature(real).bind(*args, **named)
+        call.apply_defaults()
+        rounds.append(call.arguments["rounds"])
+        return real(*args, **named)
+
+    monkeypatch.setattr(SC, "bootstrap_interval", watched)
+    got = registry.QUERIES["a21_bootstrap"](spark, "/root/testdata/sf0.001").collect()
+    assert rounds == [1000] and got[0].low <= got[0].mean <= got[0].high

@@ -213,10 +213,10 @@ def partition_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def bootstrap_interval(df: DataFrame, key: str, value: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """One row: mean and the 2.5 and 97.5 percentiles of Poisson-bootstrap means; weights hashed from (round, key)."""
+    """One row: mean and the 2.5 and 97.5 percentiles of Poisson-bootstrap means; weights hashed from (round, key). A round that draws no row has no mean."""
     u = (F.pmod(F.xxhash64(F.lit(seed), "round", key), F.lit(1 << 52)) / float(1 << 52)).alias("u")
     draws = df.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).select("round", value, u)
     cdf = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
     weight = sum(((F.col("u") >= c).cast("int") for c in cdf), F.lit(0))
-    means = draws.groupBy("round").agg((F.sum(weight * F.col(value)) / F.sum(weight)).alias("m"))
+    means = draws.groupBy("round").agg(F.try_divide(F.sum(weight * F.col(value)), F.sum(weight)).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))

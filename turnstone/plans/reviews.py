@@ -171,7 +171,7 @@ def r4_label_errors(spark, d):
 @query()
 def m4_kmeans(spark, d):
     e = ML.vectors(read(spark, d, "embeddings"), "embedding")
-    rows = ML.sweep(e, "vec_id", range(8, 11))
+    rows = ML.sweep(e, "vec_id")
     return spark.createDataFrame([(r["k"], float(r["silhouette"]), float(r["inertia"]), float(r["seed_ari"]), float(r["min_share"]), r["k"] == ML.chosen_k(rows)) for r in rows], "k int, silhouette double, inertia double, seed_ari double, min_share double, chosen boolean")
 
 

@@ -290,7 +290,7 @@ def a21_bootstrap(spark, d):
     h = _hybrid(spark, d)
     ranked = h.select("query", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("hybrid"), "doc")).alias("rank"), (F.col("qi") == F.col("di")).alias("rel"))
     best = RT.best_relevant(ranked, "query", "rel").select("query", F.coalesce(1.0 / F.col("best"), F.lit(0.0)).alias("rr"))
-    return SC.bootstrap_interval(best, "query", "rr", 200)
+    return SC.bootstrap_interval(best, "query", "rr")
 
 
 def _cluster_terms(docs):
