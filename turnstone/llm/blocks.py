@@ -10,6 +10,7 @@ all documents costs a bucket one entry a block, never one a document.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -41,10 +42,22 @@ def ready(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder; its partitioning stays."""
-    ready(df.sparkSession)
-    return df.checkpoint()
+def saved(df: DataFrame, *, laid_out: bool = False) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder.
+
+    laid_out: remember df's partitioning, so that later groupings by its key need no exchange
+    (a plan that adaptive execution has changed does not tell its partitioning).
+    """
+    spark = df.sparkSession
+    ready(spark)
+    if not laid_out:
+        return df.checkpoint()
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
 def checked_side(side: DataFrame, max_rows: int = 20_000) -> DataFrame:
@@ -53,16 +66,37 @@ def checked_side(side: DataFrame, max_rows: int = 20_000) -> DataFrame:
     return F.broadcast(side) if side.limit(max_rows + 1).count() <= max_rows else side
 
 
+def col(name: str) -> Column:
+    """The column of just this name, whatever dots or quotes it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def shielded(docs: DataFrame, uses: tuple[str, ...], makes: tuple[str, ...], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run(docs) with every column but uses under a neutral name meanwhile, and its own again after.
+
+    So no name of a passing column can clash with one an operator uses inside. Columns of the
+    names in makes, in upper or lower case, are dropped first.
+    """
+    names = docs.columns
+    used = {names.index(u) for u in uses if u in names}
+    inside = [c if i in used else f"_x{i}" for i, c in enumerate(names)]
+    dropped = {m.lower() for m in makes}
+    frame = docs.toDF(*inside).select(*[inside[i] for i, c in enumerate(names) if i in used or c.lower() not in dropped])
+    outside = dict(zip(inside, names))
+    out = run(frame)
+    return out.toDF(*[outside.get(c, c) for c in out.columns])
+
+
 def rest_of(docs: DataFrame, *used: str) -> Column:
-    """All other columns of docs as one struct, under names that clash with nothing."""
+    """All other columns of docs as one struct."""
     other = [c for c in docs.columns if c not in used]
-    return F.struct(*[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(other)]) if other else F.lit(None).cast("struct<x0:string>")
+    return F.struct(*[col(c).alias(f"x{i}") for i, c in enumerate(other)]) if other else F.lit(None).cast("struct<x0:string>")
 
 
 def restored(df: DataFrame, docs: DataFrame, *used: str, rest: str = "rest") -> list[Column]:
     """Select list that has the columns of docs in their order; those used come from df."""
     other = [c for c in docs.columns if c not in used]
-    return [F.col(f"`{c}`") if c in used else F.col(f"{rest}.x{other.index(c)}").alias(c) for c in docs.columns]
+    return [col(c) if c in used else F.col(f"{rest}.x{other.index(c)}").alias(c) for c in docs.columns]
 
 
 def n_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
@@ -71,13 +105,17 @@ def n_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 
 
 def packed(docs: DataFrame, blocks: int, *, rest: bool = False) -> DataFrame:
-    """block, doc_id, body (zstd of the UTF-8 text, null for null) and rest, dealt by block and saved."""
+    """block, doc_id, row, body (zstd of the UTF-8 text, null for null) and rest, dealt by block and saved.
+
+    row numbers the rows of docs, so that rows that share a doc_id are told apart and spread
+    over blocks like any others.
+    """
     ready(docs.sparkSession)
-    block = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), F.lit(blocks)).cast("int")
     frame = docs.select(
-        block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("body"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").cast("binary").alias("body"),
         (rest_of(docs, "doc_id", "text") if rest else F.lit(None).cast("struct<x0:string>")).alias("rest"),
     )
+    frame = frame.select(F.pmod(F.xxhash64("doc_id", "row"), F.lit(blocks)).cast("int").alias("block"), "*")
 
     def squeeze(batches):
         z = zstandard.ZstdCompressor(level=1)
@@ -89,19 +127,19 @@ def packed(docs: DataFrame, blocks: int, *, rest: bool = False) -> DataFrame:
 
 
 def documents_of(table: pa.Table) -> tuple[list, list[int], list[bytes | None], np.ndarray]:
-    """doc_ids, their copy numbers, texts and row numbers of a block, in (doc_id, text) order.
-
-    A null doc_id comes after all others; rows that share a doc_id are numbered from 0.
-    """
+    """doc_ids, row numbers, texts and places in the table of a block, in (doc_id, row) order; a null doc_id comes last."""
     z = zstandard.ZstdDecompressor()
-    ids = table.column("doc_id").to_pylist()
-    texts = [None if x is None else z.decompress(x) for x in table.column("body").to_pylist()]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or b""))
-    out_ids, dup = [], []
-    for i in order:
-        dup.append(dup[-1] + 1 if out_ids and out_ids[-1] == ids[i] else 0)
-        out_ids.append(ids[i])
-    return out_ids, dup, [texts[i] for i in order], np.array(order, dtype=np.int64)
+    ids, rows = table.column("doc_id").to_pylist(), table.column("row").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, rows[i]))
+    body = table.column("body").to_pylist()
+    return [ids[i] for i in order], [rows[i] for i in order], [None if body[i] is None else z.decompress(body[i]) for i in order], np.array(order, dtype=np.int64)
+
+
+def by_bucket(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket number in of with the places that have it, in order: one sort, whatever the number of buckets."""
+    order = np.argsort(of, kind="stable")
+    each, first = np.unique(of[order], return_index=True)
+    return zip(each.tolist(), np.split(order, first[1:])) if len(of) else iter(())
 
 
 #: What blocks and buckets send each other.
