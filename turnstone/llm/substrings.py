@@ -16,11 +16,12 @@ another one. Three passes over blocks of documents (see ``blocks``):
 3. each block removes its maximal repeated spans.
 
 A passage that many documents share is combined in each block first. An anchor with very
-many occurrences (``HOT``) has many different passages around it, so its windows are sent
-to shards of their own, one for each window, and no shard grows with the corpus.
+many occurrences (``HOT``) is a hot key: it is split by a second one, the hash of the whole
+window, so its passages of one window each spread over as many shards, judged as any other,
+and no shard grows with the corpus.
 
 Cases: null text: no words (kept text null); empty text: no words; null doc_id: after all
-others; rows that share a doc_id: in order of their text; short texts: kept whole. Empty
+others; rows that share a doc_id: in the order of the table's rows; short texts: kept whole. Empty
 tables give empty results; other columns pass through unchanged.
 """
 
@@ -101,7 +102,7 @@ class _Block:
     """The words of a block's documents, and its windows in runs of one anchor occurrence."""
 
     def __init__(self, table: pa.Table, length: int) -> None:
-        self.ids, self.dup, self.texts, self.rows = B.documents_of(table)
+        self.ids, self.row, self.texts, self.rows = B.documents_of(table)
         self.length, k = length, max(1, length // 2)
         self.norm = [b" ".join((t or b"").split()) for t in self.texts]
         self.n_words = np.array([t.count(b" ") + 1 if t else 0 for t in self.norm], np.int64)
@@ -178,11 +179,10 @@ def _bucket(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def _status(block: _Block, replies: list[tuple[int, bytes]], buckets: int) -> np.ndarray:
-    values = block.anchors()[0]
-    of = _bucket(values, buckets)
+    values, answers = block.anchors()[0], dict(replies)
     status = np.zeros(len(values), np.uint8)
-    for bucket, body in replies:
-        status[of == bucket] = np.frombuffer(body, np.uint8)
+    for bucket, at in B.by_bucket(_bucket(values, buckets)):
+        status[at] = np.frombuffer(answers[bucket], np.uint8)
     return status
 
 
@@ -195,19 +195,21 @@ def remove_repeats(docs: DataFrame, *, length: int = 20, block_bytes: int = B.BL
     A text that loses words becomes its kept words joined by one space; others stay as they are.
     The columns n_words, n_removed and kept_sha256 are new; columns of those names are replaced.
     """
-    spark = docs.sparkSession
     if not {"doc_id", "text"} <= set(docs.columns):
         raise ValueError("documents need doc_id and text")
-    docs = docs.drop("n_words", "n_removed", "kept_sha256")
+    return B.shielded(docs, ("doc_id", "text"), ("n_words", "n_removed", "kept_sha256"), lambda d: _remove_repeats(d, length, block_bytes))
+
+
+def _remove_repeats(docs: DataFrame, length: int, block_bytes: int) -> DataFrame:
     blocks = B.n_blocks(docs, block_bytes)
-    buckets = max(16, blocks // 4)
+    buckets = max(16, blocks)
     base = B.packed(docs, blocks, rest=True)
     by_block = base.groupBy("block")
 
     def ask(table: pa.Table) -> pa.Table:
-        values, _, count = (x := _Block(table.select(["doc_id", "body"]), length)).anchors()
-        of, here = _bucket(values, buckets), table.column("block")[0].as_py()
-        return B.mail([(here, b, values[of == b].tobytes() + np.minimum(count[of == b], 255).astype(np.uint8).tobytes()) for b in range(buckets) if (of == b).any()] if len(x.run) else [])
+        values, _, count = (x := _Block(table.select(["doc_id", "row", "body"]), length)).anchors()
+        here = table.column("block")[0].as_py()
+        return B.mail([(here, b, values[at].tobytes() + np.minimum(count[at], 255).astype(np.uint8).tobytes()) for b, at in B.by_bucket(_bucket(values, buckets))] if len(x.run) else [])
 
     def answer(table: pa.Table) -> pa.Table:
         got = B.in_order(table, "block")
@@ -225,14 +227,14 @@ def remove_repeats(docs: DataFrame, *, length: int = 20, block_bytes: int = B.BL
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return B.mail([])
-        x = _Block(left.select(["doc_id", "body"]), length)
+        x = _Block(left.select(["doc_id", "row", "body"]), length)
         units = x.distinct(_status(x, B.in_order(right, "bucket"), buckets))
         z, here, out = _Z(), left.column("block")[0].as_py(), {}
         for (group, words), ((w, stop), *_) in units.items():
             d = int(x.doc[w])
             a, o, t = out.setdefault(group % buckets, ([], [], []))
             a.append((group, stop - w))
-            o.append((_NULL_ID if x.ids[d] is None else x.ids[d], x.dup[d], w - int(x.first[d])))
+            o.append((_NULL_ID if x.ids[d] is None else x.ids[d], x.row[d], w - int(x.first[d])))
             t.append(words)
         return B.mail([(here, b, np.uint32(len(t)).tobytes() + np.array([g for g, _ in a], np.uint64).tobytes() + np.array([n for _, n in a], np.uint8).tobytes() + np.array(o, np.int64).tobytes() + z.compress(b"\n".join(t))) for b, (a, o, t) in out.items()])
 
@@ -274,7 +276,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 20, block_bytes: int = B.BL
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "rest": left.column("rest"), **{c: pa.array([], pa.int64()) for c in ("n_words", "n_removed")}, "kept_sha256": pa.array([], pa.string())})
-        x = _Block(left.select(["doc_id", "body"]), length)
+        x = _Block(left.select(["doc_id", "row", "body"]), length)
         turn = np.array(right.column("turn").to_pylist())
         units = x.distinct(_status(x, B.in_order(right.filter(pa.array(turn == 1)), "bucket"), buckets))
         masks = {b: iter(np.frombuffer(m, np.uint16).tolist()) for b, m in B.in_order(right.filter(pa.array(turn == 2)), "bucket")}
