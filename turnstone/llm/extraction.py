@@ -1,16 +1,25 @@
 """Operator 5, HTML extraction: parser events, text-to-tag ratios, smoothing, clustering.
 
 The standard library's streaming parser turns a page into lines, one for each block of text,
-each with its text-to-tag ratio (characters over tags). Lines in menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comment lists are left out by their
-element, role, or class and id words. Those words say nothing about headings and
-paragraphs, nor after a word like "with" or "no", and an article inside an element that
-they leave out counts if no other article has a line of the upper cluster. The logarithms of the ratios of what is left are
-smoothed with a Gaussian and split in two clusters (2-means in one dimension). Content
-regions are the article or main elements that hold a line of the upper cluster or are not
-mostly links, or, on pages without such elements, the stretch from the first to the last
-line of the upper cluster and the lines next to it in the same element, up to a list of
-links; all lines of a region belong to the text, short ones too.
+each with its text-to-tag ratio (characters over tags). The logarithms of the ratios of *all*
+lines, menus and footers too, are smoothed with a Gaussian and split where the two clusters'
+squared distances are least (2-means in one dimension, solved exactly). Lines are then
+gathered in segments, the lines of one container (article, section, div, list, table cell);
+a segment belongs to the upper cluster if half of its characters do.
+
+* On pages with article or main elements, the text is what stands in them, short lines too,
+  but for segments that are mostly links and not in the upper cluster: lists of shares, tags
+  or related pages, whatever they are called.
+* On other pages it is the stretch from the first to the last line of the upper cluster and
+  the lines next to it in the same element, up to a list of links.
+
+What the page itself says is no article (nav, footer, aside, form, roles, hidden) is left out
+before that. Names in class or id leave an element out only if they name nothing else: each
+word of the name must be a boilerplate word or a mere container word ("comment-list",
+"ad-top"). A name with any other word ("related-work", "legal-analysis"), after a word like
+"with" or "no", or on a heading or paragraph, says nothing, and the ratios decide. An
+article inside an element that such names leave out counts if no other article has a line
+of the upper cluster.
 
 Cases: null html: empty text; pages without text: empty text; unclosed and misnested tags:
 a block tag closes an open paragraph, an end tag closes up to its start tag or nothing;
@@ -35,8 +44,10 @@ from . import blocks as B
 
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never part of an article.
-NOT_TEXT = frozenset("head title script style noscript template svg math nav footer aside form button input select textarea iframe object canvas audio video dialog menu datalist map".split())
+#: Elements whose text a reader never sees as running text: they make no lines.
+NOT_TEXT = frozenset("head title script style noscript template svg button input select textarea option iframe object canvas audio video map datalist".split())
+#: Elements that are no part of an article; their lines still count for the clusters.
+NOT_ARTICLE = frozenset("nav footer aside form dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class or id that mark an element as no part of an article.
 HINTS = frozenset(
@@ -45,12 +56,20 @@ HINTS = frozenset(
     "share sharing social related recommended recommendations widget toolbar pagination pager search skip copyright legal disclaimer".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that say nothing about what a container holds.
+CONTAINERS = frozenset(
+    "area articles bar block body bottom box button buttons center col column container content count desktop feed field fixed form global group header icon icons inner item items large latest left "
+    "link links list main meta middle mobile module more news outer page panel popular post posts primary products reader readers region right row secondary section site slot small sticky "
+    "stories text thread title top topics unit user users wrap wrapper zone".split()
+)
 #: Words after which a hint only qualifies the element.
 QUALIFIERS = frozenset("with without has have no non not".split())
 #: Hints that are also names of an article's own sections.
 SECTIONS = frozenset("discussion legal copyright disclaimer notice notices search social alert consent".split())
 #: How class and id words see an element: as content, as left out, as an article inside what they leave out.
 PLAIN, HINTED, INNER = range(3)
+#: Blocks that hold text rather than other blocks.
+TEXT_BLOCKS = HEADINGS | frozenset("p li dt dd pre caption figcaption summary legend address tr td th".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -63,14 +82,16 @@ class Line(NamedTuple):
     linked: int  # characters inside of links
     tag: str  # the innermost block element
     path: tuple[int, ...]  # the enclosing block elements, outermost first
+    segment: int  # the innermost of them that holds other blocks, or 0
+    out: bool  # the page says it is no part of an article
 
 
 class _Lines(HTMLParser):
-    """Collects the lines that no element leaves out."""
+    """Collects the lines of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, int, bool, int]] = []  # tag, left out, region, seen, in a link, number
+        self.open: list[tuple[str, bool, int, int, bool, int, bool]] = []  # tag, left out, region, seen, in a link, number, makes no lines
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = self.regions = self.elements = self.linked = 0
@@ -80,14 +101,15 @@ class _Lines(HTMLParser):
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
                 around = [x for x in self.open if x[0] in BLOCK]
-                _, _, region, seen, _, _ = self.open[-1] if self.open else ("", False, 0, PLAIN, False, 0)
-                self.lines.append(Line(text, self.tags, region, seen, self.linked, around[-1][0] if around else "", tuple(x[5] for x in around)))
+                _, out, region, seen, _, _, _ = self.open[-1] if self.open else ("", False, 0, PLAIN, False, 0, False)
+                holder = next((x[5] for x in reversed(around) if x[0] not in TEXT_BLOCKS), 0)
+                self.lines.append(Line(text, self.tags, region, seen, self.linked, around[-1][0] if around else "", tuple(x[5] for x in around), holder, out or seen == HINTED))
                 self.tags = 0
             self.parts.clear()
             self.linked = 0
 
     def _left_out(self, tag: str, attrs: list, region: int) -> bool:
-        if tag in NOT_TEXT or tag == "header" and not region:
+        if tag in NOT_ARTICLE or tag == "header" and not region:
             return True
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -103,11 +125,10 @@ class _Lines(HTMLParser):
             return False
         for name, value in attrs:
             for one in (value or "").split() if name in ("class", "id") else ():
-                for w in map(str.lower, _TOKEN.findall(one)):
-                    if w in QUALIFIERS:
-                        break
-                    if w in HINTS and not (region and tag == "section" and w in SECTIONS) or w == "header" and not region:
-                        return True
+                words = [w.lower() for w in _TOKEN.findall(one)]
+                hints = [w for w in words if w in HINTS and not (region and tag == "section" and w in SECTIONS) or w == "header" and not region]
+                if hints and all(w in hints or w in CONTAINERS for w in words):
+                    return True
         return False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -126,7 +147,7 @@ class _Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, out, region, seen, linked, _ = self.open[-1] if self.open else ("", False, 0, PLAIN, False, 0)
+        _, out, region, seen, linked, _, silent = self.open[-1] if self.open else ("", False, 0, PLAIN, False, 0, False)
         if tag in ("article", "main") or ("role", "main") in attrs:
             if not region or seen == HINTED:
                 self.regions += 1
@@ -135,7 +156,7 @@ class _Lines(HTMLParser):
         elif self._hinted(tag, attrs, region):
             seen = HINTED
         self.elements += 1
-        self.open.append((tag, out or self._left_out(tag, attrs, region), region, seen, linked or tag == "a", self.elements))
+        self.open.append((tag, out or self._left_out(tag, attrs, region), region, seen, linked or tag == "a", self.elements, silent or tag in NOT_TEXT))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -154,7 +175,7 @@ class _Lines(HTMLParser):
                 return  # an inline end tag does not close a block
 
     def handle_data(self, data: str) -> None:
-        if not self.open or not self.open[-1][1] and self.open[-1][3] != HINTED:
+        if not self.open or not self.open[-1][6]:
             self.parts.append(data)
             if self.open and self.open[-1][4]:
                 self.linked += len(data.strip())
@@ -173,17 +194,15 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 
 
 def upper_cluster(values: np.ndarray) -> np.ndarray:
-    """Which logarithms 2-means puts in the upper of two clusters; all, if they hardly differ."""
-    low, high = float(values.min()), float(values.max())
-    if high - low <= math.log(2) or len(values) < 3:
+    """Which logarithms are in the upper of the two clusters with the least squared distances; all, if they hardly differ."""
+    x = np.sort(values)
+    if len(x) < 3 or x[-1] - x[0] <= math.log(2):
         return np.ones(len(values), bool)
-    for _ in range(50):
-        up = values >= (low + high) / 2
-        new = float(values[~up].mean()), float(values[up].mean())
-        if new == (low, high):
-            break
-        low, high = new
-    return values >= (low + high) / 2
+    n = np.arange(1, len(x))
+    low = np.cumsum(x)[:-1]
+    between = low**2 / n + (x.sum() - low) ** 2 / (len(x) - n)  # the more, the less is left within the clusters
+    between[x[1:] == x[:-1]] = -np.inf  # equal values stay together
+    return values >= x[int(np.argmax(between)) + 1]
 
 
 def _upper(lines: list[Line]) -> np.ndarray:
@@ -209,41 +228,57 @@ def _stretch(lines: list[Line], content: np.ndarray) -> tuple[int, int]:
     return first, last
 
 
-def main_text(html: str) -> str:
+def _segments(lines: list[Line], content: np.ndarray) -> list[bool]:
+    """For each line, whether its segment is in the upper cluster or not mostly links."""
+    own: dict[int, list[int]] = {}
+    for i, x in enumerate(lines):
+        own.setdefault(x.segment, []).append(i)
+    fine = {}
+    for s, at in own.items():
+        upper = sum(len(lines[i].text) for i in at if content[i])
+        fine[s] = 2 * upper >= sum(len(lines[i].text) for i in at) or not _links([lines[i] for i in at])
+    return [fine[x.segment] for x in lines]
+
+
+def main_text(html: str, cluster=_upper) -> str:
+    """The text of a page; cluster tells which of its lines are in the upper cluster."""
     parser = _Lines()
     for i in range(0, len(html), 1 << 16):
         parser.feed(html[i : i + (1 << 16)])
-    lines = parser.done()
-    if not lines:
+    every = parser.done()
+    if not every:
         return ""
-    content = _upper(lines)
-    if any(x.seen == INNER for x in lines) and any(c and x.region and x.seen == PLAIN for x, c in zip(lines, content)):
-        lines = [x for x in lines if x.seen == PLAIN]
-        content = _upper(lines)
-    regions: dict[int, list[Line]] = {}
-    for x in lines:
-        if x.region:
-            regions.setdefault(x.region, []).append(x)
-    if regions:
-        chosen = {x.region for x, c in zip(lines, content) if c and x.region} | {r for r, own in regions.items() if not _links(own)}
-        if not chosen:
-            chosen = {max(regions, key=lambda r: sum(len(x.text) for x in regions[r]))}
-        return "\n".join(x.text for x in lines if x.region in chosen)
-    first, last = _stretch(lines, content)
+    both = [(x, bool(c)) for x, c in zip(every, cluster(every)) if not x.out]
+    if any(x.seen == INNER for x, _ in both) and any(c and x.region and x.seen == PLAIN for x, c in both):
+        both = [(x, c) for x, c in both if x.seen == PLAIN]
+    if not both:
+        return ""
+    lines, content = [x for x, _ in both], np.array([c for _, c in both])
+    inside = [i for i, x in enumerate(lines) if x.region]
+    if inside:
+        region, fine = [lines[i] for i in inside], _segments([lines[i] for i in inside], content[inside])
+        if not any(fine):
+            most = max({x.region for x in region}, key=lambda r: sum(len(x.text) for x in region if x.region == r))
+            fine = [x.region == most for x in region]
+        return "\n".join(x.text for x, f in zip(region, fine) if f)
+    first, last = _stretch(lines, content if content.any() else np.ones(len(lines), bool))
     return "\n".join(x.text for x in lines[first : last + 1])
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """pages with text and n_chars, in one pass without a shuffle."""
+    """pages without html, with text and n_chars, in one pass without a shuffle."""
+    return B.shielded(pages, ("html",), ("text", "n_chars"), _extracted)
+
+
+def _extracted(pages: DataFrame) -> DataFrame:
     B.ready(pages.sparkSession)
-    others = [c for c in pages.columns if c not in ("text", "n_chars")]
-    frame = pages.select(*[F.col(f"`{c}`") for c in others], F.col("html").cast("string").alias("__html"))
+    others = [f for f in pages.schema.fields if f.name != "html"]
+    frame = pages.select(*[f.name for f in others], F.col("html").cast("string").alias("html"))
 
     def run(batches):
         for b in batches:
-            text = [main_text(x) if x else "" for x in b.column("__html").to_pylist()]
-            b = b.drop_columns(["__html"])
+            text = [main_text(x) if x else "" for x in b.column("html").to_pylist()]
+            b = b.drop_columns(["html"])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=[*b.schema.names, "text", "n_chars"])
 
-    kept = [f for f in pages.schema.fields if f.name in others]
-    return frame.mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    return frame.mapInArrow(run, T.StructType([*others, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
