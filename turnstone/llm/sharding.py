@@ -1,17 +1,18 @@
 """Operator 6, sharding: Hilbert-curve ordering.
 
-Metadata dimensions (language, source, length, doc_id) are quantised to ``bits`` bits each:
-names by hash, length by its logarithm, doc_id by its place in the range. Rows are sorted by
-their index on the Hilbert curve through that grid, then cut into runs, so a shard covers a
-small box in every dimension and a reader can skip most files on any of them. The law is
-``rows``: shard sizes differ by at most one row.
+Metadata dimensions (language, source, length) are quantised to ``bits`` bits each, in their
+own order: names by the share of rows that have a smaller name, length by its logarithm
+between the shortest and the longest. Rows are sorted by their index on the Hilbert curve
+through that grid (then by doc_id), and cut into runs, so a shard covers a small box in every
+dimension and the least and greatest value of a column in a file let a reader skip most files.
+The law is ``rows``: shard sizes differ by at most one row.
 
 Only narrow rows (no text) are sorted: a range partitioning by curve index and doc_id, which
-splits a hot source by its other dimensions. Ranks come from the partitions' row counts, a
+splits a hot source by length and doc_id. Ranks come from the partitions' row counts, a
 table of one row a partition.
 
 Cases: null text has no bytes and CRC 0; null lang and source are values of their own; a null
-doc_id sorts first; rows that share all keys get neighbouring slots; fewer rows than shards
+doc_id sorts first and a null name before all others; rows that share all keys get neighbouring slots; fewer rows than shards
 leave shards empty. Empty tables give empty results; columns of the names made here are
 replaced, others pass through.
 """
@@ -20,13 +21,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
 
-DIMENSIONS = ("lang", "source", "length", "doc_id")
+MADE = ("size", "text_crc32", "law", "curve", "shard", "slot", "grown_shard")
+DIMENSIONS = ("lang", "source", "length")
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -52,49 +54,50 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def dimensions(docs: DataFrame, bits: int) -> list[Column]:
-    """Quantised columns, each in 0 .. 2**bits - 1."""
-    top = (1 << bits) - 1
-    low, high = docs.agg(F.min("doc_id").cast("double"), F.max("doc_id").cast("double")).first()
-    name = lambda c: F.pmod(F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))), F.lit(top + 1))
-    length = F.least(F.lit(float(top)), F.floor(F.log2(F.col("size").cast("double")) * 4))
-    place = (F.col("doc_id").cast("double") - F.lit(low or 0.0)) / F.lit(max(1.0, (high or 0.0) - (low or 0.0))) * top
-    return [c.cast("int").alias(n) for n, c in zip(DIMENSIONS, (name("lang"), name("source"), length, F.coalesce(place, F.lit(0.0))))]
+def _named(rows: DataFrame, name: str, top: int) -> DataFrame:
+    """rows with _lang or _source: the place of a row's name among all rows' names, in 0 .. top."""
+    counts = rows.groupBy(F.col(name).alias("_name")).agg(F.count(F.lit(1)).alias("n"))  # one row a name
+    w = Window.orderBy(F.asc_nulls_first("_name"))
+    place = (F.sum("n").over(w) - F.col("n") / 2) / F.sum("n").over(Window.partitionBy())
+    places = B.checked_side(counts.select("_name", F.floor(place * top).cast("int").alias(f"_{name}")))
+    return rows.join(places, F.col(name).eqNullSafe(F.col("_name"))).drop("_name")
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 40, *, bits: int = 8) -> DataFrame:
     """docs without text, with size, text_crc32, law, curve, shard, slot and grown_shard."""
+    return B.shielded(docs, ("doc_id", "text", "lang", "source"), MADE, lambda d: _hilbert_shards(d, shards, bits))
+
+
+def _hilbert_shards(docs: DataFrame, shards: int, bits: int) -> DataFrame:
     spark = docs.sparkSession
     B.ready(spark)
-    made = ("size", "text_crc32", "law", "curve", "shard", "slot", "grown_shard")
-    docs = docs.drop(*made)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != "text"],
-        (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"),
-    )
-    grid = rows.select("*", F.struct(*dimensions(rows, bits)).alias("__grid"))
+    text, top = F.coalesce(F.col("text").cast("string"), F.lit("")), (1 << bits) - 1
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(*others, (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
+    low, high = docs.agg(F.min(F.log2(F.octet_length(text) + 16.0)), F.max(F.log2(F.octet_length(text) + 16.0))).first()
+    length = F.round((F.log2(F.col("size").cast("double")) - F.lit(low or 0.0)) / F.lit(max(1e-9, (high or 0.0) - (low or 0.0))) * top).cast("int")
+    grid = _named(_named(rows, "lang", top), "source", top).select(*rows.columns, F.struct("_lang", "_source", length.alias("_length")).alias("_grid"))
     schema = T.StructType([*rows.schema.fields, T.StructField("curve", T.LongType())])
 
     def index(batches):
         for b in batches:
-            cells = b.column("__grid").flatten()
+            cells = b.column("_grid").flatten()
             curve = hilbert(np.column_stack([c.to_numpy(zero_copy_only=False) for c in cells]).reshape(-1, len(DIMENSIONS)), bits)
-            b = b.drop_columns(["__grid"])
+            b = b.drop_columns(["_grid"])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(curve)], names=[*b.schema.names, "curve"])
 
     keys = ["curve", "doc_id", "text_crc32"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = B.saved(grid.mapInArrow(index, schema).repartitionByRange(parts, *keys).sortWithinPartitions(*keys))
-    at = laid.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = sorted(tuple(r) for r in at.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a partition
+    at = laid.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = sorted(tuple(r) for r in at.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a partition
     total, before = 0, []
     for part, n in sizes:
         before.append((part, total))
         total += n
-    starts = F.broadcast(spark.createDataFrame(before or [(0, 0)], "__part int, __before long"))
-    rank = F.col("__before") + F.col("__row")
-    shard = F.floor(rank * shards / F.lit(max(total, 1))) if total * shards >= 1 << 53 else F.expr(f"(__before + __row) * {shards} div {max(total, 1)}")
+    starts = F.broadcast(spark.createDataFrame(before or [(0, 0)], "_part int, _before long"))
+    rank = F.col("_before") + F.col("_row")
+    shard = F.floor(rank * shards / F.lit(max(total, 1))) if total * shards >= 1 << 53 else F.expr(f"(_before + _row) * {shards} div {max(total, 1)}")
     first = F.expr(f"(shard * {max(total, 1)}L + {shards - 1}) div {shards}")
-    out = at.join(starts, "__part").withColumn("shard", shard.cast("int")).withColumn("slot", (rank - first).cast("long"))
-    return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}).select(*[f"`{c}`" for c in docs.columns if c != "text"], *made)
+    out = at.join(starts, "_part").withColumn("shard", shard.cast("int")).withColumn("slot", (rank - first).cast("long"))
+    return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}).select(*others, *MADE)
