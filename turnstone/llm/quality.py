@@ -2,11 +2,19 @@
 
 One pass measures each text. A sketch of each measure per (lang, source) counts values in
 buckets of 1 % relative width (a DDSketch): sketches merge by adding counts, in any order,
-with the same result each time. Groups of fewer than ``LEAST`` documents borrow the merged
-sketch of their language, then that of all documents. Thresholds are fences above (and for
-word length below) the group's quartiles, with a least distance so that a group in which a
-measure hardly varies does not reject ordinary texts. They are joined to the documents; the
-threshold table is broadcast only after its size is checked.
+with the same result each time. Every fence is read off the sketches:
+
+* the upper fence of a measure is the third quartile and ``SPREAD`` quartile distances, or
+  ``TYPICAL`` times the median of the values above zero, if that is more. The second part is
+  what decides where most documents have nothing of a measure: it follows what is usual among
+  those of the group that have some,
+* word length also has a lower fence, below the first quartile.
+
+A group's quantiles are drawn towards those of its language, and these to those of all
+documents, with the weight of ``PRIOR`` documents, so a small group has fences of its own and
+yet no wild ones; a sketch without values adds nothing. ``LEAST`` is what a measure may always
+have (one symbol in a hundred characters is never unusual). Fences are joined to the
+documents; their table is broadcast only after its size is checked.
 
 Cases: null text counts as no words and fails the base rule, as do empty texts; null lang
 or source is a group of its own; repeated rows are judged alike. Empty tables give empty
@@ -25,14 +33,17 @@ from . import blocks as B
 from . import words as W
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-#: Documents below which a group borrows a wider sketch.
-LEAST = 200
+#: Documents as many as which a wider group's quantiles weigh.
+PRIOR = 20.0
 #: Relative error of a sketch's quantiles.
 ERROR = 0.01
-#: measure: (k, slack). The upper fence is the third quartile and the larger of k quartile distances and slack.
-UPPER = {"symbol_share": (6.0, 0.03), "dup_line_share": (6.0, 0.5), "repeat_share": (6.0, 0.28), "word_length": (10.0, 2.5)}
-#: The same below the first quartile.
-LOWER = {"word_length": (10.0, 1.5)}
+#: Quartile distances beyond the quartiles.
+SPREAD = 8.0
+#: Times the median of what lies above zero; word length is never zero and has no such part.
+TYPICAL = {"symbol_share": 0.25, "dup_line_share": 3.0, "repeat_share": 4.0, "word_length": 0.0}
+#: Least upper fence, and least distance of the word length's fences from its quartiles.
+LEAST = {"symbol_share": 0.01, "dup_line_share": 0.1, "repeat_share": 0.05, "word_length": 0.5}
+LOWER = ("word_length",)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _STARTS_CHAR = (np.arange(256) & 0xC0) != 0x80
@@ -68,14 +79,17 @@ def measure(texts: list[bytes], window: int = 8) -> dict[str, np.ndarray]:
 
 def with_counts(docs: DataFrame) -> DataFrame:
     """docs with COUNTS, in one pass without a shuffle."""
+    return B.shielded(docs, ("text", "lang", "source"), COUNTS, _with_counts)
+
+
+def _with_counts(docs: DataFrame) -> DataFrame:
     B.ready(docs.sparkSession)
-    docs = docs.drop(*COUNTS)
-    frame = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").cast("string").cast("binary").alias("__body"))
+    frame = docs.select(*docs.columns, F.col("text").cast("string").cast("binary").alias("_body"))
 
     def run(batches):
         for b in batches:
-            got = measure([x or b"" for x in b.column("__body").to_pylist()])
-            b = b.drop_columns(["__body"])
+            got = measure([x or b"" for x in b.column("_body").to_pylist()])
+            b = b.drop_columns(["_body"])
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(got[c]) for c in COUNTS]], names=[*b.schema.names, *COUNTS])
 
     return frame.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in COUNTS]]))
@@ -100,52 +114,57 @@ def _group(name: str) -> Column:
 def thresholds(counted: DataFrame) -> DataFrame:
     """lang_key, source_key and a fence for each measure; one row a group."""
     gamma = (1 + ERROR) / (1 - ERROR)
-    made = measures()
     bucket = F.when(F.col("value") > 1e-9, F.ceil(F.ln("value") / F.lit(float(np.log(gamma)))).cast("int"))
-    long = counted.where(~base_failed()).select(
-        _group("lang").alias("lang_key"), _group("source").alias("source_key"), F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), c.alias("value")) for m, c in made.items()])).alias("x")
-    )
-    fine = B.saved(long.select("lang_key", "source_key", "x.measure", "x.value").withColumn("bucket", bucket).groupBy("lang_key", "source_key", "measure", "bucket").agg(F.count(F.lit(1)).alias("n")))
-    merged = lambda *keys: fine.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    values = F.array(*[F.struct(F.lit(m).alias("measure"), c.alias("value")) for m, c in measures().items()])
+    long = counted.where(~base_failed()).select(_group("lang").alias("lang_key"), _group("source").alias("source_key"), F.explode(values).alias("x")).select("lang_key", "source_key", "x.measure", "x.value")
+    fine = B.saved(long.withColumn("bucket", bucket).groupBy("lang_key", "source_key", "measure", "bucket").agg(F.count(F.lit(1)).alias("n")))
 
-    def quartiles(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
-        """A sketch has a bounded number of buckets, so this window is over few rows."""
+    def quantiles(keys: list[str], tag: str) -> DataFrame:
+        """Of the sketches merged by keys. A sketch has a bounded number of buckets, so these windows are over few rows."""
         w = Window.partitionBy(*keys, "measure")
+        up = w.orderBy(F.asc_nulls_first("bucket"))
+        some = F.when(F.col("bucket").isNotNull(), F.col("n"))
+        merged = fine.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
         value = F.when(F.col("bucket").isNull(), 0.0).otherwise(2 * F.pow(F.lit(gamma), F.col("bucket").cast("double")) / (gamma + 1))
-        run = sketch.withColumns({"value": value, "total": F.sum("n").over(w), "upto": F.sum("n").over(w.orderBy(F.asc_nulls_first("bucket")))})
-        at = lambda p: F.min(F.when(F.col("upto") >= F.col("total") * p, F.col("value")))
-        return run.groupBy(*keys, "measure").agg(F.struct(F.max("total").alias("total"), at(0.25).alias("q1"), at(0.75).alias("q3")).alias(tag))
-
-    per = quartiles(fine, ["lang_key", "source_key"], "own").join(quartiles(merged("lang_key"), ["lang_key"], "wide"), ["lang_key", "measure"]).join(quartiles(merged(), [], "all"), "measure")
-    pick = F.when(F.col("own.total") >= LEAST, F.col("own")).when(F.col("wide.total") >= LEAST, F.col("wide")).otherwise(F.col("all"))
-    per = per.select("lang_key", "source_key", "measure", pick.alias("q"))
+        run = merged.select(*keys, "measure", value.alias("value"), F.sum("n").over(w).alias("n"), F.sum("n").over(up).alias("upto"), F.coalesce(F.sum(some).over(w), F.lit(0)).alias("pos"), F.coalesce(F.sum(some).over(up), F.lit(0)).alias("pos_upto"))
+        at = lambda p: F.min(F.when(F.col("upto") >= F.col("n") * p, F.col("value")))
+        half = F.min(F.when((F.col("pos_upto") > 0) & (F.col("pos_upto") >= F.col("pos") * 0.5), F.col("value")))
+        return run.groupBy(*keys, "measure").agg(F.struct(F.max("n").cast("double").alias("n"), F.max("pos").cast("double").alias("pos"), at(0.25).alias("q1"), at(0.75).alias("q3"), F.coalesce(half, F.lit(0.0)).alias("mid")).alias(tag))
+
+    drawn = lambda own, n, wide: (n * own + PRIOR * wide) / (n + PRIOR)
+    per = quantiles(["lang_key", "source_key"], "own").join(quantiles(["lang_key"], "wide"), ["lang_key", "measure"]).join(quantiles([], "whole"), "measure")
+    for q, n in (("q1", "n"), ("q3", "n"), ("mid", "pos")):
+        per = per.withColumn(q, drawn(F.col(f"own.{q}"), F.col(f"own.{n}"), drawn(F.col(f"wide.{q}"), F.col(f"wide.{n}"), F.col(f"whole.{q}"))))
     fence = []
-    reach = lambda k, slack: F.greatest(F.lit(slack), k * (F.col("q.q3") - F.col("q.q1")))
-    for m, (k, slack) in UPPER.items():
-        fence.append(F.max(F.when(F.col("measure") == m, F.col("q.q3") + reach(k, slack))).alias(f"max_{m}"))
-    for m, (k, slack) in LOWER.items():
-        fence.append(F.max(F.when(F.col("measure") == m, F.col("q.q1") - reach(k, slack))).alias(f"min_{m}"))
+    reach = SPREAD * (F.col("q3") - F.col("q1"))
+    for m, least in LEAST.items():
+        high = F.greatest(F.col("q3") + reach, TYPICAL[m] * F.col("mid"), F.lit(least) + (F.col("q3") if m in LOWER else 0.0))
+        fence.append(F.max(F.when(F.col("measure") == m, high)).alias(f"max_{m}"))
+        if m in LOWER:
+            fence.append(F.max(F.when(F.col("measure") == m, F.col("q1") - F.greatest(reach, F.lit(least)))).alias(f"min_{m}"))
     return per.groupBy("lang_key", "source_key").agg(*fence)
 
 
 def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
     """counted (from with_counts) with base_failed and kept."""
     names = [f.name for f in limits.schema if f.name not in ("lang_key", "source_key")]
-    limits = B.checked_side(limits.select(F.col("lang_key").alias("__l"), F.col("source_key").alias("__s"), *[F.col(n).alias(f"__{n}") for n in names]))
+    limits = B.checked_side(limits.select(F.col("lang_key").alias("_l"), F.col("source_key").alias("_s"), *[F.col(n).alias(f"_{n}") for n in names]))
     ok = F.lit(True)
     for m, c in measures().items():
         for side, wrong in (("max", lambda a, b: a > b), ("min", lambda a, b: a < b)):
             if f"{side}_{m}" in names:
-                ok = ok & ~F.coalesce(wrong(c, F.col(f"__{side}_{m}")), F.lit(False))
-    columns = [F.col(f"`{c}`") for c in counted.columns if c not in ("base_failed", "kept")]
-    joined = counted.join(limits, (_group("lang") == F.col("__l")) & (_group("source") == F.col("__s")), "left")
-    return joined.select(*columns, base_failed().alias("base_failed"), (~base_failed() & ok).alias("kept"))
+                ok = ok & ~F.coalesce(wrong(c, F.col(f"_{side}_{m}")), F.lit(False))
+
+    def run(docs: DataFrame) -> DataFrame:
+        joined = docs.join(limits, (_group("lang") == F.col("_l")) & (_group("source") == F.col("_s")), "left")
+        return joined.select(*docs.columns, base_failed().alias("base_failed"), (~base_failed() & ok).alias("kept"))
+
+    return B.shielded(counted, ("lang", "source", *COUNTS), ("base_failed", "kept"), run)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """docs with COUNTS, base_failed and kept. Texts are measured twice rather than shuffled."""
-    counted = with_counts(docs)
-    return judged(counted, thresholds(with_counts(docs.select("doc_id", "text", "lang", "source")).drop("text")))
+    return judged(with_counts(docs), thresholds(with_counts(docs.select("text", "lang", "source")).drop("text")))
 
 
 def _sql() -> str:
@@ -154,16 +173,19 @@ def _sql() -> str:
     share = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END"
     made = {"symbol_share": share("n_symbols", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words"), "word_length": share("word_chars", "n_words")}
     long = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS measure, {c} AS value FROM b WHERE NOT base_failed" for m, c in made.items())
-    levels = {"own": "lang, source, ", "wide": "lang, ", "whole": ""}
     parts = []
-    for tag, keys in levels.items():
+    for tag, keys in {"own": "lang, source, ", "wide": "lang, ", "whole": ""}.items():
+        over = f"PARTITION BY {keys}measure"
         parts.append(
-            f"{tag} AS (SELECT {keys}measure, max(total) AS total, min(CASE WHEN upto >= total * 0.25 THEN v END) AS q1, min(CASE WHEN upto >= total * 0.75 THEN v END) AS q3 FROM "
-            f"(SELECT *, sum(n) OVER (PARTITION BY {keys}measure) AS total, sum(n) OVER (PARTITION BY {keys}measure ORDER BY bucket NULLS FIRST) AS upto, CASE WHEN bucket IS NULL THEN 0.0 ELSE 2 * pow({gamma!r}, bucket) / ({gamma!r} + 1) END AS v FROM "
+            f"{tag} AS (SELECT {keys}measure, max(n)::DOUBLE AS n, max(pos)::DOUBLE AS pos, min(CASE WHEN upto >= n * 0.25 THEN v END) AS q1, min(CASE WHEN upto >= n * 0.75 THEN v END) AS q3, coalesce(min(CASE WHEN pos_upto > 0 AND pos_upto >= pos * 0.5 THEN v END), 0.0) AS mid FROM "
+            f"(SELECT {keys}measure, CASE WHEN bucket IS NULL THEN 0.0 ELSE 2 * pow({gamma!r}, bucket) / ({gamma!r} + 1) END AS v, sum(n) OVER ({over}) AS n, sum(n) OVER ({over} ORDER BY bucket NULLS FIRST) AS upto, "
+            f"coalesce(sum(CASE WHEN bucket IS NOT NULL THEN n END) OVER ({over}), 0) AS pos, coalesce(sum(CASE WHEN bucket IS NOT NULL THEN n END) OVER ({over} ORDER BY bucket NULLS FIRST), 0) AS pos_upto FROM "
             f"(SELECT {keys}measure, bucket, sum(n) AS n FROM cells GROUP BY {keys}measure, bucket)) GROUP BY {keys}measure)"
         )
-    pick = lambda c: f"CASE WHEN o.total >= {LEAST} THEN o.{c} WHEN w.total >= {LEAST} THEN w.{c} ELSE a.{c} END"
-    wrong = [f"(measure = '{m}' AND value > q3 + greatest({s}, {k} * (q3 - q1)))" for m, (k, s) in UPPER.items()] + [f"(measure = '{m}' AND value < q1 - greatest({s}, {k} * (q3 - q1)))" for m, (k, s) in LOWER.items()]
+    drawn = lambda own, n, wide: f"(({n} * {own} + {PRIOR} * {wide}) / ({n} + {PRIOR}))"
+    pick = lambda q, n: drawn(f"o.{q}", f"o.{n}", drawn(f"w.{q}", f"w.{n}", f"a.{q}"))
+    high = lambda m: f"value > greatest(q3 + {SPREAD} * (q3 - q1), {TYPICAL[m]} * mid, {LEAST[m]} + {'q3' if m in LOWER else '0.0'})"
+    wrong = [f"(measure = '{m}' AND ({high(m)}" + (f" OR value < q1 - greatest({SPREAD} * (q3 - q1), {LEAST[m]})" if m in LOWER else "") + "))" for m in LEAST]
     return (
         r"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
@@ -174,8 +196,8 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 """
         + f"l AS ({long}), cells AS (SELECT lang, source, measure, CASE WHEN value > 1e-9 THEN ceil(ln(value) / {float(np.log(gamma))!r})::INTEGER END AS bucket, count(*) AS n FROM l GROUP BY ALL), "
         + ", ".join(parts)
-        + f""", q AS (SELECT o.lang, o.source, o.measure, {pick('q1')} AS q1, {pick('q3')} AS q3 FROM own o JOIN wide w USING (lang, measure) JOIN whole a USING (measure)),
-bad AS (SELECT DISTINCT doc_id FROM l JOIN q USING (lang, source, measure) WHERE {' OR '.join(wrong)})
+        + f""", q AS (SELECT o.lang, o.source, o.measure, {pick('q1', 'n')} AS q1, {pick('q3', 'n')} AS q3, {pick('mid', 'pos')} AS mid FROM own o JOIN wide w ON w.measure = o.measure AND w.lang IS NOT DISTINCT FROM o.lang JOIN whole a ON a.measure = o.measure),
+bad AS (SELECT DISTINCT doc_id FROM l JOIN q ON q.measure = l.measure AND q.lang IS NOT DISTINCT FROM l.lang AND q.source IS NOT DISTINCT FROM l.source WHERE {' OR '.join(wrong).replace('measure =', 'l.measure =')})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b"""
     )
 
