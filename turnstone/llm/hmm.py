@@ -1,18 +1,28 @@
 """Operator 8, LM scoring: a hidden Markov language model.
 
-Tokens are words (A-Z lower-cased) and one end. The model emits a word in two steps: a state
-emits one of ``classes`` word classes (by a hash of the word's last three bytes; the end and
-unseen words have classes of their own), the class emits the word by its training count,
-smoothed. States and their classes are trained by Baum-Welch over all training documents:
-each pass cuts the token sequences into segments of ``SEGMENT``, runs scaled forward and
-backward recursions, and sums expected counts over partitions; those sums have states x
-classes cells, a size set by parameters and not by the corpus. Scores are the exact
-likelihood of the whole text by the scaled forward recursion: each segment becomes a
-states x states matrix, and the matrices of a text are multiplied in order.
+Tokens are words (A-Z lower-cased) and one end. States emit words. Training is Baum-Welch over
+all training documents, in two stages:
+
+1. ``passes`` passes in which states emit one of ``classes`` word classes (by a hash of the
+   word's last three bytes). Expected counts are summed over partitions; they have states x
+   classes cells, a size set by parameters, and give the moves between states and a first
+   idea of what each state emits.
+2. a pass that gathers the expected count of every (word, state): a table that grows with the
+   vocabulary of the corpus, kept in buckets (hash ranges of words) and never in one place.
+   A word's share of a state is its expected count there, drawn towards its class's share
+   with the weight of ``DRAW`` occurrences, so that rare words borrow from their class.
+
+A state's probability of a word is that share times the word's smoothed frequency, over the
+same summed for all words (known ones, and one unseen in each class), so it adds up to one.
+
+Both recursions are exact over whole documents. Documents are cut in rows of at most
+``SEGMENT`` tokens that run side by side; what enters and leaves a row inside of a long
+document comes from products of the rows' states x states matrices. Scores are the exact
+likelihood of the whole text by the scaled forward recursion.
 
 Word counts of the corpus are never broadcast or collected: each block of documents sends its
-distinct words with their counts to buckets (hash ranges) and is sent the corpus counts of
-just those words (see ``blocks``).
+distinct words with their counts to buckets and is sent the corpus counts of just those words
+(see ``blocks``); expected counts and shares travel the same way, with numbers for words.
 
 Cases: null and empty texts have one token, the end; a null doc_id hashes as empty text;
 repeated rows count and are scored each; without training tokens all words are unseen.
@@ -21,8 +31,8 @@ Empty tables give empty results; other columns pass through, columns made here a
 
 from __future__ import annotations
 
-import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +44,13 @@ from pyspark.sql import types as T
 from . import blocks as B
 from . import words as W
 
-STATES, CLASSES, PASSES, SEGMENT = 6, 2048, 4, 64
+STATES, CLASSES, PASSES, SEGMENT = 6, 2048, 3, 1024
 END = b"\n"  # no word holds white space
 SMOOTH = 0.1
+#: Occurrences as many as which a word's class weighs in its share of each state.
+DRAW = 1.0
+MADE = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+_TOP = 65535  # shares travel as 16-bit numbers
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -51,12 +65,20 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+
+
+def _expanded(body: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(body)
+
+
 # ---- corpus counts, for each block the words it has -------------------------------------
 
 
-def _lexicon(table: pa.Table) -> tuple[list, list, dict[bytes, int], list[np.ndarray], np.ndarray]:
+def _lexicon(table: pa.Table) -> tuple[list, np.ndarray, dict[bytes, int], list[np.ndarray], np.ndarray]:
     """doc_ids, row order, word numbers, token numbers of each text, and training counts by word."""
-    ids, _, texts, rows = B.documents_of(table.select(["doc_id", "body"]))
+    ids, _, texts, rows = B.documents_of(table.select(["doc_id", "row", "body"]))
     number: dict[bytes, int] = {}
     put = number.setdefault
     seqs = [np.array([put(w, len(number)) for w in tokens(t)], np.int32) for t in texts]
@@ -65,66 +87,89 @@ def _lexicon(table: pa.Table) -> tuple[list, list, dict[bytes, int], list[np.nda
     return ids, rows, number, seqs, counts
 
 
-def _by_bucket(number: dict[bytes, int], buckets: int) -> list[list[bytes]]:
-    out: list[list[bytes]] = [[] for _ in range(buckets)]
-    for w in number:
-        out[zlib.crc32(w) % buckets].append(w)
-    return out
+def _buckets_of(number: dict[bytes, int], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the numbers of its words."""
+    return B.by_bucket(np.fromiter((zlib.crc32(w) % buckets for w in number), np.int64, len(number)))
 
 
 _JOIN = b"\x20"  # no word holds a space
 
 
 def _counts(base: DataFrame, buckets: int) -> DataFrame:
-    """For each block and bucket the corpus's training counts of the words sent, and the bucket's own sums."""
+    """For each block and bucket the training counts and bucket-wide numbers of the words sent, and the bucket's own sums."""
 
     def ask(table: pa.Table) -> pa.Table:
         _, _, number, _, counts = _lexicon(table)
-        z, here = zstandard.ZstdCompressor(level=1), table.column("block")[0].as_py()
-        return B.mail([(here, b, np.uint32(len(ws)).tobytes() + counts[[number[w] for w in ws]].astype(np.int64).tobytes() + z.compress(_JOIN.join(ws))) for b, ws in enumerate(_by_bucket(number, buckets)) if ws])
+        z, here, words = zstandard.ZstdCompressor(level=1), table.column("block")[0].as_py(), list(number)
+        return B.mail([(here, b, np.uint32(len(at)).tobytes() + counts[at].astype(np.uint32).tobytes() + z.compress(_JOIN.join([words[i] for i in at]))) for b, at in _buckets_of(number, buckets)])
 
     def answer(table: pa.Table) -> pa.Table:
         z, total, sent = zstandard.ZstdDecompressor(), {}, []
         for block, body in B.in_order(table, "block"):
             n = int(np.frombuffer(body, np.uint32, 1)[0])
-            ws = z.decompress(body[4 + 8 * n :]).split(_JOIN)
+            ws = z.decompress(body[4 + 4 * n :]).split(_JOIN)
             sent.append((block, ws))
-            for w, c in zip(ws, np.frombuffer(body, np.int64, n, 4).tolist()):
+            for w, c in zip(ws, np.frombuffer(body, np.uint32, n, 4).tolist()):
                 total[w] = total.get(w, 0) + c
         bucket = table.column("bucket")[0].as_py()
         size = np.zeros((2, CLASSES), np.int64)  # tokens and distinct words of each class
+        kind = {w: word_class(w, CLASSES) for w in total}
         for w, c in total.items():
             if c:
-                k = word_class(w, CLASSES)
-                size[0, k] += c
-                size[1, k] += 1
-        rows = [(block, bucket, np.array([total[w] for w in ws], np.int64).tobytes()) for block, ws in sent]
+                size[0, kind[w]] += c
+                size[1, kind[w]] += 1
+        place = {w: i for i, w in enumerate(sorted(total, key=lambda w: (kind[w], w)))}
+        rows = [(block, bucket, _squeezed(np.array([total[w] for w in ws], np.int64), np.array([place[w] for w in ws], np.uint32))) for block, ws in sent]
         return B.mail([*rows, (-1, bucket, size.tobytes())])
 
     return B.saved(base.groupBy("block").applyInArrow(ask, B.MAIL).groupBy("bucket").applyInArrow(answer, B.MAIL))
 
 
-def _class_sizes(counts: DataFrame) -> np.ndarray:
-    """Tokens and distinct words of each class: 2 x CLASSES numbers, summed from all buckets by Spark."""
+def _summed(bodies: DataFrame, kind: type, n: int) -> np.ndarray:
+    """The sum of packed arrays of n numbers (n set by parameters), added up by Spark; cells that are zero stay out."""
 
     def unpack(batches):
-        total = np.zeros(2 * CLASSES, np.int64)
+        total = np.zeros(n, kind)
         for b in batches:
             for body in b.column("body").to_pylist():
-                total += np.frombuffer(body, np.int64)
+                total += np.frombuffer(body, kind)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "x"])
 
-    sums = counts.where("block = -1").select("body").mapInArrow(unpack, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    out = np.zeros(2 * CLASSES, np.int64)
-    for cell, n in sums.collect():
-        out[cell] = n
-    return out.reshape(2, CLASSES)
+    out = np.zeros(n, kind)
+    for cell, x in bodies.select("body").mapInArrow(unpack, f"cell int, x {'long' if kind is np.int64 else 'double'}").groupBy("cell").agg(F.sum("x").alias("x")).collect():
+        out[cell] = x
+    return out
 
 
 # ---- the model ---------------------------------------------------------------------------
 
 
+class _Rows:
+    """Sequences cut in rows of at most SEGMENT tokens, laid out step by step: first tokens of all rows, second ones, ..."""
+
+    def __init__(self, seqs: list[np.ndarray], segment: int = 0) -> None:
+        segment = segment or SEGMENT
+        lengths = np.array([len(s) for s in seqs], np.int64)
+        parts = -(-lengths // segment)
+        doc = np.repeat(np.arange(len(seqs)), parts)
+        part = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+        size = np.minimum(segment, lengths[doc] - part * segment)
+        order = np.argsort(-size, kind="stable")
+        begin = (np.cumsum(size) - size)[order]
+        self.doc, self.part, self.last, size = doc[order], part[order], (part == parts[doc] - 1)[order], size[order]
+        self.steps = int(size[0]) if len(size) else 0
+        self.alive = len(size) - np.searchsorted(size[::-1], np.arange(self.steps), "right")
+        self.at = np.concatenate(([0], np.cumsum(self.alive)))
+        row = np.repeat(np.arange(len(size)), size)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        to = self.at[step] + row
+        flat = np.concatenate(seqs) if seqs else np.zeros(0, np.int32)
+        self.token, self.row = np.empty(len(flat), np.int64), np.empty(len(flat), np.int64)
+        self.token[to], self.row[to] = flat[np.repeat(begin, size) + step], row
+        self.size, self.documents = size, len(seqs)
+
+
 class Model:
     """start (K), move (K x K) and emit (K x classes): probabilities."""
 
@@ -142,195 +187,248 @@ class Model:
         np.fill_diagonal(move, stay if states > 1 else 1.0)
         return cls(np.full(states, 1 / states), move, emit / emit.sum(axis=1, keepdims=True))
 
-    def counts(self, seg: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected starts, moves and emissions of segments (n x L of classes, -1 pads the end)."""
-        n, length = seg.shape
-        k = len(self.start)
-        emit = np.vstack([self.emit.T, np.ones(k)])  # row -1 for pads
-        alpha = np.empty((length, n, k))
-        scale = np.empty((length, n))
-        b = emit[seg[:, 0]]
-        entry = np.where(first[:, None], self.start, self.stationary())
-        a = entry * b
-        for t in range(length):
-            if t:
-                b = emit[seg[:, t]]
-                a = (alpha[t - 1] @ self.move) * b
-            scale[t] = a.sum(axis=1)
-            alpha[t] = a / scale[t][:, None]
-        beta = np.ones((n, k))
-        starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, self.emit.shape[1] + 1))
-        for t in range(length - 1, -1, -1):
-            gamma = alpha[t] * beta
-            if t:
-                column = seg[:, t]
-                ahead = emit[column] * beta / scale[t][:, None]
-                real = column >= 0
-                moves += self.move * (alpha[t - 1][real].T @ ahead[real])
-                beta = ahead @ self.move.T
-            alpha[t] = gamma / gamma.sum(axis=1, keepdims=True)
-        starts += alpha[0][first].sum(axis=0)
-        symbols = seg.T.ravel() + 1
-        for s in range(k):
-            emits[s] = np.bincount(symbols, alpha[:, :, s].ravel(), minlength=emits.shape[1])
-        return starts, moves, emits[:, 1:], float(np.log10(scale).sum())
-
-    def stationary(self) -> np.ndarray:
-        x = np.full(len(self.start), 1 / len(self.start))
+    def shares(self) -> np.ndarray:
+        """classes x K: how a class's tokens are shared among the states."""
+        occupied = self.start.copy()
         for _ in range(200):
-            x = x @ self.move
-        return x / x.sum()
-
-    def score(self, seqs: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each class sequence, by products of its segments' matrices."""
-        k = len(self.start)
-        n_seg = np.array([-(-len(s) // SEGMENT) for s in seqs], np.int64)
-        first = np.cumsum(n_seg) - n_seg
-        seg = segments(seqs)
-        emit = np.vstack([self.emit.T, np.ones(k)])
-        product = np.tile(np.eye(k), (len(seg), 1, 1))
-        logs = np.zeros(len(seg))
-        begins = np.zeros(len(seg), bool)
-        begins[first[n_seg > 0]] = True
-        for t in range(SEGMENT):
-            column = seg[:, t]
-            real = np.flatnonzero(column >= 0)
-            if not len(real):
+            occupied = occupied @ self.move
+        x = (self.emit * occupied[:, None]).T
+        return x / x.sum(axis=1, keepdims=True)
+
+    def _ends(self, r: _Rows, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the states before its first token's move, and the relative likelihood of all after it."""
+        k, n = len(self.start), len(r.doc)
+        before, after = np.tile(self.start, (n, 1)), np.ones((n, k))
+        long = np.flatnonzero(np.bincount(r.doc, minlength=r.documents)[r.doc] > 1)
+        if not len(long):
+            return before, after
+        product = np.tile(np.eye(k), (len(long), 1, 1))
+        inner = r.part[long] > 0
+        for t in range(r.steps):
+            m = int(np.searchsorted(long, r.alive[t]))  # rows are in order of size, so those of long texts are too
+            if not m:
                 break
-            step = product[real]
-            if t == 0:  # the first token of a text has no move before it
-                inner = real[~begins[real]]
-                product[inner] = product[inner] @ self.move
-                step = product[real]
+            b = emit[r.token[r.at[t] + long[:m]]][:, None, :]
+            moved = (product[:m].reshape(-1, k) @ self.move).reshape(m, k, k)
+            step = (np.where(inner[:m, None, None], moved, product[:m]) if t == 0 else moved) * b
+            product[:m] = step / step.sum(axis=(1, 2))[:, None, None]
+        place = {(int(r.doc[i]), int(r.part[i])): (i, j) for j, i in enumerate(long.tolist())}
+        for (d, p), (i, j) in sorted(place.items()):
+            if (d, p + 1) in place:
+                x = before[i] @ product[j]
+                before[place[d, p + 1][0]] = x / x.sum()
+        for (d, p), (i, j) in sorted(place.items(), reverse=True):
+            if p:
+                x = product[j] @ after[i]
+                after[place[d, p - 1][0]] = x / x.sum()
+        return before, after
+
+    def _forward(self, r: _Rows, emit: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled forward probabilities and scales, in the rows' layout."""
+        alpha, scale = emit[r.token], np.empty(len(r.token))
+        a = np.where((r.part > 0)[:, None], before @ self.move, before)
+        one = np.ones(len(self.start))
+        for t in range(r.steps):
+            here = slice(r.at[t], r.at[t + 1])
+            if t:
+                a = a[: r.alive[t]] @ self.move
+            a = np.multiply(a, alpha[here], out=alpha[here])
+            s = a @ one
+            a /= s[:, None]
+            scale[here] = s
+        return alpha, scale
+
+    def counts(self, seqs: list[np.ndarray], emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected starts and moves, tokens with their expected states (one row each), and log10 likelihood.
+
+        emit: a row of K probabilities for each token number.
+        """
+        r = _Rows(seqs)
+        before, after = self._ends(r, emit)
+        alpha, scale = self._forward(r, emit, before)
+        beta, moves = after, np.zeros((len(self.start),) * 2)
+        beta /= (beta * alpha[r.at[r.size - 1] + np.arange(len(r.size))]).sum(axis=1)[:, None]  # now sums with the last forward row to one
+        for t in range(r.steps - 1, -1, -1):
+            m, here = r.alive[t], slice(r.at[t], r.at[t + 1])
+            b = beta[:m]
+            ahead = emit[r.token[here]] * b
+            ahead /= scale[here][:, None]
+            alpha[here] *= b
+            if t:
+                moves += alpha[r.at[t - 1] : r.at[t - 1] + m].T @ ahead
+                beta[:m] = ahead @ self.move.T
             else:
-                step = step @ self.move
-            step *= emit[column[real]][:, None, :]
-            size = step.sum(axis=(1, 2))
-            product[real] = step / size[:, None, None]
-            logs[real] += np.log10(size)
-        alpha = np.tile(self.start, (len(seqs), 1))
-        out = np.zeros(len(seqs))
-        for j in range(int(n_seg.max(initial=0))):
-            live = np.flatnonzero(n_seg > j)
-            a = np.einsum("nk,nkl->nl", alpha[live], product[first[live] + j])
-            size = a.sum(axis=1)
-            alpha[live] = a / size[:, None]
-            out[live] += np.log10(size) + logs[first[live] + j]
-        return out
-
-
-def segments(seqs: list[np.ndarray]) -> np.ndarray:
-    """Rows of SEGMENT entries, texts one after another, each padded with -1 to whole rows."""
-    n_seg = np.array([-(-len(s) // SEGMENT) for s in seqs], np.int64)
-    out = np.full(int(n_seg.sum()) * SEGMENT, -1, np.int32)
-    at = (np.cumsum(n_seg) - n_seg) * SEGMENT
-    for s, i in zip(seqs, at.tolist()):
-        out[i : i + len(s)] = s
-    return out.reshape(-1, SEGMENT)
-
-
-def _read(body: bytes, lengths: bytes) -> list[np.ndarray]:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint16).astype(np.int32)
-    n = np.frombuffer(lengths, np.int64)
-    return np.split(flat, np.cumsum(n)[:-1]) if len(n) else []
-
-
-def _pass(sequences: DataFrame, model: Model) -> tuple[Model, float]:
-    """One Baum-Welch pass over all training documents."""
+                inner = r.part > 0
+                moves += before[inner].T @ ahead[inner]
+                first = alpha[here][~inner]
+        return first.sum(axis=0), moves * self.move, r.token, alpha, float(np.log10(scale).sum())
+
+    def score(self, seqs: list[np.ndarray], emit: np.ndarray) -> np.ndarray:
+        """log10 probability of each sequence; emit: a row of K probabilities for each token number."""
+        r = _Rows(seqs)
+        _, scale = self._forward(r, emit, self._ends(r, emit)[0])
+        return np.bincount(r.doc[r.row], np.log10(scale), minlength=len(seqs))
+
+
+_PACK = ("tokens", "lengths", "training", "ids", "kind", "count", "order", "place", "base", "known")
+_KIND = {"tokens": np.int32, "lengths": np.int64, "training": np.bool_, "ids": np.int64, "kind": np.uint16, "count": np.int64, "order": np.uint32, "place": np.uint32, "base": np.float64, "known": np.int64}
+_NO_ID = np.iinfo(np.int64).min
+
+
+class _Block:
+    """A block's token sequences, and of its words: class, corpus count, their order by bucket and place within it."""
+
+    def __init__(self, row: dict) -> None:
+        self.number = row["block"]
+        for c in _PACK:
+            setattr(self, c, np.frombuffer(_expanded(row[c]), _KIND[c]))
+        self.seqs = np.split(self.tokens, np.cumsum(self.lengths)[:-1])
+        self.buckets = list(zip(row["buckets"], np.split(self.order, np.cumsum(row["sizes"])[:-1])))
+
+    def trained(self) -> list[np.ndarray]:
+        return [s for s, t in zip(self.seqs, self.training) if t]
+
+
+def _blocks(batches) -> Iterator[_Block]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield _Block(b.slice(i, 1).select(["block", "buckets", "sizes", *_PACK]).to_pylist()[0])
+
+
+def _class_pass(sequences: DataFrame, model: Model) -> tuple[Model, float]:
+    """One Baum-Welch pass over all training documents, words standing for their classes."""
     k, c = model.emit.shape
+    n = k + k * k + k * c
 
     def run(batches):
-        total, log = np.zeros(k + k * k + k * c), 0.0
-        for b in batches:
-            for body, lengths, kept in zip(b.column("body").to_pylist(), b.column("lengths").to_pylist(), b.column("training").to_pylist()):
-                use = np.frombuffer(kept, bool)
-                seqs = [s for s, u in zip(_read(body, lengths), use) if u]
-                if not seqs:
-                    continue
-                seg = segments(seqs)
-                first = np.zeros(len(seg), bool)
-                n_seg = np.array([-(-len(s) // SEGMENT) for s in seqs])
-                first[np.cumsum(n_seg) - n_seg] = True
-                for lo in range(0, len(seg), 4096):
-                    s, m, e, g = model.counts(seg[lo : lo + 4096], first[lo : lo + 4096])
-                    total += np.concatenate((s, m.ravel(), e.ravel()))
-                    log += g
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([log, *total[at]])], names=["cell", "x"])
-
-    total, log = np.zeros(k + k * k + k * c), 0.0
-    # k + k * k + k * c cells at most, however large the corpus
-    for cell, x in sequences.mapInArrow(run, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect():
-        if cell < 0:
-            log = x
-        else:
-            total[cell] = x
-    start, move, emit = total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k :].reshape(k, c)
+        total = np.zeros(n + 1)
+        for x in _blocks(batches):
+            if seqs := x.trained():
+                start, moves, token, state, log = model.counts(seqs, model.emit.T[x.kind])
+                kinds = x.kind[token]
+                emits = np.concatenate([np.bincount(kinds, state[:, s], minlength=c) for s in range(k)])
+                total += np.concatenate((start, moves.ravel(), emits, [log]))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["body"])
+
+    total = _summed(sequences.mapInArrow(run, "body binary"), np.float64, n + 1)
     smooth = lambda x, add: (x + add) / (x + add).sum(axis=-1, keepdims=True)
-    return Model(smooth(start, 0.1), smooth(move, 0.1), smooth(emit, 0.01)), log
+    return Model(smooth(total[:k], 0.1), smooth(total[k : k + k * k].reshape(k, k), 0.1), smooth(total[k + k * k : -1].reshape(k, c), 0.01)), float(total[-1])
+
+
+def _word_pass(sequences: DataFrame, model: Model, tokens_n: int, words_n: int) -> DataFrame:
+    """For each block and bucket the states' shares of its words with training tokens, and the bucket's part of each state's sum."""
+    k = len(model.start)
+    share = model.shares()
+
+    def send(batches):
+        for x in _blocks(batches):
+            expected, own, seqs = np.zeros((len(x.kind), k)), np.zeros(len(x.kind), np.int64), x.trained()
+            if seqs:
+                _, _, token, state, _ = model.counts(seqs, model.emit.T[x.kind])
+                own = np.bincount(token, minlength=len(x.kind))
+                for s in range(k):
+                    expected[:, s] = np.bincount(token, state[:, s], minlength=len(x.kind))
+            part = np.rint(expected / np.maximum(own, 1)[:, None] * _TOP).astype(np.uint16)
+            rows = []
+            for b, at in x.buckets:
+                at = at[x.count[at] > 0]
+                if len(at):
+                    rows.append((x.number, b, np.uint32(len(at)).tobytes() + _squeezed(x.place[at], own[at].astype(np.uint32), x.kind[at], part[at])))
+            for batch in B.mail(rows).to_batches():
+                yield batch
+
+    def answer(table: pa.Table) -> pa.Table:
+        got = []
+        for block, body in B.in_order(table, "block"):
+            n, raw = int(np.frombuffer(body, np.uint32, 1)[0]), _expanded(body[4:])
+            got.append((block, np.frombuffer(raw, np.uint32, n), np.frombuffer(raw, np.uint32, n, 4 * n), np.frombuffer(raw, np.uint16, n, 8 * n), np.frombuffer(raw, np.uint16, n * k, 10 * n).reshape(n, k)))
+        place = np.concatenate([x[1] for x in got])
+        each, first, back = np.unique(place, return_index=True, return_inverse=True)
+        own = np.concatenate([x[2] for x in got]).astype(np.float64)
+        kind = np.concatenate([x[3] for x in got])[first]
+        part = np.concatenate([x[4] for x in got])
+        count = np.bincount(back, own, minlength=len(each))
+        of = np.column_stack([np.bincount(back, own * part[:, s] / _TOP, minlength=len(each)) for s in range(k)])
+        code = 1 + np.rint((of + DRAW * share[kind]) / (of.sum(axis=1) + DRAW)[:, None] * (_TOP - 1)).astype(np.int64)
+        sums = (code / _TOP * ((count + SMOOTH) / (tokens_n + SMOOTH * (words_n + CLASSES)))[:, None]).sum(axis=0)
+        bucket, ends = table.column("bucket")[0].as_py(), np.cumsum([len(x[1]) for x in got])
+        replies = code.astype(np.uint16)[back]
+        return B.mail([*[(x[0], bucket, _squeezed(replies[e - len(x[1]) : e])) for x, e in zip(got, ends)], (-1, bucket, sums.tobytes())])
+
+    return B.saved(sequences.mapInArrow(send, B.MAIL).groupBy("bucket").applyInArrow(answer, B.MAIL))
 
 
 def scored(docs: DataFrame, *, states: int = STATES, passes: int = PASSES, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """docs without text, with held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    made = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    docs = docs.drop(*made)
+    return B.shielded(docs, ("doc_id", "text"), MADE, lambda d: _scored(d, states, passes, block_bytes))
+
+
+def _scored(docs: DataFrame, states: int, passes: int, block_bytes: int) -> DataFrame:
     blocks = B.n_blocks(docs, block_bytes)
-    buckets = max(16, blocks // 4)
+    buckets = max(16, blocks // 2)
     base = B.packed(docs, blocks, rest=True)
     counts = _counts(base, buckets)
-    size = _class_sizes(counts)
+    size = _summed(counts.where("block = -1"), np.int64, 2 * CLASSES).reshape(2, CLASSES)
     n, v = int(size[0].sum()), int(size[1].sum())
-    per_class = size[0] + SMOOTH * (size[1] + 1)  # one more word in each class, for unseen ones
+    rest = base.schema["rest"].dataType
+    packs = T.StructType([
+        T.StructField("block", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("sizes", T.ArrayType(T.IntegerType())),
+        *[T.StructField(c, T.BinaryType()) for c in _PACK], T.StructField("rest", T.ArrayType(rest)),
+    ])
 
     def sequence(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["body", "lengths", "training", "within", "base", "known", "ids", "rest"]
         if not left.num_rows:
-            return pa.table({c: pa.array([], pa.binary() if c != "rest" else pa.list_(left.schema.field("rest").type)) for c in names})
+            lists = {c: pa.array([], pa.list_(pa.int32())) for c in ("buckets", "sizes")}
+            return pa.table({"block": pa.array([], pa.int32()), **lists, **{c: pa.array([], pa.binary()) for c in _PACK}, "rest": pa.array([], pa.list_(left.schema.field("rest").type))})
         ids, rows, number, seqs, _ = _lexicon(left)
-        count = np.zeros(len(number), np.int64)
-        replies = dict(B.in_order(right, "bucket"))
-        for b, ws in enumerate(_by_bucket(number, buckets)):
-            if ws:
-                count[[number[w] for w in ws]] = np.frombuffer(replies[b], np.int64)
-        kind = np.array([word_class(w, CLASSES) for w in number], np.int64)
+        count, place = np.zeros(len(number), np.int64), np.zeros(len(number), np.uint32)
+        replies, order = dict(B.in_order(right, "bucket")), []
+        for b, at in _buckets_of(number, buckets):
+            raw = _expanded(replies[b])
+            count[at], place[at] = np.frombuffer(raw, np.int64, len(at)), np.frombuffer(raw, np.uint32, len(at), 8 * len(at))
+            order.append((b, at))
         unigram = np.log10((count + SMOOTH) / (n + SMOOTH * (v + 1)))
-        within = np.log10((count + SMOOTH) / per_class[kind])
-        lengths = np.array([len(s) for s in seqs], np.int64)
-        flat = np.concatenate(seqs)
-        at = np.cumsum(lengths) - lengths
-        add = lambda x: np.add.reduceat(x[flat], at)
+        lengths, flat = np.array([len(s) for s in seqs], np.int64), np.concatenate(seqs)
+        add = lambda x: np.add.reduceat(x[flat], np.cumsum(lengths) - lengths)
         body = {
-            "body": zstandard.ZstdCompressor(level=1).compress(kind[flat].astype(np.uint16).tobytes()), "lengths": lengths.tobytes(),
-            "training": np.array([not held_out(i) for i in ids]).tobytes(), "within": add(within).tobytes(), "base": add(unigram).tobytes(),
-            "known": add((count > 0).astype(np.int64)).tobytes(), "ids": np.array([np.iinfo(np.int64).min if i is None else i for i in ids], np.int64).tobytes(),
+            "tokens": flat, "lengths": lengths, "training": np.array([not held_out(i) for i in ids]), "ids": np.array([_NO_ID if i is None else i for i in ids], np.int64),
+            "kind": np.array([word_class(w, CLASSES) for w in number], np.uint16), "count": count, "order": np.concatenate([at for _, at in order]).astype(np.uint32), "place": place,
+            "base": add(unigram), "known": add((count > 0).astype(np.int64)),
         }
-        rest = left.column("rest").take(pa.array(rows)).combine_chunks()
-        return pa.table({**{c: pa.array([x], pa.binary()) for c, x in body.items()}, "rest": pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest)})
-
-    kinds = T.StructType([*[T.StructField(c, T.BinaryType()) for c in ("body", "lengths", "training", "within", "base", "known", "ids")], T.StructField("rest", T.ArrayType(base.schema["rest"].dataType))])
-    sequences = B.saved(base.groupBy("block").cogroup(counts.where("block >= 0").groupBy("block")).applyInArrow(sequence, kinds))
+        kept = left.column("rest").take(pa.array(rows)).combine_chunks()
+        one = lambda x: pa.array([x], pa.list_(pa.int32()))
+        return pa.table({
+            "block": pa.array([left.column("block")[0].as_py()], pa.int32()), "buckets": one([b for b, _ in order]), "sizes": one([len(at) for _, at in order]),
+            **{c: pa.array([_squeezed(x.astype(_KIND[c]))], pa.binary()) for c, x in body.items()}, "rest": pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept),
+        })
+
+    sequences = B.saved(base.groupBy("block").cogroup(counts.where("block >= 0").groupBy("block")).applyInArrow(sequence, packs))
     model = Model.first(states, size[0])
     for _ in range(passes if n else 0):
-        model, _ = _pass(sequences.select("body", "lengths", "training"), model)
+        model, _ = _class_pass(sequences.drop("rest"), model)
+    shares = _word_pass(sequences.drop("rest"), model, n, v)
+    unseen = SMOOTH / (n + SMOOTH * (v + CLASSES))
+    total = _summed(shares.where("block = -1"), np.float64, states) + unseen * model.shares().sum(axis=0)
 
     result = T.StructType([
         T.StructField("doc_id", T.LongType()), base.schema["rest"], T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
         T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
     ])
 
-    def final(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                row = {c: b.column(c)[i].as_py() for c in ("body", "lengths", "training", "within", "base", "known", "ids")}
-                seqs = _read(row["body"], row["lengths"])
-                score = np.concatenate([model.score(seqs[lo : lo + 500]) for lo in range(0, len(seqs), 500)])
-                ids = np.frombuffer(row["ids"], np.int64)
-                no_id = ids == np.iinfo(np.int64).min
-                rest = b.column("rest")
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, mask=no_id), rest[i].values, pa.array(~np.frombuffer(row["training"], bool)), pa.array(np.frombuffer(row["lengths"], np.int64)), pa.array(np.frombuffer(row["known"], np.int64)),
-                    pa.array(np.full(len(ids), n, np.int64)), pa.array(np.frombuffer(row["base"], np.float64)), pa.array(score + np.frombuffer(row["within"], np.float64)),
-                ], names=[f.name for f in result])
-
-    out = sequences.mapInArrow(final, result)
-    return out.select(*B.restored(out, docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]), "doc_id"), *made)
+    def final(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts, replies = [], dict(B.in_order(right, "bucket"))
+        for x in _blocks(left.to_batches()):
+            share = model.shares()[x.kind]
+            for b, at in x.buckets:
+                at = at[x.count[at] > 0]
+                if len(at):
+                    share[at] = np.frombuffer(_expanded(replies[b]), np.uint16).reshape(len(at), states) / _TOP
+            emit = share * ((x.count + SMOOTH) / (n + SMOOTH * (v + CLASSES)))[:, None] / total
+            score = model.score(x.seqs, emit)
+            parts.append([pa.array(x.ids, mask=x.ids == _NO_ID), pa.array(~x.training), pa.array(x.lengths), pa.array(x.known), pa.array(np.full(len(x.ids), n, np.int64)), pa.array(x.base), pa.array(score)])
+        kept = left.column("rest").combine_chunks().flatten() if left.num_rows else pa.array([], left.schema.field("rest").type.value_type)
+        columns = [pa.concat_arrays(p) for p in zip(*parts)] if parts else [pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+        return pa.Table.from_arrays([columns[0], kept, *columns[1:]], names=[f.name for f in result])
+
+    out = sequences.groupBy("block").cogroup(shares.where("block >= 0").groupBy("block")).applyInArrow(final, result)
+    return out.select(*B.restored(out, docs.drop("text"), "doc_id"), *MADE)
