@@ -206,18 +206,24 @@ def encoder(path: str) -> Encoder:
     return _tables[path]
 
 
+MADE = ("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")
+
+
 def encoded(docs: DataFrame, vocabulary: str, *, ids: bool = True, decoded: bool = True) -> DataFrame:
     """docs with n_tokens, ids (array<int>), decoded (string), ids_sha256 and decoded_sha256."""
+    return B.shielded(docs, ("text",), MADE, lambda d: _encoded(d, vocabulary, ids, decoded))
+
+
+def _encoded(docs: DataFrame, vocabulary: str, ids: bool, decoded: bool) -> DataFrame:
     B.ready(docs.sparkSession)
-    docs = docs.drop("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")
-    frame = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").cast("string").cast("binary").alias("__body"))
+    frame = docs.select(*docs.columns, F.col("text").cast("string").cast("binary").alias("_body"))
     made = [T.StructField("n_tokens", T.LongType()), *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids, *[T.StructField("decoded", T.StringType())] * decoded, T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
     def run(batches):
         tool = encoder(vocabulary)
         for b in batches:
-            got = tool.texts([x or b"" for x in b.column("__body").to_pylist()])
-            b = b.drop_columns(["__body"])
+            got = tool.texts([x or b"" for x in b.column("_body").to_pylist()])
+            b = b.drop_columns(["_body"])
             new = {"n_tokens": pa.array([len(i) // 4 for i, _ in got], pa.int64())}
             if ids:
                 flat = np.frombuffer(b"".join([i for i, _ in got]), "<i4")
