@@ -6,12 +6,12 @@ variants (the half without one bit), so that linked pairs meet in an equality of
 (half, wildcard, remaining 31 bits); the whole fingerprints are then verified.
 
 Work is per different fingerprint, however many documents have it. No bucket emits all its
-pairs: a bucket first shrinks to four numbers (how many fingerprints, smallest, AND, OR).
-If AND and OR differ in at most 2 bits, all members are linked and a star to the smallest
-stands for them. Other buckets of up to ``SMALL`` members are joined with themselves and
-verified. Members of larger ones name every value that is at most one bit from them: two
-differ in at most 2 bits exactly if they name a common value, so those that do form a
-verified star. All of this is exact; nothing is capped.
+pairs. A window over a bucket gives each member the bucket's smallest fingerprint, AND and
+OR: if AND and OR differ in at most 2 bits, all members are linked and a star to the
+smallest stands for them. Members of other buckets go on to the second index, one-wildcard
+variants of the whole fingerprint: two differ in at most 2 bits exactly if they share one,
+so the members of such a group form a verified star. Both indexes are one shuffle each, all
+of it is exact, and nothing is capped or depends on a bucket's size.
 
 Components come from repeated min-label steps with pointer jumping, over linked
 fingerprints only, with lineage cut by checkpoints.
@@ -33,8 +33,6 @@ from pyspark.sql import types as T
 
 from . import blocks as B
 
-#: Members up to which a bucket is joined with itself; a member meets fewer partners than this.
-SMALL = 12
 _MAX = (1 << 63) - 1
 
 
@@ -56,13 +54,13 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 def with_fingerprint(docs: DataFrame, shingle: int = 3, name: str = "fp") -> DataFrame:
     """docs with a signed 64-bit fingerprint of text, in one pass without a shuffle."""
     B.ready(docs.sparkSession)
-    frame = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").cast("string").cast("binary").alias("__body"))
+    frame = docs.select(*docs.columns, F.col("text").cast("string").cast("binary").alias("_body"))
 
     def run(batches):
         for b in batches:
-            body = b.column("__body").to_pylist()
+            body = b.column("_body").to_pylist()
             fp = np.array([fingerprint(x or b"", shingle) for x in body], np.uint64).view(np.int64)
-            b = b.drop_columns(["__body"])
+            b = b.drop_columns(["_body"])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=[*b.schema.names, name])
 
     return frame.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
@@ -82,25 +80,21 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     low, high = fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32)
     variants = F.array(*[F.struct(F.lit(i).alias("slot"), _without(i, low).alias("rest")) for i in range(32)], *[F.struct(F.lit(32 + i).alias("slot"), _without(i, high).alias("rest")) for i in range(32)])
     index = fps.select("fp", F.explode(variants).alias("v")).select("fp", (F.col("v.rest") * 64 + F.col("v.slot")).alias("key"))
-    buckets = B.saved(
-        index.groupBy("key").agg(F.count("fp").alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most"), F.bit_count(F.bit_and("fp").bitwiseXOR(F.bit_or("fp"))).alias("apart")).where("n > 1")
-    )
+    bucket = Window.partitionBy("key")
+    buckets = index.select(
+        "fp", F.count("fp").over(bucket).alias("n"), F.min("fp").over(bucket).alias("least"),
+        F.bit_count(F.bit_and("fp").over(bucket).bitwiseXOR(F.bit_or("fp").over(bucket))).alias("apart"),
+    ).where("n > 1")
     near = F.col("apart") <= bits
-    twos = buckets.where((F.col("n") == 2) & near).select(F.col("least").alias("a"), F.col("most").alias("b"))
-    members = B.saved(index.join(buckets.where("n > 2").select("key", "n", "least", near.alias("near")), "key"))
-    stars = members.where("near and fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    small = members.where(f"not near and n <= {SMALL}").select("key", "fp")
-    pairs = (
-        small.select("key", F.col("fp").alias("a"))
-        .join(small.select("key", F.col("fp").alias("b")), "key")
-        .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits))
-        .select("a", "b")
-    )
+    # of two members that are too far apart nothing can be linked
+    members = B.saved(buckets.where(near & (F.col("fp") != F.col("least")) | ~near & (F.col("n") > 2)).select(F.when(near, F.col("least")).alias("least"), "fp").distinct())
+    stars = members.where("least is not null").select(F.col("least").alias("a"), F.col("fp").alias("b"))
     values = F.array(fp, *[fp.bitwiseXOR(F.lit(1 << i if i < 63 else -_MAX - 1)) for i in range(64)])
-    named = members.where(f"not near and n > {SMALL}").select("fp").distinct().select("fp", F.explode(values).alias("value"))
-    hub = named.groupBy("value").agg(F.min("fp").alias("a"), F.count("fp").alias("n")).where("n > 1")
-    hubs = named.join(hub, "value").where("fp <> a").select("a", F.col("fp").alias("b"))
-    return twos.unionByName(stars).unionByName(pairs).unionByName(hubs).distinct()
+    named = members.where("least is null").select("fp", F.explode(values).alias("value"))
+    group = Window.partitionBy("value")
+    hubs = named.select(F.min("fp").over(group).alias("a"), F.col("fp").alias("b")).where("a <> b")
+    # a and b both name the same value: at most one bit from it each
+    return stars.unionByName(hubs).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -109,31 +103,35 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps (each node passes its smallest neighbour on)
     until no edge changes; a step groups by node and keeps no group in memory.
     """
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     edges = B.saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    seen = mark(edges)
     while True:
-        # Large star: neighbours above a node move to its smallest neighbour.
+        # Large star: neighbours above a node move to its smallest neighbour. The joins are
+        # merge joins on a key both sides are grouped by; no side is broadcast.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: neighbours below a node, and the node, move to the smallest of them.
         below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.withColumnRenamed("m", "v"))
-        after = B.saved(small.where("u <> v").distinct())
-        same = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if same(after) == same(edges):
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        edges = after
+        small = large.join(below.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.withColumnRenamed("m", "v"))
+        edges = B.saved(small.where("u <> v").distinct())
+        if (now := mark(edges)) == seen:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+        seen = now
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
-    """docs with fingerprint (16 hex digits) and component_id; columns of these names are replaced."""
-    docs = docs.drop("fingerprint", "component_id")
+    """docs without text, with fingerprint (16 hex digits) and component_id; columns of these names are replaced."""
+    return B.shielded(docs, ("doc_id", "text"), ("fingerprint", "component_id"), lambda d: _near_duplicates(d, shingle))
+
+
+def _near_duplicates(docs: DataFrame, shingle: int) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
     frame = docs.select(F.col("text"), F.col("doc_id").cast("long").alias("doc_id"), B.rest_of(docs, "doc_id", "text").alias("rest"))
     frame = B.saved(with_fingerprint(frame, shingle).drop("text"))
     found = component_ids(frame)
-    out = frame.join(found, "fp").select(*B.restored(frame, docs.select(*rest), "doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-    return out
+    return frame.join(found, "fp").select(*B.restored(frame, docs.select(*rest), "doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def component_roots(frame: DataFrame) -> DataFrame:
@@ -141,25 +139,29 @@ def component_roots(frame: DataFrame) -> DataFrame:
     parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = B.saved(frame.select("fp").distinct().repartition(parts, "fp"))  # few bytes, but each row becomes 64
     roots = components(links(groups))
-    return groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return groups.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def component_ids(frame: DataFrame) -> DataFrame:
     """fp, component_id for each different fp of frame (doc_id, fp)."""
     least = frame.groupBy("fp").agg(F.min("doc_id").alias("doc"))
-    linked = B.saved(component_roots(frame).join(least, "fp"))
+    linked = B.saved(component_roots(frame).join(least.hint("merge"), "fp"))
     ids = linked.groupBy("root").agg(F.min("doc").alias("component_id"))
-    return linked.select("fp", "root").join(ids, "root").select("fp", "component_id")
+    return linked.select("fp", "root").join(ids.hint("merge"), "root").select("fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest doc_id (then fingerprint, then text)."""
+    return B.shielded(docs, ("doc_id", "text"), (), lambda d: _one_of_each(d, shingle))
+
+
+def _one_of_each(docs: DataFrame, shingle: int) -> DataFrame:
     keys = docs.select("doc_id", "text")
     frame = B.saved(with_fingerprint(keys, shingle).select(F.col("doc_id").cast("long").alias("doc_id"), "fp"))
     first = frame.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("s"))  # one row a fingerprint before the join
-    found = first.join(component_roots(frame), "fp")
-    chosen = found.groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.fp").alias("__fp"))
-    rows = with_fingerprint(docs, shingle, "__own")
-    rows = rows.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp")), "left_semi")
-    place = F.row_number().over(Window.partitionBy("__own", "doc_id").orderBy(F.asc_nulls_first("text")))
-    return rows.withColumn("__place", place).where("__place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = first.join(component_roots(frame).hint("merge"), "fp")
+    chosen = found.groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.fp").alias("_fp"))
+    rows = with_fingerprint(docs, shingle, "_own")
+    rows = rows.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fp")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("_own", "doc_id").orderBy(F.asc_nulls_first("text")))
+    return rows.withColumn("_place", place).where("_place = 1").select(*docs.columns)
