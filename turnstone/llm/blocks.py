@@ -123,7 +123,7 @@ def packed(docs: DataFrame, blocks: int, *, rest: bool = False) -> DataFrame:
             body = [None if x is None else z.compress(x) for x in b.column("body").to_pylist()]
             yield b.set_column(b.schema.get_field_index("body"), "body", pa.array(body, pa.binary()))
 
-    return saved(frame.mapInArrow(squeeze, frame.schema).repartition(blocks, "block"))
+    return saved(frame.mapInArrow(squeeze, frame.schema).repartition(blocks, "block"), laid_out=True)
 
 
 def documents_of(table: pa.Table) -> tuple[list, list[int], list[bytes | None], np.ndarray]:
