@@ -26,6 +26,32 @@ def replayed(events: DataFrame) -> DataFrame:
     return per.withColumn("provenance", word).drop("drafted")
 
 
+def folded(state: DataFrame, events: DataFrame) -> DataFrame:
+    """state (case_id, value, saves, drafted, seq) after further events (case_id, seq, action, value).
+
+    What is left of a case's log is enough to go on, so a reader never replays the whole of it;
+    events at or before a case's seq are ones it has seen.
+    """
+    seen = state.select("case_id", F.col("seq").alias("__seen"))
+    new = events.join(seen, "case_id", "left").where(F.col("__seen").isNull() | (F.col("seq") > F.col("__seen")))
+    cleared = new.groupBy("case_id").agg(F.max(F.when(F.col("action") == "clear", F.col("seq"))).alias("__cleared"), F.max("seq").alias("__last"))
+    live = new.join(cleared.select("case_id", "__cleared"), "case_id").where((F.col("action") != "clear") & (F.col("__cleared").isNull() | (F.col("seq") > F.col("__cleared"))))
+    draft = F.col("action") == "draft"
+    fresh = live.groupBy("case_id").agg(F.max_by("value", "seq").alias("__value"), F.count_if(~draft).alias("__saves"), F.max_by("value", F.when(draft, F.col("seq"))).alias("__drafted"))
+    rows = state.join(cleared, "case_id", "full").join(fresh, "case_id", "left")
+    keep = F.col("__cleared").isNull()
+    return rows.select(
+        "case_id", F.coalesce("__value", F.when(keep, F.col("value"))).alias("value"), (F.coalesce(F.when(keep, F.col("saves")), F.lit(0)) + F.coalesce("__saves", F.lit(0))).alias("saves"),
+        F.coalesce("__drafted", F.when(keep, F.col("drafted"))).alias("drafted"), F.greatest("seq", "__last").alias("seq"),
+    )
+
+
+def standing(state: DataFrame) -> DataFrame:
+    """case_id, value, saves, provenance of the labels in a folded state, as replayed() gives them."""
+    word = F.when(F.col("saves") == 0, "draft").when(F.col("drafted").isNotNull(), F.when(F.col("drafted") == F.col("value"), "confirmed").otherwise("corrected")).when(F.col("saves") == 1, "human").otherwise("corrected")
+    return state.where("value is not null").select("case_id", "value", "saves", word.alias("provenance"))
+
+
 def label_errors(intent: Column, resolution: Column, escalate: Column, intents: list[str], resolutions: list[str]) -> Column:
     """All errors of a label, as an array; an empty one is valid."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnstone.operators import labels
+
 
 def deduplicated(messages: DataFrame, key: str = "tweet_id", time: str = "created_at", late: str = "2 hours") -> DataFrame:
     """The first message of each key within the watermark."""
@@ -28,14 +30,28 @@ def weekly_volume(messages: DataFrame, time: str, late: str = "1 day") -> DataFr
     return messages.withWatermark(time, late).groupBy(week.alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("week"), "n")
 
 
+STATE = "case_id string, value string, saves long, drafted string, seq long"
+
+
 def label_upserts(events: DataFrame, path: str, checkpoint: str):
-    """Keeps the replayed labels of an event log (case_id, seq, action, value) as Parquet versions under path.
+    """Keeps the labels of an event log (case_id, seq, action, value) as Parquet versions under path.
 
-    Each batch appends its events and rewrites nothing: readers replay the log with
-    operators.labels.replayed. foreachBatch writes a batch once, under its own number.
+    Each batch folds its events into the state of the version before it and writes the next
+    one, one row a case. Readers take label_state(); a batch that runs again overwrites its own version.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        before = label_state(batch.sparkSession, path, before=number)
+        own = batch.select(F.col("case_id").cast("string").alias("case_id"), "seq", "action", F.col("value").cast("string").alias("value"))
+        labels.folded(before, own).write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def label_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The folded state of the last version (below before), or an empty one."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [str(f.getPath().getName()) for f in files.listStatus(place)] if files.exists(place) else []
+    numbers = [n for n in (int(x.split("=")[1]) for x in names if x.startswith("version=")) if before is None or n < before]
+    return spark.read.schema(STATE).parquet(f"{path}/version={max(numbers)}") if numbers else spark.createDataFrame([], STATE)
