@@ -5,6 +5,9 @@ Regexes are Java's. ``(?U)`` makes \\w, \\b and \\d cover Unicode where that is
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +22,9 @@ MONEY = r"£\s?\d[\d,.]*"
 TIME = r"\b\d{1,2}[:.]?\d{2}\s?(?:am|pm)?\b|\b\d{1,2}\s?(?:am|pm)\b"
 SEAT = r"\b(?:coach|carriage|seat|platform|row|table)\s+[a-z]?\d*[a-z]?\b"
 DAY = r"\b(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\b"
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&pound;": "£", "&amp;": "&"}
+REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: What browsers read the numbers 128 to 159 as.
+WINDOWS = bytes(range(128, 160)).decode("cp1252", "replace")
 KEPT_NEGATIONS = ("no", "not", "nor", "never", "cannot", "nothing", "without", "none")
 #: Our own short place lexicon; behaviour (longest name first) matters, not the names.
 PLACES = ("milton keynes", "birmingham", "manchester", "edinburgh", "liverpool", "glasgow", "london", "preston", "crewe", "york")
@@ -34,12 +39,35 @@ def collapsed(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
+def _named(entity: Column) -> Column:
+    """A named reference (without &): its characters, else the longest known start of it and the rest, else itself."""
+    table = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")  # the standard's own list, folded to a constant
+    size = F.char_length(entity)
+    start = lambda n: F.substring(entity, F.lit(1), n)
+    known = F.filter(F.transform(F.sequence(size, F.lit(1), F.lit(-1)), lambda n: F.struct(n.alias("n"), F.try_element_at(table, start(n)).alias("x"))), lambda k: k["x"].isNotNull())
+    best = F.get(known, F.lit(0))
+    return F.when(best.isNotNull(), F.concat(best["x"], F.substring(entity, best["n"] + 1, size))).otherwise(F.concat(F.lit("&"), entity))
+
+
+def _numbered(reference: Column) -> Column:
+    """The character of a reference like #65; or #x41; (the number in decimal or hexadecimal digits)."""
+    digits = F.regexp_replace(reference, "[#;]", "")
+    is_hex = F.lower(F.substring(digits, 1, 1)) == "x"
+    code = F.when(F.char_length(digits) > 9, F.lit(1 << 30)).when(is_hex, F.conv(F.substring(digits, 2, 9), 16, 10).cast("long")).otherwise(F.conv(digits, 10, 10).cast("long"))
+    one = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    dropped = code.between(1, 8) | code.between(14, 31) | (code == 11) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+    windows = F.substring(F.lit(WINDOWS), (code - 127).cast("int"), F.lit(1))
+    odd = F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").when(code.between(128, 159), F.when(windows != "\ufffd", windows).otherwise(one)).when(dropped, "")
+    return F.coalesce(odd, one)
+
+
 def unescaped(x: Column) -> Column:
-    """HTML character references: the named ones in ENTITIES and decimal ones of one character."""
+    """HTML character references replaced: all named ones, with or without their semicolon as the standard lists them, and numeric ones."""
     x = F.coalesce(x, F.lit(""))
-    for entity, char in list(ENTITIES.items())[:-1]:
-        x = F.replace(x, F.lit(entity), F.lit(char))
-    return F.replace(x, F.lit("&amp;"), F.lit("&"))
+    found, between = F.regexp_extract_all(x, F.lit(REFERENCE), F.lit(1)), F.split(x, REFERENCE, -1)
+    plain = F.transform(found, lambda e: F.when(e.startswith("#"), _numbered(e)).otherwise(_named(e)))
+    whole = F.array_join(F.zip_with(between, plain, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(F.contains(x, F.lit("&")), whole).otherwise(x)
 
 
 def strip_mentions(x: Column) -> Column:

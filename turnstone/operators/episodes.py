@@ -69,27 +69,30 @@ def segmented(rows: DataFrame, gap_hours: float = 24.0) -> DataFrame:
     return out.withColumn("exclusion_reason", F.lit(None).cast("string")).unionByName(alone)
 
 
-def context_ids(rows: DataFrame, max_up: int = 10_000) -> DataFrame:
+def context_ids(rows: DataFrame) -> DataFrame:
     """case_id, context_tweet_ids: unowned ancestors of the first customer turn, oldest first.
 
-    rows come from segmented(). Each round moves all cases one ancestor up and ends when no
-    case has an unowned parent left; a message already listed ends a walk, so cycles stop.
+    rows come from segmented(). Each round doubles how far an unowned message's pointer reaches,
+    and adds for every ancestor found so far the one that far above it; so n ancestors take about
+    log2(n) rounds and no more pairs than the result has. A walk round a cycle ends where it
+    would start again.
     """
     place = F.struct(F.col("created_at").isNull(), "created_at", "reply_depth", "tweet_id")
     first = rows.where("case_id is not null").groupBy("case_id").agg(F.coalesce(F.min_by("tweet_id", F.when(F.col("role") == "customer", place)), F.min_by("tweet_id", place)).alias("at"))
-    up = graph.saved(rows.select(F.col("tweet_id").alias("at"), F.col("parent_tweet_id").alias("up"), F.col("conversation_id").alias("c")))
-    free = up.join(rows.where("owner_id is null").select(F.col("tweet_id").alias("at")), "at", "left_semi").select(F.col("at").alias("up"), F.col("c").alias("uc"))
-    walk = graph.saved(first.withColumn("ids", F.array().cast("array<bigint>")))
-    done = None
-    for _ in range(max_up):
-        step = walk.join(up, "at", "left").join(free, "up", "left").withColumn("more", F.coalesce((F.col("c") == F.col("uc")) & ~F.array_contains("ids", F.col("up")), F.lit(False)))
-        step = graph.saved(step.select("case_id", "more", F.when(F.col("more"), F.col("up")).otherwise(F.col("at")).alias("at"), F.when(F.col("more"), F.concat(F.array("up"), "ids")).otherwise(F.col("ids")).alias("ids")))
-        part = step.where("not more").select("case_id", F.col("ids").alias("context_tweet_ids"))
-        done = part if done is None else done.unionByName(part)
-        walk = step.where("more").select("case_id", "at", "ids")
-        if walk.isEmpty():
-            break
-    return done
+    free = rows.where("owner_id is null").select(F.col("tweet_id").alias("up"), F.col("conversation_id").alias("uc"))
+    above = graph.saved(rows.select(F.col("tweet_id").alias("at"), F.col("parent_tweet_id").alias("up"), F.col("conversation_id").alias("c")).join(free, "up").where("c = uc").select("at", "up"))
+    found = graph.saved(first.join(above, "at").select("case_id", F.col("up").alias("node"), F.lit(0).cast("long").alias("steps")))
+    jump = graph.saved(above.join(free.select(F.col("up").alias("at")), "at", "left_semi"))
+    last, total, reach = found, jump.count(), 1
+    while reach <= total and not last.isEmpty():
+        last = graph.saved(found.join(jump, found["node"] == jump["at"]).select("case_id", F.col("up").alias("node"), (F.col("steps") + reach).alias("steps")))
+        found = graph.saved(found.unionByName(last))
+        further = jump.select(F.col("at").alias("up"), F.col("up").alias("next"))
+        jump = graph.saved(jump.join(further, "up").select("at", F.col("next").alias("up")))
+        reach *= 2
+    each = found.groupBy("case_id", "node").agg(F.min("steps").alias("steps"))
+    ids = each.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("s"), "node"))), lambda x: x["node"]).alias("context_tweet_ids"))
+    return first.select("case_id").join(ids, "case_id", "left").select("case_id", F.coalesce("context_tweet_ids", F.array().cast("array<bigint>")).alias("context_tweet_ids"))
 
 
 def turns_of(rows: DataFrame, key: str, *more: Column) -> DataFrame:
