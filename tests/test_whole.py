@@ -25,7 +25,7 @@ def union_find(edges):
 def test_lineitem_groups_take_all_rows(spark, tmp_path):
     rows = [(1, 1), (1, 2), (51, 2), (52, 3), (53, 3), (53, 3), (7, 60), (8, 61), (8, 60), (99, 49), (120, 70)]
     spark.createDataFrame(rows, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = registry.QUERIES["j12_lineitem_groups"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["j12_bipartite_groups"](spark, str(tmp_path)).collect()
     want = union_find((o, -s - 1) for o, s in rows)
     assert len(got) == len(want) and {r.node: r.root for r in got} == want
     assert len(set(want.values())) == 5 and any((a % 50) != (b % 50) for a, b in rows)
@@ -34,7 +34,7 @@ def test_lineitem_groups_take_all_rows(spark, tmp_path):
 def test_lineitem_groups_of_the_driver_table(spark):
     folder = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_suppkey").collect()
-    got = registry.QUERIES["j12_lineitem_groups"](spark, folder).collect()
+    got = registry.QUERIES["j12_bipartite_groups"](spark, folder).collect()
     assert {r.node: r.root for r in got} == union_find((o, -s - 1) for o, s in rows)
 
 
@@ -63,7 +63,7 @@ def test_classifier_predicts_long_documents(spark, tmp_path):
 
 def test_cluster_terms_of_long_documents(spark, tmp_path):
     lengths(tmp_path, spark)
-    got = {(r.lang, r.term) for r in registry.QUERIES["m2_all_cluster_terms"](spark, str(tmp_path)).collect()}
+    got = {(r.lang, r.term) for r in registry.QUERIES["m2_cluster_terms"](spark, str(tmp_path)).collect()}
     assert {("en", "longen"), ("fr", "longfr")} <= got
 
 

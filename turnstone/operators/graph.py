@@ -25,11 +25,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     that adaptive execution can split when a node has very many neighbours.
     """
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        size = _size(now)
-        if size == before:
-            break
+    before, size = None, _size(now)
+    while size != before:
         before = size
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -37,6 +34,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = saved(moved.unionByName(below.withColumnRenamed("m", "v")).where("u <> v").distinct())
+        size = _size(now)
     linked = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     every = edges.select(F.col("a").alias("node")).union(edges.select("b"))
     every = (every.union(nodes) if nodes is not None else every).distinct()

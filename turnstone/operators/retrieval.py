@@ -11,19 +11,19 @@ from pyspark.sql import functions as F
 
 from turnstone.functions import text as X
 from turnstone.functions import values as V
+from turnstone.operators import graph
 
 K1, B = 1.5, 0.75
 SEMANTIC_WEIGHT, INTENT_BONUS, FALLBACK = 0.9, 0.15, "unclear_or_media_only"
 
 
 def postings(corpus: DataFrame, key: str, terms: Column) -> DataFrame:
-    """key, term, weight: BM25 weights (the query's term counts multiply them)."""
-    docs = corpus.select(F.col(key).alias("k"), terms.alias("ts"))
-    long = docs.select("k", F.explode("ts").alias("term")).groupBy("k", "term").agg(F.count("*").alias("tf"))
-    size = docs.select("k", F.size("ts").alias("len"))
-    total = size.agg(F.count("*").alias("N"), F.avg("len").alias("avg_len"))  # one row
+    """key, term, weight: BM25 weights (the query's term counts multiply them). A posting carries its document's length."""
+    docs = corpus.select(F.col(key).alias("k"), terms.alias("ts")).select("k", "ts", F.size("ts").alias("len"))
+    long = docs.select("k", "len", F.explode("ts").alias("term")).groupBy("k", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    total = docs.agg(F.count("*").alias("N"), F.avg("len").alias("avg_len"))  # one row
     df = long.groupBy("term").agg(F.count("*").alias("df"))
-    rows = long.join(df, "term").join(size, "k").crossJoin(F.broadcast(total))
+    rows = long.join(df, "term").crossJoin(F.broadcast(total))
     idf = F.ln((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     return rows.select(F.col("k").alias(key), "term", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).alias("weight"))
 
@@ -83,6 +83,32 @@ def best_relevant(ranked: DataFrame, query: str, relevant: str, rank: str = "ran
     return ranked.groupBy(query).agg(F.min(F.when(F.col(relevant), F.col(rank))).alias("best"), F.count_if((F.col(rank) <= 5) & F.col(relevant)).alias("hits5"), F.count_if(F.col(rank) <= 5).alias("shown5"))
 
 
+def first_relevant(scored: DataFrame, by: list[str], key: str, score: Column, relevant: Column, shown: int = 5) -> DataFrame:
+    """by, best, hits5, shown5 like best_relevant, without ranking the documents that nobody sees.
+
+    The rank of a query's best relevant document is one more than the number of documents
+    ahead of it, so pairs are only counted; only the first few of each query are ranked.
+    """
+    rows = scored.select(*by, F.col(key).alias("__k"), score.alias("__s"), relevant.alias("__r"))
+    ahead = lambda s, k: F.struct((-s).alias("s"), k.alias("k"))
+    found = rows.groupBy(*by).agg(F.min(F.when(F.col("__r"), ahead(F.col("__s"), F.col("__k")))).alias("__best"))
+    counted = rows.join(found, by).groupBy(*by).agg((1 + F.count_if(ahead(F.col("__s"), F.col("__k")) < F.col("__best"))).alias("n"), F.any_value("__best").isNotNull().alias("any"))
+    top = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("__s"), "__k"))).where(F.col("rank") <= shown)
+    seen = top.groupBy(*by).agg(F.count_if("__r").alias("hits5"), F.count("*").alias("shown5"))
+    return counted.join(seen, by).select(*by, F.when(F.col("any"), F.col("n")).alias("best"), "hits5", "shown5")
+
+
+def against(queries: DataFrame, docs: DataFrame, on: Column, block: int = 4096) -> DataFrame:
+    """Each query with each document for which on holds, queries in blocks: a small query set is broadcast, a larger one meets the documents block by block."""
+    queries = graph.saved(queries)
+    blocks = -(-queries.count() // block)
+    if blocks <= 1:
+        return docs.join(F.broadcast(queries), on)
+    dealt = queries.withColumn("__block", F.pmod(F.xxhash64(*queries.columns[:1]), F.lit(blocks)).cast("int"))
+    every = docs.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return every.join(dealt, (every["__block"] == dealt["__block"]) & on).drop("__block")
+
+
 def metrics(best: DataFrame, *by: str) -> DataFrame:
     """n, recall@1/3/5 (share of queries with a hit), MRR and precision@5 (over documents shown)."""
     at = lambda k: F.avg((F.coalesce(F.col("best"), F.lit(1 << 30)) <= k).cast("int"))

@@ -10,16 +10,32 @@ from turnstone.functions import values as V
 POOL, DEV = 0.10, 0.25
 
 
+def _running(counts: DataFrame, value: str) -> DataFrame:
+    """counts (one row a distinct number in value, with __n) with __upto, the rows up to and with it, and __all.
+
+    Values are cut into ranges at approximate quantiles; windows run within ranges, side by
+    side, and only the ranges' totals are added up in one place, a row for each.
+    """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = counts.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)] or [0.5], 1000)).first()[0] or []
+    of = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(value)))
+    cut = counts.withColumn("__range", of)
+    totals = cut.groupBy("__range").agg(F.sum("__n").alias("__t"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("__range", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__before"), F.sum("__t").over(Window.partitionBy()).alias("__all"))
+    inside = Window.partitionBy("__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    run = cut.withColumn("__upto", F.sum("__n").over(inside)).join(F.broadcast(starts), "__range")  # a row a range
+    return run.withColumn("__upto", F.col("__upto") + F.col("__before")).drop("__range", "__before")
+
+
 def percent_rank_avg(df: DataFrame, columns: list[str], prefix: str = "pct_") -> DataFrame:
-    """(rank + (ties - 1) / 2) / n of each column, ascending; ties share the average rank.
+    """(rank + (ties - 1) / 2) / n of each numeric column, ascending; ties share the average rank.
 
-    Counts per value are ranked, not rows, so the global window sees one row a distinct value.
+    Counts per value are ranked, not rows, in ranges that run side by side.
     """
     for c in columns:
         counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("__n"))
-        upto = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-        ranks = counts.withColumns({"__upto": F.sum("__n").over(upto), "__all": F.sum("__n").over(Window.partitionBy())})
-        ranks = ranks.select(c, ((F.col("__upto") - F.col("__n") + 1 + (F.col("__n") - 1) / 2.0) / F.col("__all")).alias(prefix + c))
+        ranks = _running(counts, c).select(c, ((F.col("__upto") - F.col("__n") + 1 + (F.col("__n") - 1) / 2.0) / F.col("__all")).alias(prefix + c))
         df = df.join(ranks, c, "left")
     return df
 
@@ -214,7 +230,8 @@ def partition_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def bootstrap_interval(df: DataFrame, key: str, value: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """One row: mean and the 2.5 and 97.5 percentiles of Poisson-bootstrap means; weights hashed from (round, key). A round that draws no row has no mean."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "round", key), F.lit(1 << 52)) / float(1 << 52)).alias("u")
+    said = F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col(key).cast("string"))
+    u = (F.conv(F.substring(F.md5(said), 1, 13), 16, 10).cast("double") / float(1 << 52)).alias("u")
     draws = df.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).select("round", value, u)
     cdf = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
     weight = sum(((F.col("u") >= c).cast("int") for c in cdf), F.lit(0))

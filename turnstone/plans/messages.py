@@ -215,17 +215,10 @@ def j12_components(spark, d):
     return graph.components(e.select(F.col("child").alias("a"), F.col("parent").alias("b")), m.select(F.col("tweet_id").alias("node"))).select(F.col("node").alias("tweet_id"), "root")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_orderkey % 50 = l_suppkey % 50), n AS (SELECT o AS id FROM e UNION SELECT -s - 1 FROM e),
-b AS (SELECT o AS x, -s - 1 AS y FROM e UNION SELECT -s - 1, o FROM e), r AS (SELECT id, id AS root FROM n UNION SELECT b.x, r.root FROM r JOIN b ON b.y = r.id)
-SELECT id AS node, min(root) AS root FROM r GROUP BY id""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, -l_suppkey - 1 AS s FROM lineitem), b AS (SELECT o AS x, s AS y FROM e UNION ALL SELECT s, o FROM e),
+r(node, root) USING KEY (node) AS (SELECT x, least(x, min(y)) FROM b GROUP BY x UNION (SELECT b.x, min(r.root) FROM r JOIN b ON b.y = r.node JOIN recurring.r AS old ON old.node = b.x WHERE r.root < old.root GROUP BY b.x))
+SELECT node, root FROM r""")
 def j12_bipartite_groups(spark, d):
-    e = read(spark, d, "lineitem").where("l_orderkey % 50 = l_suppkey % 50").select(F.col("l_orderkey").alias("a"), (-F.col("l_suppkey") - 1).alias("b"))
-    return graph.components(e)
-
-
-# Over all rows; without a twin, as a recursive one makes each pair of a component's nodes.
-@query()
-def j12_lineitem_groups(spark, d):
     e = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), (-F.col("l_suppkey") - 1).alias("b"))
     return graph.components(e)
 

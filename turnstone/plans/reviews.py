@@ -133,10 +133,13 @@ def u12_examples(spark, d):
     return RV.one_per_group(read(spark, d, "documents").select("doc_id", "source"), "doc_id", "source")
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, lang, n_chars / 1000.0::DOUBLE AS margin FROM documents), c AS (SELECT lang, count(*) AS n FROM d GROUP BY lang), x AS (SELECT lang, n, 60.0 * n / sum(n) OVER () AS x FROM c), b AS (SELECT *, least(n, greatest(1, floor(x)::BIGINT)) AS q FROM x),
+l AS (SELECT *, 60 - sum(q) OVER () AS left_, row_number() OVER (ORDER BY CASE WHEN n > q THEN x - q END DESC NULLS LAST, lang) AS place FROM b), q AS (SELECT lang, n AS eligible, q + CASE WHEN place <= left_ AND n > q THEN 1 ELSE 0 END AS quota FROM l), t AS (SELECT lang, quantile_cont(margin, 0.4) AS cut FROM d GROUP BY lang),
+r AS (SELECT d.*, q.quota, q.eligible, margin <= cut AS hard, sha256('42:' || doc_id) AS h FROM d JOIN q USING (lang) JOIN t USING (lang)), f AS (SELECT *, hard AND row_number() OVER (PARTITION BY lang, hard ORDER BY h) <= ceil(quota / 2) AS first_ FROM r),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY first_ DESC, h) AS place FROM f) SELECT doc_id, lang, CASE WHEN first_ THEN 'low_margin' ELSE 'diverse' END AS reason, round(eligible / least(quota, eligible), 9) AS weight FROM p WHERE place <= quota""")
 def u9_calibration_sample(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "lang", (F.col("n_chars") / 1000.0).alias("margin"))
-    return RV.calibration_sample(docs, "doc_id", "lang", "margin", 60).select("doc_id", "lang", "reason", "weight")
+    return RV.calibration_sample(docs, "doc_id", "lang", "margin", 60).select("doc_id", "lang", "reason", F.round("weight", 9).alias("weight"))
 
 
 @query("""WITH s AS (SELECT doc_id, n_chars FROM documents), a AS (SELECT doc_id FROM s ORDER BY n_chars DESC, sha256('42:' || doc_id) LIMIT 1), b AS (SELECT doc_id FROM s WHERE doc_id NOT IN (SELECT doc_id FROM a) AND 1000000 - n_chars > 0 ORDER BY 1000000 - n_chars DESC, sha256('42:' || doc_id) LIMIT 1)
