@@ -146,9 +146,9 @@ def by_bucket(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 MAIL = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("body", T.BinaryType())])
 
 
-def mail(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+def mail(rows: list[tuple[int, int, bytes]], block: pa.DataType = pa.int32()) -> pa.Table:
     blocks, buckets, bodies = zip(*rows) if rows else ((), (), ())
-    return pa.table({"block": pa.array(blocks, pa.int32()), "bucket": pa.array(buckets, pa.int32()), "body": pa.array(bodies, pa.binary())})
+    return pa.table({"block": pa.array(blocks, block), "bucket": pa.array(buckets, pa.int32()), "body": pa.array(bodies, pa.binary())})
 
 
 def in_order(table: pa.Table, key: str) -> list[tuple[int, bytes]]:

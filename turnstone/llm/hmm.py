@@ -20,9 +20,10 @@ Both recursions are exact over whole documents. Documents are cut in rows of at
 document comes from products of the rows' states x states matrices. Scores are the exact
 likelihood of the whole text by the scaled forward recursion.
 
-Word counts of the corpus are never broadcast or collected: each block of documents sends its
-distinct words with their counts to buckets and is sent the corpus counts of just those words
-(see ``blocks``); expected counts and shares travel the same way, with numbers for words.
+Texts are read and tokenised once, where they lie, into packs of numbered words; only packs are
+exchanged. The corpus's words are never broadcast or collected: each pack sends its distinct
+words with their counts and expected counts to buckets, and is sent the corpus counts and
+shares of just those words. A word that a third of all documents have is one entry a pack.
 
 Cases: null and empty texts have one token, the end; a null doc_id hashes as empty text;
 repeated rows count and are scored each; without training tokens all words are unseen.
@@ -36,7 +37,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,71 +76,90 @@ def _expanded(body: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(body)
 
 
-# ---- corpus counts, for each block the words it has -------------------------------------
-
-
-def _lexicon(table: pa.Table) -> tuple[list, np.ndarray, dict[bytes, int], list[np.ndarray], np.ndarray]:
-    """doc_ids, row order, word numbers, token numbers of each text, and training counts by word."""
-    ids, _, texts, rows = B.documents_of(table.select(["doc_id", "row", "body"]))
-    number: dict[bytes, int] = {}
-    put = number.setdefault
-    seqs = [np.array([put(w, len(number)) for w in tokens(t)], np.int32) for t in texts]
-    trained = [s for i, s in zip(ids, seqs) if not held_out(i)]
-    counts = np.bincount(np.concatenate(trained), minlength=len(number)) if trained else np.zeros(len(number), np.int64)
-    return ids, rows, number, seqs, counts
-
-
-def _buckets_of(number: dict[bytes, int], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket with the numbers of its words."""
-    return B.by_bucket(np.fromiter((zlib.crc32(w) % buckets for w in number), np.int64, len(number)))
-
-
 _JOIN = b"\x20"  # no word holds a space
+_NO_ID = np.iinfo(np.int64).min
+_KIND = {"tokens": np.uint32, "lengths": np.int64, "training": np.bool_, "ids": np.int64, "kind": np.uint16}
+
+
+def _packs(docs: DataFrame, blocks: int, block_bytes: int) -> DataFrame:
+    """Packs of documents as they lie in their partitions, block_bytes of text each, spread over blocks and saved.
+
+    block, rest (of each document), words (distinct ones, in order of appearance) and the arrays of _KIND: token
+    numbers, tokens a text, whether it trains, doc_ids, and the class of each word.
+    """
+    B.ready(docs.sparkSession)
+    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("body"), B.rest_of(docs, "doc_id", "text").alias("rest"))
+    rest = frame.schema["rest"].dataType
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("words", T.BinaryType()), *[T.StructField(c, T.BinaryType()) for c in _KIND], T.StructField("rest", T.ArrayType(rest))])
+
+    def packed(number: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        place: dict[bytes, int] = {}
+        put = place.setdefault
+        ids = table.column("doc_id").to_pylist()
+        seqs = [np.array([put(w, len(place)) for w in tokens(t)], np.uint32) for t in table.column("body").to_pylist()]
+        arrays = {
+            "tokens": np.concatenate(seqs), "lengths": np.array([len(s) for s in seqs], np.int64), "training": np.array([not held_out(i) for i in ids]),
+            "ids": np.array([_NO_ID if i is None else i for i in ids], np.int64), "kind": np.array([word_class(w, CLASSES) for w in place], np.uint16),
+        }
+        kept = table.column("rest").combine_chunks()
+        lists = pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept)
+        return pa.RecordBatch.from_arrays([
+            pa.array([number], pa.int64()), pa.array([zstandard.ZstdCompressor(level=1).compress(_JOIN.join(place))], pa.binary()), *[pa.array([_squeezed(arrays[c])], pa.binary()) for c in _KIND], lists,
+        ], names=[f.name for f in schema])
 
+    def run(batches):
+        held, size, number = [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column("body")), 0).to_pylist()
+            lo = 0
+            for i, n in enumerate(lengths):
+                size += n
+                if size >= block_bytes:
+                    yield packed(number, [*held, batch.slice(lo, i + 1 - lo)])
+                    held, size, number, lo = [], 0, number + 1, i + 1
+            if lo < batch.num_rows:
+                held.append(batch.slice(lo))
+        if held:
+            yield packed(number, held)
+
+    return B.saved(frame.mapInArrow(run, schema).repartition(blocks, "block"), laid_out=True)
+
+
+class _Pack:
+    def __init__(self, row: dict) -> None:
+        self.number, self.words = row["block"], _expanded(row["words"]).split(_JOIN)
+        for c, kind in _KIND.items():
+            setattr(self, c, np.frombuffer(_expanded(row[c]), kind))
+        self.seqs = np.split(self.tokens, np.cumsum(self.lengths)[:-1])
 
-def _counts(base: DataFrame, buckets: int) -> DataFrame:
-    """For each block and bucket the training counts and bucket-wide numbers of the words sent, and the bucket's own sums."""
+    def trained(self) -> list[np.ndarray]:
+        return [s for s, t in zip(self.seqs, self.training) if t]
 
-    def ask(table: pa.Table) -> pa.Table:
-        _, _, number, _, counts = _lexicon(table)
-        z, here, words = zstandard.ZstdCompressor(level=1), table.column("block")[0].as_py(), list(number)
-        return B.mail([(here, b, np.uint32(len(at)).tobytes() + counts[at].astype(np.uint32).tobytes() + z.compress(_JOIN.join([words[i] for i in at]))) for b, at in _buckets_of(number, buckets)])
+    def buckets(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each bucket with the numbers of its words."""
+        return B.by_bucket(np.fromiter((zlib.crc32(w) % n for w in self.words), np.int64, len(self.words)))
 
-    def answer(table: pa.Table) -> pa.Table:
-        z, total, sent = zstandard.ZstdDecompressor(), {}, []
-        for block, body in B.in_order(table, "block"):
-            n = int(np.frombuffer(body, np.uint32, 1)[0])
-            ws = z.decompress(body[4 + 4 * n :]).split(_JOIN)
-            sent.append((block, ws))
-            for w, c in zip(ws, np.frombuffer(body, np.uint32, n, 4).tolist()):
-                total[w] = total.get(w, 0) + c
-        bucket = table.column("bucket")[0].as_py()
-        size = np.zeros((2, CLASSES), np.int64)  # tokens and distinct words of each class
-        kind = {w: word_class(w, CLASSES) for w in total}
-        for w, c in total.items():
-            if c:
-                size[0, kind[w]] += c
-                size[1, kind[w]] += 1
-        place = {w: i for i, w in enumerate(sorted(total, key=lambda w: (kind[w], w)))}
-        rows = [(block, bucket, _squeezed(np.array([total[w] for w in ws], np.int64), np.array([place[w] for w in ws], np.uint32))) for block, ws in sent]
-        return B.mail([*rows, (-1, bucket, size.tobytes())])
 
-    return B.saved(base.groupBy("block").applyInArrow(ask, B.MAIL).groupBy("bucket").applyInArrow(answer, B.MAIL))
+def _each(batches) -> Iterator[_Pack]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield _Pack(b.slice(i, 1).select(["block", "words", *_KIND]).to_pylist()[0])
 
 
-def _summed(bodies: DataFrame, kind: type, n: int) -> np.ndarray:
+def _summed(bodies: DataFrame, n: int) -> np.ndarray:
     """The sum of packed arrays of n numbers (n set by parameters), added up by Spark; cells that are zero stay out."""
 
     def unpack(batches):
-        total = np.zeros(n, kind)
+        total = np.zeros(n)
         for b in batches:
             for body in b.column("body").to_pylist():
-                total += np.frombuffer(body, kind)
+                total += np.frombuffer(body, np.float64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "x"])
 
-    out = np.zeros(n, kind)
-    for cell, x in bodies.select("body").mapInArrow(unpack, f"cell int, x {'long' if kind is np.int64 else 'double'}").groupBy("cell").agg(F.sum("x").alias("x")).collect():
+    out = np.zeros(n)
+    for cell, x in bodies.select("body").mapInArrow(unpack, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect():
         out[cell] = x
     return out
 
@@ -225,13 +247,13 @@ class Model:
 
     def _forward(self, r: _Rows, emit: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scaled forward probabilities and scales, in the rows' layout."""
-        alpha, scale = emit[r.token], np.empty(len(r.token))
-        a = np.where((r.part > 0)[:, None], before @ self.move, before)
-        one = np.ones(len(self.start))
+        alpha, scale = emit[r.token], np.empty(len(r.token), emit.dtype)
+        a = np.where((r.part > 0)[:, None], before @ self.move, before).astype(emit.dtype)
+        one, move = np.ones(len(self.start), emit.dtype), self.move.astype(emit.dtype)
         for t in range(r.steps):
             here = slice(r.at[t], r.at[t + 1])
             if t:
-                a = a[: r.alive[t]] @ self.move
+                a = a[: r.alive[t]] @ move
             a = np.multiply(a, alpha[here], out=alpha[here])
             s = a @ one
             a /= s[:, None]
@@ -248,6 +270,7 @@ class Model:
         alpha, scale = self._forward(r, emit, before)
         beta, moves = after, np.zeros((len(self.start),) * 2)
         beta /= (beta * alpha[r.at[r.size - 1] + np.arange(len(r.size))]).sum(axis=1)[:, None]  # now sums with the last forward row to one
+        beta, back = beta.astype(emit.dtype), np.ascontiguousarray(self.move.T.astype(emit.dtype))
         for t in range(r.steps - 1, -1, -1):
             m, here = r.alive[t], slice(r.at[t], r.at[t + 1])
             b = beta[:m]
@@ -256,12 +279,12 @@ class Model:
             alpha[here] *= b
             if t:
                 moves += alpha[r.at[t - 1] : r.at[t - 1] + m].T @ ahead
-                beta[:m] = ahead @ self.move.T
+                beta[:m] = ahead @ back
             else:
                 inner = r.part > 0
                 moves += before[inner].T @ ahead[inner]
                 first = alpha[here][~inner]
-        return first.sum(axis=0), moves * self.move, r.token, alpha, float(np.log10(scale).sum())
+        return first.sum(axis=0), moves * self.move, r.token, alpha, float(np.log10(scale).sum(dtype=np.float64))
 
     def score(self, seqs: list[np.ndarray], emit: np.ndarray) -> np.ndarray:
         """log10 probability of each sequence; emit: a row of K probabilities for each token number."""
@@ -270,92 +293,90 @@ class Model:
         return np.bincount(r.doc[r.row], np.log10(scale), minlength=len(seqs))
 
 
-_PACK = ("tokens", "lengths", "training", "ids", "kind", "count", "order", "place", "base", "known")
-_KIND = {"tokens": np.int32, "lengths": np.int64, "training": np.bool_, "ids": np.int64, "kind": np.uint16, "count": np.int64, "order": np.uint32, "place": np.uint32, "base": np.float64, "known": np.int64}
-_NO_ID = np.iinfo(np.int64).min
+def _sums(packs: DataFrame, n: int, of) -> np.ndarray:
+    """The sum over all packs of of(pack), n numbers."""
 
+    def run(batches):
+        total = np.zeros(n)
+        for x in _each(batches):
+            total += of(x)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["body"])
 
-class _Block:
-    """A block's token sequences, and of its words: class, corpus count, their order by bucket and place within it."""
+    return _summed(packs.drop("rest").mapInArrow(run, "body binary"), n)
 
-    def __init__(self, row: dict) -> None:
-        self.number = row["block"]
-        for c in _PACK:
-            setattr(self, c, np.frombuffer(_expanded(row[c]), _KIND[c]))
-        self.seqs = np.split(self.tokens, np.cumsum(self.lengths)[:-1])
-        self.buckets = list(zip(row["buckets"], np.split(self.order, np.cumsum(row["sizes"])[:-1])))
 
-    def trained(self) -> list[np.ndarray]:
-        return [s for s, t in zip(self.seqs, self.training) if t]
+def _class_tokens(packs: DataFrame) -> np.ndarray:
+    """Training tokens of each class."""
 
+    def of(x: _Pack) -> np.ndarray:
+        seqs = x.trained()
+        return np.bincount(x.kind[np.concatenate(seqs)], minlength=CLASSES) if seqs else np.zeros(CLASSES)
 
-def _blocks(batches) -> Iterator[_Block]:
-    for b in batches:
-        for i in range(b.num_rows):
-            yield _Block(b.slice(i, 1).select(["block", "buckets", "sizes", *_PACK]).to_pylist()[0])
+    return _sums(packs, CLASSES, of)
 
 
-def _class_pass(sequences: DataFrame, model: Model) -> tuple[Model, float]:
+def _class_pass(packs: DataFrame, model: Model) -> tuple[Model, float]:
     """One Baum-Welch pass over all training documents, words standing for their classes."""
     k, c = model.emit.shape
-    n = k + k * k + k * c
+    n = k + k * k + k * c + 1
 
-    def run(batches):
-        total = np.zeros(n + 1)
-        for x in _blocks(batches):
-            if seqs := x.trained():
-                start, moves, token, state, log = model.counts(seqs, model.emit.T[x.kind])
-                kinds = x.kind[token]
-                emits = np.concatenate([np.bincount(kinds, state[:, s], minlength=c) for s in range(k)])
-                total += np.concatenate((start, moves.ravel(), emits, [log]))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["body"])
+    def of(x: _Pack) -> np.ndarray:
+        seqs = x.trained()
+        if not seqs:
+            return np.zeros(n)
+        start, moves, token, state, log = model.counts(seqs, model.emit.T[x.kind].astype(np.float32))
+        kinds = x.kind[token]
+        return np.concatenate([start, moves.ravel(), *[np.bincount(kinds, state[:, s], minlength=c) for s in range(k)], [log]])
 
-    total = _summed(sequences.mapInArrow(run, "body binary"), np.float64, n + 1)
+    total = _sums(packs, n, of)
     smooth = lambda x, add: (x + add) / (x + add).sum(axis=-1, keepdims=True)
     return Model(smooth(total[:k], 0.1), smooth(total[k : k + k * k].reshape(k, k), 0.1), smooth(total[k + k * k : -1].reshape(k, c), 0.01)), float(total[-1])
 
 
-def _word_pass(sequences: DataFrame, model: Model, tokens_n: int, words_n: int) -> DataFrame:
-    """For each block and bucket the states' shares of its words with training tokens, and the bucket's part of each state's sum."""
-    k = len(model.start)
-    share = model.shares()
+def _word_pass(packs: DataFrame, model: Model, buckets: int) -> DataFrame:
+    """For each pack and bucket the corpus counts and the states' shares of the words sent; and of each bucket (as pack -1) its training tokens, its words with any, and its part of each state's sum."""
+    k, share = len(model.start), model.shares()
 
     def send(batches):
-        for x in _blocks(batches):
-            expected, own, seqs = np.zeros((len(x.kind), k)), np.zeros(len(x.kind), np.int64), x.trained()
+        for x in _each(batches):
+            n, seqs = len(x.words), x.trained()
+            expected, own = np.zeros((n, k)), np.zeros(n, np.int64)
             if seqs:
-                _, _, token, state, _ = model.counts(seqs, model.emit.T[x.kind])
-                own = np.bincount(token, minlength=len(x.kind))
+                _, _, token, state, _ = model.counts(seqs, model.emit.T[x.kind].astype(np.float32))
+                own = np.bincount(token, minlength=n)
                 for s in range(k):
-                    expected[:, s] = np.bincount(token, state[:, s], minlength=len(x.kind))
-            part = np.rint(expected / np.maximum(own, 1)[:, None] * _TOP).astype(np.uint16)
+                    expected[:, s] = np.bincount(token, state[:, s], minlength=n)
+            part = np.rint(expected / np.maximum(own, 1)[:, None] * _TOP).clip(0, _TOP).astype(np.uint16)
             rows = []
-            for b, at in x.buckets:
-                at = at[x.count[at] > 0]
-                if len(at):
-                    rows.append((x.number, b, np.uint32(len(at)).tobytes() + _squeezed(x.place[at], own[at].astype(np.uint32), x.kind[at], part[at])))
-            for batch in B.mail(rows).to_batches():
-                yield batch
+            for b, at in x.buckets(buckets):
+                some = own[at] > 0  # of words that only held-out texts have there is nothing to tell
+                rows.append((x.number, b, np.uint32(len(at)).tobytes() + _squeezed(own[at].astype(np.uint32), part[at[some]], np.frombuffer(_JOIN.join([x.words[i] for i in at]), np.uint8))))
+            yield from B.mail(rows, pa.int64()).to_batches()
 
     def answer(table: pa.Table) -> pa.Table:
-        got = []
-        for block, body in B.in_order(table, "block"):
+        place: dict[bytes, int] = {}
+        put, sent = place.setdefault, []
+        for pack, body in B.in_order(table, "block"):
             n, raw = int(np.frombuffer(body, np.uint32, 1)[0]), _expanded(body[4:])
-            got.append((block, np.frombuffer(raw, np.uint32, n), np.frombuffer(raw, np.uint32, n, 4 * n), np.frombuffer(raw, np.uint16, n, 8 * n), np.frombuffer(raw, np.uint16, n * k, 10 * n).reshape(n, k)))
-        place = np.concatenate([x[1] for x in got])
-        each, first, back = np.unique(place, return_index=True, return_inverse=True)
-        own = np.concatenate([x[2] for x in got]).astype(np.float64)
-        kind = np.concatenate([x[3] for x in got])[first]
-        part = np.concatenate([x[4] for x in got])
-        count = np.bincount(back, own, minlength=len(each))
-        of = np.column_stack([np.bincount(back, own * part[:, s] / _TOP, minlength=len(each)) for s in range(k)])
+            own = np.frombuffer(raw, np.uint32, n)
+            some = np.flatnonzero(own)
+            part = np.frombuffer(raw, np.uint16, k * len(some), 4 * n).reshape(-1, k)
+            at = np.array([put(w, len(place)) for w in raw[4 * n + 2 * k * len(some) :].split(_JOIN)], np.int64)
+            sent.append((pack, at, own, some, part))
+        count, of = np.zeros(len(place)), np.zeros((len(place), k))
+        for _, at, own, some, part in sent:  # a pack's words differ, so plain indexing adds each once
+            count[at] += own
+            of[at[some]] += own[some, None] * (part / _TOP)
+        kind = np.array([word_class(w, CLASSES) for w in place], np.int64)
         code = 1 + np.rint((of + DRAW * share[kind]) / (of.sum(axis=1) + DRAW)[:, None] * (_TOP - 1)).astype(np.int64)
-        sums = (code / _TOP * ((count + SMOOTH) / (tokens_n + SMOOTH * (words_n + CLASSES)))[:, None]).sum(axis=0)
-        bucket, ends = table.column("bucket")[0].as_py(), np.cumsum([len(x[1]) for x in got])
-        replies = code.astype(np.uint16)[back]
-        return B.mail([*[(x[0], bucket, _squeezed(replies[e - len(x[1]) : e])) for x, e in zip(got, ends)], (-1, bucket, sums.tobytes())])
+        known = count > 0
+        sums = (code[known] / _TOP * (count[known] + SMOOTH)[:, None]).sum(axis=0)
+        bucket = table.column("bucket")[0].as_py()
+        replies = [(pack, bucket, _squeezed(count[at].astype(np.int64), code[at[known[at]]].astype(np.uint16))) for pack, at, *_ in sent]
+        return B.mail([*replies, (-1, bucket, np.array([count.sum(), known.sum(), *sums]).tobytes())], pa.int64())
 
-    return B.saved(sequences.mapInArrow(send, B.MAIL).groupBy("bucket").applyInArrow(answer, B.MAIL))
+    mail = T.StructType([T.StructField("block", T.LongType()), *B.MAIL.fields[1:]])
+    return B.saved(packs.drop("rest").mapInArrow(send, mail).groupBy("bucket").applyInArrow(answer, mail))
 
 
 def scored(docs: DataFrame, *, states: int = STATES, passes: int = PASSES, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
@@ -366,69 +387,36 @@ def scored(docs: DataFrame, *, states: int = STATES, passes: int = PASSES, block
 def _scored(docs: DataFrame, states: int, passes: int, block_bytes: int) -> DataFrame:
     blocks = B.n_blocks(docs, block_bytes)
     buckets = max(16, blocks // 2)
-    base = B.packed(docs, blocks, rest=True)
-    counts = _counts(base, buckets)
-    size = _summed(counts.where("block = -1"), np.int64, 2 * CLASSES).reshape(2, CLASSES)
-    n, v = int(size[0].sum()), int(size[1].sum())
-    rest = base.schema["rest"].dataType
-    packs = T.StructType([
-        T.StructField("block", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("sizes", T.ArrayType(T.IntegerType())),
-        *[T.StructField(c, T.BinaryType()) for c in _PACK], T.StructField("rest", T.ArrayType(rest)),
-    ])
-
-    def sequence(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            lists = {c: pa.array([], pa.list_(pa.int32())) for c in ("buckets", "sizes")}
-            return pa.table({"block": pa.array([], pa.int32()), **lists, **{c: pa.array([], pa.binary()) for c in _PACK}, "rest": pa.array([], pa.list_(left.schema.field("rest").type))})
-        ids, rows, number, seqs, _ = _lexicon(left)
-        count, place = np.zeros(len(number), np.int64), np.zeros(len(number), np.uint32)
-        replies, order = dict(B.in_order(right, "bucket")), []
-        for b, at in _buckets_of(number, buckets):
-            raw = _expanded(replies[b])
-            count[at], place[at] = np.frombuffer(raw, np.int64, len(at)), np.frombuffer(raw, np.uint32, len(at), 8 * len(at))
-            order.append((b, at))
-        unigram = np.log10((count + SMOOTH) / (n + SMOOTH * (v + 1)))
-        lengths, flat = np.array([len(s) for s in seqs], np.int64), np.concatenate(seqs)
-        add = lambda x: np.add.reduceat(x[flat], np.cumsum(lengths) - lengths)
-        body = {
-            "tokens": flat, "lengths": lengths, "training": np.array([not held_out(i) for i in ids]), "ids": np.array([_NO_ID if i is None else i for i in ids], np.int64),
-            "kind": np.array([word_class(w, CLASSES) for w in number], np.uint16), "count": count, "order": np.concatenate([at for _, at in order]).astype(np.uint32), "place": place,
-            "base": add(unigram), "known": add((count > 0).astype(np.int64)),
-        }
-        kept = left.column("rest").take(pa.array(rows)).combine_chunks()
-        one = lambda x: pa.array([x], pa.list_(pa.int32()))
-        return pa.table({
-            "block": pa.array([left.column("block")[0].as_py()], pa.int32()), "buckets": one([b for b, _ in order]), "sizes": one([len(at) for _, at in order]),
-            **{c: pa.array([_squeezed(x.astype(_KIND[c]))], pa.binary()) for c, x in body.items()}, "rest": pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept),
-        })
-
-    sequences = B.saved(base.groupBy("block").cogroup(counts.where("block >= 0").groupBy("block")).applyInArrow(sequence, packs))
-    model = Model.first(states, size[0])
-    for _ in range(passes if n else 0):
-        model, _ = _class_pass(sequences.drop("rest"), model)
-    shares = _word_pass(sequences.drop("rest"), model, n, v)
-    unseen = SMOOTH / (n + SMOOTH * (v + CLASSES))
-    total = _summed(shares.where("block = -1"), np.float64, states) + unseen * model.shares().sum(axis=0)
-
+    packs = _packs(docs, blocks, block_bytes)
+    model = Model.first(states, _class_tokens(packs))
+    for _ in range(passes):
+        model, _ = _class_pass(packs, model)
+    replies = _word_pass(packs, model, buckets)
+    n, v, *sums = _summed(replies.where("block = -1"), 2 + states).tolist()
+    shares = model.shares()
+    total = np.array(sums) + SMOOTH * shares.sum(axis=0)  # with one unseen word in each class
+    rest = packs.schema["rest"].dataType.elementType
     result = T.StructType([
-        T.StructField("doc_id", T.LongType()), base.schema["rest"], T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
+        T.StructField("doc_id", T.LongType()), T.StructField("rest", rest), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
         T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
     ])
 
     def final(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts, replies = [], dict(B.in_order(right, "bucket"))
-        for x in _blocks(left.to_batches()):
-            share = model.shares()[x.kind]
-            for b, at in x.buckets:
-                at = at[x.count[at] > 0]
-                if len(at):
-                    share[at] = np.frombuffer(_expanded(replies[b]), np.uint16).reshape(len(at), states) / _TOP
-            emit = share * ((x.count + SMOOTH) / (n + SMOOTH * (v + CLASSES)))[:, None] / total
-            score = model.score(x.seqs, emit)
-            parts.append([pa.array(x.ids, mask=x.ids == _NO_ID), pa.array(~x.training), pa.array(x.lengths), pa.array(x.known), pa.array(np.full(len(x.ids), n, np.int64)), pa.array(x.base), pa.array(score)])
+        parts, answers = [], dict(B.in_order(right, "bucket"))
+        for x in _each(left.to_batches()):
+            share, count = shares[x.kind], np.zeros(len(x.words), np.int64)
+            for b, at in x.buckets(buckets):
+                raw = _expanded(answers[b])
+                count[at] = np.frombuffer(raw, np.int64, len(at))
+                known = at[count[at] > 0]
+                share[known] = np.frombuffer(raw, np.uint16, states * len(known), 8 * len(at)).reshape(-1, states) / _TOP
+            unigram = np.log10((count + SMOOTH) / (n + SMOOTH * (v + 1)))
+            add = lambda y: np.add.reduceat(y[x.tokens], np.cumsum(x.lengths) - x.lengths)
+            score = model.score(x.seqs, share * (count + SMOOTH)[:, None] / total)
+            parts.append([pa.array(x.ids, mask=x.ids == _NO_ID), pa.array(~x.training), pa.array(x.lengths), pa.array(add((count > 0).astype(np.int64))), pa.array(np.full(len(x.ids), int(n), np.int64)), pa.array(add(unigram)), pa.array(score)])
         kept = left.column("rest").combine_chunks().flatten() if left.num_rows else pa.array([], left.schema.field("rest").type.value_type)
         columns = [pa.concat_arrays(p) for p in zip(*parts)] if parts else [pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
         return pa.Table.from_arrays([columns[0], kept, *columns[1:]], names=[f.name for f in result])
 
-    out = sequences.groupBy("block").cogroup(shares.where("block >= 0").groupBy("block")).applyInArrow(final, result)
+    out = packs.groupBy("block").cogroup(replies.where("block >= 0").groupBy("block")).applyInArrow(final, result)
     return out.select(*B.restored(out, docs.drop("text"), "doc_id"), *MADE)
