@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from . import blocks as B
 from . import words as W
 
-KEEP_WORDS, KEEP_CHUNKS = 150_000, 4_000
+KEEP_WORDS, KEEP_CHUNKS = 400_000, 4_000
 #: A cut is made at white space where the rolling hash has this many zero bits.
 CUT_BITS, ROLL = 7, 16
 _tables: dict = {}
