@@ -144,10 +144,10 @@ def nearest(vectors: DataFrame, k: int = 20, *, every: int = 20, block: int = 0)
         held: dict = {}
 
         def out():
-            flat = [(q, n, v, -s) for ids, best in held.values() for n, (q, h) in enumerate(zip(ids.tolist(), best)) for s, v in h]
+            flat = [(q, b, n, v, -s) for b, (ids, best) in held.items() for n, (q, h) in enumerate(zip(ids.tolist(), best)) for s, v in h]
             held.clear()
-            q, n, v, s = zip(*flat) if flat else ((),) * 4
-            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(n, pa.int32()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "place", "vec_id", "score"])
+            q, b, n, v, s = zip(*flat) if flat else ((),) * 5
+            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(b, pa.int32()), pa.array(n, pa.int32()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "home", "place", "vec_id", "score"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -160,6 +160,6 @@ def nearest(vectors: DataFrame, k: int = 20, *, every: int = 20, block: int = 0)
                     yield out()
         yield out()
 
-    found = tiles.mapInArrow(run, "query_id long, place int, vec_id long, score double")
-    ranked = found.withColumn("rank", F.expr("row_number() over (partition by query_id, place order by score desc, vec_id)"))
+    found = tiles.mapInArrow(run, "query_id long, home int, place int, vec_id long, score double")
+    ranked = found.withColumn("rank", F.expr("row_number() over (partition by query_id, home, place order by score desc, vec_id)"))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
