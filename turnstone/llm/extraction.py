@@ -10,8 +10,8 @@ a segment belongs to the upper cluster if half of its characters do.
 * On pages with article or main elements, the text is what stands in them, short lines too,
   but for segments that are mostly links and not in the upper cluster: lists of shares, tags
   or related pages, whatever they are called.
-* On other pages it is the stretch from the first to the last line of the upper cluster and
-  the lines next to it in the same element, up to a list of links.
+* On other pages it is the stretch from the first to the last line of the upper cluster in a
+  segment of it, and the lines next to it in the same element, up to a list of links.
 
 What the page itself says is no article (nav, footer, aside, form, roles, hidden) is left out
 before that. Names in class or id leave an element out only if they name nothing else: each
@@ -228,16 +228,16 @@ def _stretch(lines: list[Line], content: np.ndarray) -> tuple[int, int]:
     return first, last
 
 
-def _segments(lines: list[Line], content: np.ndarray) -> list[bool]:
-    """For each line, whether its segment is in the upper cluster or not mostly links."""
+def _segments(lines: list[Line], content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each line, whether its segment is in the upper cluster, and whether it is that or not mostly links."""
     own: dict[int, list[int]] = {}
     for i, x in enumerate(lines):
         own.setdefault(x.segment, []).append(i)
-    fine = {}
+    upper, fine = {}, {}
     for s, at in own.items():
-        upper = sum(len(lines[i].text) for i in at if content[i])
-        fine[s] = 2 * upper >= sum(len(lines[i].text) for i in at) or not _links([lines[i] for i in at])
-    return [fine[x.segment] for x in lines]
+        upper[s] = 2 * sum(len(lines[i].text) for i in at if content[i]) >= sum(len(lines[i].text) for i in at)
+        fine[s] = upper[s] or not _links([lines[i] for i in at])
+    return np.array([upper[x.segment] for x in lines]), np.array([fine[x.segment] for x in lines])
 
 
 def main_text(html: str, cluster=_upper) -> str:
@@ -256,12 +256,14 @@ def main_text(html: str, cluster=_upper) -> str:
     lines, content = [x for x, _ in both], np.array([c for _, c in both])
     inside = [i for i, x in enumerate(lines) if x.region]
     if inside:
-        region, fine = [lines[i] for i in inside], _segments([lines[i] for i in inside], content[inside])
-        if not any(fine):
+        region = [lines[i] for i in inside]
+        _, fine = _segments(region, content[inside])
+        if not fine.any():
             most = max({x.region for x in region}, key=lambda r: sum(len(x.text) for x in region if x.region == r))
-            fine = [x.region == most for x in region]
+            fine = np.array([x.region == most for x in region])
         return "\n".join(x.text for x, f in zip(region, fine) if f)
-    first, last = _stretch(lines, content if content.any() else np.ones(len(lines), bool))
+    upper = content & _segments(lines, content)[0]  # smoothing lifts short lines beside long ones, but not their segment
+    first, last = _stretch(lines, upper if upper.any() else content if content.any() else np.ones(len(lines), bool))
     return "\n".join(x.text for x in lines[first : last + 1])
 
 
