@@ -42,6 +42,12 @@ def ready(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def saved(df: DataFrame, *, laid_out: bool = False) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder.
 
