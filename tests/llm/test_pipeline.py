@@ -53,3 +53,49 @@ def test_stages_equal_brute_force(spark, folder):
 def test_run_gives_the_last_stage(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.count() > 0 and got.columns == ["doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+
+
+# ---- cases that every stage states ----
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+CLASHES = ["a.b", "kept", "n_words", "copy", "rate", "block", "fp", "_body", "__body", "key", "rest", "row", "shuffle_key", "base_failed", "KEPT2", "TEXT2", "n_removed", "kept_sha256"]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_empty_tables(spark, name, stage):
+    got = stage(spark, spark.createDataFrame([], ops.DOCS), "")
+    assert got.collect() == [] and (name == "bpe_encoding" or got.columns == COLUMNS)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_stages_pass_further_columns_unseen(spark, name, stage):
+    rows = [(i, ops.prose(i, 200), "en", "s", 1, *[f"{c} {i}" for c in CLASHES]) for i in range(6)]
+    got = stage(spark, spark.createDataFrame(rows, [*COLUMNS, *CLASHES]), "")
+    assert got.columns == [*COLUMNS, *CLASHES]
+    found = got.collect()
+    assert found and all(r[len(COLUMNS) + i] == f"{c} {r.doc_id}" for r in found for i, c in enumerate(CLASHES))
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_nulls_in_any_column(spark, name, stage):
+    full = (5, ops.prose(5, 100), "en", "s", 9)
+    rows = [full, full, (None,) * 5] + [tuple(None if i == j else x for j, x in enumerate((10 + i, ops.prose(20 + i, 100), "fr", "t", 9))) for i in range(5)]
+    got = stage(spark, spark.createDataFrame(rows, ops.DOCS), "").collect()
+    assert len(got) > 0
+    if name == "near_dedup":  # the repeated row once, both null texts as one group
+        assert len(got) == 6
+    if name == "quality_rules":
+        assert all(r.text for r in got)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_very_long_texts(spark, name, stage):
+    long = ops.prose(1, 40_000, 9_000)
+    rows = [(1, long, "en", "s", len(long)), (2, long + " end", "en", "s", len(long) + 4), (3, "x" * 400_000, "en", "s", 400_000), (4, ops.prose(4, 60), "en", "s", 1)]
+    got = {r.doc_id: r for r in stage(spark, spark.createDataFrame(rows, ops.DOCS), "").collect()}
+    if name == "substring_dedup":
+        assert got[1].text == long and got[2].text == "end"  # all other words of the second are covered by windows of the first
+    elif name == "near_dedup":
+        assert set(got) == {1, 3, 4}
+    elif name == "bpe_encoding":
+        assert len(got) == 4 and got[1].n_tokens > 40_000
