@@ -306,3 +306,19 @@ def test_answers_of_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("payload string").parquet(f"{tmp_path}/in")
     H.answered_stream(stream, model, f"{tmp_path}/c", "m", f"{tmp_path}/out", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.output for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["A", "B"]
+
+
+def test_lsa_equals_a_singular_value_decomposition(spark):
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+
+    from turnstone.operators import learning as ML
+
+    x = np.random.default_rng(1).poisson(0.6, (30, 12)).astype(float)
+    frame = spark.createDataFrame([(i, Vectors.dense(r.tolist())) for i, r in enumerate(x)], ["id", "weights"])
+    got = np.array([r.v for r in ML.lsa(frame, 3).orderBy("id").select(vector_to_array("features").alias("v")).collect()])
+    _, _, vt = np.linalg.svd(x, full_matrices=False)
+    want = x @ vt[:3].T
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(np.abs(got @ got.T), np.abs(want @ want.T), atol=1e-8)

@@ -34,16 +34,17 @@ PROPERTIES = {
     "u7_diverse_sample": lambda rows: len({r["doc_id"] for r in rows}) == len(rows) == 60 and len({r["lang"] for r in rows}) == 4,
     "m4_kmeans": lambda rows: [r["k"] for r in sorted(rows, key=lambda r: r["k"])] == list(range(8, 16)) and sum(r["chosen"] for r in rows) == 1 and all(-1 <= r["silhouette"] <= 1 and r["inertia"] > 0 and 0 < r["min_share"] <= 1 / r["k"] + 1e-9 for r in rows),
     "m7_tfidf_classifier": lambda rows: rows and sum(r["lang"] == r["predicted"] for r in rows) / len(rows) > 0.9,  # held-out accuracy
-    "s17_hashed_vectors": lambda rows: _unit_vectors(rows),
+    "s17_hashed_vectors": lambda rows: _unit_vectors(rows, 64),
+    "m3_lsa": lambda rows: _unit_vectors(rows, 8),
     "m16_handled_messages": lambda rows: len({r["case_id"] for r in rows}) == len(rows) > 0 and all((r["action"] == "ESCALATE" and r["reply"] is None and r["reasons"]) or (r["action"] == "AUTO_HANDLE" and r["reply"]) for r in rows),
 }
 
 
-def _unit_vectors(rows):
+def _unit_vectors(rows, size):
     norms: dict = {}
     for r in rows:
         norms.setdefault(r["item_id"], []).append(r["x"])
-    return norms and all(len(x) == 64 and (abs(sum(y * y for y in x) - 1) < 1e-9 or not any(x)) for x in norms.values())
+    return norms and all(len(x) == size and (abs(sum(y * y for y in x) - 1) < 1e-9 or not any(x)) for x in norms.values())
 
 
 @pytest.mark.parametrize("name", list(registry.QUERIES))

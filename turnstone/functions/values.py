@@ -102,3 +102,8 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     p = hits / n
     centre, spread, scale = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 1 + z * z / n
     return F.when(n > 0, F.greatest(F.lit(0.0), (centre - spread) / scale)), F.when(n > 0, F.least(F.lit(1.0), (centre + spread) / scale))
+
+
+def half_even(x: Column, digits: int) -> Column:
+    """Rounded to digits, ties to the even neighbour, as Python's round does."""
+    return F.bround(x, digits)

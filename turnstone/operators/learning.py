@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, CountVectorizer, IDF, Normalizer, StringIndexer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, StringIndexer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.mllib.linalg import Vectors as OldVectors
+from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +49,23 @@ def chosen_k(rows: list[dict], min_ari: float = 0.6, min_share: float = 0.02) ->
 
 
 def lsa(df: DataFrame, k: int, source: str = "weights", to: str = "features") -> DataFrame:
-    """Term weights reduced to k principal directions of unit length."""
-    reduced = PCA(k=k, inputCol=source, outputCol="__r").fit(df).transform(df)
-    return Normalizer(inputCol="__r", outputCol=to).transform(reduced).drop("__r")
+    """Term weights reduced to the k strongest singular directions (not centred), of unit length.
+
+    The decomposition needs the terms' products only, terms x terms numbers at most whatever the
+    number of rows; rows are then multiplied by the terms x k matrix side by side.
+    """
+    rows = df.select(source).rdd.map(lambda r: OldVectors.fromML(r[0]))
+    right = np.asarray(RowMatrix(rows).computeSVD(k).V.toArray())
+    directions = [[float(x) for x in row] for row in right * np.where(right.sum(axis=0) < 0, -1.0, 1.0)]  # terms x k
+    table = df.sparkSession.createDataFrame(list(enumerate(directions)), "term int, w array<double>")
+    entry = F.explode(F.filter(F.transform(vector_to_array(F.col(source)), lambda x, i: F.struct(i.alias("term"), x.alias("x"))), lambda e: e["x"] != 0)).alias("e")
+    keyed = df.withColumn("__row", F.monotonically_increasing_id())
+    keyed = graph.saved(keyed)
+    long = keyed.select("__row", entry).select("__row", "e.term", "e.x").join(table, "term").select("__row", "x", F.posexplode("w").alias("i", "w")).groupBy("__row", "i").agg(F.sum(F.col("x") * F.col("w")).alias("y"))
+    reduced = long.groupBy("__row").agg(array_to_vector(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda s: s["y"])).alias("__r"))  # k entries a row
+    zero = array_to_vector(F.array_repeat(F.lit(0.0), k))  # rows without terms have no direction
+    placed = keyed.join(reduced, "__row", "left").withColumn("__r", F.coalesce("__r", zero))
+    return Normalizer(inputCol="__r", outputCol=to).transform(placed).drop("__r", "__row")
 
 
 def text_classifier(train: DataFrame, terms: Column, label: str, c: float, seed: int = 42) -> Pipeline:
@@ -56,8 +73,10 @@ def text_classifier(train: DataFrame, terms: Column, label: str, c: float, seed:
     n, kinds = train.count(), train.select(label).distinct().count()
     weights = train.groupBy(label).agg((F.lit(float(n)) / (kinds * F.count("*"))).alias("__weight"))
     rows = train.withColumn("__terms", terms).join(weights, label)
+    # the vocabulary is as large as the data needs; no term in two documents is dropped
+    size = max(1, rows.select(F.explode(F.array_distinct("__terms")).alias("t")).groupBy("t").count().where("count > 1").count())
     stages = [
-        CountVectorizer(inputCol="__terms", outputCol="__tf", minDF=2, vocabSize=1 << 16), IDF(inputCol="__tf", outputCol="__tfidf"), Normalizer(inputCol="__tfidf", outputCol="features"),
+        CountVectorizer(inputCol="__terms", outputCol="__tf", minDF=2, vocabSize=size), IDF(inputCol="__tf", outputCol="__tfidf"), Normalizer(inputCol="__tfidf", outputCol="features"),
         StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="keep"), LogisticRegression(labelCol="__y", weightCol="__weight", regParam=1.0 / (c * max(1, n)), maxIter=60),
     ]
     return Pipeline(stages=stages).fit(rows)

@@ -83,3 +83,24 @@ def invariant_errors(action: Column, reply: Column, reasons: Column, evidence: C
         F.when(~action.isin("AUTO_HANDLE", "ESCALATE"), F.lit("unknown_action")), F.when((action == "AUTO_HANDLE") & empty, F.lit("auto_without_reply")), F.when((action == "ESCALATE") & ~empty, F.lit("escalated_with_reply")),
         F.when(F.size(reasons) == 0, F.lit("no_reason")), F.when((action == "AUTO_HANDLE") & (evidence == 0), F.lit("auto_without_evidence")), F.when(~confidence.between(0, 1), F.lit("confidence_out_of_range")),
     ))
+
+
+def observation_flags(cases: DataFrame, evidence: DataFrame, fallback: str = "unclear_or_media_only", key: str = "case_id") -> DataFrame:
+    """key, flags: what a person should look at in a routing result; not verdicts.
+
+    cases: key, message, intent, candidate_intent, multi_intent, action, reasons, grounded, escalation_signal, dm_redirect;
+    evidence: key, evidence_case_id, intent, resolution_type, a handful a case.
+    """
+    e = evidence.join(cases.select(key, F.col("intent").alias("__intent")), key)
+    per = e.groupBy(key).agg(F.count("*").alias("__n"), F.count_if(F.col("intent") != F.col("__intent")).alias("__other"), F.bool_or(F.col("evidence_case_id").cast("string") == F.col(key).cast("string")).alias("__self"))
+    common = e.groupBy(key, "resolution_type").agg(F.count("*").alias("n")).groupBy(key).agg(F.max("n").alias("__common"))
+    c = cases.join(per, key, "left").join(common, key, "left")
+    auto, differs = F.col("action") == "AUTO_HANDLE", F.col("candidate_intent").isNotNull() & (F.col("intent") != F.col("candidate_intent"))
+    flags = F.array_compact(F.array(
+        F.when(differs, F.lit("intent_differs_from_candidate")), F.when(F.col("__n").isNull(), F.lit("no_evidence")), F.when(F.col("__common") / F.col("__n") < 0.5, F.lit("mixed_resolutions")),
+        F.when(F.col("__other") / F.col("__n") > 0.5, F.lit("mostly_other_intents")), F.when(F.col("__self"), F.lit("retrieved_itself")), F.when(X.count_words(F.col("message")) < SETTINGS["min_message_words"], F.lit("low_information")),
+        F.when(F.col("multi_intent"), F.when(auto, F.lit("multi_intent_flagged")).otherwise(F.lit("multi_intent_escalation"))), F.when(F.col("intent") == fallback, F.lit("fallback_intent")),
+        F.when(F.exists("reasons", lambda r: r.startswith("the generator returned no reply")), F.lit("no_reply_generated")), F.when(~F.col("grounded"), F.lit("grounding_failed")),
+        F.when(auto & (F.col("escalation_signal").isin(*HUMAN_SIGNALS) | F.coalesce("dm_redirect", F.lit(False))), F.lit("auto_on_escalation_like_case")),
+    ))
+    return c.select(key, flags.alias("flags"))

@@ -18,6 +18,15 @@ def merge_candidates(df: DataFrame, candidate: str, human: str, rate: float = 0.
     return pair.where((F.col("ways") == 2) & (F.col("rate") >= rate)).select("pair", "n", "rate")
 
 
+def split_candidates(df: DataFrame, candidate: str, human: str) -> DataFrame:
+    """candidate, n, top, purity, second_share, split_candidate: a label whose top human label has under 0.6 and the next one 0.25 or more."""
+    w = Window.partitionBy("gold")
+    c = SC.confusion(df, candidate, human).withColumns({"cn": F.sum("n").over(w), "k": F.row_number().over(w.orderBy(F.desc("n"), "predicted"))}).withColumn("p", F.col("n") / F.col("cn"))
+    at = lambda k, x: F.max(F.when(F.col("k") == k, F.col(x)))
+    out = c.groupBy(F.col("gold").alias("candidate")).agg(F.max("cn").alias("n"), at(1, "predicted").alias("top"), at(1, "p").alias("purity"), at(2, "p").alias("second_share"))
+    return out.withColumn("split_candidate", F.coalesce((F.col("purity") < 0.6) & (F.col("second_share") >= 0.25), F.lit(False)))
+
+
 def review_signals(df: DataFrame, candidate: str, gold: str) -> DataFrame:
     """signal, subject, n: merge, split, rename, unused and add signals of a reviewed set.
 

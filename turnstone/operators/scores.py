@@ -90,6 +90,19 @@ def quotas(counts: DataFrame, by: str, n: int, least: int = 1) -> DataFrame:
     return left.select(by, (F.col("__q") + extra.cast("int")).cast("int").alias("quota"))
 
 
+def topped_up(wanted: DataFrame, counts: DataFrame, by: str, target: int) -> DataFrame:
+    """by, quota: the wanted quotas (by, quota, priority) as far as there are rows (counts: by, n), and what is missing to target dealt in turn by priority to strata with rows to spare.
+
+    Both tables have one row a stratum; a stratum without a wish comes after all others, by name.
+    """
+    w = Window.partitionBy()
+    base = counts.join(wanted, by, "left").select(by, "n", "priority", F.least("n", F.coalesce("quota", F.lit(0))).cast("long").alias("__q"))
+    base = base.withColumn("__missing", F.greatest(F.lit(0), F.lit(target) - F.sum("__q").over(w)))
+    spare = base.select(by, "priority", "__missing", F.explode(F.when((F.col("n") > F.col("__q")) & (F.col("__missing") > 0), F.sequence(F.lit(1).cast("long"), F.least(F.col("n") - F.col("__q"), "__missing")))).alias("turn"))
+    dealt = spare.withColumn("__place", F.row_number().over(Window.orderBy("turn", F.asc_nulls_last("priority"), by))).where(F.col("__place") <= F.col("__missing"))  # target rows a stratum at most
+    return base.join(dealt.groupBy(by).agg(F.count("*").alias("__more")), by, "left").select(by, (F.col("__q") + F.coalesce("__more", F.lit(0))).cast("int").alias("quota"))
+
+
 def stratified(df: DataFrame, key: str, by: str, n: int, seed: int = 42) -> DataFrame:
     """Up to each stratum's quota in hash order; quotas are a small table, rows are ranked within strata."""
     q = quotas(df.groupBy(by).agg(F.count("*").alias("n")), by, n)

@@ -379,3 +379,28 @@ def t25_rendered_threads(spark, d):
     t = E.turns_of(turns(spark, d), "conv_id").select("conv_id", F.transform("turns", lambda x: F.struct(x["tweet_id"].alias("id"), x["role"].alias("role"), x["text"].alias("text"))).alias("ts"))
     r = t.select("conv_id", X.render_turns(F.col("ts")).alias("rendered"))
     return r.withColumn("parsed", F.size(X.parsed_turns(F.col("rendered"))).cast("long"))
+
+
+# ---- the conversations' own texts ----
+
+
+@query(r"""WITH k AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '@[\p{L}\p{N}_]+', ' ', 'g'), '\d+', '0', 'g'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS opener FROM conversations)
+SELECT sha256(opener) AS opener_sha, count(*) AS n, min(conv_id * 100 + turn) AS first_turn FROM k GROUP BY opener""")
+def t12_turn_keys(spark, d):
+    k = read(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("at"), X.opener_key(F.col("text")).alias("opener"))
+    return k.groupBy(F.sha2("opener", 256).alias("opener_sha")).agg(F.count("*").alias("n"), F.min("at").alias("first_turn"))
+
+
+@query("SELECT conv_id, sha256(string_agg('[' || upper(role) || ' ' || (conv_id * 100 + turn) || '] ' || text, chr(10) ORDER BY turn)) AS rendered_sha, count(*) AS parsed FROM conversations GROUP BY conv_id")
+def t25_rendered_texts(spark, d):
+    """Rendered, and parsed back: texts of several lines stay one turn."""
+    c = read(spark, d, "conversations")
+    t = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "role", "text"))).alias("s"))
+    r = t.select("conv_id", X.render_turns(F.col("s")).alias("rendered"))
+    return r.select("conv_id", F.sha2("rendered", 256).alias("rendered_sha"), F.size(X.parsed_turns(F.col("rendered"))).cast("long").alias("parsed"))
+
+
+@query(r"SELECT conv_id, turn, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, round(CASE WHEN length(regexp_replace(text, '[^\p{L}]', '', 'g')) = 0 THEN 1.0 ELSE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(regexp_replace(text, '[^\p{L}]', '', 'g')) END, 6) AS latin FROM conversations")
+def t4_turn_letters(spark, d):
+    c = read(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.char_length(F.regexp_replace("text", r"[^\p{L}]", "")).cast("long").alias("letters"), F.round(X.latin_share(F.col("text")), 6).alias("latin"))

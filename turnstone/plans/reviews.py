@@ -77,6 +77,19 @@ def r9_ticket_status(spark, d):
     return _decided(spark, d).select("conv_id", L.ticket_status(F.col("action"), F.lit("reply")).alias("status"))
 
 
+@query(f"""WITH {_DECIDE}, found AS (SELECT conv_id, count(*) AS n, count(*) FILTER (e.intent <> conv_id % 4) AS other FROM e GROUP BY conv_id), most AS (SELECT conv_id, max(n) AS common FROM (SELECT conv_id, resolution_type, count(*) AS n FROM e GROUP BY ALL) GROUP BY conv_id),
+w AS (SELECT conv_id, len(regexp_extract_all(regexp_replace(text, 'https?://\\S+|[@#]\\w+', ' ', 'g'), '[A-Za-z0-9£'']+')) AS words FROM turns WHERE turn = 0)
+SELECT dec.conv_id, concat_ws(',', CASE WHEN dec.conv_id % 4 <> dec.conv_id % 3 THEN 'intent_differs_from_candidate' END, CASE WHEN n IS NULL THEN 'no_evidence' END, CASE WHEN common / n < 0.5 THEN 'mixed_resolutions' END, CASE WHEN other / n > 0.5 THEN 'mostly_other_intents' END,
+ CASE WHEN words < 3 THEN 'low_information' END, CASE WHEN dec.conv_id % 7 = 0 THEN CASE WHEN action = 'AUTO_HANDLE' THEN 'multi_intent_flagged' ELSE 'multi_intent_escalation' END END, CASE WHEN dec.conv_id % 4 = 3 THEN 'fallback_intent' END, CASE WHEN dec.conv_id % 5 = 0 THEN 'grounding_failed' END, CASE WHEN action = 'AUTO_HANDLE' AND dec.conv_id % 2 = 0 THEN 'auto_on_escalation_like_case' END) AS flags
+FROM dec JOIN w USING (conv_id) LEFT JOIN found USING (conv_id) LEFT JOIN most USING (conv_id)""")
+def m17_observation_flags(spark, d):
+    c = F.col("conv_id")
+    cases = _decided(spark, d).withColumns({"candidate_intent": (c % 3).cast("string"), "grounded": c % 5 != 0, "escalation_signal": F.lit("none"), "dm_redirect": c % 2 == 0})
+    t = turns(spark, d)
+    e = t.select((c - 1).alias("conv_id"), (F.col("tweet_id") * -1).alias("evidence_case_id"), ((F.col("turn") * 3 + c) % 4).cast("string").alias("intent"), F.col("role").alias("resolution_type"))
+    return P.observation_flags(cases, e, fallback="3", key="conv_id").select("conv_id", F.array_join("flags", ",").alias("flags"))
+
+
 @query(f"WITH {_DECIDE} SELECT conv_id, CASE WHEN action = 'AUTO_HANDLE' AND reasons = '' THEN 'no_reason' WHEN action = 'ESCALATE' THEN 'escalated_with_reply' ELSE '' END AS errors FROM dec")
 def m17_invariants(spark, d):
     bad = P.invariant_errors(F.col("action"), F.lit("hello"), F.col("reasons"), F.lit(3), F.col("decision_confidence"))
@@ -178,6 +191,18 @@ def m4_kmeans(spark, d):
     return spark.createDataFrame([(r["k"], float(r["silhouette"]), float(r["inertia"]), float(r["seed_ari"]), float(r["min_share"]), r["k"] == ML.chosen_k(rows)) for r in rows], "k int, silhouette double, inertia double, seed_ari double, min_share double, chosen boolean")
 
 
+@query()
+def m3_lsa(spark, d):
+    """Term counts of the benchmark items reduced to 8 directions."""
+    from pyspark.ml.feature import CountVectorizer
+
+    items = read(spark, d, "benchmark").select("item_id", X.tokens(F.col("text")).alias("terms"))
+    weighed = CountVectorizer(inputCol="terms", outputCol="weights", minDF=2, vocabSize=2000).fit(items).transform(items)
+    from pyspark.ml.functions import vector_to_array
+
+    return ML.lsa(weighed, 8).select("item_id", F.posexplode(vector_to_array("features")).alias("i", "x"))
+
+
 @query()
 def m7_tfidf_classifier(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text", "lang")

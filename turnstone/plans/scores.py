@@ -11,6 +11,7 @@ from turnstone.functions import values as V
 from turnstone.operators import graph
 from turnstone.operators import policy as P
 from turnstone.operators import retrieval as RT
+from turnstone.operators import review as RV
 from turnstone.operators import scores as SC
 from turnstone.plans.bindings import TURNS, read, turns
 
@@ -122,6 +123,19 @@ def u10_stratified(spark, d):
     return SC.stratified(read(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang", 50).select("doc_id", "lang", "place")
 
 
+@query("""WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), b AS (SELECT lang, n, least(n, coalesce(q, 0)) AS q, p FROM c LEFT JOIN (VALUES ('en', 20, 2), ('fr', 10, 1), ('it', 9, 3)) w(lang, q, p) USING (lang)), m AS (SELECT *, greatest(0, 60 - sum(q) OVER ()) AS missing FROM b),
+t AS (SELECT *, unnest(range(1, (least(n - q, missing) + 1)::BIGINT)) AS turn FROM m), o AS (SELECT *, row_number() OVER (ORDER BY turn, p NULLS LAST, lang) AS place FROM t), x AS (SELECT lang, count(*) AS more FROM o WHERE place <= missing GROUP BY lang) SELECT lang, (q + coalesce(more, 0))::INTEGER AS quota FROM m LEFT JOIN x USING (lang)""")
+def a27_topped_up(spark, d):
+    wanted = spark.createDataFrame([("en", 20, 2), ("fr", 10, 1), ("it", 9, 3)], "lang string, quota int, priority int")
+    return SC.topped_up(wanted, read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n")), "lang", 60)
+
+
+@query("SELECT lang, round_even(sum(n_chars) % 1000 / 8.0::DOUBLE, 2) AS rounded, round_even((sum(n_chars) % 7) + 0.5::DOUBLE, 0) AS whole FROM documents GROUP BY lang")
+def f9_half_even(spark, d):
+    total = read(spark, d, "documents").groupBy("lang").agg(F.sum("n_chars").alias("n"))
+    return total.select("lang", V.half_even(F.col("n") % 1000 / 8.0, 2).alias("rounded"), V.half_even(F.col("n") % 7 + 0.5, 0).alias("whole"))
+
+
 @query("""WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('42:' || doc_id)) AS turn FROM documents) SELECT doc_id, turn::INTEGER AS turn FROM r ORDER BY turn, lang, source LIMIT 40""")
 def u11_round_robin(spark, d):
     return SC.round_robin(read(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id", ["lang", "source"], 40).select("doc_id", "turn")
@@ -375,10 +389,8 @@ def m6_partition_agreement(spark, d):
 @query(f"""WITH l AS (SELECT lang AS candidate, source AS human FROM documents), c AS (SELECT candidate, human, count(*) AS n FROM l GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY candidate) AS cn, sum(n) OVER (PARTITION BY human) AS hn, row_number() OVER (PARTITION BY candidate ORDER BY n DESC, human) AS k FROM c)
 SELECT candidate, max(cn)::BIGINT AS n, max(CASE WHEN k = 1 THEN human END) AS top, round(max(CASE WHEN k = 1 THEN n / cn END), 6) AS purity, round(max(CASE WHEN k = 2 THEN n / cn END), 6) AS second_share, max(CASE WHEN k = 1 THEN n / cn END) < 0.6 AND max(CASE WHEN k = 2 THEN n / cn END) >= 0.25 AS split_candidate FROM r GROUP BY candidate""")
 def a18_taxonomy_purity(spark, d):
-    c = SC.confusion(read(spark, d, "documents"), "lang", "source").withColumn("cn", F.sum("n").over(Window.partitionBy("gold"))).withColumn("k", F.row_number().over(Window.partitionBy("gold").orderBy(F.desc("n"), "predicted"))).withColumn("p", F.col("n") / F.col("cn"))
-    at = lambda k, x: F.max(F.when(F.col("k") == k, F.col(x)))
-    out = c.groupBy(F.col("gold").alias("candidate")).agg(F.max("cn").alias("n"), at(1, "predicted").alias("top"), at(1, "p").alias("p1"), at(2, "p").alias("p2"))
-    return out.select("candidate", "n", "top", F.round("p1", 6).alias("purity"), F.round("p2", 6).alias("second_share"), ((F.col("p1") < 0.6) & (F.col("p2") >= 0.25)).alias("split_candidate"))
+    out = RV.split_candidates(read(spark, d, "documents"), "lang", "source")
+    return out.withColumns({"purity": F.round("purity", 6), "second_share": F.round("second_share", 6)})
 
 
 @query("""WITH p AS (SELECT least(a.event_type, b.event_type) || '|' || greatest(a.event_type, b.event_type) AS pair, a.event_type <> b.event_type AS differ FROM events a JOIN events b ON b.event_id = a.event_id + 1) SELECT pair, count(*) AS n FROM p WHERE differ GROUP BY pair HAVING count(*) >= 3""")
