@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,14 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
+class _numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _squeezed(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
 
@@ -84,28 +93,30 @@ _KIND = {"tokens": np.uint32, "lengths": np.int64, "training": np.bool_, "ids":
 def _packs(docs: DataFrame, blocks: int, block_bytes: int) -> DataFrame:
     """Packs of documents as they lie in their partitions, block_bytes of text each, spread over blocks and saved.
 
-    block, rest (of each document), words (distinct ones, in order of appearance) and the arrays of _KIND: token
-    numbers, tokens a text, whether it trains, doc_ids, and the class of each word.
+    block, rest (of each document), body (training tokens of each class), words (distinct ones, in order of
+    appearance) and the arrays of _KIND: token numbers, tokens a text, whether it trains, doc_ids, and the class of
+    each word.
     """
     B.ready(docs.sparkSession)
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("body"), B.rest_of(docs, "doc_id", "text").alias("rest"))
     rest = frame.schema["rest"].dataType
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("words", T.BinaryType()), *[T.StructField(c, T.BinaryType()) for c in _KIND], T.StructField("rest", T.ArrayType(rest))])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("body", T.BinaryType()), T.StructField("words", T.BinaryType()), *[T.StructField(c, T.BinaryType()) for c in _KIND], T.StructField("rest", T.ArrayType(rest))])
 
     def packed(number: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows)
-        place: dict[bytes, int] = {}
-        put = place.setdefault
+        place = _numbers()
         ids = table.column("doc_id").to_pylist()
-        seqs = [np.array([put(w, len(place)) for w in tokens(t)], np.uint32) for t in table.column("body").to_pylist()]
+        seqs = [np.array([*map(place.__getitem__, tokens(t))], np.uint32) for t in table.column("body").to_pylist()]
         arrays = {
             "tokens": np.concatenate(seqs), "lengths": np.array([len(s) for s in seqs], np.int64), "training": np.array([not held_out(i) for i in ids]),
             "ids": np.array([_NO_ID if i is None else i for i in ids], np.int64), "kind": np.array([word_class(w, CLASSES) for w in place], np.uint16),
         }
+        trained = [s for s, t in zip(seqs, arrays["training"]) if t]
+        classes = np.bincount(arrays["kind"][np.concatenate(trained)], minlength=CLASSES) if trained else np.zeros(CLASSES)
         kept = table.column("rest").combine_chunks()
         lists = pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept)
         return pa.RecordBatch.from_arrays([
-            pa.array([number], pa.int64()), pa.array([zstandard.ZstdCompressor(level=1).compress(_JOIN.join(place))], pa.binary()), *[pa.array([_squeezed(arrays[c])], pa.binary()) for c in _KIND], lists,
+            pa.array([number], pa.int64()), pa.array([classes.astype(np.float64).tobytes()], pa.binary()), pa.array([zstandard.ZstdCompressor(level=1).compress(_JOIN.join(place))], pa.binary()), *[pa.array([_squeezed(arrays[c])], pa.binary()) for c in _KIND], lists,
         ], names=[f.name for f in schema])
 
     def run(batches):
@@ -128,7 +139,7 @@ def _packs(docs: DataFrame, blocks: int, block_bytes: int) -> DataFrame:
 
 class _Pack:
     def __init__(self, row: dict) -> None:
-        self.number, self.words = row["block"], _expanded(row["words"]).split(_JOIN)
+        self.number, self._words = row["block"], row["words"]
         for c, kind in _KIND.items():
             setattr(self, c, np.frombuffer(_expanded(row[c]), kind))
         self.seqs = np.split(self.tokens, np.cumsum(self.lengths)[:-1])
@@ -136,6 +147,10 @@ class _Pack:
     def trained(self) -> list[np.ndarray]:
         return [s for s, t in zip(self.seqs, self.training) if t]
 
+    @cached_property
+    def words(self) -> list[bytes]:
+        return _expanded(self._words).split(_JOIN)
+
     def buckets(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
         """Each bucket with the numbers of its words."""
         return B.by_bucket(np.fromiter((zlib.crc32(w) % n for w in self.words), np.int64, len(self.words)))
@@ -305,16 +320,6 @@ def _sums(packs: DataFrame, n: int, of) -> np.ndarray:
     return _summed(packs.drop("rest").mapInArrow(run, "body binary"), n)
 
 
-def _class_tokens(packs: DataFrame) -> np.ndarray:
-    """Training tokens of each class."""
-
-    def of(x: _Pack) -> np.ndarray:
-        seqs = x.trained()
-        return np.bincount(x.kind[np.concatenate(seqs)], minlength=CLASSES) if seqs else np.zeros(CLASSES)
-
-    return _sums(packs, CLASSES, of)
-
-
 def _class_pass(packs: DataFrame, model: Model) -> tuple[Model, float]:
     """One Baum-Welch pass over all training documents, words standing for their classes."""
     k, c = model.emit.shape
@@ -354,14 +359,13 @@ def _word_pass(packs: DataFrame, model: Model, buckets: int) -> DataFrame:
             yield from B.mail(rows, pa.int64()).to_batches()
 
     def answer(table: pa.Table) -> pa.Table:
-        place: dict[bytes, int] = {}
-        put, sent = place.setdefault, []
+        place, sent = _numbers(), []
         for pack, body in B.in_order(table, "block"):
             n, raw = int(np.frombuffer(body, np.uint32, 1)[0]), _expanded(body[4:])
             own = np.frombuffer(raw, np.uint32, n)
             some = np.flatnonzero(own)
             part = np.frombuffer(raw, np.uint16, k * len(some), 4 * n).reshape(-1, k)
-            at = np.array([put(w, len(place)) for w in raw[4 * n + 2 * k * len(some) :].split(_JOIN)], np.int64)
+            at = np.array([*map(place.__getitem__, raw[4 * n + 2 * k * len(some) :].split(_JOIN))], np.int64)
             sent.append((pack, at, own, some, part))
         count, of = np.zeros(len(place)), np.zeros((len(place), k))
         for _, at, own, some, part in sent:  # a pack's words differ, so plain indexing adds each once
@@ -388,7 +392,7 @@ def _scored(docs: DataFrame, states: int, passes: int, block_bytes: int) -> Data
     blocks = B.n_blocks(docs, block_bytes)
     buckets = max(16, blocks // 2)
     packs = _packs(docs, blocks, block_bytes)
-    model = Model.first(states, _class_tokens(packs))
+    model = Model.first(states, _summed(packs, CLASSES))
     for _ in range(passes):
         model, _ = _class_pass(packs, model)
     replies = _word_pass(packs, model, buckets)
