@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, bpe, extraction, hmm, licenses, mixing, neighbours, quality, sharding, simhash, substrings
+from . import audit, blocks, bpe, codes, extraction, hmm, licenses, mixing, neighbours, quality, secrets, sharding, simhash, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,6 +63,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _read(spark, sf_dir, "labels"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.found(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(_read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,10 +92,16 @@ QUERIES = {
     "op8_hmm_scoring": op8_hmm_scoring,
     "op9_bpe": op9_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE.format(docs="documents"),
     "op2_substring_dedup": substrings.ORACLE,
     "op7_quality_rules": quality.ORACLE,
+    "op11_filter_audit": audit.ORACLE,
+    "op12_secret_scan": secrets.ORACLE,
+    "op13_vector_codes": codes.ORACLE,
 }
