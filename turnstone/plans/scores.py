@@ -13,6 +13,7 @@ from turnstone.operators import policy as P
 from turnstone.operators import retrieval as RT
 from turnstone.operators import review as RV
 from turnstone.operators import scores as SC
+from turnstone.operators import search as SE
 from turnstone.plans.bindings import TURNS, read, turns
 
 QUERIES: dict = {}
@@ -183,7 +184,9 @@ def _bm25(spark, d):
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, bm25, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, doc_id) AS rank FROM s) WHERE rank <= 10")
 def m8_bm25_top(spark, d):
-    return RT.top_k(_bm25(spark, d), "item_id", "doc_id", "bm25", 10)
+    docs, items, terms = read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark"), X.tokens(F.col("text"))
+    index = SE.indexed(docs, "doc_id", terms, only=items.select(F.explode(terms).alias("term")))
+    return SE.search(index, items, "item_id", "doc_id", terms, 10)
 
 
 @query(f"""WITH {_BM25}, m AS (SELECT item_id, doc_id, bm25, CASE WHEN count(*) OVER z < (SELECT nd FROM c) THEN least(0, min(bm25) OVER z) ELSE min(bm25) OVER z END AS lo, max(bm25) OVER z AS hi FROM s WINDOW z AS (PARTITION BY item_id))
