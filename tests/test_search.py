@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnstone.functions import text as X
+from turnstone.operators import retrieval as RT
 from turnstone.operators import search as SE
-from turnstone.plans import scores as S
 
 def words():
     return F.split("text", " ")
@@ -69,7 +69,7 @@ def test_few_pairs_are_verified(spark):
     index = SE.indexed(docs, "doc_id", terms)
     asked = SE._asked(index, items, "item_id", terms)
     near, _ = SE.contenders(index, asked, 10)
-    assert near.count() * 10 < S._bm25(spark, folder).count()  # of all pairs that share a term
+    assert near.count() * 10 < RT.bm25(items, "item_id", terms, RT.postings(docs, "doc_id", terms), "doc_id").count()  # of all pairs that share a term
     assert index.blocks.agg(F.max(F.size("postings"))).first()[0] <= 2 * SE.BLOCK
 
 
@@ -94,7 +94,7 @@ def test_a_saved_index_is_searched_without_moving_it(spark, frames, monkeypatch)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         asked = SE._asked(index, queries, "q", words())
-        for step in (SE._met(asked, index, F.col("b.top") > 0), SE._looked_up(asked.select("q", "term", "qtf", F.lit(1).cast("long").alias("k")), index)):
+        for step in (SE._met(asked, index, F.col("b.top") > 0), SE._looked_up(asked.select("q", "term", "qtf", F.col("q").alias("k")), index)):
             plan = step._jdf.queryExecution().executedPlan().toString()
             scans = [i for i, line in enumerate(plan.split("\n")) if "FileScan" in line]
             assert scans and "Bucketed: true" in plan

@@ -1,45 +1,16 @@
-"""Clusters and classifiers on Spark ML: k-means sweeps, TF-IDF with logistic regression, LSA."""
+"""The choice among k-means sweeps, and LSA. Models themselves are fitted in models."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, StringIndexer
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnstone.operators import graph
-from turnstone.operators.scores import partition_agreement, report
-
-
-def vectors(df: DataFrame, array: str, to: str = "features") -> DataFrame:
-    return df.withColumn(to, array_to_vector(F.col(array).cast("array<double>")))
-
-
-def clustered(df: DataFrame, k: int, seed: int = 42, to: str = "cluster"):
-    """The fitted model and df with the cluster of each row; model.transform assigns held-out rows."""
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol=to, initSteps=2).fit(df)
-    return model, model.transform(df)
-
-
-def sweep(df: DataFrame, key: str, ks: range = range(8, 16), seed: int = 42) -> list[dict]:
-    """For each k: silhouette (cosine), inertia, agreement of two seeds (ARI), and the smallest share."""
-    df = graph.saved(df.select(key, "features"))
-    total = df.count()
-    out = []
-    for k in ks:
-        model, got = clustered(df, k, seed)
-        _, other = clustered(df, k, seed + 1, "other")
-        both = got.select(key, "cluster").join(other.select(key, "other"), key)
-        least = got.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
-        out.append({"k": k, "silhouette": ClusteringEvaluator(predictionCol="cluster", distanceMeasure="cosine").evaluate(got), "inertia": model.summary.trainingCost, "seed_ari": partition_agreement(both, "cluster", "other").first()["ari"], "min_share": least / total})
-    return out
 
 
 def chosen_k(rows: list[dict], min_ari: float = 0.6, min_share: float = 0.02) -> int:
@@ -48,11 +19,18 @@ def chosen_k(rows: list[dict], min_ari: float = 0.6, min_share: float = 0.02) ->
     return max(fit, key=lambda r: (r["silhouette"], -r["k"]))["k"]
 
 
+def vocabulary_size(docs: DataFrame, terms: str, least: int = 2) -> int:
+    """How many terms are in `least` documents or more."""
+    return max(1, docs.select(F.explode(F.array_distinct(terms)).alias("t")).groupBy("t").count().where(F.col("count") >= least).count())
+
+
 def lsa(df: DataFrame, k: int, source: str = "weights", to: str = "features") -> DataFrame:
     """Term weights reduced to the k strongest singular directions (not centred), of unit length.
 
     The decomposition needs the terms' products only, terms x terms numbers at most whatever the
-    number of rows; rows are then multiplied by the terms x k matrix side by side.
+    number of rows; rows are then multiplied by the terms x k matrix side by side. Bound: the Gram
+    matrix is terms x terms on the driver, so this is for vocabularies of up to some 20,000 terms
+    (Spark refuses more than 65,535 columns).
     """
     rows = df.select(source).rdd.map(lambda r: OldVectors.fromML(r[0]))
     right = np.asarray(RowMatrix(rows).computeSVD(k).V.toArray())
@@ -66,35 +44,3 @@ def lsa(df: DataFrame, k: int, source: str = "weights", to: str = "features") ->
     zero = array_to_vector(F.array_repeat(F.lit(0.0), k))  # rows without terms have no direction
     placed = keyed.join(reduced, "__row", "left").withColumn("__r", F.coalesce("__r", zero))
     return Normalizer(inputCol="__r", outputCol=to).transform(placed).drop("__r", "__row")
-
-
-def text_classifier(train: DataFrame, terms: Column, label: str, c: float, seed: int = 42) -> Pipeline:
-    """TF-IDF and balanced logistic regression; c is the inverse of the regularisation, as usual."""
-    n, kinds = train.count(), train.select(label).distinct().count()
-    weights = train.groupBy(label).agg((F.lit(float(n)) / (kinds * F.count("*"))).alias("__weight"))
-    rows = train.withColumn("__terms", terms).join(weights, label)
-    # the vocabulary is as large as the data needs; no term in two documents is dropped
-    size = max(1, rows.select(F.explode(F.array_distinct("__terms")).alias("t")).groupBy("t").count().where("count > 1").count())
-    stages = [
-        CountVectorizer(inputCol="__terms", outputCol="__tf", minDF=2, vocabSize=size), IDF(inputCol="__tf", outputCol="__tfidf"), Normalizer(inputCol="__tfidf", outputCol="features"),
-        StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="keep"), LogisticRegression(labelCol="__y", weightCol="__weight", regParam=1.0 / (c * max(1, n)), maxIter=60),
-    ]
-    return Pipeline(stages=stages).fit(rows)
-
-
-def predicted(model, rows: DataFrame, terms: Column, label: str) -> DataFrame:
-    names = model.stages[3].labels
-    known = rows.withColumn("__terms", terms)
-    out = model.transform(known.withColumn(label, F.lit(names[0])) if label not in rows.columns else known)
-    return out.withColumn("predicted", F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("prediction") + 1).cast("int"))).drop("__terms", "__tf", "__tfidf", "__y", "features", "rawPrediction", "probability", "prediction")
-
-
-def tuned_classifier(train: DataFrame, dev: DataFrame, terms: Column, label: str, grid: tuple[float, ...] = (0.1, 0.3, 1.0, 3.0, 10.0)):
-    """The model of the best macro F1 on dev, ties to the smaller c."""
-    best = None
-    for c in sorted(grid):
-        model = text_classifier(train, terms, label, c)
-        f1 = report(predicted(model, dev, terms, label), label, "predicted").agg(F.avg("f1")).first()[0] or 0.0
-        if best is None or f1 > best[0] + 1e-12:
-            best = (f1, c, model)
-    return best

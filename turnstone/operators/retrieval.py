@@ -98,8 +98,26 @@ def first_relevant(scored: DataFrame, by: list[str], key: str, score: Column, re
     return counted.join(seen, by).select(*by, F.when(F.col("any"), F.col("n")).alias("best"), "hits5", "shown5")
 
 
+def first_relevant_ranks(scored: DataFrame, by: list[str], key: str, scores: dict[str, Column], relevant: Column) -> DataFrame:
+    """by and, under the name of each score, the rank of the best relevant document by it (null if none is relevant).
+
+    All scores are compared in the same two aggregates, each a few numbers a query, however many
+    scores there are: no pair is repeated for a score, and none is ranked.
+    """
+    names = list(scores)
+    rows = scored.select(*by, F.col(key).alias("__k"), relevant.alias("__r"), *[(-s).alias(f"__s{i}") for i, s in enumerate(scores.values())])
+    place = lambda i: F.struct(F.col(f"__s{i}").alias("s"), F.col("__k").alias("k"))
+    found = rows.groupBy(*by).agg(*[F.min(F.when(F.col("__r"), place(i))).alias(f"__b{i}") for i in range(len(names))])
+    ahead = [F.when(F.any_value(f"__b{i}").isNotNull(), 1 + F.count_if(place(i) < F.col(f"__b{i}"))).alias(name) for i, name in enumerate(names)]
+    return rows.join(found, by).groupBy(*by).agg(*ahead)
+
+
 def against(queries: DataFrame, docs: DataFrame, on: Column, block: int = 4096) -> DataFrame:
-    """Each query with each document for which on holds, queries in blocks: a small query set is broadcast, a larger one meets the documents block by block."""
+    """Each query with each document for which on holds, queries in blocks.
+
+    Up to ``block`` queries are broadcast; more meet the documents block by block, a shuffle of the
+    documents for each. Both ways have the same rows: the number of queries decides the plan only.
+    """
     queries = graph.saved(queries)
     blocks = -(-queries.count() // block)
     if blocks <= 1:

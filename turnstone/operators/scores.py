@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,12 +243,24 @@ def partition_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return one.select(every.cast("long").alias("n"), F.when(most != expected, (F.col("ij") - expected) / (most - expected)).otherwise(1.0).alias("ari"), F.when(F.col("hr") + F.col("hc") > 0, 2 * F.col("mi") / (F.col("hr") + F.col("hc"))).otherwise(1.0).alias("nmi"))
 
 
+#: The Poisson(1) distribution function at 0, 1, 2, ...
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+
+
 def bootstrap_interval(df: DataFrame, key: str, value: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """One row: mean and the 2.5 and 97.5 percentiles of Poisson-bootstrap means; weights hashed from (round, key). A round that draws no row has no mean."""
-    said = F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col(key).cast("string"))
-    u = (F.conv(F.substring(F.md5(said), 1, 13), 16, 10).cast("double") / float(1 << 52)).alias("u")
-    draws = df.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).select("round", value, u)
-    cdf = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-    weight = sum(((F.col("u") >= c).cast("int") for c in cdf), F.lit(0))
-    means = draws.groupBy("round").agg(F.try_divide(F.sum(weight * F.col(value)), F.sum(weight)).alias("m"))
+    """One row: mean and the 2.5 and 97.5 percentiles of Poisson-bootstrap means; weights hashed from (round, key). A round that draws no row has no mean.
+
+    Every row becomes one vector, its weight and weighted value in each round; vectors are added
+    up by one aggregate that is combined on the map side, so rows are neither repeated nor
+    shuffled: each task sends one vector. Null values take no part.
+    """
+    said = lambda r: F.concat_ws(":", F.lit(str(seed)), r.cast("string"), F.col(key).cast("string"))
+    draws = F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: F.conv(F.substring(F.md5(said(r)), 1, 13), 16, 10).cast("double") / float(1 << 52))
+    weights = F.transform(draws, lambda u: sum(((u >= c).cast("double") for c in POISSON), F.lit(0.0)))
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.explode(F.array(weights)).alias("w"))
+    vector = rows.select(array_to_vector(F.concat("w", F.transform("w", lambda w: w * F.col("v")))).alias("x"))
+    none = df.sparkSession.range(1).select(array_to_vector(F.array_repeat(F.lit(0.0), 2 * rounds)).alias("x"))  # so that there is a sum without rows
+    total = vector.unionByName(none).agg(vector_to_array(Summarizer.sum(F.col("x"))).alias("t"))  # rounds numbers twice
+    mean = F.zip_with(F.slice("t", 1, rounds), F.slice("t", rounds + 1, rounds), lambda n, s: F.try_divide(s, n))
+    means = total.select(F.explode(mean).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))

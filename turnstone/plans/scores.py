@@ -107,7 +107,8 @@ UNION ALL SELECT 'lang', count(*) FROM (SELECT DISTINCT lang FROM f JOIN documen
 def u2_leakage_checks(spark, d):
     cases, split = _assigned(spark, d)
     lang = read(spark, d, "documents").select(F.col("doc_id").alias("case_id"), "lang")
-    return SC.leakage(split.join(cases, "case_id").join(lang, "case_id").withColumn("message", F.col("message_ids")[0]), ["opener_key", "message", "lang"])
+    rows = graph.saved(split.join(cases, "case_id").join(lang, "case_id").select("split", "opener_key", F.col("message_ids")[0].alias("message"), "lang"))  # assigned once, read for each column
+    return SC.leakage(rows, ["opener_key", "message", "lang"])
 
 
 @query("""WITH p AS (SELECT lang, count(*) / (SELECT count(*) FROM documents) AS a FROM documents GROUP BY lang), s AS (SELECT lang, count(*) / (SELECT count(*) FROM documents WHERE doc_id % 7 = 0) AS b FROM documents WHERE doc_id % 7 = 0 GROUP BY lang)
@@ -172,24 +173,25 @@ _TOKENS = (
 _BM25 = f"""dt AS (SELECT doc_id, {_TOKENS} AS ts FROM documents), dl AS (SELECT doc_id, len(ts) AS len FROM dt), c AS (SELECT count(*) AS nd, avg(len) AS al FROM dl),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM dt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 w AS (SELECT doc_id, term, ln((nd - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al)) AS weight FROM tf JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN c),
-q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM {{items}}) GROUP BY ALL),
 s AS (SELECT item_id, doc_id, round(sum(qtf * weight), 6) AS bm25 FROM q JOIN w USING (term) GROUP BY ALL)"""
 
 
 def _bm25(spark, d):
-    docs, items = read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark")
+    """Scores of all pairs that share a term, for a stated query set: items whose id is divisible by 100."""
+    docs, items = read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark").where("item_id % 100 = 0")
     index = RT.postings(docs, "doc_id", X.tokens(F.col("text")))
     return RT.bm25(items, "item_id", X.tokens(F.col("text")), index, "doc_id").withColumn("bm25", F.round("bm25", 6))
 
 
-@query(f"WITH {_BM25} SELECT item_id, doc_id, bm25, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, doc_id) AS rank FROM s) WHERE rank <= 10")
+@query(f"WITH {_BM25.replace('{items}', 'benchmark')} SELECT item_id, doc_id, bm25, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, doc_id) AS rank FROM s) WHERE rank <= 10")
 def m8_bm25_top(spark, d):
     docs, items, terms = read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark"), X.tokens(F.col("text"))
     index = SE.indexed(docs, "doc_id", terms, only=items.select(F.explode(terms).alias("term")))
     return SE.search(index, items, "item_id", "doc_id", terms, 10)
 
 
-@query(f"""WITH {_BM25}, m AS (SELECT item_id, doc_id, bm25, CASE WHEN count(*) OVER z < (SELECT nd FROM c) THEN least(0, min(bm25) OVER z) ELSE min(bm25) OVER z END AS lo, max(bm25) OVER z AS hi FROM s WINDOW z AS (PARTITION BY item_id))
+@query(f"""WITH {_BM25.replace('{items}', '(SELECT * FROM benchmark WHERE item_id % 100 = 0)')}, m AS (SELECT item_id, doc_id, bm25, CASE WHEN count(*) OVER z < (SELECT nd FROM c) THEN least(0, min(bm25) OVER z) ELSE min(bm25) OVER z END AS lo, max(bm25) OVER z AS hi FROM s WINDOW z AS (PARTITION BY item_id))
 SELECT item_id, doc_id, round(coalesce((bm25 - lo) / nullif(hi - lo, 0), 0), 6) AS scaled FROM m""")
 def w13_scaled_scores(spark, d):
     n = read(spark, d, "documents").count()
@@ -259,10 +261,10 @@ def a22_metrics_by_intent(spark, d):
 @query(f"""WITH {_HYBRID}, g AS (SELECT i / 10.0 AS w FROM range(11) t(i)), s AS (SELECT w, query, doc, qi = di AS rel, round(w * a + (1 - w) * b, 6) AS score FROM h CROSS JOIN g), r AS (SELECT w, query, min(CASE WHEN rel THEN rank END) AS best FROM (SELECT *, row_number() OVER (PARTITION BY w, query ORDER BY score DESC, doc) AS rank FROM s) GROUP BY ALL)
 SELECT w, round(avg(coalesce(1.0 / best, 0)), 9) AS mrr FROM r GROUP BY w""")
 def m11_weight_grid(spark, d):
-    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: i / 10.0)).alias("w")
-    s = graph.saved(_hybrid(spark, d)).select("query", "qi", "doc", "di", "a", "b", grid)
-    best = _best(s, F.round(RT.hybrid(F.col("a"), F.col("b"), F.col("w")), 6), "w")
-    return best.groupBy("w").agg(F.round(F.avg(F.coalesce(1.0 / F.col("best"), F.lit(0.0))), 9).alias("mrr"))
+    scores = {str(i): F.round(RT.hybrid(F.col("a"), F.col("b"), F.lit(i) / 10.0), 6) for i in range(11)}
+    best = RT.first_relevant_ranks(graph.saved(_hybrid(spark, d)), ["query"], "doc", scores, F.col("qi") == F.col("di"))
+    mean = best.agg(*[F.avg(F.coalesce(1.0 / F.col(c), F.lit(0.0))).alias(c) for c in scores])  # one row
+    return mean.select(F.explode(F.array(*[F.struct((F.lit(int(c)) / 10.0).alias("w"), F.round(c, 9).alias("mrr")) for c in scores])).alias("x")).select("x.*")
 
 
 _NOISE = f"CASE WHEN {_U12(chr(39) + '42:' + chr(39) + ' || query')} < rate THEN (qi + 1 + floor({_U12(chr(39) + '43:' + chr(39) + ' || query')} * 9)::INTEGER) % 10 ELSE qi END"
@@ -272,14 +274,15 @@ _NOISE = f"CASE WHEN {_U12(chr(39) + '42:' + chr(39) + ' || query')} < rate THEN
 r AS (SELECT rate, query, min(CASE WHEN rel THEN k1 END) AS b1, min(CASE WHEN rel THEN k2 END) AS b2, min(CASE WHEN rel THEN k3 END) AS b3 FROM (SELECT *, row_number() OVER (PARTITION BY rate, query ORDER BY hybrid DESC, doc) AS k1, row_number() OVER (PARTITION BY rate, query ORDER BY soft DESC, doc) AS k2, row_number() OVER (PARTITION BY rate, query ORDER BY hard DESC, doc) AS k3 FROM s) GROUP BY ALL)
 SELECT rate, round(avg(1.0 / b1), 9) AS query_only, round(avg(1.0 / b2), 9) AS soft, round(avg(1.0 / b3), 9) AS hard FROM r GROUP BY rate""")
 def m12_intent_stress(spark, d):
-    s = graph.saved(_hybrid(spark, d)).select("query", "qi", "doc", "di", "hybrid", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.15, 0.3, 0.5)])).alias("rate"))
-    said = RT.noisy_intent(F.col("qi"), F.col("query"), 10, F.col("rate"))
-    s = s.withColumn("said", said).withColumns({"soft": F.round(F.col("hybrid") + RT.intent_bonus(F.col("said"), F.col("di")), 6), "hard": F.round(F.col("hybrid") + RT.hard_filter(F.col("said"), F.col("di")), 6)})
-    every = s.select("rate").distinct()
-    for c, name in (("hybrid", "query_only"), ("soft", "soft"), ("hard", "hard")):
-        one = _best(s, c, "rate").groupBy("rate").agg(F.round(F.avg(1.0 / F.col("best")), 9).alias(name))
-        every = every.join(one, "rate", "left")
-    return every
+    rates, scores = (0.0, 0.15, 0.3, 0.5), {"hybrid": F.col("hybrid")}
+    for i, rate in enumerate(rates):
+        said = RT.noisy_intent(F.col("qi"), F.col("query"), 10, rate)
+        scores[f"soft{i}"] = F.round(F.col("hybrid") + RT.intent_bonus(said, F.col("di")), 6)
+        scores[f"hard{i}"] = F.round(F.col("hybrid") + RT.hard_filter(said, F.col("di")), 6)
+    best = RT.first_relevant_ranks(graph.saved(_hybrid(spark, d)), ["query"], "doc", scores, F.col("qi") == F.col("di"))
+    mean = best.agg(*[F.round(F.avg(1.0 / F.col(c)), 9).alias(c) for c in scores])  # one row
+    each = [F.struct(F.lit(rate).alias("rate"), F.col("hybrid").alias("query_only"), F.col(f"soft{i}").alias("soft"), F.col(f"hard{i}").alias("hard")) for i, rate in enumerate(rates)]
+    return mean.select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
 
 @query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), l AS (SELECT label, i, avg(e[i]) AS x FROM v, range(1, 65) t(i) GROUP BY ALL), c AS (SELECT label AS centre, list(x ORDER BY i) AS ce FROM l GROUP BY label),
