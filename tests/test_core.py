@@ -299,12 +299,88 @@ def test_label_replay_and_decisions(spark):
     log = [("a", 1, "draft", "x"), ("a", 2, "save", "x"), ("b", 1, "draft", "x"), ("b", 2, "save", "y"), ("c", 1, "save", "x"), ("d", 1, "save", "x"), ("d", 2, "clear", None), ("e", 1, "draft", "x"), ("f", 1, "save", "x"), ("f", 2, "clear", None), ("f", 3, "save", "z")]
     got = {r.case_id: (r.value, r.provenance) for r in L.replayed(spark.createDataFrame(log, "case_id string, seq long, action string, value string")).collect()}
     assert got == {"a": ("x", "confirmed"), "b": ("y", "corrected"), "c": ("x", "human"), "e": ("x", "draft"), "f": ("z", "human")}
-    reg = {"a": {"count": 3, "examples": ["1", "2"], "shares": {"k": 1.0}}, "b": {"count": 1, "examples": ["3"], "shares": {}}}
-    out = L.applied_decisions(reg, [{"action": "merge", "from": ["a", "b"], "to": "ab"}, {"action": "new", "to": "n"}])
-    assert out["ab"] == {"count": 4, "shares": {"k": 0.75}, "examples": ["1", "3", "2"]} and "n" in out
-    with pytest.raises(ValueError, match="unknown intent zz.*unknown action"):
-        L.applied_decisions(reg, [{"action": "drop", "from": ["zz"]}, {"action": "bad"}])
-    assert L.matched_labels({1: ["a", "b"], 2: ["a"]}, {"x": ["a", "b"], "y": ["a", "q"]}) == {1: "x", 2: "y"} and L.content_hash({"b": 1, "a": 2}) == L.content_hash({"a": 2, "b": 1})
+
+
+def plain_decisions(decisions, labels, fallback):
+    """Each decision applied to all labels, one after another."""
+    now = {x: x for x in labels}
+    for d in decisions:
+        if d["action"] in ("merge", "rename", "drop"):
+            now = {x: (d.get("to") or fallback) if y in d["from"] else y for x, y in now.items()}
+    return now
+
+
+def test_decisions_fold_in_order(spark):
+    labels = ["a", "b", "c", "d", "e", "f"]
+    decisions = [
+        {"action": "merge", "from": ["a", "b"], "to": "ab"}, {"action": "rename", "from": ["ab"], "to": "x"}, {"action": "new", "to": "n"}, {"action": "drop", "from": ["c"]},
+        {"action": "merge", "from": ["x", "d"], "to": "d"}, {"action": "rename", "from": ["e"], "to": "a"}, {"action": "rename", "from": ["d"], "to": "b"}, {"action": "edit", "from": ["f"]},
+    ]
+    frame = spark.createDataFrame([(x,) for x in labels], "label string")
+    got = {r.label: r.final for r in L.label_map(frame, L.decision_steps(spark, decisions, "other")).collect()}
+    assert got == plain_decisions(decisions, labels, "other") == {"a": "b", "b": "b", "c": "other", "d": "b", "e": "a", "f": "f"}
+    assert L.decision_errors(decisions, labels) == []
+    errors = L.decision_errors([{"action": "drop", "from": ["zz"]}, {"action": "bad"}, {"action": "rename", "from": ["a"], "to": "b"}, {"action": "merge", "from": ["a"]}, {"action": "new", "to": "c"}], labels)
+    assert errors == ["0: unknown intent zz", "1: unknown action 'bad'", "2: b exists", "3: unknown intent a", "3: merge needs a target", "4: c exists"]
+    long = [{"action": "rename", "from": [f"s{i}"], "to": f"s{i + 1}"} for i in range(60)]
+    assert L.label_map(spark.createDataFrame([("s0",), ("s59",), ("s60",)], "label string"), L.decision_steps(spark, long, "other")).where("final <> 's60'").isEmpty()
+
+
+def test_shares_and_examples_merge(spark):
+    mapped = spark.createDataFrame([("a", "ab"), ("b", "ab"), ("c", "c")], "label string, final string")
+    shares = spark.createDataFrame([("a", 3, "k", 1.0), ("b", 1, "j", 0.5), ("b", 1, "k", 0.5), ("c", 0, "k", 1.0)], "label string, n long, kind string, share double")
+    got = {(r.final, r.kind): (r.n, r.share, r.place) for r in L.merged_shares(shares, mapped).collect()}
+    assert got == {("ab", "k"): (4, 0.875, 1), ("ab", "j"): (4, 0.125, 2), ("c", "k"): (0, 0.0, 1)}
+    examples = spark.createDataFrame([("a", 0, "1"), ("a", 1, "2"), ("b", 0, "3"), ("b", 1, "1"), ("b", 2, "4")], "label string, order long, example string")
+    assert [r.example for r in L.merged_examples(examples, mapped).orderBy("place").collect()] == ["1", "3", "2", "4"]
+    assert L.content_hash({"b": 1, "a": 2}) == L.content_hash({"a": 2, "b": 1})
+
+
+def test_matching_equals_the_greedy_walk(spark):
+    import random
+
+    rng = random.Random(3)
+    for _ in range(3):
+        scores = [(c, x, rng.randrange(0, 9) / 8) for c in range(12) for x in "abcdefgh" if rng.random() < 0.8]
+        want, labels = {}, set()
+        for s, c, x in sorted(((s, c, x) for c, x, s in scores), reverse=True):
+            if s >= 0.35 and c not in want and x not in labels:
+                want[c] = x
+                labels.add(x)
+        assert {r.cluster: r.label for r in L.matched_labels(spark.createDataFrame(scores, "cluster long, label string, score double")).collect()} == want
+    terms = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "cluster long, term string")
+    anchors = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "a"), ("y", "q")], "label string, anchor string")
+    assert {r.cluster: r.label for r in L.matched_labels(L.anchor_scores(terms, anchors)).collect()} == {1: "x", 2: "y"}
+    assert L.matched_labels(L.anchor_scores(terms, anchors).where("score > 9")).collect() == []
+
+
+def test_walks_around_cycles(spark):
+    import random
+
+    rng = random.Random(4)
+    parents = {i: rng.choice([None, *range(40)]) if i % 5 else (i + 7) % 40 for i in range(40)} | {50: 50, 51: 50, 60: 61, 61: 62, 62: 60, 63: 60, 64: 63, 70: 99}
+    stops = {i: rng.random() < 0.3 for i in parents}
+    frame = spark.createDataFrame([(i, p, stops[i]) for i, p in parents.items()], "node long, parent long, stop boolean")
+    want = {}
+    for i in parents:
+        seen, at = [i], i
+        while (up := parents[at]) is not None and up in parents and up not in seen:
+            seen.append(up)
+            at = up
+        around = seen + ([up] if up in seen and up != at else [])  # the walk may come back to itself
+        want[i] = (len(seen) - 1, at, next((x for x in around[1:] if stops[x]), None))
+    got = {r.node: (r.depth, r.top, r.found) for r in graph.ancestors(frame, "stop").collect()}
+    assert {i: x[:2] for i, x in got.items()} == {i: x[:2] for i, x in want.items()}
+    assert got == want
+
+
+def test_a_long_cycle_takes_few_rounds(spark, monkeypatch):
+    n, calls, real = 5000, [], graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df: calls.append(1) or real(df))
+    ring = spark.range(n).select(F.col("id").alias("node"), ((F.col("id") + 1) % n).alias("parent"))
+    out = graph.ancestors(ring)
+    assert out.agg(F.min("depth"), F.max("depth"), F.count("*")).first() == (n - 1, n - 1, n) and out.where("top <> pmod(node - 1, 5000)").isEmpty()
+    assert len(calls) <= 20
 
 
 def test_guards(spark):

@@ -51,35 +51,38 @@ def ancestors(parents: DataFrame, stop: str | None = None) -> DataFrame:
     base = parents.select("node", "parent", (F.col(stop) if stop else F.lit(False)).alias("hit"))
     known = base.select(F.col("node").alias("parent"))
     base = base.join(known.distinct().withColumn("there", F.lit(True)), "parent", "left").select("node", F.when(F.col("there"), F.col("parent")).alias("to"), "hit")
-    base = base.withColumn("to", F.when(F.col("to") == F.col("node"), F.lit(None)).otherwise(F.col("to")))
-    # reach: steps taken; near: nearest marked ancestor in them
+    base = saved(base.withColumn("to", F.when(F.col("to") == F.col("node"), F.lit(None)).otherwise(F.col("to"))))
+    # depth: steps taken; near: nearest marked ancestor in them; low: smallest node in them
     marks = base.where("hit").select(F.col("node").alias("to"), F.col("node").alias("near"))
-    now = saved(base.join(marks, "to", "left").select("node", "to", F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.coalesce("to", "node").alias("top"), "near"))
+    now = saved(base.join(marks, "to", "left").select("node", "to", F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.coalesce("to", "node").alias("top"), "near", F.least("node", "to").alias("low")))
     total = base.count()
     while True:
-        ahead = now.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("top").alias("far"), F.col("near").alias("later"))
-        stepped = now.join(ahead, "to", "left").select(
-            "node", F.col("next").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("far", "top").alias("top"), F.coalesce("near", "later").alias("near")
-        )
-        now = saved(stepped)
-        open_ = now.where("to is not null")
-        deepest = open_.agg(F.max("depth")).first()[0]
+        ahead = now.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("top").alias("far"), F.col("near").alias("later"), F.col("low").alias("lower"))
+        now = saved(now.join(ahead, "to", "left").select(
+            "node", F.col("next").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("far", "top").alias("top"), F.coalesce("near", "later").alias("near"), F.least("low", "lower").alias("low")
+        ))
+        deepest = now.where("to is not null").agg(F.max("depth")).first()[0]
         if deepest is None or deepest > total:
             break
-    if deepest is None:
-        return now.select("node", "depth", "top", F.col("near").alias("found"))
-    # Only nodes that lead into a cycle are left: count their different ancestors step by step.
-    loops = open_.select("node")
-    walk = saved(base.join(loops, "node", "left_semi").select("node", F.col("to").alias("at"), F.array("node").alias("seen")))
-    ended = None
-    while True:
-        done = walk.where("at is null or array_contains(seen, at)").select("node", (F.size("seen") - 1).cast("long").alias("depth"), F.element_at("seen", -1).alias("top"))
-        ended = done if ended is None else ended.unionByName(done)
-        step = walk.where("at is not null and not array_contains(seen, at)").alias("w").join(base.alias("b"), F.col("w.at") == F.col("b.node")).select("w.node", F.col("b.to").alias("at"), F.concat("w.seen", F.array("w.at")).alias("seen"))
-        walk = saved(step)
-        if walk.isEmpty():
-            break
-    found = now.select("node", F.col("near").alias("found"))
-    return now.where("to is null").select("node", "depth", "top", F.col("near").alias("found")).unionByName(ended.join(found, "node").select("node", "depth", "top", "found"))
+    out = now.where("to is null").select("node", "depth", "top", F.col("near").alias("found"))
+    return out if deepest is None else out.unionByName(_around(base, now.where("to is not null")))
 
 
+def _around(base: DataFrame, open_: DataFrame) -> DataFrame:
+    """node, depth, top, found of the nodes that lead into a cycle, from walks (open_) longer than there are nodes.
+
+    Such a walk ends on its cycle, and the ends of all walks are the cycles' nodes: a cycle's
+    nodes map onto themselves. Its smallest node names a cycle, since a walk from there has seen
+    all of it. What is left are trees that hang from cycle nodes.
+    """
+    ring = saved(open_.select(F.col("to").alias("node")).distinct().join(open_, "node").select("node", F.col("low").alias("ring")))
+    sizes = ring.groupBy("ring").agg(F.count("*").alias("size"))
+    before = base.join(ring, "node").select(F.col("to").alias("entry"), F.col("node").alias("last"))  # who leads to a node along its cycle
+    cycles = saved(ring.join(sizes, "ring").select(F.col("node").alias("entry"), "size").join(before, "entry"))
+    loops = open_.select("node", F.col("near").alias("found"))
+    branches = loops.join(ring, "node", "left_anti")
+    ways = ring.select("node", F.lit(0).cast("long").alias("steps"), F.col("node").alias("entry"))
+    if not branches.isEmpty():
+        hang = base.join(loops, "node").join(ring, "node", "left").select("node", F.when(F.col("ring").isNull(), F.col("to")).alias("parent"))
+        ways = ancestors(hang).select("node", F.col("depth").alias("steps"), F.col("top").alias("entry"))
+    return ways.join(cycles, "entry").join(loops, "node").select("node", (F.col("steps") + F.col("size") - 1).alias("depth"), F.col("last").alias("top"), "found")

@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnstone.functions import values as V
+from turnstone.operators import graph
+
 NEW_LABEL = r"^NEW:[a-z][a-z0-9]*(_[a-z0-9]+)*$"
 
 
@@ -70,58 +73,90 @@ def ticket_status(action: Column, reply: Column) -> Column:
     return F.when(action == "AUTO_HANDLE", F.when(F.coalesce(F.trim(reply), F.lit("")) != "", "answered").otherwise("needs_review")).when(action == "ESCALATE", "escalated").otherwise("new")
 
 
-def applied_decisions(registry: dict[str, dict], decisions: list[dict]) -> dict[str, dict]:
-    """A registry (intent: {count, examples, ...}) after merge, rename, drop, new and edit decisions; errors first, all of them."""
-    errors = []
-    known = set(registry)
-    for i, step in enumerate(decisions):
-        kind = step.get("action")
-        if kind not in ("merge", "rename", "drop", "new", "edit"):
-            errors.append(f"{i}: unknown action {kind!r}")
-        sources = step.get("from", [])
-        errors += [f"{i}: unknown intent {s}" for s in sources if s not in known]
-        if kind == "new" and step.get("to") in known:
-            errors.append(f"{i}: {step['to']} exists")
-        known = (known - set(sources if kind in ("merge", "rename", "drop") else [])) | ({step["to"]} if step.get("to") else set())
-    if errors:
-        raise ValueError("; ".join(errors))
-    out = {k: dict(v) for k, v in registry.items()}
-    for step in decisions:
-        kind, sources = step["action"], step.get("from", [])
-        if kind in ("merge", "rename"):
-            parts = [out.pop(s) for s in sources]
-            out[step["to"]] = merged_intents(parts)
-        elif kind == "drop":
-            for s in sources:
-                out.pop(s)
-        elif kind == "new":
-            out[step["to"]] = {"count": 0, "examples": [], **step.get("set", {})}
-        else:
-            out[sources[0]].update(step.get("set", {}))
+# ---- decisions: an ordered list of merges, renames and drops ----
+
+ACTIONS = ("merge", "rename", "drop", "new", "edit")
+
+
+def decision_steps(spark, decisions: list[dict], fallback: str) -> DataFrame:
+    """step, source, target: one row for each label that a decision moves; a drop moves to the fallback."""
+    rows = [(i, s, d.get("to") or fallback) for i, d in enumerate(decisions) if d["action"] in ("merge", "rename", "drop") for s in d.get("from", [])]
+    return spark.createDataFrame(rows, "step long, source string, target string")
+
+
+def decision_errors(decisions: list[dict], labels: list[str]) -> list[str]:
+    """All that is wrong with a list of decisions, in order: unknown actions and labels, targets missing or taken."""
+    there, out = set(labels), []
+    for i, d in enumerate(decisions):
+        kind, sources, target = d.get("action"), d.get("from", []), d.get("to")
+        moves = kind in ("merge", "rename", "drop")
+        out += [f"{i}: unknown action {kind!r}"] * (kind not in ACTIONS) + [f"{i}: unknown intent {s}" for s in sources if s not in there]
+        out += [f"{i}: {kind} needs a target"] * (kind in ("merge", "rename", "new") and not target)
+        out += [f"{i}: {target} exists"] * (kind == "new" and target in there or kind == "rename" and target in there - set(sources))
+        there = there - set(sources if moves else ()) | ({target} if target else set())
     return out
 
 
-def merged_intents(parts: list[dict]) -> dict:
-    """Counts added, shares weighted by count, examples taken in turn, once each."""
-    total = sum(p.get("count", 0) for p in parts)
-    shares: dict = {}
-    for p in parts:
-        for k, v in p.get("shares", {}).items():
-            shares[k] = shares.get(k, 0.0) + v * p.get("count", 0) / max(1, total)
-    longest = max((len(p.get("examples", [])) for p in parts), default=0)
-    turn = [p["examples"][i] for i in range(longest) for p in parts if i < len(p.get("examples", []))]
-    return {"count": total, "shares": shares, "examples": list(dict.fromkeys(turn))}
+def label_map(labels: DataFrame, steps: DataFrame) -> DataFrame:
+    """label, final: what the ordered steps (step, source, target) make of each label; others stay.
+
+    A step hands on to the next later step that moves its target, so steps form chains; their
+    ends are found by pointer jumping, in as many rounds as the logarithm of the longest chain.
+    """
+    later = steps.select(F.col("step").alias("__next"), F.col("source").alias("target"))
+    # steps of one decision list: a row for each label moved
+    keyed = graph.saved(steps.select(F.xxhash64("step", "source").alias("node"), "step", "source", "target"))
+    follows = keyed.join(later, "target").where("__next > step").groupBy("node", "target").agg(F.min("__next").alias("__next"))
+    parents = keyed.select("node").join(follows.select("node", F.xxhash64("__next", "target").alias("parent")), "node", "left")
+    ends = graph.ancestors(parents).select("node", "top").join(keyed.select(F.col("node").alias("top"), F.col("target").alias("final")), "top")
+    first = keyed.groupBy("source").agg(F.min("step").alias("step")).select(F.col("source").alias("label"), F.xxhash64("step", "source").alias("node"))
+    moved = first.join(ends, "node").select("label", "final")
+    return labels.select("label").distinct().join(moved, "label", "left").select("label", F.coalesce("final", "label").alias("final"))
+
+
+def merged_shares(shares: DataFrame, mapped: DataFrame, top: int = 6, digits: int = 3) -> DataFrame:
+    """final, n, kind, share, place: share maps (label, n, kind, share) merged by the map, weighted by n; the `top` largest, rounded half-even.
+
+    A kind that a label lacks counts as 0. Counts are added once a label.
+    """
+    rows = shares.join(mapped, "label")
+    total = rows.groupBy("final", "label").agg(F.max("n").alias("n")).groupBy("final").agg(F.sum("n").alias("n"))
+    kinds = rows.groupBy("final", "kind").agg(F.sum(F.col("share") * F.col("n")).alias("w")).join(total, "final")
+    scored = kinds.select("final", "n", "kind", V.half_even(F.coalesce(F.try_divide(F.col("w"), F.col("n")), F.lit(0.0)), digits).alias("share"))
+    place = F.row_number().over(Window.partitionBy("final").orderBy(F.desc("share"), "kind"))
+    return scored.withColumn("place", place).where(F.col("place") <= top)
+
+
+def merged_examples(examples: DataFrame, mapped: DataFrame, top: int = 8) -> DataFrame:
+    """final, example, place: examples (label, order, example) of merged labels taken in turn, each once, labels by name."""
+    rows = examples.join(mapped, "label").groupBy("final", "example").agg(F.min(F.struct("order", "label")).alias("s"))
+    place = F.row_number().over(Window.partitionBy("final").orderBy("s.order", "s.label", "example"))
+    return rows.select("final", "example", place.alias("place")).where(F.col("place") <= top)
 
 
 def content_hash(value) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
-def matched_labels(terms: dict[int, list[str]], anchors: dict[str, list[str]], least: float = 0.35) -> dict[int, str]:
-    """Greedy one-to-one matching of clusters to curated labels by the share of anchors among a cluster's top 12 terms."""
-    scored = [(len(set(a) & set(ts[:12])) / len(a), c, i, label) for c, ts in terms.items() for i, (label, a) in enumerate(anchors.items()) if a]
-    out: dict[int, str] = {}
-    for score, cluster, _, label in sorted(scored, reverse=True):
-        if score >= least and cluster not in out and label not in out.values():
-            out[cluster] = label
-    return out
+def anchor_scores(terms: DataFrame, anchors: DataFrame) -> DataFrame:
+    """cluster, label, score: the share of a label's anchors (label, anchor) among a cluster's terms (cluster, term); pairs that share none are missing."""
+    size = anchors.groupBy("label").agg(F.count_distinct("anchor").alias("__n"))
+    hits = terms.join(anchors, F.col("term") == F.col("anchor")).groupBy("cluster", "label").agg(F.count_distinct("term").alias("__hits"))
+    return hits.join(size, "label").select("cluster", "label", (F.col("__hits") / F.col("__n")).alias("score"))
+
+
+def matched_labels(scored: DataFrame, least: float = 0.35) -> DataFrame:
+    """cluster, label, score: greedy one-to-one matching by score, then larger cluster, then larger label.
+
+    Pairs that are the best of both their cluster and their label are what the greedy walk
+    would take, whatever comes before them; each round matches all of them at once and drops
+    the pairs that lost a side.
+    """
+    left, out = graph.saved(scored.where(F.col("score") >= least)), None
+    while not left.isEmpty():
+        order = F.struct("score", "cluster", "label")
+        by = lambda side: left.groupBy(side).agg(F.max(order).alias("s")).select("s.*")
+        both = graph.saved(by("cluster").intersect(by("label")))
+        out = both if out is None else out.unionByName(both)
+        left = graph.saved(left.join(both.select("cluster"), "cluster", "left_anti").join(both.select("label"), "label", "left_anti"))
+    return (left if out is None else out).select("cluster", "label", "score")

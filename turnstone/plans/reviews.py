@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnstone.functions import text as X
@@ -18,7 +19,7 @@ from turnstone.operators import review as RV
 from turnstone.operators import taxonomy as TX
 from turnstone.plans.bindings import TURNS, read, threads, turns
 from turnstone.plans.messages import _NORM, _SHOWN
-from turnstone.plans.scores import _U12, _decided, _DECIDE, _labels, _LABELS
+from turnstone.plans.scores import _TOKENS, _U12, _decided, _DECIDE, _labels, _LABELS
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -235,8 +236,6 @@ def a8_cluster_report(spark, d):
 @query("""WITH c AS (SELECT source AS cluster, lang AS intent, count(*) AS size FROM documents GROUP BY ALL), x AS (SELECT a.cluster, a.intent, b.intent AS other, b.size / sum(b.size) OVER (PARTITION BY a.cluster, a.intent) AS share, a.size FROM c a JOIN c b ON a.cluster = b.cluster AND a.intent <> b.intent)
 SELECT intent, other, round(sum(share * size) / (SELECT sum(size) FROM (SELECT DISTINCT intent, cluster, size FROM x) y WHERE y.intent = x.intent), 6) AS weight FROM x GROUP BY intent, other""")
 def a29_confusable(spark, d):
-    from pyspark.sql import Window
-
     c = read(spark, d, "documents").groupBy(F.col("source").alias("cluster"), F.col("lang").alias("intent")).agg(F.count("*").alias("size"))
     pairs = c.join(c.select("cluster", F.col("intent").alias("other"), F.col("size").alias("other_size")), "cluster").where("intent <> other")
     n = pairs.withColumn("share", F.col("other_size") / F.sum("other_size").over(Window.partitionBy("cluster", "intent")))
@@ -267,3 +266,51 @@ def m16_handled_messages(spark, d):
     m = t.select(F.col("conv_id").cast("string").alias("case_id"), F.col("text").alias("message"), F.element_at(F.array(F.lit("refunds"), F.lit("access")), (F.col("conv_id") % 2 + 1).cast("int")).alias("intent"), F.lit(0.9).alias("confidence"), F.lit(False).alias("multi_intent"), F.when(F.col("conv_id") % 9 == 0, "timeout").alias("error"))
     drafts = m.select("case_id", F.lit("Please see https://example.com/new for £9.99").alias("reply"))
     return AG.handled(m, memory, drafts).select("case_id", "action", F.array_join("reasons", ",").alias("reasons"), "reply")
+
+
+# ---- labels matched and decided ----
+
+_TOP = """t AS (SELECT source, doc_id % 2 AS half, term, count(*) AS n FROM (SELECT source, doc_id, unnest({tokens}) AS term FROM documents) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source, half ORDER BY n DESC, term) AS k FROM t),
+p AS (SELECT a.source AS cluster, b.source AS label, count(*) / 8 AS score FROM r a JOIN r b ON a.term = b.term AND a.half = 0 AND b.half = 1 AND a.k <= 12 AND b.k <= 8 GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {_TOP.replace('{tokens}', _TOKENS)}, o AS (SELECT *, row_number() OVER (ORDER BY score DESC, cluster DESC, label DESC) AS k FROM p WHERE score >= 0.35),
+g AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS cs, []::VARCHAR[] AS ls, false AS took UNION ALL SELECT o.k, CASE WHEN list_contains(cs, cluster) OR list_contains(ls, label) THEN cs ELSE list_append(cs, cluster) END, CASE WHEN list_contains(cs, cluster) OR list_contains(ls, label) THEN ls ELSE list_append(ls, label) END, NOT (list_contains(cs, cluster) OR list_contains(ls, label)) FROM g JOIN o ON o.k = g.k + 1)
+SELECT cluster, label, score FROM o JOIN g USING (k) WHERE took""")
+def j15_matched_labels(spark, d):
+    """Sources matched one to one: the top 12 terms of their documents with even ids, as clusters, with the top 8 of those with odd ids, as anchors."""
+    docs = read(spark, d, "documents").select("source", (F.col("doc_id") % 2).alias("half"), F.explode(X.tokens(F.col("text"))).alias("term"))
+    n = docs.groupBy("source", "half", "term").agg(F.count("*").alias("n"))
+    top = graph.saved(n.withColumn("k", F.row_number().over(Window.partitionBy("source", "half").orderBy(F.desc("n"), "term"))).where("k <= 12"))
+    terms, anchors = top.where("half = 0").select(F.col("source").alias("cluster"), "term"), top.where("half = 1 and k <= 8").select(F.col("source").alias("label"), F.col("term").alias("anchor"))
+    return L.matched_labels(L.anchor_scores(terms, anchors))
+
+
+#: Decisions on event types; order matters: what becomes "click" at the end is not moved by the first one.
+DECISIONS = [
+    {"action": "merge", "from": ["click", "view"], "to": "browse"}, {"action": "rename", "from": ["browse"], "to": "interest"}, {"action": "drop", "from": ["error"]},
+    {"action": "merge", "from": ["interest", "signup"], "to": "interest"}, {"action": "new", "to": "unused"}, {"action": "rename", "from": ["purchase"], "to": "click"},
+]
+_STEPS = ", ".join(f"({i}, '{x}', '{d.get('to') or 'other'}')" for i, d in enumerate(DECISIONS) for x in d.get("from", []))
+_DECIDED = f"""steps AS (SELECT * FROM (VALUES {_STEPS}) s(step, source, target)), walk AS (SELECT DISTINCT event_type AS label, event_type AS now, -1 AS step FROM events UNION ALL SELECT label, s.target, s.step FROM walk JOIN steps s ON s.source = now AND s.step = (SELECT min(step) FROM steps n WHERE n.source = walk.now AND n.step > walk.step)),
+m AS (SELECT label, arg_max(now, step) AS final FROM walk GROUP BY label)"""
+
+
+def _label_map(spark, d):
+    events = read(spark, d, "events").select(F.col("event_type").alias("label"))
+    return L.label_map(events, L.decision_steps(spark, DECISIONS, "other"))
+
+
+@query(f"WITH RECURSIVE {_DECIDED} SELECT label, final, count(*) AS n FROM events JOIN m ON label = event_type GROUP BY label, final")
+def r1_decided_labels(spark, d):
+    events = read(spark, d, "events").groupBy(F.col("event_type").alias("label")).agg(F.count("*").alias("n"))
+    return events.join(_label_map(spark, d), "label").select("label", "final", "n")
+
+
+@query(f"""WITH RECURSIVE {_DECIDED}, c AS (SELECT event_type AS label, 'k' || user_id % 9 AS kind, count(*) AS k FROM events GROUP BY ALL), s AS (SELECT label, sum(k) OVER (PARTITION BY label) AS n, kind, k / sum(k) OVER (PARTITION BY label) AS share FROM c),
+t AS (SELECT final, sum(n) AS n FROM (SELECT DISTINCT final, label, n FROM s JOIN m USING (label)) GROUP BY final), w AS (SELECT final, kind, sum(share * n) AS w FROM s JOIN m USING (label) GROUP BY ALL), r AS (SELECT final, n::BIGINT AS n, kind, round_even((w / n)::DOUBLE, 3) AS share FROM w JOIN t USING (final))
+SELECT *, row_number() OVER (PARTITION BY final ORDER BY share DESC, kind)::INTEGER AS place FROM r QUALIFY place <= 6""")
+def a26_merged_shares(spark, d):
+    c = read(spark, d, "events").groupBy(F.col("event_type").alias("label"), F.concat(F.lit("k"), (F.col("user_id") % 9).cast("string")).alias("kind")).agg(F.count("*").alias("k"))
+    n = F.sum("k").over(Window.partitionBy("label"))  # a row a kind
+    return L.merged_shares(c.select("label", n.alias("n"), "kind", (F.col("k") / n).alias("share")), _label_map(spark, d))
