@@ -30,12 +30,23 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks get these f
 
 def _added(parts: DataFrame) -> dict[int, np.ndarray]:
     """slot to the sum of its arrays x, for rows (slot, x) of a few slots; x of a slot has one length."""
-    sums = parts.groupBy("slot").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("x")))).alias("x"))
-    return {r.slot: np.array(r.x) for r in sums.collect()}
+    sums = parts.groupBy("slot").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("x")))).alias("x")).toArrow()
+    slots, x = sums.column("slot").to_pylist(), sums.column("x").combine_chunks()
+    x = x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks)
+    ends, flat = np.cumsum(np.asarray(x.value_lengths()).astype(np.int64)) if slots else [], np.asarray(x.flatten())
+    return dict(zip(slots, np.split(flat, ends[:-1]))) if slots else {}
 
 
 def _slots(total: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], names=["slot", "x"])
+    ends = np.concatenate(([0], np.cumsum([x.size for x in total.values()]))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.ravel(x) for x in total.values()])))], names=["slot", "x"])
+
+
+def _for_scans(df: DataFrame) -> DataFrame:
+    """df saved, read by no more tasks than there are cores: each task sends one block of sums a round."""
+    df = graph.saved(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(cores) if df.rdd.getNumPartitions() > cores else df
 
 
 def _scan(rows: DataFrame, work: Callable[[pa.RecordBatch, dict], None]) -> dict[int, np.ndarray]:
@@ -140,7 +151,7 @@ def vector_rows(df: DataFrame, key: str, array: str) -> DataFrame:
     """h (a hash of the key) and v, saved; rows whose vector is null, empty or not finite take no part."""
     v = F.col(array).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return graph.saved(df.where(v.isNotNull() & (F.size(v) > 0) & fine).select(F.xxhash64(F.col(key)).alias("h"), v.alias("v")))
+    return _for_scans(df.where(v.isNotNull() & (F.size(v) > 0) & fine).select(F.xxhash64(F.col(key)).alias("h"), v.alias("v")))
 
 
 def fitted(rows: DataFrame, specs: list[tuple[int, int]], starts: int = 10, rounds: int = 100, tol: float = 1e-4) -> list[Clusters]:
@@ -282,59 +293,74 @@ def swept(df: DataFrame, key: str, array: str, ks: range = range(8, 16), seed: i
 
 # ---- term features of a bounded width ----
 
-#: Width of the hashed term space: what the coefficients of one class and C take is so many numbers, however large the vocabulary.
-WIDTH = 1 << 17
+#: Width of the hashed term space: the coefficients of a class and C are so many numbers, however large the vocabulary.
+WIDTH = 1 << 16
+
+
+def _entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each entry of a list column, and the entries."""
+    size = np.asarray(column.value_lengths()).astype(np.int64)
+    return np.repeat(np.arange(len(size)), size), np.asarray(column.flatten())
+
+
+def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """The list column of n rows that has values at their rows, which ascend."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))).astype(np.int32)), pa.array(values))
+
+
+def _mapped(frame: DataFrame, drop: str, work: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """frame without the columns in drop, with lists at and x; work gives row, at and x of a batch's entries."""
+    keep = [f for f in frame.schema.fields if f.name not in drop.split()]
+
+    def run(batches):
+        for b in batches:
+            row, at, x = work(b)
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keep], _lists(row, at.astype(np.int32), b.num_rows), _lists(row, x.astype(np.float32), b.num_rows)], names=[*[f.name for f in keep], "at", "x"])
+
+    return frame.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in keep], "at array<int>, x array<float>"]))
+
+
+def hashed(docs: DataFrame, terms: Column, *keep: str, width: int = WIDTH) -> DataFrame:
+    """keep, at, x: the hashed terms of each row, ascending, and 1 + ln of their counts. One pass, no shuffle."""
+    frame = docs.select(*keep, F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.pmod(F.xxhash64(t), F.lit(width)).cast("int")).alias("__t"))
+
+    def work(b):
+        row, at = _entries(b.column("__t"))
+        pair, tf = np.unique(row * width + at, return_counts=True)
+        return pair // width, pair % width, 1 + np.log(tf)
+
+    return _mapped(frame, "__t", work)
 
 
 @dataclass
 class Weights:
-    """Inverse document frequencies of the hashed terms of a training set; terms of fewer than min_df documents weigh nothing."""
+    """Inverse document frequencies of hashed terms; those in fewer than min_df training documents weigh nothing."""
 
     idf: np.ndarray = field(repr=False)
 
-    def rows(self, docs: DataFrame, terms: Column, *keep: str) -> DataFrame:
-        """keep and at, x: sublinear TF-IDF of unit length. One pass without a shuffle."""
-        return _weighed(docs, terms, self.idf, *keep)
+    def of(self, rows: DataFrame) -> DataFrame:
+        """Rows of hashed() with x as TF-IDF of unit length."""
+        held = rows.sparkSession.sparkContext.broadcast(self.idf)
 
+        def work(b):
+            row, at = _entries(b.column("at"))
+            x = np.asarray(b.column("x").flatten()) * held.value[at]
+            row, at, x = row[x > 0], at[x > 0], x[x > 0]
+            return row, at, x / np.sqrt(np.bincount(row, x * x, minlength=b.num_rows))[row]
 
-def _weighed(docs: DataFrame, terms: Column, idf: np.ndarray | None, *keep: str) -> DataFrame:
-    width = WIDTH if idf is None else len(idf)
-    hashed = F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.pmod(F.xxhash64(t), F.lit(width)).cast("int"))
-    frame = docs.select(*keep, hashed.alias("__t"))
-    held = docs.sparkSession.sparkContext.broadcast(idf)
+        return _mapped(rows, "at x", work)
 
-    def run(batches):
-        idf = held.value
-        for b in batches:
-            column = b.column("__t")
-            size = np.asarray(column.value_lengths()).astype(np.int64)
-            key = np.repeat(np.arange(len(size)), size) * width + np.asarray(column.flatten()).astype(np.int64)
-            pair, tf = np.unique(key, return_counts=True)
-            doc, at = pair // width, pair % width
-            x = 1 + np.log(tf)
-            if idf is not None:
-                x = x * idf[at]
-                doc, at, x = doc[x > 0], at[x > 0], x[x > 0]
-                norm = np.sqrt(np.bincount(doc, x * x, minlength=len(size)))
-                x = x / norm[doc]
-            offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(size))))).astype(np.int32))
-            out = [b.column(c) for c in b.schema.names if c != "__t"]
-            out += [pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.float32)))]
-            yield pa.RecordBatch.from_arrays(out, names=[*(c for c in b.schema.names if c != "__t"), "at", "x"])
-
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name != "__t")
-    return frame.mapInArrow(run, f"{names}{', ' if names else ''}at array<int>, x array<float>")
-
-
-def term_weights(train: DataFrame, terms: Column, min_df: int = 2, width: int = WIDTH) -> Weights:
-    """Document frequencies of hashed terms: at most `width` counts leave a task or reach the driver."""
-    seen = F.array_distinct(F.transform(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(width)).cast("int")))
-    counts = train.select(F.explode(seen).alias("at")).groupBy("at").count().where(F.col("count") >= min_df).collect()
-    n = train.count()
-    idf = np.zeros(width)
-    for r in counts:
-        idf[r.at] = np.log((1 + n) / (1 + r["count"])) + 1
-    return Weights(idf)
+
+def term_weights(rows: DataFrame, min_df: int = 2, width: int = WIDTH) -> Weights:
+    """Document frequencies from rows of hashed(): at most `width` counts leave a task or reach the driver."""
+
+    def count(b: pa.RecordBatch, total: dict) -> None:
+        _add(total, 0, np.bincount(np.asarray(b.column("at").flatten()), minlength=width))
+        _add(total, 1, b.num_rows)
+
+    got = _scan(rows, count)
+    df, n = (np.rint(got[0]), got[1][0]) if got else (np.zeros(width), 0)
+    return Weights(np.where(df >= min_df, np.log((1 + n) / (1 + df)) + 1, 0.0))
 
 
 # ---- logistic regression, a whole grid at once ----
@@ -392,16 +418,15 @@ class _Search:
 CHUNK = 1024
 
 
-def _forward(b: pa.RecordBatch, coef: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Logits of a batch (rows x columns of coef), and the row, term and weight of each of its entries."""
-    size = np.asarray(b.column("at").value_lengths()).astype(np.int64)
-    at, x = np.asarray(b.column("at").flatten()), np.asarray(b.column("x").flatten()).astype(np.float64)
-    row = np.repeat(np.arange(len(size)), size)
-    logits = np.tile(bias, (len(size), 1))
-    some = np.flatnonzero(size)
-    if len(some):
-        logits[some] += np.add.reduceat(coef[at] * x[:, None], (np.cumsum(size) - size)[some])
-    return logits, row, at, x
+def _forward(b: pa.RecordBatch, coef: np.ndarray, bias: np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of a batch (rows x columns of coef), and the row, place in coef and weight of each of its entries.
+
+    A column at a time: what it touches fits in a cache, and no array has entries x columns numbers.
+    """
+    row, at = _entries(b.column("at"))
+    at = at if place is None else place[at]
+    x = np.asarray(b.column("x").flatten()).astype(np.float64)
+    return np.stack([np.bincount(row, c[at] * x, minlength=b.num_rows) for c in np.ascontiguousarray(coef.T)], axis=1) + bias, row, at, x
 
 
 def _softmax(logits: np.ndarray, classes: int) -> np.ndarray:
@@ -410,7 +435,7 @@ def _softmax(logits: np.ndarray, classes: int) -> np.ndarray:
     return p / p.sum(axis=2, keepdims=True)
 
 
-def logistic_grid(rows: DataFrame, classes: int, cs: list[float], width: int, rounds: int = 60, tol: float = 1e-6) -> list[tuple[np.ndarray, np.ndarray]]:
+def logistic_grid(rows: DataFrame, classes: int, cs: list[float], width: int, rounds: int = 60, tol: float = 1e-4) -> list[tuple[np.ndarray, np.ndarray]]:
     """(coefficients width x classes, intercepts) for each C, from rows (y: class number, w: weight, at, x).
 
     Minimises the mean weighted log loss plus |coefficients|^2 / (2 C W), W the sum of weights:
@@ -420,7 +445,8 @@ def logistic_grid(rows: DataFrame, classes: int, cs: list[float], width: int, ro
     if not total:
         raise ValueError("a classifier needs labelled rows")
     # terms that no row has keep coefficient 0: search among the others
-    there = np.array(sorted(r.at for r in rows.select(F.explode("at").alias("at")).distinct().collect()), np.int64)  # width numbers at most
+    seen = _scan(rows, lambda b, total: _add(total, 0, np.bincount(np.asarray(b.column("at").flatten()), minlength=width)))[0]
+    there = np.flatnonzero(seen)
     place = np.full(width, -1, np.int64)
     place[there] = np.arange(len(there))
     size = len(there) * classes
@@ -441,18 +467,15 @@ def logistic_grid(rows: DataFrame, classes: int, cs: list[float], width: int, ro
             for b in batches:
                 if not b.num_rows:
                     continue
-                b = b.set_column(b.schema.get_field_index("at"), "at", pa.ListArray.from_arrays(_offsets(b.column("at")), pa.array(place[np.asarray(b.column("at").flatten())])))
-                logits, row, at, x = _forward(b, coef, bias)
+                logits, row, at, x = _forward(b, coef, bias, place)
                 y, w = np.asarray(b.column("y")), np.asarray(b.column("w"))
                 p = _softmax(logits, classes)
                 rest[:many] -= (w[:, None] * np.log(np.maximum(p[np.arange(len(y)), :, y], 1e-300))).sum(axis=0)
                 p[np.arange(len(y)), :, y] -= 1
                 wrong = (p * w[:, None, None]).reshape(len(y), -1)
                 rest[many:] += wrong.sum(axis=0)
-                if len(at):
-                    order = np.argsort(at, kind="stable")
-                    first = np.flatnonzero(np.concatenate(([True], np.diff(at[order]) > 0)))
-                    gradient[at[order][first]] += np.add.reduceat(wrong[row[order]] * x[order][:, None], first)
+                for k in range(wrong.shape[1]):
+                    gradient[:, k] += np.bincount(at, wrong[:, k][row] * x, minlength=len(gradient))
             out = {i: gradient[i * CHUNK : (i + 1) * CHUNK].ravel() for i in range(-(-len(gradient) // CHUNK))}
             yield _slots(out | {-1: rest})
 
@@ -474,10 +497,6 @@ def logistic_grid(rows: DataFrame, classes: int, cs: list[float], width: int, ro
     return out
 
 
-def _offsets(column: pa.Array) -> pa.Array:
-    return pa.array(np.concatenate(([0], np.cumsum(np.asarray(column.value_lengths())))).astype(np.int32))
-
-
 @dataclass
 class Classifier:
     """TF-IDF and balanced multinomial logistic regression."""
@@ -491,7 +510,7 @@ class Classifier:
 
     def predicted(self, docs: DataFrame, terms: Column, *keep: str) -> DataFrame:
         """keep and predicted; a row without known terms gets what the intercepts say. Ties go to the first label."""
-        return _said(self.weights.rows(docs, terms, *keep), self.coef, self.bias, self.labels, ["predicted"])
+        return _said(self.weights.of(hashed(docs, terms, *keep, width=len(self.weights.idf))), self.coef, self.bias, self.labels, ["predicted"])
 
 
 def _said(rows: DataFrame, coef: np.ndarray, bias: np.ndarray, labels: list[str], names: list[str]) -> DataFrame:
@@ -520,14 +539,15 @@ def tuned(train: DataFrame, dev: DataFrame, terms: Column, label: str, grid: tup
     labels, n, cs = sorted(sizes), sum(sizes.values()), sorted(grid)
     if not labels:
         raise ValueError("a classifier needs labelled rows")
-    weights = term_weights(train, terms, width=width)
     y = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label).cast("string")).cast("int") - 1
     balance = F.element_at(F.array(*[F.lit(n / (len(labels) * sizes[x])) for x in labels]), y + 1)
-    rows = graph.saved(weights.rows(train.select("*", y.alias("y"), balance.alias("w")), terms, "y", "w"))
+    counted = _for_scans(hashed(train.select("*", y.alias("y"), balance.alias("w")), terms, "y", "w", width=width))
+    weights = term_weights(counted, width=width)
+    rows = _for_scans(weights.of(counted))
     models = logistic_grid(rows, len(labels), cs, width)
     coef, bias = np.concatenate([m[0] for m in models], axis=1), np.concatenate([m[1] for m in models])
     names = [f"c{i}" for i in range(len(cs))]
-    said = _said(weights.rows(dev.select("*", F.col(label).cast("string").alias("__gold")), terms, "__gold"), coef, bias, labels, names)
+    said = _said(weights.of(hashed(dev.select("*", F.col(label).cast("string").alias("__gold")), terms, "__gold", width=width)), coef, bias, labels, names)
     each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("said")) for i, c in enumerate(names)])
     counts = said.groupBy("__gold", *names).count().select("__gold", "count", F.explode(each).alias("e")).groupBy("e.i", "__gold", "e.said").agg(F.sum("count").alias("n")).collect()  # C x labels^2 rows
     f1: dict[float, float] = {}

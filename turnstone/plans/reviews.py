@@ -212,7 +212,7 @@ def m7_tfidf_classifier(spark, d):
     """Languages of a quarter of all documents, by the best C of the grid on another quarter, fitted on the other half."""
     docs = read(spark, d, "documents").select("doc_id", "text", "lang")
     terms = X.tokens(F.col("text"))
-    model = MD.tuned(docs.where("doc_id % 4 in (1, 2)"), docs.where("doc_id % 4 = 3"), terms, "lang")
+    model = MD.tuned(docs.where("doc_id % 4 in (1, 2)"), docs.where("doc_id % 4 = 3"), terms, "lang", width=1 << 14)
     return model.predicted(docs.where("doc_id % 4 = 0"), terms, "doc_id", "lang").withColumn("c", F.lit(model.c))
 
 
