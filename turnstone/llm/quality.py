@@ -4,10 +4,11 @@ One pass measures each text. A sketch of each measure per (lang, source) counts
 buckets of 1 % relative width (a DDSketch): sketches merge by adding counts, in any order,
 with the same result each time. Every fence is read off the sketches:
 
-* the upper fence of a measure is the third quartile and ``SPREAD`` quartile distances, or
-  ``TYPICAL`` times the median of the values above zero, if that is more. The second part is
-  what decides where most documents have nothing of a measure: it follows what is usual among
-  those of the group that have some,
+* the upper fence of a measure is the third quartile and ``SPREAD`` quartile distances, or the
+  ``HIGH`` quantile, or ``TYPICAL`` times the median of the values above zero, whichever is
+  most. Where most documents have nothing of a measure both quartiles are zero and the quantile
+  decides: where more than one in ten documents has symbols the usual ones of them stay,
+  where fewer have any they are the odd ones out and go,
 * word length also has a lower fence, below the first quartile.
 
 A group's quantiles are drawn towards those of its language, and these to those of all
@@ -39,8 +40,10 @@ PRIOR = 20.0
 ERROR = 0.01
 #: Quartile distances beyond the quartiles.
 SPREAD = 8.0
-#: Times the median of what lies above zero; word length is never zero and has no such part.
-TYPICAL = {"symbol_share": 0.25, "dup_line_share": 3.0, "repeat_share": 4.0, "word_length": 0.0}
+#: No fence lies below this quantile of its group: what a group has more often is not unusual there.
+HIGH = 0.9
+#: Times the median of what lies above zero, for measures of repetition, which every kind of text has at times.
+TYPICAL = {"dup_line_share": 3.0, "repeat_share": 4.0}
 #: Least upper fence, and least distance of the word length's fences from its quartiles.
 LEAST = {"symbol_share": 0.01, "dup_line_share": 0.1, "repeat_share": 0.05, "word_length": 0.5}
 LOWER = ("word_length",)
@@ -129,16 +132,16 @@ def thresholds(counted: DataFrame) -> DataFrame:
         run = merged.select(*keys, "measure", value.alias("value"), F.sum("n").over(w).alias("n"), F.sum("n").over(up).alias("upto"), F.coalesce(F.sum(some).over(w), F.lit(0)).alias("pos"), F.coalesce(F.sum(some).over(up), F.lit(0)).alias("pos_upto"))
         at = lambda p: F.min(F.when(F.col("upto") >= F.col("n") * p, F.col("value")))
         half = F.min(F.when((F.col("pos_upto") > 0) & (F.col("pos_upto") >= F.col("pos") * 0.5), F.col("value")))
-        return run.groupBy(*keys, "measure").agg(F.struct(F.max("n").cast("double").alias("n"), F.max("pos").cast("double").alias("pos"), at(0.25).alias("q1"), at(0.75).alias("q3"), F.coalesce(half, F.lit(0.0)).alias("mid")).alias(tag))
+        return run.groupBy(*keys, "measure").agg(F.struct(F.max("n").cast("double").alias("n"), F.max("pos").cast("double").alias("pos"), at(0.25).alias("q1"), at(0.75).alias("q3"), at(HIGH).alias("top"), F.coalesce(half, F.lit(0.0)).alias("mid")).alias(tag))
 
     drawn = lambda own, n, wide: (n * own + PRIOR * wide) / (n + PRIOR)
     per = quantiles(["lang_key", "source_key"], "own").join(quantiles(["lang_key"], "wide"), ["lang_key", "measure"]).join(quantiles([], "whole"), "measure")
-    for q, n in (("q1", "n"), ("q3", "n"), ("mid", "pos")):
+    for q, n in (("q1", "n"), ("q3", "n"), ("top", "n"), ("mid", "pos")):
         per = per.withColumn(q, drawn(F.col(f"own.{q}"), F.col(f"own.{n}"), drawn(F.col(f"wide.{q}"), F.col(f"wide.{n}"), F.col(f"whole.{q}"))))
     fence = []
     reach = SPREAD * (F.col("q3") - F.col("q1"))
     for m, least in LEAST.items():
-        high = F.greatest(F.col("q3") + reach, TYPICAL[m] * F.col("mid"), F.lit(least) + (F.col("q3") if m in LOWER else 0.0))
+        high = F.greatest(F.col("q3") + reach, F.col("top"), TYPICAL.get(m, 0.0) * F.col("mid"), F.lit(least) + (F.col("q3") if m in LOWER else 0.0))
         fence.append(F.max(F.when(F.col("measure") == m, high)).alias(f"max_{m}"))
         if m in LOWER:
             fence.append(F.max(F.when(F.col("measure") == m, F.col("q1") - F.greatest(reach, F.lit(least)))).alias(f"min_{m}"))
@@ -177,14 +180,14 @@ def _sql() -> str:
     for tag, keys in {"own": "lang, source, ", "wide": "lang, ", "whole": ""}.items():
         over = f"PARTITION BY {keys}measure"
         parts.append(
-            f"{tag} AS (SELECT {keys}measure, max(n)::DOUBLE AS n, max(pos)::DOUBLE AS pos, min(CASE WHEN upto >= n * 0.25 THEN v END) AS q1, min(CASE WHEN upto >= n * 0.75 THEN v END) AS q3, coalesce(min(CASE WHEN pos_upto > 0 AND pos_upto >= pos * 0.5 THEN v END), 0.0) AS mid FROM "
+            f"{tag} AS (SELECT {keys}measure, max(n)::DOUBLE AS n, max(pos)::DOUBLE AS pos, min(CASE WHEN upto >= n * 0.25 THEN v END) AS q1, min(CASE WHEN upto >= n * 0.75 THEN v END) AS q3, min(CASE WHEN upto >= n * {HIGH} THEN v END) AS top, coalesce(min(CASE WHEN pos_upto > 0 AND pos_upto >= pos * 0.5 THEN v END), 0.0) AS mid FROM "
             f"(SELECT {keys}measure, CASE WHEN bucket IS NULL THEN 0.0 ELSE 2 * pow({gamma!r}, bucket) / ({gamma!r} + 1) END AS v, sum(n) OVER ({over}) AS n, sum(n) OVER ({over} ORDER BY bucket NULLS FIRST) AS upto, "
             f"coalesce(sum(CASE WHEN bucket IS NOT NULL THEN n END) OVER ({over}), 0) AS pos, coalesce(sum(CASE WHEN bucket IS NOT NULL THEN n END) OVER ({over} ORDER BY bucket NULLS FIRST), 0) AS pos_upto FROM "
             f"(SELECT {keys}measure, bucket, sum(n) AS n FROM cells GROUP BY {keys}measure, bucket)) GROUP BY {keys}measure)"
         )
     drawn = lambda own, n, wide: f"(({n} * {own} + {PRIOR} * {wide}) / ({n} + {PRIOR}))"
     pick = lambda q, n: drawn(f"o.{q}", f"o.{n}", drawn(f"w.{q}", f"w.{n}", f"a.{q}"))
-    high = lambda m: f"value > greatest(q3 + {SPREAD} * (q3 - q1), {TYPICAL[m]} * mid, {LEAST[m]} + {'q3' if m in LOWER else '0.0'})"
+    high = lambda m: f"value > greatest(q3 + {SPREAD} * (q3 - q1), top, {TYPICAL.get(m, 0.0)} * mid, {LEAST[m]} + {'q3' if m in LOWER else '0.0'})"
     wrong = [f"(measure = '{m}' AND ({high(m)}" + (f" OR value < q1 - greatest({SPREAD} * (q3 - q1), {LEAST[m]})" if m in LOWER else "") + "))" for m in LEAST]
     return (
         r"""
@@ -196,7 +199,7 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 """
         + f"l AS ({long}), cells AS (SELECT lang, source, measure, CASE WHEN value > 1e-9 THEN ceil(ln(value) / {float(np.log(gamma))!r})::INTEGER END AS bucket, count(*) AS n FROM l GROUP BY ALL), "
         + ", ".join(parts)
-        + f""", q AS (SELECT o.lang, o.source, o.measure, {pick('q1', 'n')} AS q1, {pick('q3', 'n')} AS q3, {pick('mid', 'pos')} AS mid FROM own o JOIN wide w ON w.measure = o.measure AND w.lang IS NOT DISTINCT FROM o.lang JOIN whole a ON a.measure = o.measure),
+        + f""", q AS (SELECT o.lang, o.source, o.measure, {pick('q1', 'n')} AS q1, {pick('q3', 'n')} AS q3, {pick('top', 'n')} AS top, {pick('mid', 'pos')} AS mid FROM own o JOIN wide w ON w.measure = o.measure AND w.lang IS NOT DISTINCT FROM o.lang JOIN whole a ON a.measure = o.measure),
 bad AS (SELECT DISTINCT doc_id FROM l JOIN q ON q.measure = l.measure AND q.lang IS NOT DISTINCT FROM l.lang AND q.source IS NOT DISTINCT FROM l.source WHERE {' OR '.join(wrong).replace('measure =', 'l.measure =')})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b"""
     )
