@@ -76,7 +76,7 @@ def test_few_pairs_are_verified(spark):
 def above(plan: str, at: int) -> list[str]:
     """The lines of a plan from a node's parent up to the root."""
     lines = plan.split("\n")
-    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
     out, level = [], depth(lines[at])
     for line in reversed(lines[:at]):
         if depth(line) < level:
@@ -87,6 +87,7 @@ def above(plan: str, at: int) -> list[str]:
 
 def test_a_saved_index_is_searched_without_moving_it(spark, frames, monkeypatch):
     monkeypatch.setattr(SE, "SMALL", 0)
+    monkeypatch.setattr(SE, "PAIRS", 0)
     docs, queries = frames
     SE.indexed(docs, "doc", words()).save("kept_index", 4)
     index = SE.loaded(spark, "kept_index")

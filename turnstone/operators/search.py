@@ -40,6 +40,8 @@ SHARE = 0.35
 DIGITS = 6
 #: Query terms that are sent to every task; more of them are exchanged to the buckets of the index.
 SMALL = 50_000
+#: Rows (q, k, term) of a lookup that are sent to every task, some 50 bytes each.
+PAIRS = 300_000
 #: What rounding may move a score by; a threshold gives way by so much.
 SLIP = 2 * 10.0**-DIGITS
 
@@ -69,31 +71,28 @@ def indexed(corpus: DataFrame, key: str, terms: Column, *, only: DataFrame | Non
     """The index of corpus; terms is an array of each document's terms, read once.
 
     only (term): an index for one set of queries has just their terms; frequencies and lengths
-    are those of all. Documents without terms count for the mean length, null keys do not take part.
+    are those of all. Documents without terms count for the mean length, null keys do not take
+    part. Keys are taken to be distinct.
     """
     here = corpus.where(F.col(key).isNotNull())
-    # a generator keeps the terms from being worked out twice
-    docs = here.select(F.col(key).alias("k"), F.explode(F.array(terms)).alias("ts")).select("k", "ts", F.size("ts").alias("len"))
-    counted = lambda df: df.groupBy("k", "term").agg(F.count("*").alias("tf"), F.any_value("len").alias("len"))
-    if only is None:
-        long = graph.saved(counted(docs.select("k", "len", F.explode("ts").alias("term"))))
-        words = long.agg(F.sum("tf").alias("words"))  # a document's length is the sum of its counts
-    else:
-        docs = graph.saved(docs)
-        words = docs.agg(F.sum("len").alias("words"))
-        long = counted(docs.select("k", "len", F.explode("ts").alias("term")).join(graph.saved(only.select("term").distinct()), "term", "left_semi"))
-    total = words.crossJoin(F.broadcast(here.agg(F.count("*").alias("N"))))  # one row each
-    long = graph.saved(long) if only is not None else long
+    # a generator keeps the terms from being worked out twice; a document's row without a term counts it and its length
+    docs = here.select(F.col(key).alias("k"), F.explode(F.array(F.coalesce(terms, F.array().cast("array<string>")))).alias("ts"))
+    long = docs.select("k", F.size("ts").cast("long").alias("len"), F.explode(F.concat("ts", F.array(F.lit(None).cast("string")))).alias("term"))
+    if only is not None:
+        asked = graph.saved(only.select("term").distinct())
+        asked = F.broadcast(asked) if asked.limit(SMALL + 1).count() <= SMALL else asked
+        long = long.join(asked.withColumn("asked", F.lit(True)), "term", "left").where("asked or term is null")
+    long = graph.written(long.groupBy("k", "term").agg(F.count("*").alias("tf"), F.any_value("len").alias("len")))
+    total = F.broadcast(long.where("term is null").agg(F.sum(F.col("len") * F.col("tf")).alias("words"), F.sum("tf").alias("N")))  # one row
+    long = long.where("term is not null")
     df = graph.saved(long.groupBy("term").agg(F.count("*").alias("df")))
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") * F.col("N") / F.col("words")))
     idf = F.ln((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = long.join(df, "term").crossJoin(F.broadcast(total)).select("term", "k", "df", (idf * impact).alias("weight"), F.floor(impact * LEVELS).cast("int").alias("level"))
-    weights = graph.saved(weights)
+    weights = long.join(df, "term").crossJoin(total).select("term", "k", "df", (idf * impact).alias("weight"), F.floor(impact * LEVELS).cast("int").alias("level"))
     chunk = F.pmod(F.xxhash64("k"), F.ceil(F.col("df") / BLOCK)).alias("chunk")
-    blocks = weights.groupBy("term", "level", chunk).agg(F.max("weight").alias("top"), F.collect_list(F.struct("k", "weight")).alias("postings"), F.any_value("df").alias("df"))
-    blocks = graph.saved(blocks)
-    vocabulary = blocks.groupBy("term").agg(F.any_value("df").alias("df"), F.max("top").alias("top"), F.max("level").alias("level"))
-    return Index(blocks.select("term", "level", "top", "postings"), weights.select("term", "k", "weight"), graph.saved(vocabulary))
+    blocks = graph.written(weights.groupBy("term", "level", chunk).agg(F.max("weight").alias("top"), F.collect_list(F.struct("k", "weight")).alias("postings"), F.any_value("df").alias("df")))
+    vocabulary = graph.saved(blocks.groupBy("term").agg(F.any_value("df").alias("df"), F.max("top").alias("top"), F.max("level").alias("level")))
+    return Index(blocks.select("term", "level", "top", "postings"), blocks.select("term", F.explode("postings").alias("p")).select("term", "p.k", "p.weight"), vocabulary)
 
 
 def _asked(index: Index, queries: DataFrame, key: str, terms: Column) -> DataFrame:
@@ -102,9 +101,10 @@ def _asked(index: Index, queries: DataFrame, key: str, terms: Column) -> DataFra
     return graph.saved(q.join(index.terms, "term").select("q", "term", "qtf", "df", "level", (F.col("qtf") * F.col("top")).alias("most")))
 
 
-def _sized(terms: DataFrame) -> DataFrame:
-    """Saved query terms with a broadcast hint if they are few."""
-    return F.broadcast(terms) if terms.limit(SMALL + 1).count() <= SMALL else terms
+def _sized(side: DataFrame, most: int | None = None) -> DataFrame:
+    """A saved side with a broadcast hint if it is small."""
+    most = SMALL if most is None else most
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
 
 
 def _met(asked: DataFrame, index: Index, wanted: Column) -> DataFrame:
@@ -117,7 +117,7 @@ def _met(asked: DataFrame, index: Index, wanted: Column) -> DataFrame:
 
 def _looked_up(pairs: DataFrame, index: Index) -> DataFrame:
     """q, k, more: what pairs (q, k, term, qtf) add up to."""
-    return pairs.join(index.weights, ["term", "k"]).groupBy("q", "k").agg(F.sum(F.col("qtf") * F.col("weight")).alias("more"))
+    return _sized(graph.saved(pairs), PAIRS).join(index.weights, ["term", "k"]).groupBy("q", "k").agg(F.sum(F.col("qtf") * F.col("weight")).alias("more"))
 
 
 def thresholds(index: Index, asked: DataFrame, k: int) -> DataFrame:
