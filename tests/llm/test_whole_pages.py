@@ -139,10 +139,10 @@ def brute_page(tree):
     """Text of such a page: lines, ratios, clusters and segments by plain recursion."""
     lines, state = [], {"tags": 1, "n": 0, "region": 0}  # <body>
 
-    def walk(nodes, holder, region, out):
+    def walk(nodes, holder, region, out, parent="body"):
         for tag, kids in nodes:
             if tag in ("", "a"):
-                lines.append([kids, state["tags"] + 2 * (tag == "a") + 1, holder, region, out, tag == "a"])  # with the end tag of its block
+                lines.append([kids, state["tags"] + 2 * (tag == "a") + 1, holder, region, out, tag == "a", parent])  # with the end tag of its block
                 state["tags"] = -1
                 continue
             state["tags"] += 1
@@ -152,7 +152,7 @@ def brute_page(tree):
             if tag == "article":
                 state["region"] += 1
                 inside = state["region"]
-            walk(kids, mine, inside, out or tag in ("nav", "footer"))
+            walk(kids, mine, inside, out or tag in ("nav", "footer"), tag)
             state["tags"] += 1
 
     walk(tree, 0, 0, False)
@@ -165,7 +165,10 @@ def brute_page(tree):
         every = size(lambda x, u: True)
         return 2 * size(lambda x, u: u) >= every or 2 * size(lambda x, u: x[5]) <= every
 
-    kept = [x for x, _ in own if fine(x[2])]
+    stays = [fine(x[2]) for x, _ in own]
+    paragraphs = [i for i, (x, _) in enumerate(own) if stays[i] and x[6] == "p" and not x[5]]
+    between = lambda i: any(own[j][0][3] == own[i][0][3] and j < i for j in paragraphs) and any(own[j][0][3] == own[i][0][3] and j > i for j in paragraphs)
+    kept = [x for i, (x, _) in enumerate(own) if stays[i] or between(i)]
     if not kept:
         most = max({x[3] for x, _ in own}, key=lambda r: sum(len(x[0]) for x, _ in own if x[3] == r))
         kept = [x for x, _ in own if x[3] == most]
@@ -187,6 +190,38 @@ def test_pages_equal_brute_force():
     assert differ > 20
 
 
+ARTICLE = f"<article><h1>Title</h1><p>{words(300)}</p><p>{words(250, 1)}</p></article>"
+
+
+@pytest.mark.parametrize("page", [f"<form id=aspnetForm>{LINKS}{ARTICLE}</form>", f"<form id=aspnetForm><div><p>{words(300)}</p><p>{words(250, 1)}</p></div></form>", f"<div aria-hidden=true>{ARTICLE}</div>", f"<div role=form>{ARTICLE}</div>"])
+def test_frames_around_the_article_stay(page):
+    assert extraction.main_text(f"<body aria-hidden='true'>{page}</body>").split("\n")[-2:] == [words(300), words(250, 1)]
+
+
+def test_forms_in_and_beside_an_article_go():
+    form = "<form><p>Your name and a few words on this form</p></form>"
+    assert extraction.main_text(f"<body>{form}{ARTICLE.replace('</article>', form + '</article>')}{form}</body>").split("\n") == ["Title", words(300), words(250, 1)]
+    assert extraction.main_text(f"<body><article><p>Short news.</p></article><form><p>{words(80)}</p></form></body>") == "Short news."
+
+
+@pytest.mark.parametrize("holder", ["section id=responses", "div id=comments", "section class=comment-list", "div class=q"])
+@pytest.mark.parametrize("own", [f"<p>{words(400, 5)}</p>", "<p>Short news.</p>"])
+def test_comments_go_however_short_the_article(holder, own):
+    comments = "".join(f"<article class=comment><p>{words(500, i)}</p></article>" for i in range(3))
+    got = extraction.main_text(f"<body>{LINKS}<article>{own}</article><{holder}>{comments}</{holder.split()[0]}></body>")
+    assert got == own[3:-4]
+
+
+def test_links_between_paragraphs_stay():
+    links = "".join(f"<li><a href='/{i}'>item {i}</a></li>" for i in range(8))
+    got = extraction.main_text(f"<body>{LINKS}<article><h1>Title</h1><p>{words(300)}</p><h2>The list</h2><ul>{links}</ul><p>{words(200, 1)}</p><ul>{links}</ul></article></body>")
+    assert got.split("\n") == ["Title", words(300), "The list", *[f"item {i}" for i in range(8)], words(200, 1)]
+
+
+def test_a_comment_that_never_ends_is_no_text():
+    assert extraction.main_text(f"<body><article><p>{words(300)}</p></article><!-- {'lost ' * 100_000}") == words(300)
+
+
 def test_split_equals_every_cut():
     rng = np.random.default_rng(3)
     for n in range(1, 40):

@@ -9,21 +9,22 @@ a segment belongs to the upper cluster if half of its characters do.
 
 * On pages with article or main elements, the text is what stands in them, short lines too,
   but for segments that are mostly links and not in the upper cluster: lists of shares, tags
-  or related pages, whatever they are called.
+  or related pages, whatever they are called. Such a list stays if it lies between paragraphs of its article.
 * On other pages it is the stretch from the first to the last line of the upper cluster in a
   segment of it, and the lines next to it in the same element, up to a list of links.
 
 What the page itself says is no article (nav, footer, aside, form, roles, hidden) is left out
-before that. Names in class or id leave an element out only if they name nothing else: each
+before that. A form, or what scripts have hidden from screen readers, is the page's frame and stays if an
+article begins in it or it holds most of the page's text. Reader comments go by their names, articles among them too. Names in class or id leave an element out only if they name nothing else: each
 word of the name must be a boilerplate word or a mere container word ("comment-list",
 "ad-top"). A name with any other word ("related-work", "legal-analysis"), after a word like
 "with" or "no", or on a heading or paragraph, says nothing, and the ratios decide. An
-article inside an element that such names leave out counts if no other article has a line
-of the upper cluster.
+article inside an element that such names leave out, but for comments, counts if no other
+article has a line of the upper cluster.
 
 Cases: null html: empty text; pages without text: empty text; unclosed and misnested tags:
 a block tag closes an open paragraph, an end tag closes up to its start tag or nothing;
-repeated rows give repeated results; a long page is parsed in pieces. Empty tables give
+a comment that is never closed is no text; repeated rows give repeated results; a long page is parsed in pieces. Empty tables give
 empty results; columns named text or n_chars are replaced, others pass through.
 """
 
@@ -47,14 +48,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose text a reader never sees as running text: they make no lines.
 NOT_TEXT = frozenset("head title script style noscript template svg button input select textarea option iframe object canvas audio video map datalist".split())
 #: Elements that are no part of an article; their lines still count for the clusters.
-NOT_ARTICLE = frozenset("nav footer aside form dialog menu".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+NOT_ARTICLE = frozenset("nav footer aside dialog menu".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class or id that mark an element as no part of an article.
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead "
-    "cookie cookies consent gdpr notice notices notification banner alert popup modal overlay newsletter subscribe subscription signup login comment comments respond reply replies disqus discussion "
+    "cookie cookies consent gdpr notice notices notification banner alert popup modal overlay newsletter subscribe subscription signup login comment comments respond reply replies responses disqus discussion "
     "share sharing social related recommended recommendations widget toolbar pagination pager search skip copyright legal disclaimer".split()
 )
+#: Those of them that mark what readers wrote.
+COMMENTS = frozenset("comment comments respond responses reply replies disqus".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words that say nothing about what a container holds.
 CONTAINERS = frozenset(
@@ -67,7 +70,7 @@ QUALIFIERS = frozenset("with without has have no non not".split())
 #: Hints that are also names of an article's own sections.
 SECTIONS = frozenset("discussion legal copyright disclaimer notice notices search social alert consent".split())
 #: How class and id words see an element: as content, as left out, as an article inside what they leave out.
-PLAIN, HINTED, INNER = range(3)
+PLAIN, HINTED, INNER, COMMENT = range(4)
 #: Blocks that hold text rather than other blocks.
 TEXT_BLOCKS = HEADINGS | frozenset("p li dt dd pre caption figcaption summary legend address tr td th".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -84,6 +87,10 @@ class Line(NamedTuple):
     path: tuple[int, ...]  # the enclosing block elements, outermost first
     segment: int  # the innermost of them that holds other blocks, or 0
     out: bool  # the page says it is no part of an article
+    frames: tuple[int, ...]  # the enclosing forms and hidden elements
+
+
+_ROOT = ("", False, 0, PLAIN, False, 0, False, ())
 
 
 class _Lines(HTMLParser):
@@ -91,7 +98,8 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, int, bool, int, bool]] = []  # tag, left out, region, seen, in a link, number, makes no lines
+        self.open: list[tuple[str, bool, int, int, bool, int, bool, tuple[int, ...]]] = []  # tag, left out, region, seen, in a link, number, makes no lines, frames
+        self.began: dict[int, tuple[int, ...]] = {}  # the frames around each region
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = self.regions = self.elements = self.linked = 0
@@ -101,9 +109,9 @@ class _Lines(HTMLParser):
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
                 around = [x for x in self.open if x[0] in BLOCK]
-                _, out, region, seen, _, _, _ = self.open[-1] if self.open else ("", False, 0, PLAIN, False, 0, False)
+                _, out, region, seen, _, _, _, frames = self.open[-1] if self.open else _ROOT
                 holder = next((x[5] for x in reversed(around) if x[0] not in TEXT_BLOCKS), 0)
-                self.lines.append(Line(text, self.tags, region, seen, self.linked, around[-1][0] if around else "", tuple(x[5] for x in around), holder, out or seen == HINTED))
+                self.lines.append(Line(text, self.tags, region, seen, self.linked, around[-1][0] if around else "", tuple(x[5] for x in around), holder, out or seen in (HINTED, COMMENT), frames))
                 self.tags = 0
             self.parts.clear()
             self.linked = 0
@@ -111,8 +119,8 @@ class _Lines(HTMLParser):
     def _left_out(self, tag: str, attrs: list, region: int) -> bool:
         if tag in NOT_ARTICLE or tag == "header" and not region:
             return True
-        for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true":
+        for name, value in attrs if tag not in ("html", "body") else ():
+            if name == "hidden":
                 return True
             if not value:
                 continue
@@ -120,16 +128,20 @@ class _Lines(HTMLParser):
                 return True
         return False
 
-    def _hinted(self, tag: str, attrs: list, region: int) -> bool:
-        if tag in ("html", "body", "article", "main", "p") or tag in HEADINGS:
-            return False
+    def _hinted(self, tag: str, attrs: list, region: int) -> int:
+        """HINTED, COMMENT or PLAIN; an article goes by the names of comments only."""
+        if tag in ("html", "body", "main", "p") or tag in HEADINGS:
+            return PLAIN
         for name, value in attrs:
             for one in (value or "").split() if name in ("class", "id") else ():
                 words = [w.lower() for w in _TOKEN.findall(one)]
                 hints = [w for w in words if w in HINTS and not (region and tag == "section" and w in SECTIONS) or w == "header" and not region]
                 if hints and all(w in hints or w in CONTAINERS for w in words):
-                    return True
-        return False
+                    if not COMMENTS.isdisjoint(hints):
+                        return COMMENT
+                    if tag != "article":
+                        return HINTED
+        return PLAIN
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -147,16 +159,22 @@ class _Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, out, region, seen, linked, _, silent = self.open[-1] if self.open else ("", False, 0, PLAIN, False, 0, False)
-        if tag in ("article", "main") or ("role", "main") in attrs:
+        _, out, region, seen, linked, _, silent, frames = self.open[-1] if self.open else _ROOT
+        self.elements += 1
+        if tag == "form" or ("role", "form") in attrs or ("aria-hidden", "true") in attrs:
+            frames = (*frames, self.elements)
+        named = self._hinted(tag, attrs, region)
+        if seen == COMMENT or named == COMMENT:
+            seen = COMMENT
+        elif tag in ("article", "main") or ("role", "main") in attrs:
             if not region or seen == HINTED:
                 self.regions += 1
                 region = self.regions
+                self.began[region] = frames
             seen = INNER if seen == HINTED else seen
-        elif self._hinted(tag, attrs, region):
+        elif named:
             seen = HINTED
-        self.elements += 1
-        self.open.append((tag, out or self._left_out(tag, attrs, region), region, seen, linked or tag == "a", self.elements, silent or tag in NOT_TEXT))
+        self.open.append((tag, out or self._left_out(tag, attrs, region), region, seen, linked or tag == "a", self.elements, silent or tag in NOT_TEXT, frames))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -181,9 +199,18 @@ class _Lines(HTMLParser):
                 self.linked += len(data.strip())
 
     def done(self) -> list[Line]:
+        """The lines. What stands in a frame is left out, unless an article begins there or most of the page's text is in it."""
+        if self.rawdata.startswith("<!--"):
+            self.rawdata = ""
         self.close()
         self._flush()
-        return self.lines
+        size: dict[int, int] = {}
+        for x in self.lines:
+            for f in x.frames if not x.out else ():
+                size[f] = size.get(f, 0) + len(x.text)
+        every = sum(len(x.text) for x in self.lines if not x.out)
+        kept = {f for around in self.began.values() for f in around} | {f for f, n in size.items() if 2 * n > every}
+        return [x._replace(out=True) if not kept.issuperset(x.frames) else x for x in self.lines]
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -240,6 +267,15 @@ def _segments(lines: list[Line], content: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.array([upper[x.segment] for x in lines]), np.array([fine[x.segment] for x in lines])
 
 
+def _between(lines: list[Line], fine: np.ndarray) -> np.ndarray:
+    """Which lines lie between paragraphs that stay, of their own region."""
+    ends: dict[int, list[int]] = {}
+    for i, (x, f) in enumerate(zip(lines, fine)):
+        if f and x.tag == "p" and not _links([x]):
+            ends.setdefault(x.region, [i, i])[1] = i
+    return np.array([x.region in ends and ends[x.region][0] < i < ends[x.region][1] for i, x in enumerate(lines)])
+
+
 def main_text(html: str, cluster=_upper) -> str:
     """The text of a page; cluster tells which of its lines are in the upper cluster."""
     parser = _Lines()
@@ -258,6 +294,7 @@ def main_text(html: str, cluster=_upper) -> str:
     if inside:
         region = [lines[i] for i in inside]
         _, fine = _segments(region, content[inside])
+        fine |= _between(region, fine)
         if not fine.any():
             most = max({x.region for x in region}, key=lambda r: sum(len(x.text) for x in region if x.region == r))
             fine = np.array([x.region == most for x in region])
