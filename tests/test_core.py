@@ -256,6 +256,66 @@ def test_samples(spark):
     assert [r.id for r in picks] == [99, 98]
 
 
+def plain_diverse(rows, dims, n):
+    """The greedy walk over all combinations."""
+    cells = {}
+    for r in rows:
+        c = tuple(r[1:])
+        cells[c] = cells.get(c, 0) + 1
+    levels = [{} for _ in dims]
+    for c, k in cells.items():
+        for i, v in enumerate(c):
+            levels[i][v] = levels[i].get(v, 0) + k
+    target = [{v: max(1.0, n * k**0.5 / sum(x**0.5 for x in lv.values())) for v, k in lv.items()} for lv in levels]
+    taken, quota = [dict.fromkeys(lv, 0) for lv in levels], dict.fromkeys(cells, 0)
+    for _ in range(min(n, len(rows))):
+        best = max((c for c in cells if quota[c] < cells[c]), key=lambda c: (round(sum(1 - taken[i][v] / target[i][v] for i, v in enumerate(c)), 9), tuple("" if v is None else str(v) for v in c)))
+        quota[best] += 1
+        for i, v in enumerate(best):
+            taken[i][v] += 1
+    return {c: q for c, q in quota.items() if q}
+
+
+@pytest.mark.parametrize("heap", [3, 7, 1000])
+def test_lazy_sample_equals_the_greedy_walk(spark, heap):
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice("aabbbcd") if i % 9 else None, rng.randrange(0, 6), rng.choice(["x", "y"])) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, kind string, size int, side string")
+    for n in (0, 1, 25, 500):
+        got = {}
+        for r in SC.diverse_sample(df, "id", ["kind", "size", "side"], n, heap=heap).collect():
+            got[(r.kind, r["size"], r.side)] = got.get((r.kind, r["size"], r.side), 0) + 1
+        assert got == plain_diverse(rows, ["kind", "size", "side"], n)
+        if heap < 1000 and n == 25:
+            break
+
+
+def test_rare_pairs_are_sketched_away(spark):
+    from turnstone.operators import vocabulary as VO
+
+    rows = [(i, f"common word r{i} s{i} often seen" if i % 2 else f"q{i} often seen x{i % 7}") for i in range(120)] + [(500, None), (501, "")]
+    docs, tokens = spark.createDataFrame(rows, "id long, text string"), F.split("text", " ")
+    want = {}
+    for _, t in rows:
+        w = t.split(" ") if t is not None else []
+        for g in {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))}:
+            want[g] = want.get(g, 0) + 1
+    for width in (4, 64, 1 << 20):
+        got = {r.term: r.df for r in VO.gram_vocabulary(docs, tokens, min_df=6, max_df=0.6, width=width).collect()}
+        assert got == {g: k for g, k in want.items() if 6 <= k <= 0.6 * len(rows)}
+    seen = docs.select(F.explode(F.array_distinct(RT.bigrams(tokens))).alias("term"))
+    assert VO.proposed(seen, VO.heavy_buckets(seen, 6)).count() == sum(k for k in want.values() if k >= 6)  # nothing rare is left to shuffle
+    plan = VO.proposed(seen, VO.heavy_buckets(seen, 6)).groupBy("term").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    weights = VO.weighed(docs, "id", tokens, VO.gram_vocabulary(docs, tokens, min_df=6, max_df=0.6)).collect()
+    norms = {}
+    for r in weights:
+        norms[r.id] = norms.get(r.id, 0) + r.weight**2
+    assert all(abs(x - 1) < 1e-9 for x in norms.values()) and {r.term for r in weights} == {g for g, k in want.items() if 6 <= k <= 0.6 * len(rows)}
+
+
 def test_retrieval(spark):
     corpus = spark.createDataFrame([("a", "wifi not working"), ("b", "seat booking"), ("c", "wifi")], "case_id string, text string")
     queries = spark.createDataFrame([(1, "my wifi is not working"), (2, "the and of"), (3, "seats"), (4, "zebra")], "query_id long, text string")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstone.functions import values as V
+from turnstone.operators import graph
 
 POOL, DEV = 0.10, 0.25
 
@@ -116,39 +117,65 @@ def round_robin(df: DataFrame, key: str, by: list[str], n: int, seed: int = 42)
     return df.withColumn("turn", hash_place(F.col(key), by, seed)).orderBy("turn", *by).limit(n)
 
 
-def diverse_sample(df: DataFrame, key: str, dimensions: list[str], n: int, seed: int = 42, max_pool: int = 200_000) -> DataFrame:
-    """Greedy: each step takes the row that serves the levels furthest below target (targets ~ root of counts).
+def diverse_sample(df: DataFrame, key: str, dimensions: list[str], n: int, seed: int = 42, heap: int = 1000) -> DataFrame:
+    """Greedy: each step takes a row of the combination of levels that is furthest below target (targets ~ root of counts), ties to the larger names.
 
-    Sequential by nature; rows with equal levels differ only by hash order, so it is the table
-    of level combinations that goes to one place, after a check of its size, not the rows.
+    How far a combination is below target only falls while rows are taken, so what it was once
+    bounds what it is (lazy greedy). The driver holds the best ``heap`` combinations as of the
+    last look and what it has taken since, n rows at most; as long as its best one is above the
+    last of them at that look, no other can be better. Else all combinations are weighed anew,
+    side by side, and the best ``heap`` fetched. No number of combinations is too many.
     """
-    combos = df.groupBy(*dimensions).agg(F.count("*").alias("n"))
-    cells = [r.asDict() for r in combos.limit(max_pool + 1).collect()]
-    if len(cells) > max_pool:
-        raise ValueError(f"more than {max_pool} combinations of {dimensions}")
-    target = {}
-    for d in dimensions:
-        levels: dict = {}
-        for c in cells:
-            levels[c[d]] = levels.get(c[d], 0) + c["n"]
-        total = sum(x**0.5 for x in levels.values())
-        target[d] = {v: max(1.0, n * x**0.5 / total) for v, x in levels.items()}
-    taken = {d: dict.fromkeys(target[d], 0) for d in dimensions}
-    quota = [0] * len(cells)
-    names = [str([c[d] for d in dimensions]) for c in cells]
-    for _ in range(min(n, sum(c["n"] for c in cells))):
-        need = lambda i: sum((target[d][cells[i][d]] - taken[d][cells[i][d]]) / target[d][cells[i][d]] for d in dimensions)
-        best = max((i for i in range(len(cells)) if quota[i] < cells[i]["n"]), key=lambda i: (need(i), names[i]))
-        quota[best] += 1
-        for d in dimensions:
-            taken[d][cells[best][d]] += 1
-    rows = [(*[c[d] for d in dimensions], q) for c, q in zip(cells, quota) if q]
-    schema = ", ".join(f"`{d}` {dict(df.dtypes)[d]}" for d in dimensions) + ", __quota int"
-    side = df.sparkSession.createDataFrame(rows, schema)
-    place = hash_place(F.col(key), dimensions, seed)
+    counts = graph.saved(df.groupBy(*dimensions).agg(F.count("*").alias("__n")))
+    combos, total = counts, counts.agg(F.sum("__n")).first()[0] or 0
+    name = lambda d: F.coalesce(F.col(d).cast("string"), F.lit(""))
+    for i, d in enumerate(dimensions):
+        levels = counts.groupBy(d).agg(F.sum("__n").alias("__m"))
+        scale = levels.agg(F.sum(F.sqrt("__m")).alias("__s"))  # one row
+        target = levels.crossJoin(F.broadcast(scale)).select(F.col(d).alias(f"__l{i}"), F.greatest(F.lit(1.0), n * F.sqrt("__m") / F.col("__s")).alias(f"__t{i}"))
+        combos = combos.join(target, F.col(d).eqNullSafe(F.col(f"__l{i}")))
+    combos = graph.saved(combos.select(*dimensions, "__n", *[f"__t{i}" for i in range(len(dimensions))]))
+    spark, types = df.sparkSession, dict(df.dtypes)
+    taken: list[dict] = [{} for _ in dimensions]
+    quota: dict[tuple, int] = {}
+
+    def look() -> list:
+        """The best combinations with rows left, best first."""
+        now = combos
+        for i, d in enumerate(dimensions):
+            had = spark.createDataFrame([(v, float(k)) for v, k in taken[i].items()], f"`__h{i}` {types[d]}, `__k{i}` double")  # n rows at most
+            now = now.join(F.broadcast(had), F.col(d).eqNullSafe(F.col(f"__h{i}")), "left")
+        spent = spark.createDataFrame([(*c, q) for c, q in quota.items()], ", ".join([*[f"`__q{i}` {types[d]}" for i, d in enumerate(dimensions)], "__q long"]))  # n rows at most
+        now = now.join(F.broadcast(spent), [F.col(d).eqNullSafe(F.col(f"__q{i}")) for i, d in enumerate(dimensions)], "left").where(F.col("__n") > F.coalesce("__q", F.lit(0)))
+        need = sum((1 - F.coalesce(f"__k{i}", F.lit(0.0)) / F.col(f"__t{i}") for i in range(len(dimensions))), F.lit(0.0))
+        return now.withColumn("__need", F.round(need, 9)).orderBy(F.desc("__need"), *[F.desc(name(d)) for d in dimensions]).limit(heap).collect()
+
+    def rank(r) -> tuple:
+        need = sum(1 - taken[i].get(r[d], 0) / r[f"__t{i}"] for i, d in enumerate(dimensions))
+        return round(need, 9), tuple("" if r[d] is None else _text(r[d]) for d in dimensions)
+
+    held, least = [], None
+    for _ in range(min(n, total)):
+        left = [r for r in held if quota.get(tuple(r[d] for d in dimensions), 0) < r["__n"]]
+        best = max(left, key=rank, default=None)
+        if best is None or (least is not None and rank(best) < least):
+            held = look()
+            least = rank(held[-1]) if len(held) == heap else None
+            best = max(held, key=rank)
+        at = tuple(best[d] for d in dimensions)
+        quota[at] = quota.get(at, 0) + 1
+        for i, d in enumerate(dimensions):
+            taken[i][best[d]] = taken[i].get(best[d], 0) + 1
+    schema = ", ".join(f"`{d}` {types[d]}" for d in dimensions) + ", __quota int"
+    side = spark.createDataFrame([(*c, q) for c, q in quota.items()], schema)
     same = [F.col(f"l.{d}").eqNullSafe(F.col(f"r.{d}")) for d in dimensions]
-    joined = df.withColumn("__place", place).alias("l").join(side.alias("r"), same)
-    return joined.where("__place <= __quota").select("l.*").drop("__place")
+    few = df.alias("l").join(F.broadcast(side).alias("r"), same).select("l.*", "__quota")  # only rows of chosen combinations are ranked
+    return few.withColumn("__place", hash_place(F.col(key), dimensions, seed)).where("__place <= __quota").drop("__place", "__quota")
+
+
+def _text(value) -> str:
+    """A level as Spark writes it."""
+    return str(value).lower() if isinstance(value, bool) else str(value)
 
 
 def split_assignments(cases: DataFrame, groups: DataFrame, golden: DataFrame, seed: int = 42) -> DataFrame:

@@ -14,6 +14,7 @@ from turnstone.operators import retrieval as RT
 from turnstone.operators import review as RV
 from turnstone.operators import scores as SC
 from turnstone.operators import search as SE
+from turnstone.operators import vocabulary as VO
 from turnstone.plans.bindings import TURNS, read, turns
 
 QUERIES: dict = {}
@@ -328,6 +329,15 @@ def m2_cluster_terms(spark, d):
     return _cluster_terms(read(spark, d, "documents"))
 
 
+_GRAMS = f"(SELECT doc_id, list_distinct(list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]))) AS gs FROM (SELECT doc_id, {_TOKENS} AS ts FROM documents))"
+
+
+@query(f"""SELECT term, count(*) AS df, round(ln((1.0 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1, 9) AS idf FROM (SELECT unnest(gs) AS term FROM {_GRAMS}) GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.4::DOUBLE * (SELECT count(*) FROM documents)""")
+def m1_gram_vocabulary(spark, d):
+    """Words and word pairs of all documents, stop words left out; rare pairs are sketched, not shuffled."""
+    return VO.gram_vocabulary(read(spark, d, "documents"), X.tokens(F.col("text"))).withColumn("idf", F.round("idf", 9))
+
+
 # ---- evaluation ----
 
 _LABELS = "SELECT doc_id, quality AS gold, (n_chars > 150)::INTEGER AS predicted, toxic FROM labels JOIN documents USING (doc_id)"
