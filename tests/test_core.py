@@ -475,6 +475,19 @@ def test_split_files_and_configuration(spark, tmp_path):
     rows = spark.createDataFrame([("a", "train"), ("b", "train"), ("c", "dev")], "case_id string, split string")
     m = SP.write_splits(rows, str(tmp_path / "s"))
     assert m == SP.read_manifest(spark, str(tmp_path / "s")) and {k: v["rows"] for k, v in m.items()} == {"train": 2, "dev": 1}
+    folder = str(tmp_path / "s")
+    assert sorted((r.split, r.reason) for r in SP.read_assignments(spark, folder).collect()) == [("dev", None), ("train", None), ("train", None)]
+    import hashlib
+    from pathlib import Path
+
+    files = {f: h for f, h in SP.read_manifest(spark, folder, "files").items() if f.endswith((".parquet", ".csv"))}
+    assert files and all(hashlib.sha256(Path(folder, f).read_bytes()).hexdigest() == h for f, h in files.items())
+    assert SP.verified_splits(spark, folder) == []
+    one = sorted(f for f in files if f.startswith("assignments/"))[0]
+    Path(folder, one).write_text("case_id,split,reason\n1,dev,\n")
+    Path(folder, "assignments", f".{one.split('/')[1]}.crc").unlink()
+    Path(folder, "data", "more.parquet").write_bytes(b"x")
+    assert SP.verified_splits(spark, folder) == [f"{one}: changed", "data/more.parquet: added"]
     assert spark.read.parquet(str(tmp_path / "s" / "data")).where("split = 'dev'").count() == 1
     (tmp_path / "c.json").write_text('{"policy": {"min": 3}}')
     assert SP.read_config(spark, str(tmp_path / "c.json")) == {"policy": {"min": 3}}

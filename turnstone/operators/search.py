@@ -83,12 +83,12 @@ def indexed(corpus: DataFrame, key: str, terms: Column, *, only: DataFrame | Non
         asked = F.broadcast(asked) if asked.limit(SMALL + 1).count() <= SMALL else asked
         long = long.join(asked.withColumn("asked", F.lit(True)), "term", "left").where("asked or term is null")
     long = graph.written(long.groupBy("k", "term").agg(F.count("*").alias("tf"), F.any_value("len").alias("len")))
-    total = F.broadcast(long.where("term is null").agg(F.sum(F.col("len") * F.col("tf")).alias("words"), F.sum("tf").alias("N")))  # one row
-    long = long.where("term is not null")
+    words, n = (float(x or 0) for x in long.where("term is null").agg(F.sum(F.col("len") * F.col("tf")), F.sum("tf")).first())
+    mean, long = max(words / max(n, 1.0), 1e-300), long.where("term is not null")
     df = graph.saved(long.groupBy("term").agg(F.count("*").alias("df")))
-    impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") * F.col("N") / F.col("words")))
-    idf = F.ln((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = long.join(df, "term").crossJoin(total).select("term", "k", "df", (idf * impact).alias("weight"), F.floor(impact * LEVELS).cast("int").alias("level"))
+    impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
+    idf = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weights = long.join(df, "term").select("term", "k", "df", (idf * impact).alias("weight"), F.floor(impact * LEVELS).cast("int").alias("level"))
     chunk = F.pmod(F.xxhash64("k"), F.ceil(F.col("df") / BLOCK)).alias("chunk")
     blocks = graph.written(weights.groupBy("term", "level", chunk).agg(F.max("weight").alias("top"), F.collect_list(F.struct("k", "weight")).alias("postings"), F.any_value("df").alias("df")))
     vocabulary = graph.saved(blocks.groupBy("term").agg(F.any_value("df").alias("df"), F.max("top").alias("top"), F.max("level").alias("level")))
