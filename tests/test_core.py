@@ -488,6 +488,7 @@ def test_split_files_and_configuration(spark, tmp_path):
     Path(folder, "assignments", f".{one.split('/')[1]}.crc").unlink()
     Path(folder, "data", "more.parquet").write_bytes(b"x")
     assert SP.verified_splits(spark, folder) == [f"{one}: changed", "data/more.parquet: added"]
+    Path(folder, "data", "more.parquet").unlink()
     assert spark.read.parquet(str(tmp_path / "s" / "data")).where("split = 'dev'").count() == 1
     (tmp_path / "c.json").write_text('{"policy": {"min": 3}}')
     assert SP.read_config(spark, str(tmp_path / "c.json")) == {"policy": {"min": 3}}
