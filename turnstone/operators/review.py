@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnstone.functions import rules as R
 from turnstone.functions import text as X
 from turnstone.functions import values as V
 from turnstone.operators import scores as SC
@@ -71,6 +72,50 @@ def failure_modes(records: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("mode"), F.col(n).alias("n")) for n in modes])).alias("x")).select("x.*")
 
 
+def hard_rule(message: Column, intent: Column, blocked: tuple[str, ...], least_words: int = 3) -> Column:
+    """Whether a rule alone escalates a message of this intent: blocked intent, sensitive wording or too few words."""
+    wording = F.lit(False)
+    for pattern in R.SENSITIVE:
+        wording = wording | F.rlike(F.lower(message), F.lit(pattern))
+    return F.coalesce(intent.isin(*blocked), F.lit(False)) | F.coalesce(wording, F.lit(False)) | (X.count_words(message) < least_words)
+
+
+def failure_report(cases: DataFrame, records: DataFrame, searches: DataFrame, blocked: tuple[str, ...], unclear: str, shown: int = 4) -> DataFrame:
+    """mode, n, of: how often each way to fail was seen, and among how many.
+
+    cases: message, blind, gold_intent, predicted, confidence, should_escalate, notes, other_agent_turns
+    of labelled cases; records: action, should_escalate, generation, grounding, reasons of an agent
+    run; searches: best, the rank of a query's first relevant document or null. Rules are tried on
+    the gold intents of blind cases, as if the classifier were perfect. Each table is read once,
+    and its aggregate is one row; confused pairs are counted in a table of label pairs.
+    """
+    blind = F.coalesce(F.col("blind"), F.lit(False))
+    judged = blind & F.col("predicted").isNotNull()
+    wrong = judged & (F.col("predicted") != F.col("gold_intent"))
+    rule, should = hard_rule(F.col("message"), F.col("gold_intent"), blocked), F.col("should_escalate")
+    noted = F.rlike(F.lower(F.coalesce("notes", F.lit(""))), F.lit("another operator|other operator"))
+    every = F.lit(True)
+    of_cases = {
+        "intent_errors": (wrong, judged), "confident_errors": (wrong & (F.col("confidence") >= 0.9), wrong), "policy_over_escalation": (blind & ~should & rule, blind & ~should), "unsafe_auto_handle": (blind & should & ~rule, blind & should),
+        "other_operator": ((F.coalesce("other_agent_turns", F.lit(0)) > 0) | noted, every), "low_information": (F.col("gold_intent") == unclear, every), "short_openings": (X.count_words(F.col("message")) < 3, every),
+    }
+    attempted, grounded = F.col("generation") != "not_attempted", F.col("grounding") != "not_run"
+    of_records = {
+        "observed_over_escalation": (~should & (F.col("action") == "ESCALATE"), ~should), "observed_unsafe": (should & (F.col("action") == "AUTO_HANDLE"), every), "generation_failures": (attempted & F.col("generation").isin("declined", "error"), attempted),
+        "grounding_failures": (grounded & F.col("grounding").isin("fail", "unavailable"), grounded), "insufficient_evidence": (F.arrays_overlap("reasons", F.array(*[F.lit(x) for x in ("weak_retrieval", "insufficient_evidence", "intent_disagreement")])), every),
+    }
+    of_searches = {"retrieval_misses": (F.coalesce(F.col("best") > 5, F.lit(True)), every)}
+
+    def counted(df: DataFrame, modes: dict[str, tuple[Column, Column]]) -> DataFrame:
+        one = df.agg(*[F.struct(F.lit(m).alias("mode"), F.count_if(n).alias("n"), F.count_if(of).alias("of")).alias(m) for m, (n, of) in modes.items()])
+        return one.select(F.explode(F.array(*modes)).alias("x")).select("x.*")
+
+    pairs = cases.where(wrong).groupBy(V.pair_key(F.col("gold_intent"), F.col("predicted")).alias("pair")).agg(F.count("*").alias("k"))
+    place = F.row_number().over(Window.orderBy(F.desc("k"), "pair"))  # a row a pair of labels
+    boundary = pairs.withColumn("p", place).agg(F.coalesce(F.sum(F.when(F.col("p") <= shown, F.col("k"))), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("of")).select(F.lit("intent_boundary").alias("mode"), "n", "of")
+    return counted(cases, of_cases).unionByName(boundary).unionByName(counted(records, of_records)).unionByName(counted(searches, of_searches))
+
+
 def miss_kind(best: Column, same_intent: Column, same_resolution: Column, tokens: Column) -> Column:
     """Why a query has no hit in the top 5."""
     return F.when(best <= 5, "hit").when(tokens < 2, "low_information").when(same_intent & ~same_resolution, "same_intent_other_resolution").when(~same_intent, "other_intent").otherwise("no_relevant_document")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from turnstone.functions import rules as R
 from turnstone.functions import text as X
 from turnstone.functions import values as V
 from turnstone.operators import agent as AG
@@ -74,6 +75,33 @@ def a24_failure_modes(spark, d):
     return RV.failure_modes(r).where("mode in ('needless_escalation', 'missed_escalation', 'hard_rule_gap')")
 
 
+_RULE = rf"(gold = '3' OR {' OR '.join(f"regexp_matches(lower(message), '{p}')" for p in R.SENSITIVE)} OR words < 3)"
+_WORDS = r"len(regexp_extract_all(regexp_replace(message, 'https?://\S+|[@#]\w+', ' ', 'g'), '[A-Za-z0-9£'']+'))"
+
+
+@query(f"""WITH {_DECIDE}, c AS (SELECT conv_id, message, {_WORDS} AS words, conv_id % 3 <> 0 AS blind, (conv_id * 7 % 4)::VARCHAR AS gold, CASE WHEN conv_id % 12 <> 0 THEN (conv_id % 5)::VARCHAR END AS said, 0.5 + (conv_id % 11) / 20.0 AS confidence, conv_id % 5 < 3 AS should_escalate, conv_id % 8 = 0 OR conv_id % 13 > 10 AS other FROM m),
+w AS (SELECT *, blind AND said IS NOT NULL AS judged, blind AND coalesce(said <> gold, false) AS wrong FROM c), p AS (SELECT least(gold, said) || '|' || greatest(gold, said) AS pair, count(*) AS k FROM w WHERE wrong GROUP BY pair),
+r AS (SELECT *, conv_id % 4 AS g, conv_id % 5 AS h, string_split(reasons, ',') AS rs FROM dec)
+SELECT 'intent_errors' AS mode, count(*) FILTER (wrong) AS n, count(*) FILTER (judged) AS "of" FROM w UNION ALL SELECT 'confident_errors', count(*) FILTER (wrong AND confidence >= 0.9), count(*) FILTER (wrong) FROM w
+UNION ALL SELECT 'policy_over_escalation', count(*) FILTER (blind AND NOT should_escalate AND {_RULE}), count(*) FILTER (blind AND NOT should_escalate) FROM w UNION ALL SELECT 'unsafe_auto_handle', count(*) FILTER (blind AND should_escalate AND NOT {_RULE}), count(*) FILTER (blind AND should_escalate) FROM w
+UNION ALL SELECT 'other_operator', count(*) FILTER (other), count(*) FROM w UNION ALL SELECT 'low_information', count(*) FILTER (gold = '2'), count(*) FROM w UNION ALL SELECT 'short_openings', count(*) FILTER (words < 3), count(*) FROM w
+UNION ALL SELECT 'intent_boundary', (SELECT coalesce(sum(k), 0)::BIGINT FROM (SELECT k FROM p ORDER BY k DESC, pair LIMIT 4)), (SELECT coalesce(sum(k), 0)::BIGINT FROM p)
+UNION ALL SELECT 'observed_over_escalation', count(*) FILTER (NOT should_escalate AND action = 'ESCALATE'), count(*) FILTER (NOT should_escalate) FROM r UNION ALL SELECT 'observed_unsafe', count(*) FILTER (should_escalate AND action = 'AUTO_HANDLE'), count(*) FROM r
+UNION ALL SELECT 'generation_failures', count(*) FILTER (g IN (2, 3)), count(*) FILTER (g <> 0) FROM r UNION ALL SELECT 'grounding_failures', count(*) FILTER (h IN (2, 3)), count(*) FILTER (h <> 0) FROM r
+UNION ALL SELECT 'insufficient_evidence', count(*) FILTER (list_has_any(rs, ['weak_retrieval', 'insufficient_evidence', 'intent_disagreement'])), count(*) FROM r UNION ALL SELECT 'retrieval_misses', count(*) FILTER (conv_id % 10 = 0 OR conv_id % 9 + 1 > 5), count(*) FROM r""")
+def a24_failure_report(spark, d):
+    """Every failure mode over all conversations: labels, predictions and run outcomes follow from their numbers."""
+    c = F.col("conv_id")
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(x) for x in names]), (at + 1).cast("int"))
+    cases = turns(spark, d).where("turn = 0").select(
+        F.col("text").alias("message"), (c % 3 != 0).alias("blind"), (c * 7 % 4).cast("string").alias("gold_intent"), F.when(c % 12 != 0, (c % 5).cast("string")).alias("predicted"), (0.5 + (c % 11) / 20.0).alias("confidence"), (c % 5 < 3).alias("should_escalate"),
+        F.when(c % 8 == 0, "Run by Another Operator").alias("notes"), F.when(c % 13 > 10, c % 13).alias("other_agent_turns"),
+    )
+    records = _decided(spark, d).select("conv_id", "action", "should_escalate", "reasons", pick(("not_attempted", "ok", "declined", "error"), c % 4).alias("generation"), pick(("not_run", "pass", "fail", "unavailable", "pass"), c % 5).alias("grounding"))
+    searches = records.select(F.when(c % 10 != 0, c % 9 + 1).alias("best"))
+    return RV.failure_report(cases, records, searches, blocked=("3",), unclear="2")
+
+
 @query(f"WITH {_DECIDE} SELECT conv_id, CASE WHEN action = 'AUTO_HANDLE' THEN 'answered' ELSE 'escalated' END AS status FROM dec")
 def r9_ticket_status(spark, d):
     return _decided(spark, d).select("conv_id", L.ticket_status(F.col("action"), F.lit("reply")).alias("status"))
