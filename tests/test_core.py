@@ -105,7 +105,7 @@ def test_signals(spark):
 def cases(spark, *turns):
     data = [(1, i, role, None, text, "c") for i, (role, text) in enumerate(turns)]
     rows = spark.createDataFrame(data, "k long, tweet_id long, role string, created_at timestamp, text string, author_id string")
-    return E.with_resolution(E.turns_of(E.with_signals(rows), "k", F.col("found"))).first()
+    return E.resolutions(E.with_signals(rows), "k").first()
 
 
 def test_case_resolution(spark):
@@ -120,6 +120,17 @@ def test_case_resolution(spark):
     assert cases(spark, ("customer", "q"), ("brand_agent", "We refund it"), ("customer", "thanks, sorted")).resolved
 
 
+def test_a_very_long_case_is_no_array(spark):
+    n = 20_000
+    text = F.concat(F.lit("We have refunded ticket "), F.col("id").cast("string"), F.when(F.col("id") % 7 == 0, ". Please DM us").otherwise(". Which train?"))
+    rows = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("tweet_id"), F.when(F.col("id") % 2 == 0, "customer").otherwise("brand_agent").alias("role"), F.timestamp_seconds(F.col("id") * 60).alias("created_at"), text.alias("text"))
+    out = E.resolutions(E.with_signals(rows), "k")
+    r = out.first()
+    assert (r.resolution_type, r.dm_redirect) == ("refund", True) and [e.tweet_id for e in r.resolution_evidence] == [1, 3, 5, 7]
+    marked = E.with_signals(rows.withColumn("author_id", F.lit("a")))
+    assert "collect_list" not in E.case_table(marked.drop("found"), "k").select("k", "turn_count")._jdf.queryExecution().optimizedPlan().toString()
+
+
 # ---- graphs and threads ----
 
 

@@ -108,39 +108,44 @@ def with_signals(rows: DataFrame, operators: list[str] = ()) -> DataFrame:
     return shown.withColumn("found", F.when(F.col("role") == "brand_agent", R.turn_signals(F.col("__shown"), F.col("__low"), list(operators)))).drop("__shown", "__low")
 
 
-def with_resolution(cases: DataFrame) -> DataFrame:
-    """cases (with turns that have signals) plus resolution_type, outcome, resolved, dm_redirect, resolution_signals, resolution_evidence.
+#: Quotes of a case at most.
+EVIDENCE = 4
 
-    Signals are found once for each brand turn; rules for the case work on those arrays.
+
+def resolutions(rows: DataFrame, key: str) -> DataFrame:
+    """key, resolution_type, outcome, resolved, dm_redirect, resolution_signals, resolution_evidence; rows come from with_signals().
+
+    An ordered fold without an array of turns: a case's state is a flag for each signal, its last
+    turns, and the first quotes of each signal. All of it is combined on the map side but the
+    places of quotes, which a window ranks by case and signal and which spill when a case is
+    very long. What is collected is EVIDENCE quotes a signal, however many messages a case has.
     """
-    brand = F.filter("turns", lambda t: t["role"] == "brand_agent")
-    per = cases.withColumn("__per", F.transform(brand, lambda t: F.struct(t["tweet_id"].alias("tweet_id"), t["found"].alias("found"))))
-    names = lambda found: F.transform(found, lambda s: s["signal"])
-    last = F.element_at("turns", -1)
-    last_agent = F.element_at(F.filter("turns", lambda t: t["role"] != "customer"), -1)
-    per = per.withColumns({
-        "__seen": F.array_distinct(F.flatten(F.transform("__per", lambda p: names(p["found"])))),
-        "__last": F.when(F.size("__per") > 0, names(F.element_at("__per", -1)["found"])),
-        "__no_agent": ~F.exists("turns", lambda t: t["role"] != "customer"),
-    })
-    per = per.withColumns({"__lc": X.matching_form(last["text"]), "__la": X.matching_form(F.when(~F.col("__no_agent"), last_agent["text"]))})
-    per = per.withColumn("outcome", R.outcome(last["role"] == "customer", ~F.col("__no_agent"), F.col("__lc"), F.col("__la")))
-    allowed = F.filter("__seen", lambda s: (s != "redirected_to_dm") | F.array_contains("__last", "redirected_to_dm"))
-    chosen = F.get(F.filter(F.array(*[F.lit(s) for s in R.SIGNAL_PRIORITY]), lambda s: F.array_contains(allowed, s)), F.lit(0))
-    no_reply = F.size("__per") == 0
-    unanswered = (last["role"] == "customer") & (F.col("outcome") == "customer_followup_unanswered") & chosen.isin("clarification_requested", "other")
-    per = per.withColumn("resolution_type", F.when(no_reply | unanswered, "unresolved").otherwise(chosen))
-    per = per.withColumns({
-        "dm_redirect": F.array_contains("__seen", "redirected_to_dm"),
-        "resolved": (F.col("resolution_type") != "unresolved") & F.col("outcome").isin(*R.RESOLVED_OUTCOMES),
-        "resolution_signals": F.filter(F.array(*[F.lit(s) for s in R.SIGNAL_PRIORITY]), lambda s: F.array_contains("__seen", s)),
-    })
-    listed = F.flatten(F.transform("__per", lambda p: F.transform(p["found"], lambda s: F.struct(p["tweet_id"].alias("tweet_id"), s["signal"].alias("signal"), s["snippet"].alias("snippet")))))
-    fits = F.slice(F.filter(listed, lambda e: (e["signal"] != "other") & ((e["signal"] == F.col("resolution_type")) | (F.col("dm_redirect") & (e["signal"] == "redirected_to_dm")))), 1, 4)
-    tail = F.element_at("__per", -1)
-    fallback = F.array(F.struct(tail["tweet_id"].alias("tweet_id"), F.get(tail["found"], F.lit(0))["signal"].alias("signal"), F.get(tail["found"], F.lit(0))["snippet"].alias("snippet")))
-    evidence = F.when(no_reply, listed).when((F.col("resolution_type") == "unresolved") | (F.size(fits) == 0), fallback).otherwise(fits)
-    return per.withColumn("resolution_evidence", evidence).drop("__per", "__seen", "__last", "__no_agent", "__lc", "__la")
+    rows = rows.where(F.col(key).isNotNull())
+    order = F.struct(F.col("created_at").isNull().alias("o1"), F.col("created_at").alias("o2"), (F.col("reply_depth") if "reply_depth" in rows.columns else F.lit(0)).alias("o3"), F.col("tweet_id").alias("o4"))
+    base = rows.select(key, "tweet_id", "role", "text", "found", order.alias("at"))
+    brand, agent, names = F.col("role") == "brand_agent", F.col("role") != "customer", F.transform("found", lambda s: s["signal"])
+    per = base.groupBy(key).agg(
+        F.max_by("role", "at").alias("__role"), F.max_by("text", "at").alias("__text"), F.max_by("text", F.when(agent, F.col("at"))).alias("__agent"), F.bool_or(agent).alias("__any_agent"), F.bool_or(brand).alias("__any_brand"),
+        F.max_by(F.struct("tweet_id", "found"), F.when(brand, F.col("at"))).alias("__last"), *[F.coalesce(F.bool_or(brand & F.array_contains(names, s)), F.lit(False)).alias(f"__has_{s}") for s in R.SIGNAL_PRIORITY],
+    )
+    per = per.withColumns({"__lc": X.matching_form(F.col("__text")), "__la": X.matching_form(F.when(F.col("__any_agent"), F.col("__agent"))), "__ends": F.transform("__last.found", lambda s: s["signal"])})
+    per = per.withColumn("outcome", R.outcome(F.col("__role") == "customer", F.col("__any_agent"), F.col("__lc"), F.col("__la")))
+    chosen = F.coalesce(*[F.when(F.col(f"__has_{s}") & (F.array_contains("__ends", s) if s == "redirected_to_dm" else F.lit(True)), s) for s in R.SIGNAL_PRIORITY])
+    unanswered = (F.col("__role") == "customer") & (F.col("outcome") == "customer_followup_unanswered") & chosen.isin("clarification_requested", "other")
+    per = per.withColumn("resolution_type", F.when(~F.col("__any_brand") | unanswered, "unresolved").otherwise(chosen))
+    quotes = base.where(brand).select(key, "tweet_id", "at", F.posexplode("found").alias("place", "s")).select(key, "tweet_id", "at", "place", "s.signal", "s.snippet").where("signal <> 'other'")
+    first = quotes.withColumn("__k", F.row_number().over(Window.partitionBy(key, "signal").orderBy("at"))).where(F.col("__k") <= EVIDENCE)
+    listed = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "place", F.struct("tweet_id", "signal", "snippet").alias("e")))).alias("__quotes"))  # EVIDENCE a signal
+    per = per.join(listed, key, "left").withColumn("dm_redirect", F.col("__has_redirected_to_dm"))
+    wanted = lambda q: (q["e"]["signal"] == F.col("resolution_type")) | (F.col("dm_redirect") & (q["e"]["signal"] == "redirected_to_dm"))
+    fits = F.transform(F.slice(F.filter(F.coalesce("__quotes", F.array()), wanted), 1, EVIDENCE), lambda q: q["e"])
+    head = F.get("__last.found", F.lit(0))
+    fallback = F.array(F.struct(F.col("__last.tweet_id").alias("tweet_id"), head["signal"].alias("signal"), head["snippet"].alias("snippet")))
+    evidence = F.when(~F.col("__any_brand"), F.slice(fallback, 1, 0)).when((F.col("resolution_type") == "unresolved") | (F.size(fits) == 0), fallback).otherwise(fits)
+    return per.select(
+        key, "resolution_type", "outcome", ((F.col("resolution_type") != "unresolved") & F.col("outcome").isin(*R.RESOLVED_OUTCOMES)).alias("resolved"), "dm_redirect",
+        F.array_compact(F.array(*[F.when(F.col(f"__has_{s}"), F.lit(s)) for s in R.SIGNAL_PRIORITY])).alias("resolution_signals"), evidence.alias("resolution_evidence"),
+    )
 
 
 def case_table(rows: DataFrame, key: str = "case_id", operators: list[str] = ()) -> DataFrame:
@@ -158,7 +163,9 @@ def case_table(rows: DataFrame, key: str = "case_id", operators: list[str] = ())
         "first_response_minutes": F.when(F.col("__answered") >= F.col("__asked"), V.minutes_between(F.col("__asked"), F.col("__answered"))),
         "duration_hours": V.hours_between(F.col("first_timestamp"), F.col("last_timestamp")), "starts_with_customer": F.col("__opens") == "customer", "has_brand_reply": F.col("agent_turn_count") > 0, "length_label": V.length_label(F.col("turn_count")),
     }).drop("__first_customer", "__asked", "__answered", "__opens")
-    return with_resolution(flat.join(turns_of(with_signals(rows, operators), key, F.col("found")), key))
+    marked = with_signals(rows, operators)
+    # the nested turns of a case are its own row by design; a plan that does not read them does not gather them
+    return flat.join(turns_of(marked, key, F.col("found")), key).join(resolutions(marked, key), key)
 
 
 def related_cases(cases: DataFrame, hours: float = 24.0) -> DataFrame:

@@ -321,7 +321,7 @@ def _outcome_sql() -> str:
 
 
 def _resolved(spark, d):
-    return E.with_resolution(E.turns_of(E.with_signals(turns(spark, d), ["55555"]), "conv_id", F.col("found")))
+    return E.resolutions(E.with_signals(turns(spark, d), ["55555"]), "conv_id")
 
 
 @query(rf"""WITH {TURNS}, x AS (SELECT conv_id, max_by(role, (CASE WHEN ts IS NULL THEN 1 ELSE 0 END, coalesce(ts, 0), tweet_id)) AS last_role, max_by(text, (CASE WHEN ts IS NULL THEN 1 ELSE 0 END, coalesce(ts, 0), tweet_id)) AS last_text,
