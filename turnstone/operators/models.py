@@ -446,18 +446,17 @@ def _softmax(logits: np.ndarray, classes: int) -> np.ndarray:
     return p / p.sum(axis=2, keepdims=True)
 
 
-def logistic_grid(rows: DataFrame, classes: int, cs: list[float], width: int, rounds: int = 60, tol: float = 1e-4) -> list[tuple[np.ndarray, np.ndarray]]:
+def logistic_grid(rows: DataFrame, classes: int, cs: list[float], width: int, among: np.ndarray | None = None, rounds: int = 60, tol: float = 1e-4) -> list[tuple[np.ndarray, np.ndarray]]:
     """(coefficients width x classes, intercepts) for each C, from rows (y: class number, w: weight, at, x).
 
-    Minimises the mean weighted log loss plus |coefficients|^2 / (2 C W), W the sum of weights:
+    among: the terms that rows have, if that is known. Minimises the mean weighted log loss plus |coefficients|^2 / (2 C W), W the sum of weights:
     the usual C. A round is one scan for all C that still move; those that settle leave it.
     """
     total = rows.agg(F.sum("w").alias("w")).first().w
     if not total:
         raise ValueError("a classifier needs labelled rows")
     # terms that no row has keep coefficient 0: search among the others
-    seen = _scan(rows, lambda b, total: _add(total, 0, np.bincount(np.asarray(b.column("at").flatten()), minlength=width)))[0]
-    there = np.flatnonzero(seen)
+    there = np.arange(width) if among is None else among
     place = np.full(width, -1, np.int64)
     place[there] = np.arange(len(there))
     size = len(there) * classes
@@ -556,7 +555,7 @@ def tuned(train: DataFrame, dev: DataFrame, terms: Column, label: str, grid: tup
     counted = _for_scans(hashed(train.select("*", y.alias("y"), balance.alias("w")), terms, "y", "w", width=width))
     weights = term_weights(counted, width=width)
     rows = _for_scans(weights.of(counted))
-    models = logistic_grid(rows, len(labels), cs, width)
+    models = logistic_grid(rows, len(labels), cs, width, np.flatnonzero(weights.idf))
     coef, bias = np.concatenate([m[0] for m in models], axis=1), np.concatenate([m[1] for m in models])
     names = [f"c{i}" for i in range(len(cs))]
     said = _said(weights.of(hashed(dev.select("*", F.col(label).cast("string").alias("__gold")), terms, "__gold", width=width)), coef, bias, labels, names)
