@@ -88,7 +88,7 @@ def indexed(corpus: DataFrame, key: str, terms: Column, *, only: DataFrame | Non
     df = graph.saved(long.groupBy("term").agg(F.count("*").alias("df")))
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
     idf = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = long.join(df, "term").select("term", "k", "df", (idf * impact).alias("weight"), F.floor(impact * LEVELS).cast("int").alias("level"))
+    weights = long.join(_sized(df), "term").select("term", "k", "df", (idf * impact).alias("weight"), F.floor(impact * LEVELS).cast("int").alias("level"))
     chunk = F.pmod(F.xxhash64("k"), F.ceil(F.col("df") / BLOCK)).alias("chunk")
     blocks = graph.written(weights.groupBy("term", "level", chunk).agg(F.max("weight").alias("top"), F.collect_list(F.struct("k", "weight")).alias("postings"), F.any_value("df").alias("df")))
     vocabulary = graph.saved(blocks.groupBy("term").agg(F.any_value("df").alias("df"), F.max("top").alias("top"), F.max("level").alias("level")))
@@ -117,7 +117,12 @@ def _met(asked: DataFrame, index: Index, wanted: Column) -> DataFrame:
 
 def _looked_up(pairs: DataFrame, index: Index) -> DataFrame:
     """q, k, more: what pairs (q, k, term, qtf) add up to."""
-    return _sized(graph.saved(pairs), PAIRS).join(index.weights, ["term", "k"]).groupBy("q", "k").agg(F.sum(F.col("qtf") * F.col("weight")).alias("more"))
+    pairs, weights = graph.saved(pairs), index.weights
+    side = _sized(pairs, PAIRS)
+    if side is pairs:  # too many to send: at least only postings of their documents are exchanged
+        docs = graph.saved(pairs.select("k").distinct())
+        weights = weights.join(_sized(docs, PAIRS), "k", "left_semi") if docs.limit(PAIRS + 1).count() <= PAIRS else weights
+    return side.join(weights, ["term", "k"]).groupBy("q", "k").agg(F.sum(F.col("qtf") * F.col("weight")).alias("more"))
 
 
 def thresholds(index: Index, asked: DataFrame, k: int) -> DataFrame:
