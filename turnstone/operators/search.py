@@ -152,7 +152,7 @@ def contenders(index: Index, asked: DataFrame, k: int, share: float = SHARE) ->
     plan = graph.saved(plan.withColumn("cut", cut))
     met = _met(plan.where("cut is not null").select("q", "term", "qtf", "cut", (F.col("cut") > 0).alias("border")), index, F.col("a.qtf") * F.col("b.top") >= F.col("a.cut"))
     sure = F.when(~F.col("border"), F.col("c")).otherwise(0.0)
-    sums = graph.saved(met.groupBy("q", "k").agg(F.sum("c").alias("s"), F.sum(sure).alias("sure")))
+    sums = graph.written(met.groupBy("q", "k").agg(F.sum("c").alias("s"), F.sum(sure).alias("sure")))
     slack = plan.groupBy("q").agg(F.sum(F.when(F.col("cut").isNull(), F.col("most")).otherwise(F.col("cut"))).alias("slack"))
     limits = slack.join(_kth(index, asked, sums, k), "q", "left").select("q", (F.coalesce("least", F.lit(0.0)) - SLIP - F.col("slack")).alias("need"))
     near = sums.join(limits, "q").where("s >= need")
