@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstone.functions import text as X
-from turnstone.functions import values as V
 from turnstone.operators import graph
 
 #: Sign-off of agents who share an account: "^KC" at the end.
@@ -72,31 +71,38 @@ def with_roles(rows: DataFrame, brand: str, hidden: DataFrame) -> DataFrame:
     return rows.join(mark, F.col("author_id") == F.col("__h"), "left").withColumn("role", role).drop("__h")
 
 
-def orphan_links(rows: DataFrame, max_minutes: float = 120.0) -> DataFrame:
+def orphan_links(rows: DataFrame, max_minutes: float = 120.0, order: Column | None = None) -> DataFrame:
     """tweet_id, target of single-message threads: an as-of join on the mentioned or mentioning party.
 
     A customer's orphan goes to the latest agent message before it that mentions them, an
     agent's orphan to the latest earlier message of the first mentioned customer who has one.
-    Both sides carry (party, time); a running last_value per party is the as-of join, so no
-    pairs are formed.
+    order: what makes a message the latest of those within reach; its time, then its id, by default.
+    Time is cut into blocks as long as the reach, so the messages within reach are the end of one
+    block and the beginning of the next; running maxima of both are the as-of join: no pairs are
+    formed, and a party with very many messages is worked on block by block.
     """
     agent = F.col("role") != "customer"
     named = F.array_distinct(X.mentions(F.col("text"), digits=True))
-    said = rows.where(agent).select("tweet_id", "created_at", F.explode(named).alias("party"), F.lit("agent").alias("side"))
-    spoke = rows.where(~agent).select("tweet_id", "created_at", F.col("author_id").cast("string").alias("party"), F.lit("customer").alias("side"))
+    rows = rows.withColumn("__order", F.struct("created_at", "tweet_id") if order is None else order)
+    said = rows.where(agent).select("tweet_id", "created_at", "__order", F.explode(named).alias("party"), F.lit("agent").alias("kind"))
+    spoke = rows.where(~agent).select("tweet_id", "created_at", "__order", F.col("author_id").cast("string").alias("party"), F.lit("customer").alias("kind"))
     asks = rows.where("conversation_size = 1 and created_at is not null")
-    ask_c = asks.where(~agent).select("tweet_id", "created_at", F.col("author_id").cast("string").alias("party"), F.lit(0).alias("place"), F.lit("agent").alias("wants"))
-    ask_a = asks.where(agent).select("tweet_id", "created_at", F.posexplode(X.mentions(F.col("text"), digits=True)).alias("place", "party")).withColumn("wants", F.lit("customer"))
-    events = (
-        said.unionByName(spoke).where("created_at is not null").select("party", F.col("side").alias("kind"), "created_at", "tweet_id", F.lit(-1).alias("place"))
-        .unionByName(ask_c.unionByName(ask_a).select("party", F.col("wants").alias("kind"), "created_at", "tweet_id", "place"))
-    )
-    give = F.when(F.col("place") < 0, F.struct("created_at", "tweet_id"))
-    # Candidates of the same time count, whatever their id: a range frame up to the current time.
-    frame = Window.partitionBy("party", "kind").orderBy("created_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    near = events.withColumn("best", F.max(give).over(frame)).where("place >= 0")
-    ok = F.col("best").isNotNull() & (F.col("best.tweet_id") != F.col("tweet_id")) & (V.minutes_between(F.col("best.created_at"), F.col("created_at")) <= max_minutes)
-    return near.where(ok).groupBy("tweet_id").agg(F.min_by("best.tweet_id", "place").alias("target"))
+    ask_c = asks.where(~agent).select("tweet_id", "created_at", F.col("author_id").cast("string").alias("party"), F.lit(0).alias("place"), F.lit("agent").alias("kind"))
+    ask_a = asks.where(agent).select("tweet_id", "created_at", F.posexplode(X.mentions(F.col("text"), digits=True)).alias("place", "party")).withColumn("kind", F.lit("customer"))
+    reach = int(max_minutes * 60_000_000)
+    block = lambda t: F.floor(t / F.lit(reach + 1)).cast("long")
+    at = F.unix_micros("created_at")
+    # The earliest time within reach is asked for only if it lies in the block before.
+    probes = F.array_compact(F.array(F.struct(at.alias("at"), F.lit(False).alias("back")), F.when(block(at - reach) < block(at), F.struct((at - reach).alias("at"), F.lit(True).alias("back")))))
+    given = said.unionByName(spoke).where("created_at is not null").select("party", "kind", at.alias("at"), F.struct("__order", "tweet_id").alias("give"), F.lit(None).cast("long").alias("tweet_id"), F.lit(-1).alias("place"), F.lit(False).alias("back"))
+    asked = ask_c.unionByName(ask_a).select("tweet_id", "party", "kind", "place", F.explode(probes).alias("p"))
+    events = given.unionByName(asked.select("party", "kind", "p.at", F.lit(None).cast(given.schema["give"].dataType).alias("give"), F.col("tweet_id").cast("long").alias("tweet_id"), "place", "p.back")).withColumn("block", block(F.col("at")))
+    # Candidates of the same time count, whatever their id: range frames up to or from the current time.
+    by = Window.partitionBy("party", "kind", "block")
+    until, since = (by.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("at"), F.desc("at")))
+    near = events.withColumns({"until": F.max("give").over(until), "since": F.max("give").over(since)}).where("place >= 0")
+    best = near.groupBy("tweet_id", "place").agg(F.max(F.when(F.col("back"), F.col("since")).otherwise(F.col("until"))).alias("best"))
+    return best.where("best.tweet_id <> tweet_id").groupBy("tweet_id").agg(F.min_by("best.tweet_id", "place").alias("target"))
 
 
 def orphans_linked(rows: DataFrame, max_minutes: float = 120.0) -> DataFrame:
