@@ -34,3 +34,11 @@ def test_orphan_links_round_to_seconds_and_follow_large_ids(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     want = dict(same_as_sql(spark, "j9_orphan_links", tmp_path, "events"))
     assert want[2] == 1 and 4 not in want and want[12] == 9_000_000 and want[15] == 14
+
+
+def test_scaled_scores_of_every_item(spark, tmp_path):
+    docs = [(1, "late train refund"), (2, "train ticket"), (3, "late late bus"), (4, "the"), (5, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "late train"), (7, "ticket refund train train"), (13, "bus"), (14, "nothing")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = same_as_sql(spark, "w13_scaled_scores", tmp_path, "documents", "benchmark")
+    assert {r[0] for r in want} == {0, 7, 13}

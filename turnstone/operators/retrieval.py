@@ -14,6 +14,8 @@ from turnstone.functions import values as V
 from turnstone.operators import graph
 
 K1, B = 1.5, 0.75
+#: Entries (term and query) that are sent to every task; more of them are exchanged.
+SENT = 300_000
 SEMANTIC_WEIGHT, INTENT_BONUS, FALLBACK = 0.9, 0.15, "unclear_or_media_only"
 
 
@@ -34,6 +36,40 @@ def bm25(queries: DataFrame, query_key: str, terms: Column, index: DataFrame, ke
     return q.join(index, "term").groupBy(query_key, key).agg(F.sum(F.col("qtf") * F.col("weight")).alias("bm25"))
 
 
+def every_score(queries: DataFrame, query_key: str, corpus: DataFrame, key: str, terms: Column, digits: int = 6) -> DataFrame:
+    """query_key, key, bm25 of all pairs that share a term, summed where the document lies.
+
+    Only words that a query has are counted and exchanged, once, to their document's partition;
+    a document's contributions never leave it. Keys are taken to be distinct.
+    """
+    q = queries.select(query_key, F.explode(terms).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
+    asked = graph.saved(q.groupBy("term").agg(F.collect_list(F.struct(F.col(query_key).alias("q"), "qtf")).alias("by")))  # an entry a query with the term
+    small = lambda df, rows: F.broadcast(df) if df.agg(F.coalesce(F.sum(F.size("by")) if "by" in df.columns else F.count("*"), F.lit(0))).first()[0] <= rows else df
+    docs = corpus.select(F.col(key).alias("k"), F.explode(F.array(terms)).alias("ts"))  # a generator keeps the terms from being worked out twice
+    held = docs.select("k", F.when(F.col("ts").isNotNull(), F.size("ts")).alias("len"), F.explode(F.concat(F.coalesce("ts", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))).alias("term"))
+    held = held.join(small(asked, SENT).select("term", F.lit(True).alias("known")), "term", "left").where("known or term is null")
+    counted = held.groupBy("k", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    dealt = graph.written(counted)
+    n, mean = dealt.where("term is null").agg(F.count("*"), F.avg("len")).first()
+    df = dealt.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf")
+    weighed = small(graph.saved(asked.join(df, "term").select("term", idf, "by")), SENT)
+    rows = dealt.where("term is not null").repartition("k").join(weighed, "term")
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
+    parts = rows.select("k", weight.alias("w"), F.explode("by").alias("x")).select("k", "x.q", (F.col("x.qtf") * F.col("w")).alias("c"))
+    return parts.groupBy("k", "q").agg(F.round(F.sum("c"), digits).alias("bm25")).select(F.col("q").alias(query_key), F.col("k").alias(key), "bm25")
+
+
+def scaled(scored: DataFrame, query: str, score: str, to: str, corpus_size: int) -> DataFrame:
+    """scored with min_max() as column to; only the bounds of each query are exchanged, its rows are not gathered."""
+    rows = graph.written(scored)
+    bounds = rows.groupBy(query).agg(F.min(score).alias("__low"), F.max(score).alias("__high"), (F.count(score) < corpus_size).alias("__missing"))
+    bounds = graph.saved(bounds.select(query, F.when(F.col("__missing"), F.least("__low", F.lit(0.0))).otherwise(F.col("__low")).alias("__low"), F.when(F.col("__missing"), F.greatest("__high", F.lit(0.0))).otherwise(F.col("__high")).alias("__high")))
+    bounds = F.broadcast(bounds) if bounds.count() <= SENT else bounds
+    value = F.coalesce(F.try_divide(F.col(score) - F.col("__low"), F.col("__high") - F.col("__low")), F.lit(0.0))
+    return rows.join(bounds, query).withColumn(to, value).drop("__low", "__high")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
