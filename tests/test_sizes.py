@@ -42,3 +42,22 @@ def test_scaled_scores_of_every_item(spark, tmp_path):
     spark.createDataFrame([(0, "late train"), (7, "ticket refund train train"), (13, "bus"), (14, "nothing")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     want = same_as_sql(spark, "w13_scaled_scores", tmp_path, "documents", "benchmark")
     assert {r[0] for r in want} == {0, 7, 13}
+
+
+def test_evidence_is_searched_by_text(spark, monkeypatch):
+    from turnstone.operators import agent, retrieval
+
+    scored, real = [], retrieval.bm25
+
+    def watched(*args):
+        out = real(*args)
+        scored.append(out.count())
+        return out
+
+    monkeypatch.setattr(retrieval, "bm25", watched)
+    texts = ["late train refund", "lost ticket please", "late bus"]
+    memory = spark.createDataFrame([(f"c{i:03}", texts[i % 2], "x", "y", "z", "none") for i in range(120)], "case_id string, customer_problem string, intent string, historical_response string, resolution_type string, escalation_signal string")
+    messages = spark.createDataFrame([(f"m{i}", texts[i % 3]) for i in range(30)] + [("none", None)], "case_id string, message string")
+    got = agent.evidence_for(messages, memory).groupBy("case_id").count().collect()
+    assert scored == [3]  # pairs of different texts with a common term
+    assert sorted(r["case_id"] for r in got) == sorted(f"m{i}" for i in range(30)) and all(r["count"] == 5 for r in got)

@@ -19,12 +19,15 @@ SENT = 300_000
 SEMANTIC_WEIGHT, INTENT_BONUS, FALLBACK = 0.9, 0.15, "unclear_or_media_only"
 
 
-def postings(corpus: DataFrame, key: str, terms: Column) -> DataFrame:
-    """key, term, weight: BM25 weights (the query's term counts multiply them). A posting carries its document's length."""
-    docs = corpus.select(F.col(key).alias("k"), terms.alias("ts")).select("k", "ts", F.size("ts").alias("len"))
-    long = docs.select("k", "len", F.explode("ts").alias("term")).groupBy("k", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    total = docs.agg(F.count("*").alias("N"), F.avg("len").alias("avg_len"))  # one row
-    df = long.groupBy("term").agg(F.count("*").alias("df"))
+def postings(corpus: DataFrame, key: str, terms: Column, copies: Column | None = None) -> DataFrame:
+    """key, term, weight: BM25 weights (the query's term counts multiply them). A posting carries its document's length.
+
+    copies: documents that a row stands for; they count in frequencies and lengths.
+    """
+    docs = corpus.select(F.col(key).alias("k"), terms.alias("ts"), (F.lit(1) if copies is None else copies).alias("same")).select("k", "ts", "same", F.size("ts").alias("len"))
+    long = docs.select("k", "same", "len", F.explode("ts").alias("term")).groupBy("k", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.first("same").alias("same"))
+    total = docs.agg(F.sum("same").alias("N"), (F.sum(F.col("same") * F.col("len")) / F.sum("same")).alias("avg_len"))  # one row
+    df = long.groupBy("term").agg(F.sum("same").alias("df"))
     rows = long.join(df, "term").crossJoin(F.broadcast(total))
     idf = F.ln((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     return rows.select(F.col("k").alias(key), "term", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).alias("weight"))
