@@ -72,3 +72,16 @@ def test_vector_searches_form_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "against", pairs)
     sizes = {"f7_cosine_top": 25, "f8_j17_hybrid": 25, "m19_strategy_metrics": 5, "m11_weight_grid": 11}
     assert {n: registry.QUERIES[n](spark, "/root/testdata/sf0.001").count() for n in sizes} == sizes
+
+
+def test_random_baseline_keeps_no_pairs(spark, tmp_path, monkeypatch):
+    from turnstone.operators import retrieval
+
+    def pairs(*args):
+        raise AssertionError("pairs became rows")
+
+    monkeypatch.setattr(retrieval, "against", pairs)
+    label = lambda i: None if i in (3, 200) else 77 if i == 300 else 5 if i in (400, 7) else i % 4
+    rows = [(i, label(i), [1.0, i % 7 + 1.0]) for i in range(620)]  # a label of one vector, of two, and none
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert same_as_sql(spark, "u16_random_baseline", tmp_path, "embeddings")[0][0] == 7

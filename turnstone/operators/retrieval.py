@@ -184,6 +184,38 @@ def random_score(query: Column, key: Column, seed: int = 42) -> Column:
     return V.hash_fraction(F.concat(F.lit(f"{seed}:"), query.cast("string"), F.lit(":"), key.cast("string")))
 
 
+def random_first_relevant(queries: DataFrame, docs: DataFrame, shown: int = 5, seed: int = 42) -> DataFrame:
+    """query, best, hits5, shown5 like first_relevant for random_score() of queries (query, qi) against docs (doc, di), but for a query's own key.
+
+    Pairs are hashed as they are met and never kept: relevant ones and a slice of the others give each query
+    limits, and a second pass counts what lies above them. Only documents that reach the first few are rows.
+    """
+    q = graph.saved(queries.select("query", "qi", F.concat(F.lit(f"{seed}:"), F.col("query").cast("string"), F.lit(":")).alias("head")))
+    d = docs.select("doc", "di", F.col("doc").cast("string").alias("tail"), F.pmod(F.xxhash64("doc"), F.lit(1024)).alias("place"))
+    asked, every = q.count(), docs.count()
+    tasks = max(1, min(-(-asked * every // 5_000_000), 4_000))  # a narrow row is much work, however few bytes
+    d = graph.saved(d.repartition(tasks))
+    digest, other, relevant = F.sha2(F.concat("head", "tail"), 256), F.col("query") != F.col("doc"), F.coalesce(F.col("qi") == F.col("di"), F.lit(False))
+    score = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")  # random_score() in whole numbers
+    pairs = lambda side, on: d.join(F.broadcast(side), on) if asked <= SENT else against(side, d, on)
+    some = pairs(q, other & (relevant | (F.col("place") < 16))).select("query", (F.col("place") % 16).alias("place"), relevant.alias("r"), score.alias("s"))
+    most = some.groupBy("query", "place").agg(F.max(F.when(F.col("r"), F.col("s"))).alias("r"), F.max("s").alias("s"))
+    # first: the best relevant score; low: at least `shown` documents reach it
+    limits = most.groupBy("query").agg(F.max("r").alias("first"), F.get(F.sort_array(F.collect_list("s"), asc=False), F.lit(shown - 1)).alias("low"))  # 16 entries
+    limits = graph.saved(limits.withColumn("low", F.coalesce("low", F.lit(0))))
+    hexed = F.lower(F.lpad(F.hex(F.least("first", "low")), 12, "0"))  # digests are compared with it as text
+    q = q.join(limits, "query", "left").select("query", "qi", "head", "first", F.coalesce("low", F.lit(0)).alias("low"), F.coalesce(hexed, F.lit("")).alias("hexed"))
+    above = pairs(q, other & (digest >= F.col("hexed"))).select("query", "doc", "first", "low", relevant.alias("r"), score.alias("s"))
+    counted = above.groupBy("query", F.when((F.col("s") >= F.col("low")) | (F.col("s") == F.col("first")), F.col("doc")).alias("doc"), "first", "low").agg(F.max("s").alias("s"), F.count("*").alias("n"), F.count_if("r").alias("r"))
+    counted = graph.saved(counted)
+    level = F.col("s") == F.col("first")
+    ties = counted.where(level).groupBy("query").agg(F.min(F.when(F.col("r") > 0, F.col("doc"))).alias("d"))
+    ahead = counted.join(ties, "query").groupBy("query").agg((1 + F.sum(F.when((F.col("s") > F.col("first")) | (level & (F.col("doc") < F.col("d"))), F.col("n")).otherwise(0))).alias("best"))
+    each = counted.where("doc is not null and s >= low").select("query", "doc", "s", F.explode(F.transform(F.sequence(F.lit(1), "n"), lambda i: i <= F.col("r"))).alias("r"))  # equal keys are rows of their own
+    top = each.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "doc"))).where(F.col("rank") <= shown)
+    return top.groupBy("query").agg(F.count_if("r").alias("hits5"), F.count("*").alias("shown5")).join(ahead, "query", "left").select("query", "best", "hits5", "shown5")
+
+
 def nearest_two(scored: DataFrame, item: str, centre: str, distance: str) -> DataFrame:
     """item, nearest, second, distance, margin."""
     s = F.array_sort(F.collect_list(F.struct(F.col(distance).alias("d"), F.col(centre).alias("c"))))  # one entry a centre
