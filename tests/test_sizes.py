@@ -85,3 +85,30 @@ def test_random_baseline_keeps_no_pairs(spark, tmp_path, monkeypatch):
     rows = [(i, label(i), [1.0, i % 7 + 1.0]) for i in range(620)]  # a label of one vector, of two, and none
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert same_as_sql(spark, "u16_random_baseline", tmp_path, "embeddings")[0][0] == 7
+
+
+def test_no_task_gathers_a_component(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from turnstone.operators import graph
+
+    monkeypatch.setattr(graph, "HUB", 1_000, raising=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for it
+    try:
+        jvm = spark.sparkContext._jsc.sc()
+        first, n = jvm.dagScheduler().nextStageId(), 60_000
+        edges = spark.range(n).select(F.col("id").alias("a"), (-F.col("id") % 300 - 1).alias("b")).union(spark.range(300).select(F.lit(n).alias("a"), (-F.col("id") - 1).alias("b")))
+        assert graph.components(edges).where(F.col("root") == -300).count() == n + 301  # all hang together
+        read = []
+        for stage in range(first, jvm.dagScheduler().nextStageId()):
+            tasks = jvm.statusStore().taskList(stage, 0, 1_000)
+            for i in range(tasks.size()):
+                if tasks.apply(i).taskMetrics().isDefined():
+                    read.append(tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead())
+        assert 0 < max(read) < n // 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Neighbours of a node that one task may gather at any size of graph.
+HUB = 1 << 16
+
 
 def saved(df: DataFrame) -> DataFrame:
     """df computed once; lineage is cut in the shared checkpoint folder (never on one executor)."""
@@ -30,22 +33,33 @@ def _size(df: DataFrame):
     return df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
 
 
+def _led(rows: DataFrame, by: DataFrame, least, total: int) -> DataFrame:
+    """rows (u, v) with m, the least() of their u's rows in by, out of total rows; few u have many rows, and those are not gathered."""
+    of = by.groupBy("u").agg(least.alias("m"), F.count("*").alias("n"))
+    many = max(HUB, total // 1024)
+    hubs = saved(of.where(F.col("n") > many).select("u", F.col("m").alias("h"))) if total > many else None  # 1,024 at most
+    if hubs is None or hubs.isEmpty():
+        return rows.join(of, "u").select("u", "v", "m")
+    known = rows.join(F.broadcast(hubs), "u", "left")
+    return known.where("h is not null").select("u", "v", F.col("h").alias("m")).unionByName(known.where("h is null").join(of, "u").select("u", "v", "m"))
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, root (smallest node of the component) for edges (a, b); nodes adds nodes without edges.
 
-    Large-star and small-star steps: O(log n) rounds even on chains; each is a few equi-joins
-    that adaptive execution can split when a node has very many neighbours.
+    Large-star and small-star steps: O(log n) rounds even on chains; each is a few equi-joins.
+    Nodes of very many neighbours (a large component ends as one star) get theirs by broadcast.
     """
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before, size = None, _size(now)
     while size != before:
         before = size
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        below = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = saved(moved.unionByName(below.withColumnRenamed("m", "v")).where("u <> v").distinct())
+        large = _led(both.where("v > u"), both, F.least(F.min("v"), F.first("u")), 2 * size[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = saved(large) if size[0] > HUB else large
+        below = large.groupBy("u").agg(F.min("v").alias("v"))
+        moved = _led(large, large, F.min("v"), size[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = saved(moved.unionByName(below).where("u <> v").distinct())
         size = _size(now)
     linked = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     every = edges.select(F.col("a").alias("node")).union(edges.select("b"))
