@@ -112,3 +112,20 @@ def test_no_task_gathers_a_component(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("name", ["r16_unsafe_cases", "u2_leakage_checks", "r8_weak_labels", "u14_final_splits"])
+def test_splits_read_texts_once(spark, tmp_path, monkeypatch, name):
+    from turnstone.operators import graph
+
+    plans, real = [], graph.saved
+    seen = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df
+    monkeypatch.setattr(graph, "saved", lambda df: real(seen(df)))
+    texts = ["Hello @you 12", "hello @me  7!", "", "...", "other words", "a text of its own"]
+    docs = [(i, texts[(i * 5 + i // 7) % 6], ("en", "fr", " ")[i % 3], i * 37 % 900) for i in range(150)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.QUERIES[name](spark, str(tmp_path))
+    seen(rows)
+    assert sum(p.count("(?U)@") for p in plans) == 1
+    if name != "r16_unsafe_cases":  # which also names empty messages
+        same_as_sql(spark, name, tmp_path, "documents")

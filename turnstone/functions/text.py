@@ -5,6 +5,7 @@ Regexes are Java's. ``(?U)`` makes \\w, \\b and \\d cover Unicode where that is
 
 from __future__ import annotations
 
+import hashlib
 import json
 from html.entities import html5
 
@@ -132,6 +133,11 @@ def opener_key(x: Column) -> Column:
     return collapsed(F.regexp_replace(F.regexp_replace(x, r"(?U)\d+", "0"), "[^a-z0-9 ]+", " "))
 
 
+def opener_digest(x: Column) -> Column:
+    """SHA-256 of opener_key, to compare long texts by; empty for an empty key."""
+    return F.replace(F.sha2(opener_key(x), 256), F.lit(hashlib.sha256(b"").hexdigest()), F.lit(""))
+
+
 def mask_entities(x: Column, places: tuple[str, ...] = PLACES) -> Column:
     """Money, times, seats, days and places become placeholders, in that order; x is lower case."""
     longest_first = "|".join(sorted(places, key=lambda p: (-len(p), p)))

@@ -242,19 +242,23 @@ def unsafe_cases(smoke: DataFrame, assigned: DataFrame) -> DataFrame:
 
     smoke: case_id, split, message, customer_id, conversation_id, group_id, tweet_ids. assigned: case_id, split,
     customer_id, conversation_id, group_id, source_tweet_ids, context_tweet_ids, opening_message. What golden
-    cases have is joined, not collected.
+    cases have is joined, not collected. Both may bring opener_key, the digest of the whole text's key; then the start
+    of a message will do.
     """
     gold = assigned.where("split = 'golden'")
-    out = smoke.join(assigned.select("case_id", F.col("split").alias("__split")), "case_id", "left").withColumn("__opener", X.opener_key(F.col("message")))
+    opener = lambda df, text: (F.col("opener_key") if "opener_key" in df.columns else X.opener_digest(F.col(text))).alias("__opener")
+    blank = (F.trim(F.coalesce("message", F.lit(""))) == "").alias("__blank")
+    smoke = smoke.select("case_id", "split", "customer_id", "conversation_id", "group_id", "tweet_ids", blank, opener(smoke, "message"))  # no text is exchanged
+    out = smoke.join(assigned.select("case_id", F.col("split").alias("__split")), "case_id", "left")
     for c in ("customer_id", "conversation_id", "group_id"):
         out = out.join(gold.select(F.col(c).cast("string").alias("__k"), F.lit(True).alias(f"__{c}")).where("__k is not null").distinct(), out[c].cast("string") == F.col("__k"), "left").drop("__k")
     ids = gold.select(F.explode(F.concat("source_tweet_ids", "context_tweet_ids")).alias("t")).distinct()
     hit = smoke.select("case_id", F.explode("tweet_ids").alias("t")).join(ids, "t", "left_semi").select("case_id", F.lit(True).alias("__tweets")).distinct()
-    openers = gold.select(X.opener_key(F.col("opening_message")).alias("__opener"), F.lit(True).alias("__text")).where("__opener <> ''").distinct()
+    openers = gold.select(opener(gold, "opening_message"), F.lit(True).alias("__text")).where("__opener <> ''").distinct()
     out = out.join(hit, "case_id", "left").join(openers, "__opener", "left")
     errors = F.array_compact(F.array(
         F.when(F.col("__split").isNull(), F.lit("no_split")), F.when(~F.col("__split").isin("train", "dev"), F.lit("split_not_allowed")), F.when(F.col("__split") != F.col("split"), F.lit("split_differs")),
-        F.when(F.trim(F.coalesce("message", F.lit(""))) == "", F.lit("empty_message")), F.when(F.col("__customer_id"), F.lit("customer")), F.when(F.col("__conversation_id"), F.lit("conversation")),
+        F.when(F.col("__blank"), F.lit("empty_message")), F.when(F.col("__customer_id"), F.lit("customer")), F.when(F.col("__conversation_id"), F.lit("conversation")),
         F.when(F.col("__group_id"), F.lit("group")), F.when(F.col("__tweets"), F.lit("tweets")), F.when(F.col("__text"), F.lit("opening_text")),
     ))
     return out.select("case_id", errors.alias("errors")).where(F.size("errors") > 0)

@@ -177,9 +177,9 @@ WHERE errors <> ''""")
 def r16_unsafe_cases(spark, d):
     from turnstone.plans.scores import _assigned
 
-    docs = read(spark, d, "documents")
-    base = docs.select(F.col("doc_id").alias("case_id"), (F.col("n_chars") % 50).cast("string").alias("customer_id"), F.expr("(doc_id div 5)").cast("string").alias("conversation_id"), F.expr("(doc_id div 3)").cast("string").alias("group_id"), F.array(F.col("n_chars") % 500).alias("tweet_ids"), F.col("text").alias("message"))
-    split = graph.saved(_assigned(spark, d)[1].select("case_id", "split"))
+    cases, split = _assigned(spark, d)
+    base = cases.select("case_id", (F.col("n_chars") % 50).cast("string").alias("customer_id"), F.expr("(case_id div 5)").cast("string").alias("conversation_id"), F.expr("(case_id div 3)").cast("string").alias("group_id"), F.col("message_ids").alias("tweet_ids"), F.col("start").alias("message"), "opener_key")
+    split = graph.saved(split.select("case_id", "split"))
     assigned = base.join(split, "case_id").withColumnsRenamed({"tweet_ids": "source_tweet_ids", "message": "opening_message"}).withColumn("context_tweet_ids", F.array().cast("array<bigint>"))
     return FR.unsafe_cases(base.withColumn("split", F.lit("train")), assigned).select("case_id", F.array_join("errors", ",").alias("errors"))
 
