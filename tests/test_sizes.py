@@ -129,3 +129,15 @@ def test_splits_read_texts_once(spark, tmp_path, monkeypatch, name):
     assert sum(p.count("(?U)@") for p in plans) == 1
     if name != "r16_unsafe_cases":  # which also names empty messages
         same_as_sql(spark, name, tmp_path, "documents")
+
+
+def test_opener_keys_by_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from turnstone.functions import text as X
+
+    points = [i for i in range(1, 0x3000) if not 0xD800 <= i < 0xE000] + [0xFFFF, 0x1F600, 0x10FFFF]
+    text = F.col("text")
+    x = spark.createDataFrame([(f"a{chr(i)}b",) for i in points], "text string")
+    assert x.where(F.regexp_replace(text, X.OTHER, " ") != F.regexp_replace(text, "[^a-z0-9 ]+", " ")).count() == 0
+    assert x.where(~F.rlike(text, F.lit(X.OTHER))).count() == 26 + 10 + 1

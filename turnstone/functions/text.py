@@ -24,6 +24,8 @@ TIME = r"\b\d{1,2}[:.]?\d{2}\s?(?:am|pm)?\b|\b\d{1,2}\s?(?:am|pm)\b"
 SEAT = r"\b(?:coach|carriage|seat|platform|row|table)\s+[a-z]?\d*[a-z]?\b"
 DAY = r"\b(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\b"
 REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: Runs of what is no small letter, digit or space; as plain ranges it takes a small part of the time of a negated class.
+OTHER = r"[\x00-\x1f!-/:-`{-\x{10ffff}]+"
 #: What browsers read the numbers 128 to 159 as.
 WINDOWS = bytes(range(128, 160)).decode("cp1252", "replace")
 KEPT_NEGATIONS = ("no", "not", "nor", "never", "cannot", "nothing", "without", "none")
@@ -130,7 +132,7 @@ def clip(x: Column, limit: int) -> Column:
 
 def opener_key(x: Column) -> Column:
     x = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), URL, " "), MENTION, " ")
-    return collapsed(F.regexp_replace(F.regexp_replace(x, r"(?U)\d+", "0"), "[^a-z0-9 ]+", " "))
+    return collapsed(F.regexp_replace(F.regexp_replace(x, r"(?U)\d+", "0"), OTHER, " "))
 
 
 def opener_digest(x: Column) -> Column:
