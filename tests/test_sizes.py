@@ -141,3 +141,26 @@ def test_opener_keys_by_ranges(spark):
     x = spark.createDataFrame([(f"a{chr(i)}b",) for i in points], "text string")
     assert x.where(F.regexp_replace(text, X.OTHER, " ") != F.regexp_replace(text, "[^a-z0-9 ]+", " ")).count() == 0
     assert x.where(~F.rlike(text, F.lit(X.OTHER))).count() == 26 + 10 + 1
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """Optimised plans of all that is saved or written meanwhile."""
+    from turnstone.operators import graph
+
+    out = []
+    for name in ("saved", "written"):
+        real = getattr(graph, name)
+        monkeypatch.setattr(graph, name, lambda df, real=real: out.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    return out
+
+
+def test_cluster_terms_read_texts_once(spark, tmp_path, plans):
+    words = ["train", "late", "refund", "bus", "ticket", "café", "x1"]
+    docs = [(i, None if i == 5 else " ".join(words[(i * k + k) % 7] for k in range(i % 9)), (None, "en", "fr")[i % 3]) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/a/documents.parquet")
+    assert same_as_sql(spark, "m2_cluster_terms", f"{tmp_path}/a", "documents")
+    plans.append(registry.QUERIES["m2_cluster_terms"](spark, f"{tmp_path}/a")._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(p.count("(?U)@") for p in plans) == 2  # once in each of the two runs
+    spark.createDataFrame([*docs, docs[8], (7, "late late tram", "fr")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert same_as_sql(spark, "m2_cluster_terms", f"{tmp_path}/b", "documents")  # keys that repeat

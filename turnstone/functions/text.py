@@ -161,11 +161,15 @@ def informative(opening: Column, min_tokens: int = 3) -> Column:
     return F.size(words) >= min_tokens
 
 
-def indexed_text(x: Column) -> Column:
-    """For retrieval: unescaped, without links and mentions, hashtag words kept."""
+def _spread(x: Column) -> Column:
     x = F.replace(unescaped(x), F.lit("’"), F.lit("'"))
     x = F.regexp_replace(F.regexp_replace(x, URL, " "), MENTION, " ")
-    return collapsed(F.regexp_replace(x, r"(?U)#(\w+)", " $1 "))
+    return F.regexp_replace(x, r"(?U)#(\w+)", " $1 ")
+
+
+def indexed_text(x: Column) -> Column:
+    """For retrieval: unescaped, without links and mentions, hashtag words kept."""
+    return collapsed(_spread(x))
 
 
 def stem(t: Column) -> Column:
@@ -176,7 +180,7 @@ def stem(t: Column) -> Column:
 
 def tokens(x: Column) -> Column:
     """Index terms: words without stop words (negations stay), stemmed."""
-    low = F.replace(F.lower(indexed_text(x)), F.lit("'"), F.lit(""))
+    low = F.replace(F.lower(_spread(x)), F.lit("'"), F.lit(""))  # white space parts words, however much of it
     words = F.regexp_extract_all(low, F.lit("[a-z0-9£]+"), F.lit(0))
     return F.transform(F.filter(words, lambda t: ~t.isin(*STOP_WORDS)), stem)
 

@@ -235,13 +235,13 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 5, *, query_key: str
     return found.join(queries.select(query_key, (F.size(terms) < 2).alias("low_information")), query_key)
 
 
-def cluster_terms(weights: DataFrame, assigned: DataFrame, item: str, cluster: str, top: int = 12) -> DataFrame:
+def cluster_terms(weights: DataFrame, assigned: DataFrame, item: str, cluster: str, top: int = 12, digits: int = 9) -> DataFrame:
     """cluster, term, score, place: mean weight inside less half the mean weight overall."""
     n = assigned.groupBy(cluster).agg(F.count("*").alias("n"))
     total = assigned.agg(F.count("*").alias("all_n"))
     inside = weights.join(assigned, item).groupBy(cluster, "term").agg(F.sum("weight").alias("s")).join(n, cluster)
     overall = weights.join(assigned.select(item), item, "left_semi").groupBy("term").agg(F.sum("weight").alias("t")).crossJoin(F.broadcast(total))  # total: one row
-    scored = inside.join(overall, "term").withColumn("score", F.round(F.col("s") / F.col("n") - 0.5 * F.col("t") / F.col("all_n"), 9))
+    scored = inside.join(overall, "term").withColumn("score", F.round(F.col("s") / F.col("n") - 0.5 * F.col("t") / F.col("all_n"), digits))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("score"), "term"))).where(F.col("place") <= top).select(cluster, "term", "score", "place")
 
 

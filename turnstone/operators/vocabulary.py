@@ -10,11 +10,13 @@ counts drop it. The result is exact; how many rare pairs are shuffled depends on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnstone.operators import graph
-from turnstone.operators.retrieval import bigrams
+from turnstone.operators.retrieval import bigrams, top_k
 
 #: Buckets of a hash table, and tables. Heavy buckets are broadcast: at most WIDTH numbers a table.
 WIDTH, TABLES = 1 << 20, 2
@@ -63,3 +65,38 @@ def weighed(docs: DataFrame, key: str, tokens: Column, vocabulary: DataFrame, *,
     raw = graph.saved(long.groupBy("k", "term").agg(((1 + F.ln(F.count("*"))) * F.any_value("idf")).alias("w")))
     norm = raw.groupBy("k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "k").select(F.col("k").alias(key), "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def _with(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), x worked out once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def counted(terms: Column) -> Column:
+    """array<struct<term, tf>> of an array of terms: a document's counts, without an exchange."""
+    ends = lambda s: F.filter(F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s))), lambda i: ~F.get(s, i - 1).eqNullSafe(F.get(s, i)))
+    runs = lambda s, e: F.transform(e, lambda at, i: F.struct(F.get(s, at - 1).alias("term"), (at - F.coalesce(F.get(e, i - 1), F.lit(0))).cast("long").alias("tf")))
+    return _with(F.sort_array(terms), lambda s: _with(ends(s), lambda e: runs(s, e)))
+
+
+def cluster_terms(docs: DataFrame, key: str, cluster: str, terms: Column, *, min_df: int = 2, max_df: float = 0.4, top: int = 12, digits: int = 6) -> DataFrame:
+    """cluster, term, score: mean sublinear TF-IDF weight inside a cluster less half the mean weight overall, its best terms, ties to the smaller one.
+
+    Texts are read once and stay one row a document, with counts; where its vocabulary is small (WIDTH) only
+    these rows are exchanged, and sums of (cluster, term), not rows of (document, term). Keys are taken to be distinct.
+    """
+    rows = graph.written(docs.select(F.col(key).alias("k"), F.col(cluster).alias("c"), F.explode(F.array(counted(terms))).alias("ts")))
+    sizes = graph.saved(rows.groupBy("c").agg(F.count("*").alias("n")))  # one row a cluster
+    n = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = rows.select(F.explode("ts.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    vocabulary = graph.saved(counts.select("term", (F.ln(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")))
+    side = F.broadcast(vocabulary) if vocabulary.count() <= WIDTH else vocabulary
+    tf = 1 + F.ln("tf")
+    square = F.pow(tf * F.col("idf"), 2)
+    norms = rows.select("k", F.explode("ts").alias("t")).select("k", "t.term", "t.tf").join(side, "term").groupBy("k").agg(F.sqrt(F.sum(square)).alias("norm"))  # one row a document
+    shares = rows.join(norms.hint("shuffle_hash"), "k").select("c", "norm", F.explode("ts").alias("t")).select("c", "t.term", "t.tf", "norm")
+    sums = shares.groupBy("c", "term").agg(F.sum(tf / F.col("norm")).alias("s"))  # idf is the same in all of them
+    sums = graph.saved(sums.join(vocabulary, "term").select("c", "term", (F.col("s") * F.col("idf")).alias("s")))
+    overall = sums.groupBy("term").agg(F.sum("s").alias("t"))
+    scored = sums.join(sizes, "c").join(overall, "term").withColumn("score", F.round(F.col("s") / F.col("n") - 0.5 * F.col("t") / F.lit(n), digits))
+    return top_k(scored, "c", "term", "score", top).select(F.col("c").alias(cluster), "term", "score")
