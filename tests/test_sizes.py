@@ -164,3 +164,11 @@ def test_cluster_terms_read_texts_once(spark, tmp_path, plans):
     assert sum(p.count("(?U)@") for p in plans) == 2  # once in each of the two runs
     spark.createDataFrame([*docs, docs[8], (7, "late late tram", "fr")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/b/documents.parquet")
     assert same_as_sql(spark, "m2_cluster_terms", f"{tmp_path}/b", "documents")  # keys that repeat
+
+
+def test_gram_vocabulary_reads_texts_once(spark, tmp_path, plans):
+    words = ["train", "late", "refund", "bus", "ticket"]
+    docs = [(i, None if i == 5 else " ".join(words[(i * k + k) % 5] for k in range(i % 9))) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert any(" " in r[0] for r in same_as_sql(spark, "m1_gram_vocabulary", tmp_path, "documents"))
+    assert not plans  # neither texts nor partial counts are laid down

@@ -1,11 +1,11 @@
 """Vocabularies of words and word pairs: exact document frequencies of what is frequent enough.
 
-Most word pairs are rare, and counting them exactly would shuffle all of them only to drop
-most. So frequencies are sketched first: every pair of a document counts in one bucket of each of a
-few hash tables of a fixed width. Such tables are added up on the map side, merge in any order,
-and never count too little. A pair goes on only if all of its buckets reach the least
-frequency; a rare one that shares its buckets with frequent ones goes on too, and the exact
-counts drop it. The result is exact; how many rare pairs are shuffled depends on the width.
+Words and pairs are counted in one pass over the texts, added up on the map side first. Where most
+pairs are rare and the least frequency is high, they can be sketched before (`width`): every pair of a
+document counts in one bucket of each of a few hash tables of that width, which never count too little, and
+a pair goes on only if all of its buckets reach the least frequency; the exact counts drop what shares
+buckets with frequent ones. Results are the same. A sketch is a second pass with `tables` rows a pair, so it
+pays only where few buckets are heavy.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from turnstone.operators import graph
 from turnstone.operators.retrieval import bigrams, top_k
 
-#: Buckets of a hash table, and tables. Heavy buckets are broadcast: at most WIDTH numbers a table.
+#: Rows that are broadcast (heavy buckets of a hash table, words of a vocabulary), and hash tables.
 WIDTH, TABLES = 1 << 20, 2
 
 
@@ -40,15 +40,17 @@ def proposed(seen: DataFrame, heavy: DataFrame, width: int = WIDTH, tables: int
     return seen
 
 
-def gram_vocabulary(docs: DataFrame, tokens: Column, *, pairs: bool = True, min_df: int = 5, max_df: float = 0.4, width: int = WIDTH, tables: int = TABLES) -> DataFrame:
+def gram_vocabulary(docs: DataFrame, tokens: Column, *, pairs: bool = True, min_df: int = 5, max_df: float = 0.4, width: int | None = None, tables: int = TABLES) -> DataFrame:
     """term, df, idf of the words, and pairs of neighbouring words, that are in min_df documents or more and in at most a share of max_df of all.
 
     idf = ln((1 + n) / (1 + df)) + 1. Null texts are documents without words.
     """
-    kept = graph.written(docs.select(F.coalesce(tokens, F.array().cast("array<string>")).alias("ts")))  # read twice below
+    kept = docs.select(F.explode(F.array(F.coalesce(tokens, F.array().cast("array<string>")))).alias("ts"))  # a generator keeps the terms from being worked out twice
+    kept = kept if width is None else graph.written(kept)  # a sketch reads it twice
     n = docs.count()
-    seen = kept.select(F.explode(F.array_distinct(bigrams(F.col("ts")) if pairs else F.col("ts"))).alias("term"))
-    few = proposed(seen, heavy_buckets(seen, min_df, width, tables), width, tables)
+    few = kept.select(F.explode(F.array_distinct(bigrams(F.col("ts")) if pairs else F.col("ts"))).alias("term"))
+    if width is not None:
+        few = proposed(few, heavy_buckets(few, min_df, width, tables), width, tables)
     counts = few.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     return counts.select("term", "df", (F.ln(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
 
