@@ -172,3 +172,14 @@ def test_gram_vocabulary_reads_texts_once(spark, tmp_path, plans):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert any(" " in r[0] for r in same_as_sql(spark, "m1_gram_vocabulary", tmp_path, "documents"))
     assert not plans  # neither texts nor partial counts are laid down
+
+
+def test_one_search_builds_no_index(spark, tmp_path, monkeypatch):
+    from turnstone.operators import search
+
+    monkeypatch.setattr(search, "indexed", None)
+    docs = [(i, None if i % 11 == 5 else " ".join(("late train", "bus", "refund please", "train")[(i * k + k) % 4] for k in range(i % 9))) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "late train"), (7, "refund refund bus"), (13, None), (14, "nothing")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = same_as_sql(spark, "m8_bm25_top", tmp_path, "documents", "benchmark")  # texts that are null have no length
+    assert len(want) == 20

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnstone.operators import graph
-from turnstone.operators.retrieval import B, K1, dot, top_k
+from turnstone.operators.retrieval import B, K1, dot, every_score, top_k
 
 #: Postings of a term for each chunk of its levels, on average; a block has at most about as many.
 BLOCK = 1024
@@ -171,6 +171,15 @@ def search(index: Index, queries: DataFrame, query_key: str, key: str, terms: Co
     return top_k(scored, query_key, key, "bm25", k)
 
 
+def searched(corpus: DataFrame, key: str, queries: DataFrame, query_key: str, terms: Column, k: int) -> DataFrame:
+    """Rows like those of search() of a corpus without an index, for queries that are asked once.
+
+    An index costs more than a search saves until it is asked again, so documents are scored where they
+    lie and each partition sends its k best of a query. Documents without text (terms null) have no length.
+    """
+    return top_k(every_score(queries, query_key, corpus, key, terms, DIGITS), query_key, key, "bm25", k)
+
+
 # ---- vectors and earlier answers ----
 
 
