@@ -183,3 +183,10 @@ def test_one_search_builds_no_index(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(0, "late train"), (7, "refund refund bus"), (13, None), (14, "nothing")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     want = same_as_sql(spark, "m8_bm25_top", tmp_path, "documents", "benchmark")  # texts that are null have no length
     assert len(want) == 20
+
+
+def test_brand_cases_search_no_signals_that_are_not_read(spark, plans):
+    rows = registry.QUERIES["s19_brand_cases"](spark, "/root/testdata/sf0.001")
+    plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+    assert not any(r"\d+/\d+" in p for p in plans)  # as display_text() has it
+    assert rows.count()

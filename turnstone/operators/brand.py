@@ -43,8 +43,10 @@ def built(messages: DataFrame | None, brand: str, *, threads: DataFrame | None =
         F.first("conversation_id").alias("conversation_id"), F.first("owner_id").alias("customer_id"), F.first("episode_seq").alias("episode_seq"), F.first("continues_case_id").alias("continues_case_id"),
         F.array_sort(F.collect_list("tweet_id")).alias("source_tweet_ids"),
     )
-    cases = graph.saved(cases.join(per, "case_id").withColumns({"brand": F.lit(brand), "is_continuation": F.col("continues_case_id").isNotNull()}))
-    related = E.related_cases(cases, gap_hours)
+    cases = cases.join(per, "case_id").withColumns({"brand": F.lit(brand), "is_continuation": F.col("continues_case_id").isNotNull()})
+    # from the messages, not from cases: what reads few columns of cases does not look for signals in their texts
+    spans = every.where("case_id is not null").groupBy("case_id").agg(F.first("owner_id").alias("customer_id"), F.min("created_at").alias("first_timestamp"), F.max("created_at").alias("last_timestamp"))
+    related = E.related_cases(graph.saved(spans), gap_hours)
     return Brand(every, cases.join(related, "case_id"), conversation_table(every, brand), hidden)
 
 
