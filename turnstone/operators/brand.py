@@ -23,11 +23,12 @@ class Brand(NamedTuple):
     hidden: DataFrame
 
 
-def built(messages: DataFrame | None, brand: str, *, threads: DataFrame | None = None, more_operators: tuple[str, ...] = (), gap_hours: float = 24.0, orphan_minutes: float = 120.0) -> Brand:
+def built(messages: DataFrame | None, brand: str, *, threads: DataFrame | None = None, more_operators: tuple[str, ...] = (), gap_hours: float = 24.0, orphan_minutes: float = 120.0, keep: bool = True) -> Brand:
     """Threads of a brand, roles, orphans, episodes and cases, from cleaned messages or from reconstructed threads.
 
     Handles of other operators are those of hidden agents, of other agents in the threads and more_operators;
     they are as many as there are agents, so the rule that looks for them gets them as a list.
+    keep: cases are saved whole, to be read several times; else each use works out the columns it reads.
     """
     if messages is None and threads is None:
         raise ValueError("give cleaned messages or reconstructed threads")
@@ -44,6 +45,7 @@ def built(messages: DataFrame | None, brand: str, *, threads: DataFrame | None =
         F.array_sort(F.collect_list("tweet_id")).alias("source_tweet_ids"),
     )
     cases = cases.join(per, "case_id").withColumns({"brand": F.lit(brand), "is_continuation": F.col("continues_case_id").isNotNull()})
+    cases = graph.saved(cases) if keep else cases
     # from the messages, not from cases: what reads few columns of cases does not look for signals in their texts
     spans = every.where("case_id is not null").groupBy("case_id").agg(F.first("owner_id").alias("customer_id"), F.min("created_at").alias("first_timestamp"), F.max("created_at").alias("last_timestamp"))
     related = E.related_cases(graph.saved(spans), gap_hours)

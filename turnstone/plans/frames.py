@@ -42,7 +42,7 @@ _BRAND = f"""{_EPISODES}, ours AS (SELECT DISTINCT conv_id FROM turns WHERE auth
 @query(f"""WITH {_BRAND} SELECT 'case_' || m.head AS case_id, 'conv_' || any_value(root) AS conversation_id, any_value(m.owner_id) AS customer_id, count(*) AS turn_count, count(*) FILTER (role = 'brand_agent') AS agent_turn_count, any_value(h.prev) IS NOT NULL AS is_continuation, string_agg(m.tweet_id::VARCHAR, ',' ORDER BY m.tweet_id) AS messages
 FROM mem m JOIN ours USING (conv_id) JOIN root USING (conv_id) JOIN heads h ON h.head = m.head GROUP BY m.head""")
 def s19_brand_cases(spark, d):
-    c = BR.built(messages(spark, d).drop("role", "conv_id"), "acme").cases
+    c = BR.built(messages(spark, d).drop("role", "conv_id"), "acme", keep=False).cases
     return c.select("case_id", "conversation_id", "customer_id", "turn_count", "agent_turn_count", "is_continuation", F.array_join(F.transform("source_tweet_ids", lambda x: x.cast("string")), ",").alias("messages"))
 
 
@@ -51,7 +51,7 @@ c AS (SELECT conv_id, string_agg(author_id, ',' ORDER BY late, ts, tweet_id) AS
 k AS (SELECT conv_id, count(DISTINCT head) AS n FROM mem GROUP BY conv_id)
 SELECT 'conv_' || any_value(root) AS conversation_id, count(*) AS tweet_count, round(max(gap), 6) AS max_gap_hours, coalesce(any_value(customers), '') AS customers, coalesce(any_value(k.n), 0)::BIGINT AS cases FROM g JOIN ours USING (conv_id) JOIN root USING (conv_id) LEFT JOIN c USING (conv_id) LEFT JOIN k USING (conv_id) GROUP BY conv_id""")
 def a4_conversations(spark, d):
-    c = BR.built(messages(spark, d).drop("role", "conv_id"), "acme").conversations
+    c = BR.built(messages(spark, d).drop("role", "conv_id"), "acme", keep=False).conversations
     return c.select("conversation_id", "tweet_count", F.round("max_gap_hours", 6).alias("max_gap_hours"), F.array_join("customer_ids", ",").alias("customers"), F.size("case_ids").cast("long").alias("cases"))
 
 
