@@ -162,9 +162,10 @@ def informative(opening: Column, min_tokens: int = 3) -> Column:
 
 
 def _spread(x: Column) -> Column:
-    x = F.replace(unescaped(x), F.lit("’"), F.lit("'"))
-    x = F.regexp_replace(F.regexp_replace(x, URL, " "), MENTION, " ")
-    return F.regexp_replace(x, r"(?U)#(\w+)", " $1 ")
+    marked = F.contains(x, F.lit("&")) | F.contains(x, F.lit("@")) | F.contains(x, F.lit("#")) | F.contains(x, F.lit("://"))
+    straight = lambda t: F.replace(t, F.lit("’"), F.lit("'"))
+    free = F.regexp_replace(F.regexp_replace(straight(unescaped(x)), URL, " "), MENTION, " ")
+    return F.when(~marked, straight(x)).otherwise(F.regexp_replace(free, r"(?U)#(\w+)", " $1 "))  # most texts need no regex
 
 
 def indexed_text(x: Column) -> Column:
@@ -174,8 +175,8 @@ def indexed_text(x: Column) -> Column:
 
 def stem(t: Column) -> Column:
     n = F.char_length(t)
-    plural = (n > 3) & t.endswith("s") & ~F.rlike(t, F.lit("(ss|us|is)$"))
-    return F.when((n > 4) & t.endswith("ies"), F.concat(F.substring(t, F.lit(1), n - 3), F.lit("y"))).when(plural, F.substring(t, F.lit(1), n - 1)).otherwise(t)
+    kept = ~t.endswith("s") | t.endswith("ss") | t.endswith("us") | t.endswith("is")  # most words: asked first, without their length
+    return F.when(kept, t).when(t.endswith("ies") & (n > 4), F.concat(F.substring(t, F.lit(1), n - 3), F.lit("y"))).when(n > 3, F.substring(t, F.lit(1), n - 1)).otherwise(t)
 
 
 def tokens(x: Column) -> Column:
