@@ -1,7 +1,6 @@
 """Faults that show only on larger tables or odd rows, made small."""
 
 import datetime as dt
-import re
 
 import duckdb
 import pytest
@@ -45,15 +44,17 @@ def test_scaled_scores_of_every_item(spark, tmp_path):
     assert {r[0] for r in want} == {0, 7, 13}
 
 
-def test_terms_of_marked_and_plain_texts(spark):
+def test_terms_of_marked_and_plain_texts(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     from turnstone.functions import text as X
 
+    asked, real = [], F.contains
+    monkeypatch.setattr(F, "contains", lambda x, mark: asked.append(str(mark)) or real(x, mark))
     want = {"Bob’s ties, replies": ["bob", "tie", "reply"], "bus gas maps pass s": ["bus", "gas", "map", "pass", "s"], "see https://a.b/c @you #Tags x": ["see", "tag", "x"], "don&rsquo;t &commat;bob": ["dont"], "": []}
     found = spark.createDataFrame([(t,) for t in want] + [(None,)], "text string").select("text", X.tokens(F.col("text")).alias("terms"))
     assert {r.text: r.terms for r in found.collect()} == {**want, None: []}
-    assert re.search(r"contains\(text#\d+, @\)", found._jdf.queryExecution().optimizedPlan().toString())  # texts without marks pass the regexes by
+    assert any("@" in mark for mark in asked)  # texts without marks pass the regexes by
 
 
 def test_evidence_is_searched_by_text(spark, monkeypatch):
